@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, media, url_filter
+from . import fingerprints, langid, licenses, media, packing, quality, url_filter
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file, which every machine has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged; the list has the URLs of pages whose document is labelled toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -23,6 +30,20 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_documents(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
     found = licenses.scan(table(spark, sf_dir, "documents"), known)
@@ -37,6 +58,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op6_packing": op6_packing,
     "op9_license_scan": op9_license_scan,
     "op10_media": op10_media,
 }
