@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, media, packing, quality, url_filter
+from . import fingerprints, langid, licenses, media, near_dedup, packing, quality, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_dedup": op2_near_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
