@@ -7,6 +7,7 @@ rows to the exact join that always follows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,31 @@ def split(df: DataFrame, column: str, listed: DataFrame, n_listed: int, max_log2
     probed = probe(df, column, build(listed, column, log2), log2, "__maybe")
     maybe, no = probed.filter("__maybe").drop("__maybe"), probed.filter(~F.col("__maybe")).drop("__maybe")
     return maybe.join(listed, column, "left_semi"), no.unionByName(maybe.join(listed, column, "left_anti"))
+
+
+# ------------------------------------------------------- the same for keys that are hashes already, read inside Python
+
+#: Bit fields of a hash that pick the two bits of each word; the low 20 bits name the block.
+FIELDS = ((20, 26), (32, 38), (44, 50), (56, 58))
+HASHED_MAX_LOG2 = 20
+
+
+def collect_hashed(keys: DataFrame, column: str, n_keys: int) -> np.ndarray:
+    """Blocks x 4 words of a filter over a column of 64-bit hashes: at most 32 MB whatever the number of keys."""
+    log2, one, key = log2_blocks(n_keys, HASHED_MAX_LOG2), F.lit(1).cast("long"), F.col(column)
+    bit = lambda s: F.call_function("shiftleft", one, F.shiftrightunsigned(key, s).bitwiseAND(63).cast("int"))
+    masks = keys.select(key.bitwiseAND((1 << log2) - 1).alias("block"), *[bit(s).bitwiseOR(bit(t)).alias(f"w{i}") for i, (s, t) in enumerate(FIELDS)])
+    rows = masks.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]).toArrow()
+    out = np.zeros((1 << log2, WORDS), dtype=np.uint64)
+    out[np.asarray(rows.column("block"))] = np.stack([np.asarray(rows.column(f"w{i}")).view(np.uint64) for i in range(WORDS)], axis=1) if rows.num_rows else out[:0]
+    return out
+
+
+def may_hold(blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each 64-bit hash: false only if it surely is not among the filter's keys."""
+    block = (keys & np.uint64(len(blocks) - 1)).astype(np.int64)
+    hit, one, low = np.ones(len(keys), dtype=bool), np.uint64(1), np.uint64(63)
+    for i, (s, t) in enumerate(FIELDS):
+        mask = one << (keys >> np.uint64(s) & low) | one << (keys >> np.uint64(t) & low)
+        hit &= blocks[block, i] & mask == mask
+    return hit

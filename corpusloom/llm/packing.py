@@ -33,7 +33,7 @@ CAPACITY, END_ID, BUCKETS = 1024, 2, 128
 REMEMBERED = 300_000
 
 #: White space that is not a single space or line feed between other characters, and the mark used for splitting.
-_ODD_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
+_ODD_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 
 
 class Ids:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, media, near_dedup, packing, quality, url_filter
+from . import fingerprints, langid, licenses, media, near_dedup, packing, quality, substring, url_filter
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
     found = licenses.scan(table(spark, sf_dir, "documents"), known)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_media": op10_media,
 }
