@@ -222,3 +222,15 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     out = held.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(documents: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
+    """``documents`` without all but the least id of each component, and without rows that repeat an id.
+
+    Only rows that a bounded filter marks are shuffled with their texts.
+    """
+    judged = cut(near_duplicates(documents, shingle, percent))
+    twice = cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR NOT kept").select("doc_id", "kept"))
+    hits, rest = bloom.split(documents, "doc_id", twice.select("doc_id"), twice.count())
+    again = hits.join(twice.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rest.unionByName(again).select(*documents.columns)

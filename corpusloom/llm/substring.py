@@ -173,8 +173,11 @@ def _kept(text: Column, starts: Column, width: int) -> Column:
     return F.arrow_udf(run, "n_words long, n_removed long, kept string")(text, starts)
 
 
-def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``documents`` (doc_id, text and others) with text cut down to the kept words, n_words and n_removed."""
+def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool = False) -> DataFrame:
+    """``documents`` (doc_id, text and others) with text cut down to the kept words, n_words and n_removed.
+
+    Kept words are joined by single spaces; with ``keep_layout`` a text that loses no word stays as it is.
+    """
     own = ("n_words", "n_removed")
     docs = documents.drop(*own).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     columns = docs.columns
@@ -209,4 +212,5 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     all_gone = F.col("__k.n_words") >= width
     gone = gone.withColumn("__k", F.when(all_gone, F.struct(F.col("__k.n_words").alias("n_words"), F.col("__k.n_words").alias("n_removed"), F.lit("").alias("kept"))).otherwise(F.col("__k")))
     both = done.drop("starts", "variant").unionByName(gone.drop("variant"))
-    return both.select(*[F.col("__k.kept").alias(c) if c == "text" else F.col(c) for c in columns], "__k.n_words", "__k.n_removed")
+    text = F.when(F.col("__k.n_removed") == 0, F.col("text")).otherwise(F.col("__k.kept")) if keep_layout else F.col("__k.kept")
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], "__k.n_words", "__k.n_removed")
