@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, media, near_dedup, packing, quality, substring, url_filter
+from . import bpe, fingerprints, langid, licenses, media, near_dedup, packing, quality, substring, url_filter
 from .common import table
 
 
@@ -53,6 +53,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
     found = licenses.scan(table(spark, sf_dir, "documents"), known)
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_media": op10_media,
     "pipeline": pipeline,
