@@ -50,7 +50,8 @@ def fingerprint(text: Column) -> Column:
             return F.when(at > 0, F.get(full, (at - 1).cast("int"))).otherwise(walk["v"])
 
         bins = F.transform(full, _bin)
-        return let(bins, lambda taken: F.transform(F.array(*[F.lit(b).cast("long") for b in range(BINS)]), lambda b: value(b, F.array_position(taken, b))))
+        every = F.array(*[F.lit(b).cast("long") for b in range(BINS)])
+        return let(bins, lambda taken: F.when(taken.isNotNull(), F.transform(every, lambda b: value(b, F.array_position(taken, b)))))
 
     def pack(values: Column) -> Column:
         per = BINS // LONGS
