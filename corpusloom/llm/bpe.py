@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is split by the tokenizer's pattern; each word becomes an array of one-byte strings (byte n is code point n), and
-a fold joins, step by step, the leftmost adjacent pair whose joined bytes have the least rank, until no pair has one.
-Ranks are a literal: an array of small maps, so that a lookup is one index and a few comparisons. Decoding takes each
-id's bytes from a literal array and concatenates them.
+A text is split by the tokenizer's pattern; each word becomes an array of the ids of its bytes, and a fold joins, step by
+step, the leftmost adjacent pair whose joined bytes have the least rank, until no pair has one. Ranks are a literal from
+pairs of ids: two arrays, so that a lookup is an index or two. Decoding takes each id's bytes from a literal array and
+concatenates them.
 
 The words that are frequent in a sample of the table (at most REMEMBERED of them) are folded once and put into a second
-literal of the same form; all other words are folded where they stand. The sample decides only what is remembered, never
-a result. A fold costs the square of a word's length, so words of more than LONG bytes take an equivalent
+literal of that form; a text's other distinct words are folded in its own row. The sample decides only what is
+remembered, never a result. A fold costs the square of a word's length, so words of more than LONG bytes take an equivalent
 heap-based merge in Python.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to no bytes; the special tokens' texts are
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-LONG, REMEMBERED, SAMPLE_ROWS = 200, 1 << 16, 4096
+LONG, REMEMBERED, SAMPLE_ROWS = 200, 1 << 17, 8192
+
+#: Bits of a token id, in packed longs.
+TOKEN_BITS = 20
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 
 #: White space of Unicode, as the tokenizer's pattern means it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -48,19 +52,84 @@ def _latin(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
-class Lookup:
-    """A literal from strings to values: an array of maps, indexed by a hash of the string."""
+def _cuckoo(items: list, places: list[tuple[int, int]], size: int) -> tuple[list, list, list[int]]:
+    """Two tables of ``size`` slots that hold each item at its first or second place; items that find none are listed."""
+    tables, lost = ([None] * size, [None] * size), []
+    for i in range(len(items)):
+        held, side = i, 0
+        for _ in range(200):
+            slot = places[held][side]
+            held, tables[side][slot] = tables[side][slot], held
+            if held is None:
+                break
+            side = 1 - places[held].index(slot, side) if places[held][side] == slot else 1 - side
+        else:
+            lost.append(held)
+    one, two = ([None if i is None else items[i] for i in t] for t in tables)
+    return one, two, lost
+
+
+def _json(values: list, kind: str) -> Column:
+    """A literal array (the parsing is folded away before the job runs)."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+class Pairs:
+    """A literal rank map from pairs of token ids to the id (which is the rank) of their joined bytes.
+
+    Two arrays of packed longs; a pair is at one of two places that are computed from it.
+    """
+
+    BITS = 18
+    FACTORS = ((654_435_761, 40_503_127), (97_531_237, 1_013_904_223))
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        ids = {t: i for i, t in enumerate(tokens)}
+        found = [(ids[t[:k]], ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
+        packed = [((a << TOKEN_BITS | b) << TOKEN_BITS) | r for a, b, r in found]
+        one, two, lost = _cuckoo(packed, [(self._at(a, b, 0), self._at(a, b, 1)) for a, b, _ in found], 1 << self.BITS)
+        if lost:
+            raise ValueError("the rank map does not fit its tables")
+        self.tables = _json(one, "bigint"), _json(two, "bigint")
+
+    def _at(self, a: int, b: int, side: int) -> int:
+        x, y = self.FACTORS[side]
+        return a * x + b * y >> 12 & (1 << self.BITS) - 1
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        """The joined id, or null."""
+        key = F.shiftleft(a, TOKEN_BITS).bitwiseOR(b)
+
+        def at(side: int) -> Column:
+            x, y = self.FACTORS[side]
+            return F.get(self.tables[side], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
+
+        def held(entry: Column, otherwise: Column | None) -> Column:
+            there = F.when(F.shiftright(entry, TOKEN_BITS) == key, entry.bitwiseAND(TOKEN_MASK))
+            return there if otherwise is None else there.otherwise(otherwise)
+
+        return let(at(0), lambda e: held(e, let(at(1), lambda o: held(o, None))))
 
-    def __init__(self, spark: SparkSession, entries: list[tuple[str, object]], kind: str, per_map: int = 2) -> None:
-        self.buckets = 1 << max(1, (len(entries) // per_map).bit_length())
-        keys = spark.createDataFrame([(k,) for k, _ in entries], "k string").select(F.pmod(F.hash("k"), F.lit(self.buckets))).toArrow().column(0).to_pylist() if entries else []
-        maps: list[dict[str, object]] = [{} for _ in range(self.buckets)]
-        for (k, v), b in zip(entries, keys, strict=True):
-            maps[b][k] = v
-        self.literal = F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
 
-    def __call__(self, key: Column) -> Column:
-        return F.element_at(F.get(self.literal, F.pmod(F.hash(key), F.lit(self.buckets))), key)
+class Words:
+    """A literal from words to their ids: like Pairs, by the two halves of the word's hash. Words without a place are left out."""
+
+    def __init__(self, spark: SparkSession, entries: list[tuple[str, list[int]]], bits: int = 17) -> None:
+        self.mask = (1 << bits) - 1
+        hashes = [r[0] for r in spark.createDataFrame([(w,) for w, _ in entries], "w string").select(F.hash("w")).collect()] if entries else []
+        places = [(h & self.mask, (h & 0xFFFFFFFF) >> 15 & self.mask) for h in hashes]
+        one, two, _ = _cuckoo(entries, places, self.mask + 1)
+        self.words = [_json([e and e[0] for e in t], "string") for t in (one, two)]
+        self.ids = [_json([e and e[1] for e in t], "array<int>") for t in (one, two)]
+
+    def __call__(self, word: Column) -> Column:
+        """The word's ids, or null."""
+
+        def at(h: Column) -> Column:
+            i, j = h.bitwiseAND(self.mask), F.shiftrightunsigned(h, 15).bitwiseAND(self.mask)
+            return F.when(F.get(self.words[0], i) == word, F.get(self.ids[0], i)).when(F.get(self.words[1], j) == word, F.get(self.ids[1], j))
+
+        return let(F.hash(word), at)
 
 
 class Encoding:
@@ -68,38 +137,57 @@ class Encoding:
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         self.pattern, self.tokens = java_pattern(pattern), read_ranks(ranks_path)
-        texts = [t.decode("latin-1") for t in self.tokens]
-        self.rank = Lookup(spark, [(t, i) for i, t in enumerate(texts)], "int")
-        self.pieces = F.from_json(F.lit(json.dumps(texts)), "array<string>")
-        self.little_endian = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(texts))])), "array<string>")
-        self.frequent = Lookup(spark, [], "array<int>")
+        ids = {t: i for i, t in enumerate(self.tokens)}
+        self.bytes = _json([ids[bytes([b])] for b in range(256)], "bigint")
+        self.pairs = Pairs(self.tokens)
+        self.pieces = _json([t.decode("latin-1") for t in self.tokens], "string")
+        self.little_endian = _json([i.to_bytes(4, "little").hex() for i in range(len(self.tokens))], "string")
+        self.frequent: Words | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word."""
+        """Ids of one word of at most LONG bytes.
+
+        The state is an array of longs, one a token: the rank of joining it with the next one, its place and its id. The
+        least long is the leftmost of the pairs with the least rank.
+        """
+        rank_shift, place_shift = 2 * TOKEN_BITS, TOKEN_BITS
+        never = 1 << TOKEN_BITS
+
+        def token(entry: Column) -> Column:
+            return entry.bitwiseAND(TOKEN_MASK)
 
-        def merged(parts: Column, ranks: Column, best: Column) -> Column:
-            at = F.array_position(ranks, best).cast("int")
-            joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
-            return F.struct(joined.alias("parts"), (F.size(joined) < 2).alias("done"))
+        def ranked(a: Column, b: Column) -> Column:
+            return F.shiftleft(F.coalesce(self.pairs(a, b), F.lit(never).cast("long")), rank_shift)
+
+        def joined(state: Column, least: Column, at: Column) -> Column:
+            rank = F.shiftright(least, rank_shift)
+            place = least.bitwiseAND(TOKEN_MASK << place_shift)
+            after, before = F.get(state, at + 1), F.get(state, at - 2)
+            new = ranked(rank, token(after)).bitwiseOR(place).bitwiseOR(rank)
+            left = ranked(token(before), rank).bitwiseOR(before.bitwiseAND((1 << rank_shift) - 1))
+            middle = F.when(at > 1, F.array(left, new)).otherwise(F.array(new))
+            return F.concat(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), middle, F.slice(state, at + 2, F.size(state)))
 
         def step(state: Column) -> Column:
-            parts = state["parts"]
-            ranks = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: self.rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-            ended = F.struct(parts.alias("parts"), F.lit(True).alias("done"))
-            return let(ranks, lambda r: let(F.array_min(r), lambda best: F.when(best.isNull(), ended).otherwise(merged(parts, r, best))))
+            def go(least: Column) -> Column:
+                at = F.array_position(state, least).cast("int")
+                return F.when(least >= never << rank_shift, state).otherwise(let(at, lambda k: joined(state, least, k)))
+
+            return let(F.array_min(state), go)
 
-        def run(latin: Column) -> Column:
-            n = F.length(latin)
-            start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(latin, i, F.lit(1))).alias("parts"), (n < 2).alias("done"))
-            return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: F.transform(s["parts"], lambda p: self.rank(p)))
+        def run(tokens: Column) -> Column:
+            n = F.size(tokens)
+            start = F.transform(tokens, lambda t, i: ranked(t, F.get(tokens, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), place_shift)).bitwiseOR(t))
+            merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda s, _: step(s))
+            return F.transform(merged, lambda e: token(e).cast("int"))
 
-        def whole(latin: Column) -> Column:
-            return let(self.rank(latin), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(run(latin)))
+        def of(latin: Column) -> Column:
+            return let(F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, F.lit(1))))), run)
 
-        return let(_latin(word), whole)
+        return let(_latin(word), of)
 
     def remember(self, documents: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, words: int = REMEMBERED) -> Encoding:
         """Folds the most frequent words of at most ``rows`` documents once, for later lookups."""
@@ -108,27 +196,33 @@ class Encoding:
         counted = sample.select(F.explode(self.words(F.col("t"))).alias("w")).filter(F.octet_length("w") <= LONG).groupBy("w").count()
         top = counted.orderBy(F.desc("count"), "w").limit(words)
         got = top.repartition(spark.sparkContext.defaultParallelism).select("w", self.fold(F.col("w")).alias("ids")).toArrow()
-        self.frequent = Lookup(spark, list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)), "array<int>", per_map=1)
+        self.frequent = Words(spark, list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)))
         return self
 
     def encode(self, text: Column) -> Column:
-        """Array of ids."""
+        """Array of ids: remembered words are looked up, the text's other distinct words are folded."""
         ranks = {t: i for i, t in enumerate(self.tokens)}
 
         def merged(lists: pa.Array) -> pa.Array:
             return pa.array([[merge(w.encode(), ranks) for w in words or []] for words in lists.to_pylist()], pa.list_(pa.list_(pa.int32())))
 
-        def ids(word: Column, long: Column) -> Column:
-            known = self.frequent(word)
-            return F.when(F.octet_length(word) > LONG, F.element_at(long, word)).otherwise(F.coalesce(known, self.fold(word)))
-
         words = self.words(text)
         # a long word has at least LONG / 4 characters of one kind in a row
         any_long = text.rlike(rf"\p{{L}}{{{LONG // 4}}}|\p{{N}}{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}|[^{SPACE}\p{{L}}\p{{N}}]{{{LONG // 4}}}")
         listed = F.when(any_long, F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > LONG)))
         listed = F.coalesce(listed, F.array().cast("array<string>"))
         long = F.map_from_arrays(listed, F.arrow_udf(merged, "array<array<int>>")(listed))
-        return let(long, lambda m: F.flatten(F.transform(words, lambda w: ids(w, m))))
+
+        def folded(w: Column, m: Column) -> Column:
+            return F.when(F.octet_length(w) > LONG, F.element_at(m, w)).otherwise(self.fold(w))
+
+        def of(ws: Column, known: Column, m: Column) -> Column:
+            others = F.array_distinct(F.filter(ws, lambda w, i: F.get(known, i).isNull()))
+            rest = let(others, lambda o: F.map_from_arrays(o, F.transform(o, lambda w: folded(w, m))))
+            return let(rest, lambda r: F.flatten(F.transform(known, lambda k, i: F.coalesce(k, F.element_at(r, F.get(ws, i))))))
+
+        look = self.frequent if self.frequent is not None else lambda w: F.lit(None).cast("array<int>")
+        return let(long, lambda m: let(words, lambda ws: let(F.transform(ws, lambda w: look(w)), lambda known: of(ws, known, m))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for."""

@@ -3,15 +3,15 @@
 A document's set holds the 64-bit hashes of its distinct shingles of ``shingle`` words (A-Z lower-cased). Documents with
 the same set are one class from the start. Each class gets a SuperMinHash signature: every element brings a random
 permutation of the positions whose ranks rise by one a step, so a document is done once its largest value is below the
-next step. Bands of the signature are bucket keys. In every bucket each class is compared with one pivot; where a bucket
-then still holds several components, its other pairs are compared too. Every comparison is confirmed on the full sets,
-and links are joined into components.
+next step. Bands of the signature are bucket keys. In every bucket each class is compared with one pivot. Where a
+bucket then still holds several components, its classes meet once more by their rarest elements (a prefix filter, which
+is exact). Every comparison is confirmed on the full sets, and links are joined into components.
 
 With 32 bands of 4 values a pair at the threshold of 0.8 shares no band once in 20 million. Pairs whose signatures agree
 in less than 0.6 of 128 positions are not confirmed: at a likeness of 0.8 that happens less than once in a million.
 
 Sizes: an oversize bucket is never gathered; it costs one row a member (the pivot) and, only where components remain,
-comparisons inside a join that keeps the few pairs whose signatures agree. Nothing is capped or sampled.
+the rarest fifth of its members' elements. Nothing is capped or sampled.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one
 shingle of the whole sequence; repeated rows are one class and each gets its row; a row without id is linked with nothing.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ LANES, AGREE = POSITIONS // 8, int(0.6 * POSITIONS)
 #: Elements whose permutations are held at a time.
 ELEMENTS = 150_000
 SLICE = 3_000_000
+#: Counters that order elements by rarity.
+SLOTS = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +130,17 @@ def features(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = np.repeat(band, len(n), axis=0)
                 for k in range(ROWS):
                     keys = mix(keys + bits[:, k::ROWS])
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(0xA0761D6478BD642F)))])
-                key = mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(key, mask=~present), lists(lanes, present), lists(keys, present)], names=["doc_id", "n_shingles", "set_key", "lanes", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_set_keys(elements, offsets), mask=~present), lists(lanes, present), lists(keys, present)], names=["doc_id", "n_shingles", "set_key", "lanes", "bands"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _set_keys(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(0xA0761D6478BD642F)))])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
 def _signature(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """SuperMinHash, a part of a very large set at a time (the least of the parts' values is the set's)."""
     if len(elements) <= ELEMENTS:
@@ -159,23 +166,26 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (agreeing(F.col(f"{a}_lanes"), F.col(f"{b}_lanes")) >= AGREE * percent // PERCENT)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose full sets have 100 * intersection >= percent * union.
-
-    Only texts of classes in a pair are read again; a pair carries one set to the other.
-    """
-    wanted = cut(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct().join(classes.select("set_key", "doc_id"), "set_key").select("doc_id").distinct())
+def class_sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """(set_key, elements) of the classes in ``keys``, read again from one text of each."""
+    wanted = cut(keys.select("set_key").join(classes.select("set_key", "doc_id"), "set_key").select("doc_id").distinct())
     texts, _ = bloom.split(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, wanted.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
                 elements, offsets = shingle_sets(batch.column(0).slice(start, stop - start), shingle)
-                n = np.diff(offsets)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(0xA0761D6478BD642F)))])
-                key = mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64)
                 raw = elements.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["set_key", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_keys(elements, offsets)), pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["set_key", "elements"])
+
+    return texts.select("text").mapInArrow(sets, "set_key long, elements binary").dropDuplicates(["set_key"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set keys whose full sets have 100 * intersection >= percent * union.
+
+    Only texts of classes in a pair are read again; a pair carries one set to the other.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,12 +196,57 @@ def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = texts.select("text").mapInArrow(sets, "set_key long, elements binary").dropDuplicates(["set_key"])
+    keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    found = class_sets(keys, classes, documents, shingle)
     one = pairs.join(found.select(F.col("set_key").alias("b"), F.col("elements").alias("eb")), "b")
     two = one.join(found.select(F.col("set_key").alias("a"), F.col("elements").alias("ea")), "a")
     return two.select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
 
 
+def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (set_key, root) with unlike roots that may be linked, by their rarest elements.
+
+    Two sets of that likeness share one of the first n - ceil(percent n / 100) + 1 elements of each, in any one order of
+    all elements, and what stands before a shared element counts against their overlap. The order is by how many sets
+    of ``rest`` have an element of the same hash slot (at most SLOTS numbers go to the driver and back), then by the
+    element. Under each element, classes of its most frequent root are only compared with the others, never with one another.
+    """
+    known = rest.join(classes.select("set_key", "n"), "set_key")
+    each = cut(class_sets(rest, classes, documents, shingle).join(known, "set_key").select("set_key", "root", "n", "elements"))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                slot, times = np.unique(np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(times)], names=["slot", "times"])
+
+    counts = each.select("elements").mapInArrow(slots, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    often_ = np.zeros(SLOTS, dtype=np.int32)
+    often_[np.asarray(counts.column("slot"))] = np.minimum(np.asarray(counts.column("times")), np.iinfo(np.int32).max)
+    shared = documents.sparkSession.sparkContext.broadcast(often_)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column("elements")):
+                elements = np.frombuffer(x.as_buffer(), np.uint64)
+                times = shared.value[(elements % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((elements, times))[: len(elements) - -(-len(elements) * percent // 100) + 1]
+                before = np.flatnonzero(times[order] > 1)  # what one set alone has meets no other
+                own = batch.slice(i, 1).take(pa.array(np.zeros(len(before), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(elements[order[before]].view(np.int64)), own.column("set_key"), own.column("root"), own.column("n"), pa.array(before)], names=["element", "set_key", "root", "n", "before"])
+
+    prefix = cut(each.mapInArrow(first, "element long, set_key long, root long, n long, before long"))
+    often = prefix.groupBy("element", "root").agg(F.count("*").alias("c")).groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("often"), F.count("*").alias("roots")).filter("roots > 1")
+    held = prefix.join(often.select("element", "often"), "element")
+    side = lambda name: held.select("element", "often", *[F.col(c).alias(f"{name}_{c}") for c in ("set_key", "root", "n", "before")])
+    x, y = side("x").filter("x_root <> often").drop("often"), side("y").drop("often")
+    room = F.least(F.col("x_n") - F.col("x_before"), F.col("y_n") - F.col("y_before"))  # overlap from the shared element on
+    least = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
+    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    met = x.join(y, "element").filter((F.col("x_root") != F.col("y_root")) & (small * 100 >= large * percent) & (room >= least))
+    return met.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``."""
     held = cut(features(documents, shingle))
@@ -205,16 +260,20 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     first = first.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
     links = cut(confirm(cut(first), classes, documents, shingle, percent))
     roots = cut(components(links))
-    # buckets of three or more in which the pivot left several components: their other pairs
-    rooted = members.filter("members > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    # buckets of three or more in which the pivot left several components: other pairs of their members
+    rooted = members.filter("members > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("band", "set_key", F.coalesce("root", "set_key").alias("root"))
     open_ = rooted.groupBy("band").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).filter("__low <> __high").select("band")
-    rest = cut(rooted.join(open_, "band", "left_semi").filter("set_key <> pivot").select("band", "set_key", "root").join(classes.select("set_key", "n", "lanes"), "set_key"))
-    a = rest.select("band", F.col("set_key").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("lanes").alias("a_lanes"))
-    b = rest.select("band", F.col("set_key").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("lanes").alias("b_lanes"))
-    second = cut(a.join(b, (a["band"] == b["band"]) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _alike("a", "b", percent)).select("a", "b").distinct())
-    if not second.isEmpty():
-        links = links.unionByName(confirm(second, classes, documents, shingle, percent))
-        roots = cut(components(links))
+    rest = cut(rooted.join(open_, "band", "left_semi").select("set_key", "root").distinct())
+    if not rest.isEmpty():
+        more = open_pairs(rest, classes, documents, shingle, percent)
+        signed = more.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
+        linked = confirm(cut(signed), classes, documents, shingle, percent)
+        for c in ("a", "b"):  # links between components
+            linked = linked.join(rest.select(F.col("set_key").alias(c), F.col("root").alias(f"r{c}")), c)
+        above = cut(components(linked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        alone = above.select("node", "root").join(roots.select("node"), "node", "left_anti")
+        higher = above.select(F.col("node").alias("root"), F.col("root").alias("__top"))
+        roots = roots.join(higher, "root", "left").select("node", F.coalesce("__top", "root").alias("root")).unionByName(alone)
     joined = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = joined.join(least, "root").select("set_key", "component_id")

@@ -13,81 +13,148 @@ packed like any other row; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 CAPACITY, END_ID, BUCKETS = 1024, 2, 128
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 120_000
+
+#: Text bytes that a Python worker tokenizes at a time.
+SLICE = 1_500_000
 
 #: White space that is not a single space or line feed between other characters, and the mark used for splitting.
-_ODD_SPACE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+ODD_SPACE = r"[\x01\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
 
 
 class Ids:
-    """Ids of texts as little-endian bytes, with the ids of frequent words remembered.
+    """Ids of whole texts, with the ids of frequent words remembered.
 
     The tokenizer's pattern always breaks before a single space and around a single line feed between other
-    characters, so such a text is encoded word by word; any other text is encoded whole.
+    characters, so such a text is encoded word by word, each distinct word of a batch once; any other text is encoded
+    whole. Words are remembered in two generations: when the young one is full it becomes the old one, and words met
+    again move back. Where the vocabulary numbers its tokens in the order of its merges, new words take the faster of
+    two equal encoders.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            plain = not _ODD_SPACE.search(t) and not any(s in t for s in self.special)
-            words = t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if plain else None
-            split.append(words)
-            if words:
-                new.update(words)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for words in split if words for w in words}
-        fresh = list(new)
-        self.known.update(zip(fresh, self._bytes(fresh), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._bytes([t])[0] for t, words in zip(texts, split, strict=True)]
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        numbers = [model["vocab"]["".join(m)] for m in merges]
+        self.fast = None
+        if numbers == sorted(numbers) and len(numbers) + 256 <= numbers[-1] + 1:
+            as_byte = {c: b for b, c in _byte_letters().items()}
+            ranks = {bytes(as_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.line_feed = ranks[b"\n"]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        if self.fast is None or "\n" in words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.asarray(self.fast.encode_ordinary("\n".join([*words, ""])), dtype="<u4")
+        ends = np.flatnonzero(ids == self.line_feed)
+        raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+        return [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {"": b"", "\n": self.young.get("\n") or self._new(["\n"])[0]}
+        if "\n" not in self.young:
+            self.young["\n"] = self._new(["\n"])[0]
+        out = list(map(self.young.get, words))
+        missing = [i for i, known in enumerate(out) if known is None]
+        fresh = []
+        for i in missing:
+            known = self.old.get(words[i])
+            if known is None:
+                fresh.append(i)
+            else:
+                out[i] = self.young[words[i]] = known
+        for i, ids in zip(fresh, self._new([words[i] for i in fresh]) if fresh else [], strict=True):
+            out[i] = self.young[words[i]] = ids
+        return out
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, row offsets)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n\x01")
+        split = pc.split_pattern(marked, "\x01")
+        coded = split.flatten().dictionary_encode()
+        codes, offsets = np.asarray(coded.indices).astype(np.int64), np.asarray(split.offsets).astype(np.int64)
+        known = self._words(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        rows = ends[offsets - offsets[0]]
+        if pc.any(odd).as_py():
+            whole = [np.asarray(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, dtype="<u4") if o.as_py() else ids[i:j] for t, o, i, j in zip(texts, odd, rows[:-1], rows[1:], strict=True)]
+            return np.concatenate(whole), np.concatenate([[0], np.cumsum([len(w) for w in whole])])
+        return ids, rows
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=1)
+def held_ids(path: str) -> Ids:
+    """One instance for all tasks of a Python worker."""
+    return Ids(path)
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
+        ids, end = held_ids(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
+            for at, stop in slices(batch.column(1), SLICE):
+                flat, offsets = ids.of(batch.column(1).slice(at, stop - at))
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, raw in enumerate(ids.of([t or "" for t in texts.slice(at, 256).to_pylist()])):
-                    raw += end
+                for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    raw = flat[first:last].tobytes() + end
                     for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[s : s + 4 * capacity]
                         rows.append((at + i, k, s // 4, len(part) // 4, zlib.crc32(part)))
                 row, *rest = np.asarray(rows, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, mix, slices, words_of
 
-TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 4096, 1 << 17, 8, 6, 2.0, 32, 7
+TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 2048, 1 << 17, 8, 6, 2.0, 32, 7
 NGRAMS = (3, 4, 5)
 
 
@@ -36,22 +36,27 @@ class Model:
     bias: float
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(buckets - 1)).astype(np.int32)
+
+
 def subwords(distinct: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(word index, bucket) pairs: for each word its own hash and those of the n-grams of ``<word>``."""
     n = len(distinct)
     if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     framed = pc.binary_join_element_wise(pa.scalar(b"<", pa.large_binary()), distinct.cast(pa.large_binary()), pa.scalar(b">", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
     lengths = np.asarray(pc.binary_length(framed)).astype(np.int64)
     ends = np.cumsum(lengths)
     raw = np.frombuffer(b"".join(framed.to_pylist()), dtype=np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(n), lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(raw))
+    word = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    left = (np.repeat(ends, lengths) - np.arange(len(raw))).astype(np.int32)
     base = np.uint64(0x100000001B3)
     # a word's own hash: the sum of its bytes, each mixed with its place
     place = (lengths.repeat(lengths) - left).astype(np.uint64)
     own = np.add.reduceat(mix(raw + place * np.uint64(257) + np.uint64(1)), ends - lengths)
-    index, out = [np.arange(n)], [mix(own)]
+    del place
+    index, out = [np.arange(n, dtype=np.int32)], [_bucket(own, buckets)]
     for size in NGRAMS:
         if len(raw) < size:
             continue
@@ -60,8 +65,8 @@ def subwords(distinct: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np
             h = h * base + raw[k : len(raw) - size + 1 + k]
         fits = left[: len(h)] >= size
         index.append(word[: len(h)][fits])
-        out.append(mix(h[fits]))
-    return np.concatenate(index), (np.concatenate(out) % np.uint64(buckets - 1)).astype(np.int64)
+        out.append(_bucket(h[fits], buckets))
+    return np.concatenate(index), np.concatenate(out)
 
 
 def _repeats(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,7 +87,8 @@ def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS) ->
     index, bucket = subwords(distinct, buckets)
     order = np.argsort(index, kind="stable")
     index, bucket = index[order], bucket[order]
-    starts = np.searchsorted(index, np.arange(len(distinct) + 1))
+    starts = np.searchsorted(index, np.arange(len(distinct) + 1, dtype=np.int32))
+    del index, order
     repeats, y = _repeats(codes, offsets), np.asarray(labels, dtype=np.float64)
     rng = np.random.default_rng(SEED)
     vectors = (rng.random((buckets, DIM)) - 0.5) / DIM

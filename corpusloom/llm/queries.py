@@ -78,6 +78,56 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+_SITE = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CANONICAL_URL = rf"""
+WITH p AS (SELECT page_id, url, coalesce({_SITE}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))), '&') AS params FROM p),
+c AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') <> '' THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END END AS canonical_url FROM q)
+"""
+_RULE = "CASE " + " ".join(
+    f"WHEN (host = '{site}' OR ends_with(host, '.{site}')) AND starts_with(path, '/{start}') THEN '{{{i}}}'"
+    for i, (site, start) in sorted(((i, (t.partition("/")[0], t.partition("/")[2])) for i, (_, t) in enumerate(url_filter.RULES)), key=lambda r: -sum(map(len, r[1])))
+) + " END"
+
+_SPELT = "lower(text)"
+_SPELT = f"CASE WHEN contains({_SPELT}, 'copyright') OR contains({_SPELT}, '(c)') OR contains({_SPELT}, '©') THEN regexp_replace({_SPELT}, '{licenses.COPYRIGHT_LINE}', '', 'g') ELSE {_SPELT} END"
+for _pattern, _one in licenses.SPELLINGS:
+    _SPELT = f"regexp_replace({_SPELT}, '{_pattern}', '{_one.replace('$1', chr(92) + '1')}', 'g')"
+_SPELT = rf"regexp_replace({_SPELT}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+_FLAT = r"trim(regexp_replace({}, '[ \n]+', ' ', 'g'))"
+_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''").replace("\n", "' || chr(10) || '")) for i, t in licenses.KNOWN)
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: SQL of the queries that SQL can express; the others are tested against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_url_filter": _CANONICAL_URL + f""", l AS (SELECT DISTINCT canonical_url FROM c WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND canonical_url IS NOT NULL),
+r AS (SELECT *, {_RULE.format(*[t for _, t in url_filter.RULES])} AS rule, {_RULE.format(*[v for v, _ in url_filter.RULES])} AS says, canonical_url IS NOT NULL AND canonical_url IN (SELECT canonical_url FROM l) AS listed FROM c)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, canonical_url, listed FROM r""",
+    "op2_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, v.b FROM reach r JOIN ways v ON v.a = r.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp USING (doc_id)""".replace("both AS", "met AS").replace("FROM both", "FROM met"),
+    "op7_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13), k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS low FROM k), g AS (SELECT doc_id, list(i) AS starts FROM f WHERE low < doc_id GROUP BY 1),
+r AS (SELECT doc_id, w, CASE WHEN starts IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_has_any(starts, range(i - 12, i + 1))) END AS kept FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r""",
+    "op9_license_scan": f"""WITH known AS (SELECT license_id, md5({_FLAT.format("t")}) AS digest FROM (SELECT license_id, {_SPELT} AS t FROM (VALUES {_KNOWN}) v(license_id, text)) WHERE {_FLAT.format("t")} <> ''),
+digests AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY 1), d AS (SELECT doc_id, {_SPELT} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+whole AS (SELECT doc_id, CASE WHEN {_FLAT.format("t")} <> '' THEN md5({_FLAT.format("t")}) END AS digest FROM d),
+lines AS (SELECT doc_id, {_FLAT.format("l")} AS l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+hits AS (SELECT doc_id, license_id, count(*) AS n FROM lines JOIN digests ON digest = md5(l) WHERE l <> '' GROUP BY 1, 2),
+ids AS (SELECT doc_id, license_id, n FROM hits UNION ALL SELECT doc_id, license_id, 0 FROM whole JOIN digests USING (digest)),
+found AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS licenses, sum(n) AS n FROM ids GROUP BY 1)
+SELECT w.doc_id, w.digest AS text_digest, g.license_id AS whole_license, coalesce(f.licenses, '') AS licenses, coalesce(f.n, 0)::BIGINT AS n_license_lines FROM whole w LEFT JOIN digests g USING (digest) LEFT JOIN found f USING (doc_id)""",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_near_dedup": op2_near_dedup,

@@ -181,7 +181,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
     own = ("n_words", "n_removed")
     docs = documents.drop(*own).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     columns = docs.columns
-    docs = docs.withColumn("variant", F.hash("text")).withColumn("__key", F.concat_ws(":", "doc_id", F.md5("text")))
+    docs = docs.withColumn("__variant", F.hash("text")).withColumn("__key", F.concat_ws(":", "doc_id", F.md5("text")))
     # 1. whole texts
     digests = docs.filter("doc_id IS NOT NULL").select(F.md5("text").alias("digest"), "doc_id")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
@@ -197,20 +197,20 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
     shared = cut(shared_anchors(usable, width))
     blocks = bloom.collect_hashed(shared, "anchor", shared.count())
     # 3. windows
-    windows = cut(candidate_windows(usable, blocks, width))
+    windows = cut(candidate_windows(usable.select("doc_id", "text", F.col("__variant").alias("variant")), blocks, width))
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
     later = windows.join(least, ["k1", "k2"]).filter("doc_id > low")
-    starts = cut(later.groupBy("doc_id", "variant").agg(F.collect_set("start").alias("starts")))
+    starts = cut(later.groupBy("doc_id", F.col("variant").alias("__variant")).agg(F.collect_set("start").alias("__starts")))
     # 4. words
     listed = starts.select(F.col("doc_id").alias("__doc")).distinct()
     log2 = bloom.log2_blocks(starts.count())
     touched = bloom.probe(rest.drop("__key"), "doc_id", bloom.build(listed, "__doc", log2), log2, "__maybe")
     nothing = F.lit(None).cast("array<int>")
-    cut_down = touched.filter("__maybe").drop("__maybe").join(starts, ["doc_id", "variant"], "left")
-    done = cut_down.unionByName(touched.filter("NOT __maybe").drop("__maybe").withColumn("starts", nothing)).withColumn("__k", _kept(F.col("text"), F.col("starts"), width))
+    cut_down = touched.filter("__maybe").drop("__maybe").join(starts, ["doc_id", "__variant"], "left")
+    done = cut_down.unionByName(touched.filter("NOT __maybe").drop("__maybe").withColumn("__starts", nothing)).withColumn("__k", _kept(F.col("text"), F.col("__starts"), width))
     gone = whole.drop("__key").withColumn("__k", _kept(F.col("text"), nothing, width))
     all_gone = F.col("__k.n_words") >= width
     gone = gone.withColumn("__k", F.when(all_gone, F.struct(F.col("__k.n_words").alias("n_words"), F.col("__k.n_words").alias("n_removed"), F.lit("").alias("kept"))).otherwise(F.col("__k")))
-    both = done.drop("starts", "variant").unionByName(gone.drop("variant"))
+    both = done.drop("__starts", "__variant").unionByName(gone.drop("__variant"))
     text = F.when(F.col("__k.n_removed") == 0, F.col("text")).otherwise(F.col("__k.kept")) if keep_layout else F.col("__k.kept")
     return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], "__k.n_words", "__k.n_removed")

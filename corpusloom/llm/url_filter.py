@@ -5,7 +5,7 @@ possible hits, and only those are shuffled to an exact hash join that removes th
 of the rules whose host is the URL's host or a parent domain and whose path starts the URL's path, the longest decides;
 URLs without a rule are blocked if listed and allowed otherwise.
 
-Defined cases: a null URL or one without ``://`` has empty host and path, no rule, no canonical form, and is allowed;
+Defined cases: a rule ``org/`` asks for a path that starts with ``/``, which an empty path does not; a null URL or one without ``://`` has empty host and path, no rule, no canonical form, and is allowed;
 repeated rows are each judged; an empty list blocks nothing; other columns of the input are kept, and the result's
 own columns replace input columns of the same name (an input column whose name starts with ``__`` is not allowed).
 """
