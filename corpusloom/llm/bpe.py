@@ -90,19 +90,19 @@ class Pairs:
         one, two, lost = _cuckoo(packed, [(self._at(a, b, 0), self._at(a, b, 1)) for a, b, _ in found], 1 << self.BITS)
         if lost:
             raise ValueError("the rank map does not fit its tables")
-        self.tables = _json(one, "bigint"), _json(two, "bigint")
+        self.tables = F.struct(_json(one, "bigint").alias("t0"), _json(two, "bigint").alias("t1"))
 
     def _at(self, a: int, b: int, side: int) -> int:
         x, y = self.FACTORS[side]
         return a * x + b * y >> 12 & (1 << self.BITS) - 1
 
-    def __call__(self, a: Column, b: Column) -> Column:
+    def __call__(self, tables: Column, a: Column, b: Column) -> Column:
         """The joined id, or null."""
         key = F.shiftleft(a, TOKEN_BITS).bitwiseOR(b)
 
         def at(side: int) -> Column:
             x, y = self.FACTORS[side]
-            return F.get(self.tables[side], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
+            return F.get(tables[f"t{side}"], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
 
         def held(entry: Column, otherwise: Column | None) -> Column:
             there = F.when(F.shiftright(entry, TOKEN_BITS) == key, entry.bitwiseAND(TOKEN_MASK))
@@ -119,15 +119,15 @@ class Words:
         hashes = [r[0] for r in spark.createDataFrame([(w,) for w, _ in entries], "w string").select(F.hash("w")).collect()] if entries else []
         places = [(h & self.mask, (h & 0xFFFFFFFF) >> 15 & self.mask) for h in hashes]
         one, two, _ = _cuckoo(entries, places, self.mask + 1)
-        self.words = [_json([e and e[0] for e in t], "string") for t in (one, two)]
-        self.ids = [_json([e and e[1] for e in t], "array<int>") for t in (one, two)]
+        columns = [(f"{name}{k}", [e and e[field] for e in t], kind) for k, t in enumerate((one, two)) for field, (name, kind) in enumerate((("w", "string"), ("i", "array<int>")))]
+        self.tables = F.struct(*[_json(values, kind).alias(name) for name, values, kind in columns])
 
-    def __call__(self, word: Column) -> Column:
+    def __call__(self, tables: Column, word: Column) -> Column:
         """The word's ids, or null."""
 
         def at(h: Column) -> Column:
             i, j = h.bitwiseAND(self.mask), F.shiftrightunsigned(h, 15).bitwiseAND(self.mask)
-            return F.when(F.get(self.words[0], i) == word, F.get(self.ids[0], i)).when(F.get(self.words[1], j) == word, F.get(self.ids[1], j))
+            return F.when(F.get(tables["w0"], i) == word, F.get(tables["i0"], i)).when(F.get(tables["w1"], j) == word, F.get(tables["i1"], j))
 
         return let(F.hash(word), at)
 
@@ -138,8 +138,9 @@ class Encoding:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         self.pattern, self.tokens = java_pattern(pattern), read_ranks(ranks_path)
         ids = {t: i for i, t in enumerate(self.tokens)}
-        self.bytes = _json([ids[bytes([b])] for b in range(256)], "bigint")
         self.pairs = Pairs(self.tokens)
+        #: The literals that a fold needs, to be bound once.
+        self.ranks = F.struct(_json([ids[bytes([b])] for b in range(256)], "bigint").alias("bytes"), self.pairs.tables.alias("pairs"))
         self.pieces = _json([t.decode("latin-1") for t in self.tokens], "string")
         self.little_endian = _json([i.to_bytes(4, "little").hex() for i in range(len(self.tokens))], "string")
         self.frequent: Words | None = None
@@ -147,8 +148,8 @@ class Encoding:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word of at most LONG bytes.
+    def fold(self, ranks: Column, word: Column) -> Column:
+        """Ids of one word of at most LONG bytes; ``ranks`` is the bound literal.
 
         The state is an array of longs, one a token: the rank of joining it with the next one, its place and its id. The
         least long is the leftmost of the pairs with the least rank.
@@ -160,7 +161,7 @@ class Encoding:
             return entry.bitwiseAND(TOKEN_MASK)
 
         def ranked(a: Column, b: Column) -> Column:
-            return F.shiftleft(F.coalesce(self.pairs(a, b), F.lit(never).cast("long")), rank_shift)
+            return F.shiftleft(F.coalesce(self.pairs(ranks["pairs"], a, b), F.lit(never).cast("long")), rank_shift)
 
         def joined(state: Column, least: Column, at: Column) -> Column:
             rank = F.shiftright(least, rank_shift)
@@ -185,7 +186,7 @@ class Encoding:
             return F.transform(merged, lambda e: token(e).cast("int"))
 
         def of(latin: Column) -> Column:
-            return let(F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, F.lit(1))))), run)
+            return let(F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(ranks["bytes"], F.ascii(F.substring(latin, i, F.lit(1))))), run)
 
         return let(_latin(word), of)
 
@@ -195,7 +196,7 @@ class Encoding:
         sample = documents.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(F.pmod("h", F.lit(max(1, documents.count() // rows))) == 0).limit(rows)
         counted = sample.select(F.explode(self.words(F.col("t"))).alias("w")).filter(F.octet_length("w") <= LONG).groupBy("w").count()
         top = counted.orderBy(F.desc("count"), "w").limit(words)
-        got = top.repartition(spark.sparkContext.defaultParallelism).select("w", self.fold(F.col("w")).alias("ids")).toArrow()
+        got = top.repartition(spark.sparkContext.defaultParallelism).select("w", let(self.ranks, lambda k: self.fold(k, F.col("w"))).alias("ids")).toArrow()
         self.frequent = Words(spark, list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)))
         return self
 
@@ -213,16 +214,20 @@ class Encoding:
         listed = F.coalesce(listed, F.array().cast("array<string>"))
         long = F.map_from_arrays(listed, F.arrow_udf(merged, "array<array<int>>")(listed))
 
-        def folded(w: Column, m: Column) -> Column:
-            return F.when(F.octet_length(w) > LONG, F.element_at(m, w)).otherwise(self.fold(w))
+        def folded(w: Column, m: Column, k: Column) -> Column:
+            return F.when(F.octet_length(w) > LONG, F.element_at(m, w)).otherwise(self.fold(k, w))
 
-        def of(ws: Column, known: Column, m: Column) -> Column:
+        def of(ws: Column, known: Column, m: Column, k: Column) -> Column:
             others = F.array_distinct(F.filter(ws, lambda w, i: F.get(known, i).isNull()))
-            rest = let(others, lambda o: F.map_from_arrays(o, F.transform(o, lambda w: folded(w, m))))
-            return let(rest, lambda r: F.flatten(F.transform(known, lambda k, i: F.coalesce(k, F.element_at(r, F.get(ws, i))))))
+            rest = let(others, lambda o: F.map_from_arrays(o, F.transform(o, lambda w: folded(w, m, k))))
+            return let(rest, lambda r: F.flatten(F.transform(known, lambda x, i: F.coalesce(x, F.element_at(r, F.get(ws, i))))))
 
-        look = self.frequent if self.frequent is not None else lambda w: F.lit(None).cast("array<int>")
-        return let(long, lambda m: let(words, lambda ws: let(F.transform(ws, lambda w: look(w)), lambda known: of(ws, known, m))))
+        def row(m: Column, k: Column, held: Column) -> Column:
+            look = (lambda w: self.frequent(held, w)) if self.frequent is not None else (lambda w: F.lit(None).cast("array<int>"))
+            return let(words, lambda ws: let(F.transform(ws, look), lambda known: of(ws, known, m, k)))
+
+        held = self.frequent.tables if self.frequent is not None else F.lit(0)
+        return let(long, lambda m: let(self.ranks, lambda k: let(held, lambda h: row(m, k, h))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for."""
