@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes that one vectorised step inside a Python worker handles at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > limit:
             yield start, i
+            pa.default_memory_pool().release_unused()
             start, held = i, 0
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -35,8 +35,8 @@ POSITIONS, BANDS, SHINGLE, PERCENT = 128, 32, 4, 80
 ROWS = POSITIONS // BANDS
 LANES, AGREE = POSITIONS // 8, int(0.6 * POSITIONS)
 #: Elements whose permutations are held at a time.
-ELEMENTS = 150_000
-SLICE = 3_000_000
+ELEMENTS = 100_000
+SLICE = 1_500_000
 #: Counters that order elements by rarity.
 SLOTS = 1 << 20
 

@@ -37,7 +37,7 @@ from .common import cut, mix, slices, windows_hash, word_hashes, words_of
 WIDTH, ROUNDS, LEAST_SPAN = 13, 4, 3
 _ALL = (1 << 64) - 1
 _FAR = 1 << 20
-SLICE = 3_000_000
+SLICE = 1_500_000
 
 
 def symbols(words: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
