@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, words_of
+from .common import bounded_batches, held_out, slices, words_of
 
 TRAIN_ROWS, ORDER = 500, 4
 UNKNOWN = "und"
@@ -163,6 +163,7 @@ def language_column(text: Column, trees: Trees) -> Column:
 
 def fit(documents: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from at most ``rows`` documents of each language that are not held out."""
+    bounded_batches(documents.sparkSession)
     usable = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", "lang").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, mix, slices, windows_hash, word_hashes, words_of
+from .common import bounded_batches, cut, mix, slices, windows_hash, word_hashes, words_of
 from .components import components
 
 POSITIONS, BANDS, SHINGLE, PERCENT = 128, 32, 4, 80
@@ -249,6 +249,7 @@ def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingl
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``."""
+    bounded_batches(documents.sparkSession)
     held = cut(features(documents, shingle))
     linked = held.filter("set_key IS NOT NULL")
     classes = cut(linked.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("lanes").alias("lanes"), F.first("bands").alias("bands")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import bounded_batches, cut, slices
 
 CAPACITY, END_ID, BUCKETS = 1024, 2, 128
 
@@ -259,4 +259,5 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    bounded_batches(documents.sparkSession)
     return pack(pieces(documents, tokenizer_path, capacity, end_id), capacity)

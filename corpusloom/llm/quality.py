@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, slices, words_of
+from .common import bounded_batches, held_out, mix, slices, words_of
 
 TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 2048, 1 << 17, 8, 6, 2.0, 32, 7
 NGRAMS = (3, 4, 5)
@@ -151,6 +151,7 @@ def score_column(text: Column, model: Model) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """A model learned from at most ``rows`` labelled rows that are not held out."""
+    bounded_batches(documents.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min(label_col).alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows are broadcast and collected

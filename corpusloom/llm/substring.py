@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, mix, slices, windows_hash, word_hashes, words_of
+from .common import bounded_batches, cut, mix, slices, windows_hash, word_hashes, words_of
 
 WIDTH, ROUNDS, LEAST_SPAN = 13, 4, 3
 _ALL = (1 << 64) - 1
@@ -178,6 +178,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
 
     Kept words are joined by single spaces; with ``keep_layout`` a text that loses no word stays as it is.
     """
+    bounded_batches(documents.sparkSession)
     own = ("n_words", "n_removed")
     docs = documents.drop(*own).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     columns = docs.columns
