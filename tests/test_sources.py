@@ -1,7 +1,7 @@
 import numpy as np
 from corpusloom.plans import ingest
 from corpusloom.sources import files, tables
-from corpusloom.streaming.ingest import ingest_stream
+from corpusloom.streaming.ingest import ingest_batch, ingest_stream
 
 
 def test_text_folder(spark, tmp_path):
@@ -61,3 +61,12 @@ def test_stream_encodes_only_new_texts(spark, tmp_path):
     encoded = sorted(t for f in calls.iterdir() for t in f.read_text().split("\n"))
     assert encoded == ["a", "b", "c"]
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 4
+
+
+def test_replayed_batch_loses_nothing(spark, tmp_path):
+    chunks, cache = str(tmp_path / "chunks"), str(tmp_path / "cache")
+    first = spark.createDataFrame([("1", "a"), ("2", "b")], "source string, text string")
+    second = spark.createDataFrame([("3", "b"), ("4", "c")], "source string, text string")
+    for rows, number in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        ingest_batch(rows, number, chunks, cache, "m", lambda texts: np.ones((len(texts), 2)))
+    assert spark.read.parquet(cache).count() == 3 and spark.read.parquet(chunks).count() == 4
