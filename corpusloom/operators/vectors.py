@@ -51,3 +51,38 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
         all_ = all_.unionByName(p)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return all_.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def gold_ranks(testset: DataFrame, vectors: DataFrame, vector_id: str = "chunk_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, rank) of ``testset`` (query_id, embedding, gold_id): one more than the vectors nearer than the gold one.
+
+    Each batch of vectors counts its nearer ones for a block of questions; only the counts are shuffled.
+    """
+    gold = vectors.select(F.col(vector_id).alias("gold_id"), F.col(embedding).alias("__gold"))
+    held = testset.join(gold, "gold_id").withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-testset.count() // block)))))
+    kind = dict(testset.dtypes)["query_id"]
+
+    def unit(column: pd.Series) -> np.ndarray:
+        rows = np.stack(column.to_numpy()).astype(np.float64)
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(length == 0, 1, length)
+
+    def nearer(asked: np.ndarray, least: np.ndarray, ids: list):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                scores = np.round(asked @ unit(pdf[embedding]).T, DIGITS)
+                yield pd.DataFrame({"query_id": ids, "higher": (scores > least[:, None]).sum(axis=1)})
+
+        return run
+
+    parts = None
+    for b in range(max(1, -(-testset.count() // block))):
+        rows = held.filter(F.col("__block") == b).select("query_id", "embedding", "__gold").toPandas()
+        if len(rows):
+            asked = unit(rows["embedding"])
+            least = np.round((asked * unit(rows["__gold"])).sum(axis=1), DIGITS)
+            found = vectors.select(embedding).filter(F.col(embedding).isNotNull()).mapInPandas(nearer(asked, least, rows["query_id"].tolist()), f"query_id {kind}, higher long")
+            parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank long")
+    return parts.groupBy("query_id").agg((F.sum("higher") + 1).alias("rank"))

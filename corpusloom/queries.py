@@ -530,10 +530,9 @@ SELECT query_id, 'whole' AS variant, count(*) FILTER (score > gs) + 1 AS rank FR
 def full_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold rank over all vectors by counting the higher scores; the third nearest vector is gold."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = v.filter(F.col("chunk_id") % STEP == 0).withColumnRenamed("chunk_id", "query_id")
-    every = vectors.vector_topk(asked, v, v.count())
-    testset = every.filter("rank = 3").select("query_id", F.col("chunk_id").alias("gold_id"))
-    return evaluate.full_ranks(every.withColumn("variant", F.lit("whole")).drop("rank"), testset, ["variant"])
+    gold = near_vectors(spark, sf_dir).filter("rank = 3").select("query_id", F.col("chunk_id").alias("gold_id"))
+    testset = gold.join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    return vectors.gold_ranks(materialize(testset), v).withColumn("variant", F.lit("whole"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '问题: ' || substr(text, 1, turn % 7) || chr(10) || '答案: ' || text ELSE '问题：' || text END AS t FROM conversations),

@@ -147,3 +147,12 @@ def test_metrics(spark):
     ranks = spark.createDataFrame([("s", i, r) for i, r in enumerate([1, 4, 5, None])], "stage string, query_id int, rank int")
     r = evaluate.metrics(ranks, 4).first()
     assert (r.hit_at_1, r.hit_at_k, r.mrr, r.found, r.n) == (0.25, 0.5, round((1 + 0.25 + 0.2) / 4, 6), 3, 4)
+
+
+def test_full_ranks_of_scores_and_of_vectors_agree(spark):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((30, 4)).astype(np.float32))], "chunk_id int, embedding array<float>").repartition(3)
+    testset = v.filter("chunk_id < 8").select(F.col("chunk_id").alias("query_id"), "embedding", (F.col("chunk_id") + 11).alias("gold_id"))
+    scores = vectors.vector_topk(testset, v, 30).withColumn("variant", F.lit("v"))
+    counted = {r.query_id: r["rank"] for r in evaluate.full_ranks(scores, testset, ["variant"]).collect()}
+    assert {r.query_id: r["rank"] for r in vectors.gold_ranks(testset, v, block=3).collect()} == counted
