@@ -4,8 +4,8 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``shingle``
 the same set are one class from the start. Each class gets a SuperMinHash signature: every element brings a random
 permutation of the positions whose ranks rise by one a step, so a document is done once its largest value is below the
 next step. Bands of the signature are bucket keys. In every bucket each class is compared with one pivot. Where a
-bucket then still holds several components, its classes meet once more by their rarest elements (a prefix filter, which
-is exact). Every comparison is confirmed on the full sets, and links are joined into components.
+bucket then still holds several components, the class with most links is compared with the others, and what that leaves
+meets by its rarest elements (a prefix filter, which is exact). Every comparison is confirmed on the full sets, and links are joined into components.
 
 With 32 bands of 4 values a pair at the threshold of 0.8 shares no band once in 20 million. Pairs whose signatures agree
 in less than 0.6 of 128 positions are not confirmed: at a likeness of 0.8 that happens less than once in a million.
@@ -246,6 +246,24 @@ def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingl
     return met.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
 
 
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, set_key, root) of the buckets of three or more that hold several components."""
+    rooted = members.filter("members > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("band", "set_key", F.coalesce("root", "set_key").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    return cut(rooted.join(several, "band", "left_semi"))
+
+
+def _absorb(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b) between any set keys."""
+    for c in ("a", "b"):
+        named = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        links = links.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    above = cut(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    alone = above.join(roots.select("node"), "node", "left_anti")
+    higher = above.select(F.col("node").alias("root"), F.col("root").alias("__top"))
+    return roots.join(higher, "root", "left").select("node", F.coalesce("__top", "root").alias("root")).unionByName(alone.select("node", "root"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``."""
     bounded_batches(documents.sparkSession)
@@ -260,20 +278,22 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     first = first.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
     links = cut(confirm(cut(first), classes, documents, shingle, percent))
     roots = cut(components(links))
-    # buckets of three or more in which the pivot left several components: other pairs of their members
-    rooted = members.filter("members > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("band", "set_key", F.coalesce("root", "set_key").alias("root"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).filter("__low <> __high").select("band")
-    rest = cut(rooted.join(open_, "band", "left_semi").select("set_key", "root").distinct())
+    # buckets of three or more in which the pivot left several components: first the member with most links is compared
+    # with the others, then what is left by rarest elements
+    degrees = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
+    left = _open_members(members, roots)
+    if not left.isEmpty():
+        known = left.join(degrees, "set_key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = known.groupBy("band").agg(F.max_by(F.struct("set_key", "root"), F.struct("degree", "set_key")).alias("hub"))
+        met = known.join(hubs, "band").filter("root <> hub.root").select(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b")).distinct()
+        alike = met.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
+        roots = cut(_absorb(roots, confirm(cut(alike), classes, documents, shingle, percent)))
+        left = _open_members(members, roots)
+    rest = cut(left.select("set_key", "root").distinct())
     if not rest.isEmpty():
         more = open_pairs(rest, classes, documents, shingle, percent)
-        signed = more.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
-        linked = confirm(cut(signed), classes, documents, shingle, percent)
-        for c in ("a", "b"):  # links between components
-            linked = linked.join(rest.select(F.col("set_key").alias(c), F.col("root").alias(f"r{c}")), c)
-        above = cut(components(linked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-        alone = above.select("node", "root").join(roots.select("node"), "node", "left_anti")
-        higher = above.select(F.col("node").alias("root"), F.col("root").alias("__top"))
-        roots = roots.join(higher, "root", "left").select("node", F.coalesce("__top", "root").alias("root")).unionByName(alone)
+        alike = more.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
+        roots = cut(_absorb(roots, confirm(cut(alike), classes, documents, shingle, percent)))
     joined = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = joined.join(least, "root").select("set_key", "component_id")
