@@ -4,8 +4,8 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``shingle``
 the same set are one class from the start. Each class gets a SuperMinHash signature: every element brings a random
 permutation of the positions whose ranks rise by one a step, so a document is done once its largest value is below the
 next step. Bands of the signature are bucket keys. In every bucket each class is compared with one pivot. Where a
-bucket then still holds several components, the class with most links is compared with the others, and what that leaves
-meets by its rarest elements (a prefix filter, which is exact). Every comparison is confirmed on the full sets, and links are joined into components.
+bucket then still holds several components, the class linked with most pivots is compared with the others, and what
+that leaves meets by its rarest elements (a prefix filter, which is exact). Every comparison is confirmed on the full sets, and links are joined into components.
 
 With 32 bands of 4 values a pair at the threshold of 0.8 shares no band once in 20 million. Pairs whose signatures agree
 in less than 0.6 of 128 positions are not confirmed: at a likeness of 0.8 that happens less than once in a million.
@@ -278,9 +278,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     first = first.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
     links = cut(confirm(cut(first), classes, documents, shingle, percent))
     roots = cut(components(links))
-    # buckets of three or more in which the pivot left several components: first the member with most links is compared
-    # with the others, then what is left by rarest elements
-    degrees = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
+    # buckets of three or more in which the pivot left several components: first the member linked with most pivots is
+    # compared with the others, then what is left by rarest elements
+    degrees = links.groupBy(F.col("b").alias("set_key")).agg(F.count("*").alias("degree"))  # pivots that it is linked with
     left = _open_members(members, roots)
     if not left.isEmpty():
         known = left.join(degrees, "set_key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
