@@ -54,7 +54,7 @@ KNOWN = (
 
 #: Fixed values: (pattern, the one spelling), applied in order to lower-case text.
 SPELLINGS = (
-    (r"licence|licens", "licens"),
+    (r"licenc", "licens"),
     (r"\bv\.? ?([0-9])", "version $1"),
     (r"sub-license", "sublicense"),
     (r"non-?infringement", "noninfringement"),

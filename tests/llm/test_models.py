@@ -15,7 +15,7 @@ def odd(spark):
 
 
 def test_quality_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # the smaller ones have too few labelled rows to learn from
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = quality.fit(docs, labels)
     rows = quality.score_documents(docs, model).join(labels, "doc_id").filter("held_out").collect()
