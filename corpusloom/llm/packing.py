@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences, for whole tables.
 
-Documents are tokenized and cut into pieces of at most ``capacity`` tokens (only longer documents are cut; their last
-piece is the shorter one). Best-fit decreasing then runs over the histogram of piece lengths, which has at most
+Documents are tokenized and cut into pieces of at most ``capacity`` tokens (only longer documents are cut; their first
+piece is the shorter one, all later ones are full). Best-fit decreasing then runs over the histogram of piece lengths, which has at most
 ``capacity`` rows however large the table is: bins that are filled alike form one group, a segment tree over remaining
 capacities finds the tightest group that still fits, and one step places as many pieces of a length as the group takes.
 The outcome is that of best-fit decreasing over all pieces of the table at once. Pieces find their place by their rank
@@ -150,8 +150,9 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 rows: list[tuple[int, int, int, int, int]] = []
                 for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     raw = flat[first:last].tobytes() + end
-                    for k, s in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[s : s + 4 * capacity]
+                    short = (len(raw) - 4) % (4 * capacity) + 4  # the first piece; raw has the end token at least
+                    for k, s in enumerate([0, *range(short, len(raw), 4 * capacity)]):
+                        part = raw[s : s + 4 * capacity if k else short]
                         rows.append((at + i, k, s // 4, len(part) // 4, zlib.crc32(part)))
                 row, *rest = np.asarray(rows, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -87,6 +87,19 @@ def test_packing_whole_texts(spark):
     assert n == len(naive_bfd([r.length for r in rows], 64))
 
 
+def test_only_first_pieces_are_short(spark):
+    tok, capacity = Tokenizer.from_file(JSON), 16
+    texts = ["", *[" ".join(["the"] * n) for n in (1, 14, 15, 16, 17, 30, 31, 32, 47, 48, 200)]]
+    lengths = {i: [] for i in range(len(texts))}
+    for r in packing.pieces(frame(spark, texts), JSON, capacity).orderBy("doc_id", "piece").collect():
+        lengths[r.doc_id].append(r.length)
+    sizes = [len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert {n % capacity for n in sizes if n > capacity} >= {0, 1}
+    for i, n in enumerate(sizes):
+        assert lengths[i] == [(n - 1) % capacity + 1] + [capacity] * ((n - 1) // capacity)
+    check_packed(packing.pack_documents(frame(spark, texts), JSON, capacity).collect(), texts, capacity)
+
+
 def test_packing_repeated_rows_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, JSON).collect()
