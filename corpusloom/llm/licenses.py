@@ -6,12 +6,19 @@ digests of known licence texts. Whole documents are looked up, and so is each wh
 notices usually stand on a line of their own. The known texts are a parameter table; it is broadcast only when it has
 at most MAX_BROADCAST rows, else both sides are shuffled.
 
+``known_texts`` has the notices of KNOWN and full public texts: those in ``license_texts``, with and without what follows
+the end of their terms, and the usual forms of the MIT and BSD licences. A licence text is found when it is the whole
+document, copyright lines aside.
+
 Defined cases: null and empty texts, and lines of punctuation only, match nothing; repeated rows each get a result;
 two known texts with the same canonical form count as the one whose id is first in order.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +59,47 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
+_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n{}\n"
+    "THIS SOFTWARE IS PROVIDED BY THE {} AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_NAMES = "Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_HOLDERS = (("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT OWNER"), ("REGENTS", "REGENTS"))
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The two- and three-clause licence by title, reserved rights, numbering and the names that their public forms differ in."""
+    out = []
+    for rights, numbered, (given, liable), named in product(("", "All rights reserved.\n"), (True, False), _HOLDERS, (None, "copyright holder", "University")):
+        clauses = [*_CONDITIONS, *([_NAMES.format(named)] if named else [])]
+        listed = "\n".join(f"{i}. {c}" if numbered else f"* {c}" for i, c in enumerate(clauses, 1))
+        kind = len(clauses)
+        for title in ("", f"BSD {kind}-Clause License\n", f"The BSD {kind}-Clause License\n"):
+            out.append((f"BSD-{kind}-Clause", title + rights + _BSD.format(listed, given, liable)))
+    return out
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of all notices and full texts."""
+    out = [*KNOWN, *(("MIT", title + "\n" + _PERMISSION) for title in ("MIT License", "The MIT License (MIT)")), *_bsd()]
+    for file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text, end = file.read_text(encoding="utf-8"), "END OF TERMS AND CONDITIONS"
+            out.append((file.name.removesuffix(".txt"), text))
+            if end in text:
+                out.append((file.name.removesuffix(".txt"), text[: text.index(end) + len(end)]))
+    return out
+
+
 #: Fixed values: (pattern, the one spelling), applied in order to lower-case text.
 SPELLINGS = (
     (r"licenc", "licens"),
@@ -65,11 +113,24 @@ SPELLINGS = (
 
 COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(copyright|\(c\)|©)[^\n]{0,20}[0-9]{4}[^\n]*$"
 
+#: Words that follow "copyright" in running text, where a wrapped line may start with it.
+_PROSE = (
+    "also|and|or|if|on|in|to|of|for|is|are|as|that|which|acts?|claims?|disclaimers?|doctrines?|holders?|infringements?|information|interests?|laws?|"
+    "licen[sc](?:es?|ed|ing)|resulting|the (?:library|software)|those|lines?|like|materials?|notices?|owners?|ownership|patents?|permissions?|protections?|related|rights?|statements?|status|treat(?:y|ies)"
+)
+
+#: Besides those, lines that start with a mark, with or without a year. A bare "(c)" is also how lists are numbered and
+#: needs a year; a bare "copyright" needs a holder or year.
+COPYRIGHT_MARK = (
+    COPYRIGHT_LINE + r"|^[^\p{L}\p{N}\n]{0,20}(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)[^\n]*[0-9]{4}"
+    r"|copyright(?!\p{L})[^\p{L}\p{N}\n]*(?!(?:" + _PROSE + r")(?!\p{L}))[\p{L}\p{N}])[^\n]*$"
+)
+
 
 def canonical(text: Column) -> Column:
     """Case, copyright lines, equivalent spellings, punctuation and white space normalised; lines stay lines."""
     out = F.lower(text)
-    out = F.when(out.contains("copyright") | out.contains("(c)") | out.contains("©"), F.regexp_replace(out, COPYRIGHT_LINE, "")).otherwise(out)
+    out = F.when(out.contains("copyright") | out.contains("(c)") | out.contains("©"), F.regexp_replace(out, COPYRIGHT_MARK, "")).otherwise(out)
     for pattern, one in SPELLINGS:
         out = F.regexp_replace(out, pattern, one)
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")

@@ -61,7 +61,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
+    known = spark.createDataFrame(licenses.known_texts(), "license_id string, text string")
     found = licenses.scan(table(spark, sf_dir, "documents"), known)
     return found.withColumn("licenses", F.array_join("licenses", ","))
 

@@ -83,6 +83,26 @@ def test_license_spellings(spark):
     assert got[8].licenses == ["CC-BY-NC-4.0", "MIT"] and got[8].n_license_lines == 3
 
 
+def test_full_license_texts(spark):
+    known = licenses.known_texts()
+    full = {i: t for i, t in known if len(t) > 900}
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"} <= set(full)
+    want = [(i, t.replace("\n\n", "\n \n")) for i, t in full.items()] + [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone Else"))]
+    mit = licenses.KNOWN[1][1]
+    for line in (
+        "Copyright (c) The Regents of the University of California, 1998", "Copyright (c) Facebook, Inc. and its affiliates.", "# Copyright Facebook, Inc. and its affiliates.",
+        "© The Very Long Name of a Holder, Limited", "Copyright: nobody", "(c) The Regents of the University of California, 1998", "COPYRIGHT 2001-2005 BY SOMEONE",
+    ):
+        want += [("MIT", "MIT License\n\n" + line + "\n\n" + mit), ("BSD-3-Clause", line + "\n" + full["BSD-3-Clause"])]
+    # lines wrapped before a word that starts like a copyright line
+    want += [("MIT", mit.replace(" " + w, "\n" + w)) for w in ("copyright notice", "COPYRIGHT HOLDERS")] + [("BSD-3-Clause", full["BSD-3-Clause"].replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT"))]
+    want += [("GPL-3.0", full["GPL-3.0"].replace(" copyright ", "\ncopyright ")), (None, "(c) the third item\nof a list"), (None, "Copyright (c) Facebook, Inc.")]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, spark.createDataFrame(known, "license_id string, text string")).collect()}
+    assert [(n, got[n].whole_license) for n in range(len(want))] == [(n, i) for n, (i, _) in enumerate(want)]
+    assert got[len(want) - 2].text_digest is not None and got[len(want) - 1].text_digest is None
+
+
 def test_license_scan_of_nothing_and_of_repeated_rows(spark):
     known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (1, "x\nReleased under the MIT License."), (None, "y")], "doc_id long, text string")
