@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from corpusloom.functions.text import strip
+from corpusloom.operators import embedding, retrieve, vectors
 from corpusloom.operators.augment import strip_think
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,40 @@ def full_ranks(scores: DataFrame, testset: DataFrame, keys: list[str]) -> DataFr
     return scores.join(gold, ["query_id", *keys]).groupBy("query_id", *keys).agg((F.count_if(F.col("score") > F.col("gold_score")) + 1).alias("rank"))
 
 
+def variant_ranks(testset: DataFrame, chunks: DataFrame, variants: dict[str, Column], encoder: embedding.Encoder = embedding.hashing_encoder) -> DataFrame:
+    """(query_id, rank, variant): the gold chunk's rank over all of ``chunks`` (chunk_id, text), each text encoded by every variant.
+
+    ``testset`` has query_id, question and gold_id; ``variants`` gives a column of the text to encode by name.
+    """
+    asked = materialize(testset.select("query_id", "gold_id", embedding.encode_query(F.col("question"), encoder=encoder).alias("embedding")))
+    out = None
+    for name, text in variants.items():
+        said = materialize(chunks.filter(F.col("text").isNotNull()).select("chunk_id", text.alias("text")))  # Python takes no column made of lambdas
+        encoded = materialize(said.select("chunk_id", embedding.encode(F.col("text"), encoder).alias("embedding")))
+        ranks = vectors.gold_ranks(asked, encoded).withColumn("variant", F.lit(name))
+        out = ranks if out is None else out.unionByName(ranks)
+    return out
+
+
+def staged_by_model(questions: DataFrame, chunks: DataFrame, lexical: DataFrame, encoders: dict[str, embedding.Encoder], depth: int = 30) -> DataFrame:
+    """(query_id, model, stage, chunk_id, rank) of the vector, hybrid and reranked lists of every encoder, ``depth`` deep.
+
+    ``lexical`` is the BM25 list (query_id, chunk_id, rank), the same for all; its first ``depth`` ranks are fused.
+    """
+    out = None
+    first = lexical.filter(F.col("rank") <= depth)
+    for model, encoder in encoders.items():
+        asked = materialize(questions.select("query_id", embedding.encode_query(F.col("question"), encoder=encoder).alias("embedding")))
+        encoded = materialize(chunks.filter(F.col("text").isNotNull()).select("chunk_id", embedding.encode(F.col("text"), encoder).alias("embedding")))
+        near = materialize(vectors.vector_topk(asked, encoded, depth))
+        fused = materialize(retrieve.rrf_fuse(near, first).filter(F.col("rank") <= depth))
+        again = retrieve.rerank(fused.join(chunks, "chunk_id").join(questions, "query_id"), depth)
+        for stage, ranked in (("vector", near), ("hybrid", fused), ("reranked", again)):
+            rows = ranked.select("query_id", F.lit(model).alias("model"), F.lit(stage).alias("stage"), "chunk_id", "rank")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def answers_report(testset: DataFrame, answered: DataFrame) -> DataFrame:
     """(query_id, question, reference, answer, gold_source, retrieved_sources, source_hit)."""
     joined = testset.select("query_id", "question", F.col("answer").alias("reference"), "gold_source").join(answered.select("query_id", "answer", "retrieved_sources"), "query_id", "left")

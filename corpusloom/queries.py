@@ -7,6 +7,7 @@ into a small book, line by line, in Spark; the SQL builds the same book.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from corpusloom.functions.text import text_key
@@ -535,6 +536,24 @@ def full_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.gold_ranks(materialize(testset), v).withColumn("variant", F.lit("whole"))
 
 
+@query()
+def full_ranks_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each passage's literal document over all documents, encoded as they are and with their tables as sentences."""
+    variants = {"original": F.col("text"), "tables": augment.augment_tables(F.col("text"))}
+    return evaluate.variant_ranks(gold(spark, sf_dir), doc_chunks(spark, sf_dir), variants)
+
+
+@query()
+def compare_encoders_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two widths of the default encoder by vector, hybrid and reranked lists, 30 deep; a passage's literal document is gold."""
+    testset, chunks = materialize(gold(spark, sf_dir)), doc_chunks(spark, sf_dir)
+    asked = testset.select("query_id", "question")
+    lexical = materialize(bm25.search(asked, bm25.build_index(chunks), 30))
+    encoders = {"hashing": embedding.hashing_encoder, "hashing-16": partial(embedding.hashing_encoder, dim=16)}
+    lists = materialize(evaluate.staged_by_model(asked, chunks, lexical, encoders, 30))
+    return evaluate.metrics(evaluate.gold_ranks(testset, lists, ["model", "stage"]), 4, ["model", "stage"])
+
+
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '问题: ' || substr(text, 1, turn % 7) || chr(10) || '答案: ' || text ELSE '问题：' || text END AS t FROM conversations),
 p AS (SELECT conv_id, turn, regexp_replace(regexp_extract(t, '问题[:：][\\s]*([^\\n]+)', 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS question, regexp_replace(regexp_extract(t, '答案[:：][\\s]*((?s:.+))', 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS answer FROM t)
 SELECT conv_id, turn, CASE WHEN length(question) >= 4 THEN question END AS question, CASE WHEN length(question) >= 4 THEN answer END AS answer FROM p""")

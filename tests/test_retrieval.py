@@ -2,7 +2,8 @@ import math
 from collections import Counter
 
 import numpy as np
-from corpusloom.operators import bm25, chunk_quality, embedding, evaluate, prompt, retrieve, vectors
+from corpusloom import queries
+from corpusloom.operators import augment, bm25, chunk_quality, embedding, evaluate, prompt, retrieve, vectors
 from pyspark.sql import functions as F
 
 CORPUS = {"a": "x y z x", "b": "x q", "c": "x y", "d": "w w w"}
@@ -156,3 +157,31 @@ def test_full_ranks_of_scores_and_of_vectors_agree(spark):
     scores = vectors.vector_topk(testset, v, 30).withColumn("variant", F.lit("v"))
     counted = {r.query_id: r["rank"] for r in evaluate.full_ranks(scores, testset, ["variant"]).collect()}
     assert {r.query_id: r["rank"] for r in vectors.gold_ranks(testset, v, block=3).collect()} == counted
+
+
+def test_variants_are_encoded_anew_and_ranked_over_all_chunks(spark):
+    table = "表1 blood\n\n| name | low |\n| --- | --- |\n| sodium | 135 |"
+    texts = {0: table, 1: "sodium of other things", 2: "blood", 3: "sodium low low", 4: None}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    testset = spark.createDataFrame([(7, "low: sodium 135 blood", 0)], "query_id long, question string, gold_id long")
+    variants = {"original": F.col("text"), "tables": augment.augment_tables(F.col("text")), "nothing of gold": F.when(F.col("chunk_id") == 0, "").otherwise(F.col("text"))}
+    seen = []
+    got = {r.variant: r["rank"] for r in evaluate.variant_ranks(testset, chunks, variants).collect()}
+    for name, text in variants.items():
+        held = {r.chunk_id: r.t for r in chunks.filter("text IS NOT NULL").select("chunk_id", text.alias("t")).collect()}
+        v = embedding.normalized(embedding.hashing_encoder([*held.values(), "low: sodium 135 blood"]).astype(float))
+        scores = np.round(v[:-1] @ v[-1], 6)
+        seen.append(held[0])
+        assert got[name] == 1 + int((scores > scores[list(held).index(0)]).sum())
+    assert len(set(seen)) == 3 and got["nothing of gold"] > 1
+
+
+def test_encoders_compared_by_stage_on_literal_gold(spark, sf):
+    rows = {(r.model, r.stage): r for r in queries.compare_encoders_by_stage(spark, sf).collect()}
+    n = queries.gold(spark, sf).count()
+    assert set(rows) == {(m, s) for m in ("hashing", "hashing-16") for s in ("vector", "hybrid", "reranked")} and {r.n for r in rows.values()} == {n}
+    for m in ("hashing", "hashing-16"):
+        assert rows[m, "hybrid"].found == rows[m, "reranked"].found > 0
+    assert rows["hashing", "vector"].mrr != rows["hashing-16", "vector"].mrr
+    ranks = queries.full_ranks_by_variant(spark, sf).groupBy("variant").count().collect()
+    assert {(r.variant, r["count"]) for r in ranks} == {("original", n), ("tables", n)}
