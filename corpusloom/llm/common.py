@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -28,13 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: lineage ends here and lost executors cost no rerun.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made. Rows are
-    stored as compressed Parquet, so that later readers take only the columns they need; the files stay until the folder
-    is cleared.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a session of one machine (tests) makes a
+    temporary one and any other is refused. Rows are stored as compressed Parquet, so that later readers take only the
+    columns they need; the files stay until the folder is cleared.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -85,12 +88,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text as (codes of all words, row offsets, the distinct words).
 
-    Null texts have no words.
+    Null texts have no words; ``lower`` turns A-Z to a-z.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    split = pc.ascii_split_whitespace(texts)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = split.flatten()
     offsets = np.asarray(split.offsets).astype(np.int64)
     offsets = offsets - offsets[0]
@@ -99,7 +99,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
         before = np.concatenate([[0], np.cumsum(full)])
         flat, offsets = flat.filter(pa.array(full)), before[offsets]
     coded = flat.dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary
+    codes, distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+    if lower:  # only the distinct words: lower-casing a slice that was cast gives wrong offsets in some Arrow releases
+        coded = pc.ascii_lower(distinct).dictionary_encode()
+        codes, distinct = np.asarray(coded.indices).astype(np.int64)[codes], coded.dictionary
+    return codes, offsets, distinct
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

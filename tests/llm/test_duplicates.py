@@ -244,10 +244,31 @@ def test_symbols_cover_what_they_say():
     assert (lo <= first).all() and (hi >= last).all() and (last - first >= 2).all() and len(np.unique(names)) == len(names)
 
 
-def test_words_split_like_the_pattern():
+@pytest.mark.parametrize("lower", [False, True])
+@pytest.mark.parametrize("filled", [False, True])
+@pytest.mark.parametrize("start", [0, 1, 7])
+def test_words_split_like_the_pattern(lower, filled, start):
     from corpusloom.llm.common import words_of
 
-    texts = [" a\x0bb\x1cc  d ", None, "", "\u00a0x\u2003y z", "Z"]
-    codes, offsets, distinct = words_of(pa.array(texts))
+    texts = [" a\x0bb\x1cc  d ", None, "", "\u00a0x\u2003y z", "Z z É", "The cat THE Cat"] * 3
+    texts = [t or "" for t in texts] if filled else texts
+    codes, offsets, distinct = words_of(pa.array(texts).slice(start, 8), lower)
     listed = distinct.to_pylist()
-    assert [[listed[c] for c in codes[i:j]] for i, j in zip(offsets[:-1], offsets[1:])] == [words(t) for t in texts]
+    assert len(set(listed)) == len(listed)
+    want = [words((t or "").translate(LOWER) if lower else t) for t in texts[start : start + 8]]
+    assert [[listed[c] for c in codes[i:j]] for i, j in zip(offsets[:-1], offsets[1:])] == want
+
+
+@pytest.mark.parametrize("limit", [40, 1000, 10**9])
+def test_features_do_not_depend_on_slices(spark, monkeypatch, limit):
+    """Batches above and below the slice size, with nulls and repeated rows, give the sets of brute force."""
+    from corpusloom.llm import common
+
+    docs = near_copies(6, 20) | odd_texts()
+    want = {i: len(shingles(t, 4)) for i, t in docs.items()}
+    texts = pa.array([t for t in docs.values()], pa.string())
+    got = []
+    for start, stop in common.slices(texts, limit):
+        elements, offsets = near_dedup.shingle_sets(texts.slice(start, stop - start), 4)
+        got += np.diff(offsets).tolist()
+    assert got == list(want.values())
