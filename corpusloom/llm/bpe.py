@@ -1,44 +1,48 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is split by the tokenizer's pattern; each word becomes an array of the ids of its bytes, and a fold joins, step by
-step, the leftmost adjacent pair whose joined bytes have the least rank, until no pair has one. Ranks are a literal from
-pairs of ids: two arrays, so that a lookup is an index or two. Decoding takes each id's bytes from a literal array and
-concatenates them.
+Texts are split into words by the tokenizer's pattern. A word is an array of its bytes, and a fold joins, step by step, the
+leftmost adjacent pair whose joined bytes have the least rank, until no pair has one. Ranks are a literal (the value of a
+one-row table): two arrays from pairs of ids to joined ids, so that a lookup is an index or two, and one for pairs of bytes.
+Words of more than LONG bytes take a second fold, whose steps join all pairs of the least rank from left to right; as
+long as ranks only rise from step to step that is the same, and a word where one falls takes the first fold.
+Decoding takes each id's bytes from a table and concatenates these pieces.
 
-The words that are frequent in a sample of the table (at most REMEMBERED of them) are folded once and put into a second
-literal of that form; a text's other distinct words are folded in its own row. The sample decides only what is
-remembered, never a result. A fold costs the square of a word's length, so words of more than LONG bytes take an equivalent
-heap-based merge in Python.
+Only distinct words are folded: words are counted over the whole table, and the frequent ones (a bounded number; by a
+threshold on their counts) are folded once and broadcast; each text's other distinct words are folded in its row. What is
+remembered never changes a result.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to no bytes; the special tokens' texts are
-ordinary text; repeated rows get equal results.
+ordinary text; repeated rows get equal results; null ids are kept; columns of the input other than the id and the text are
+not read.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from .common import let
+from .common import bounded_batches, cut, let, slices, word_hashes
+from .pretokens import expand, pretokens
 
-LONG, REMEMBERED, SAMPLE_ROWS = 200, 1 << 17, 8192
+#: At most so many words are remembered, none of more bytes than LONGEST.
+REMEMBERED, LONGEST = 1 << 20, 64
+#: Bytes from which on a fold's step joins all pairs of the least rank.
+LONG = 32
+#: Words that one task folds, of those remembered.
+FOLDED_PER_TASK = 8192
 
 #: Bits of a token id, in packed longs.
 TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
-
-#: White space of Unicode, as the tokenizer's pattern means it.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
-
-
-def java_pattern(pattern: str) -> str:
-    r"""The pattern with ``\s`` and ``\S`` spelt out, as Java means ASCII by them."""
-    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+NEVER = 1 << TOKEN_BITS
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -48,122 +52,78 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-def _latin(word: Column) -> Column:
-    return F.decode(word.cast("binary"), "ISO-8859-1")
-
-
-def _cuckoo(items: list, places: list[tuple[int, int]], size: int) -> tuple[list, list, list[int]]:
-    """Two tables of ``size`` slots that hold each item at its first or second place; items that find none are listed."""
-    tables, lost = ([None] * size, [None] * size), []
-    for i in range(len(items)):
+def _two_places(entries: list[int], places: list[tuple[int, int]], size: int) -> tuple[list[int], list[int]]:
+    """Two tables of ``size`` slots that hold each entry at its first or second place, -1 elsewhere."""
+    tables = ([None] * size, [None] * size)
+    for i in range(len(entries)):
         held, side = i, 0
         for _ in range(200):
             slot = places[held][side]
             held, tables[side][slot] = tables[side][slot], held
             if held is None:
                 break
-            side = 1 - places[held].index(slot, side) if places[held][side] == slot else 1 - side
+            side = 1 if places[held][0] == slot and side == 0 else 0
         else:
-            lost.append(held)
-    one, two = ([None if i is None else items[i] for i in t] for t in tables)
-    return one, two, lost
-
-
-def _json(values: list, kind: str) -> Column:
-    """A literal array (the parsing is folded away before the job runs)."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-
+            raise ValueError("the rank map does not fit its tables")
+    one, two = ([-1 if i is None else entries[i] for i in t] for t in tables)
+    return one, two
 
-class Pairs:
-    """A literal rank map from pairs of token ids to the id (which is the rank) of their joined bytes.
 
-    Two arrays of packed longs; a pair is at one of two places that are computed from it.
-    """
+class Ranks:
+    """The literal rank map, and the folds that use it."""
 
     BITS = 18
     FACTORS = ((654_435_761, 40_503_127), (97_531_237, 1_013_904_223))
 
-    def __init__(self, tokens: list[bytes]) -> None:
+    def __init__(self, spark: SparkSession, tokens: list[bytes]) -> None:
         ids = {t: i for i, t in enumerate(tokens)}
         found = [(ids[t[:k]], ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
         packed = [((a << TOKEN_BITS | b) << TOKEN_BITS) | r for a, b, r in found]
-        one, two, lost = _cuckoo(packed, [(self._at(a, b, 0), self._at(a, b, 1)) for a, b, _ in found], 1 << self.BITS)
-        if lost:
-            raise ValueError("the rank map does not fit its tables")
-        self.tables = F.struct(_json(one, "bigint").alias("t0"), _json(two, "bigint").alias("t1"))
+        one, two = _two_places(packed, [(self._at(a, b, 0), self._at(a, b, 1)) for a, b, _ in found], 1 << self.BITS)
+        pairs = [ids.get(bytes((a, b)), NEVER) for a in range(256) for b in range(256)]
+        singles = [ids[bytes((b,))] for b in range(256)]
+        row = pa.table({name: pa.array([values], pa.list_(pa.int64())) for name, values in (("t0", one), ("t1", two), ("pairs", pairs), ("bytes", singles))})
+        #: A struct of arrays. Spark wants it in a column of its own, which it then puts where the column is used.
+        self.literal = spark.createDataFrame(row).select(F.struct("t0", "t1", "pairs", "bytes")).scalar()
 
     def _at(self, a: int, b: int, side: int) -> int:
         x, y = self.FACTORS[side]
         return a * x + b * y >> 12 & (1 << self.BITS) - 1
 
-    def __call__(self, tables: Column, a: Column, b: Column) -> Column:
-        """The joined id, or null."""
+    def joined(self, ranks: Column, a: Column, b: Column) -> Column:
+        """The id (which is the rank) of the joined bytes of two tokens, or NEVER."""
         key = F.shiftleft(a, TOKEN_BITS).bitwiseOR(b)
 
         def at(side: int) -> Column:
             x, y = self.FACTORS[side]
-            return F.get(tables[f"t{side}"], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
-
-        def held(entry: Column, otherwise: Column | None) -> Column:
-            there = F.when(F.shiftright(entry, TOKEN_BITS) == key, entry.bitwiseAND(TOKEN_MASK))
-            return there if otherwise is None else there.otherwise(otherwise)
-
-        return let(at(0), lambda e: held(e, let(at(1), lambda o: held(o, None))))
-
+            return F.get(ranks[f"t{side}"], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
 
-class Words:
-    """A literal from words to their ids: like Pairs, by the two halves of the word's hash. Words without a place are left out."""
+        def held(entry: Column, otherwise: Column) -> Column:
+            return F.when(F.shiftright(entry, TOKEN_BITS) == key, entry.bitwiseAND(TOKEN_MASK)).otherwise(otherwise)
 
-    def __init__(self, spark: SparkSession, entries: list[tuple[str, list[int]]], bits: int = 17) -> None:
-        self.mask = (1 << bits) - 1
-        hashes = [r[0] for r in spark.createDataFrame([(w,) for w, _ in entries], "w string").select(F.hash("w")).collect()] if entries else []
-        places = [(h & self.mask, (h & 0xFFFFFFFF) >> 15 & self.mask) for h in hashes]
-        one, two, _ = _cuckoo(entries, places, self.mask + 1)
-        columns = [(f"{name}{k}", [e and e[field] for e in t], kind) for k, t in enumerate((one, two)) for field, (name, kind) in enumerate((("w", "string"), ("i", "array<int>")))]
-        self.tables = F.struct(*[_json(values, kind).alias(name) for name, values, kind in columns])
+        never = F.lit(NEVER).cast("long")
+        return let(at(0), lambda e: held(e, let(at(1), lambda o: held(o, never))))
 
-    def __call__(self, tables: Column, word: Column) -> Column:
-        """The word's ids, or null."""
-
-        def at(h: Column) -> Column:
-            i, j = h.bitwiseAND(self.mask), F.shiftrightunsigned(h, 15).bitwiseAND(self.mask)
-            return F.when(F.get(tables["w0"], i) == word, F.get(tables["i0"], i)).when(F.get(tables["w1"], j) == word, F.get(tables["i1"], j))
-
-        return let(F.hash(word), at)
-
-
-class Encoding:
-    """Encodes and decodes columns by a rank file."""
-
-    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
-        self.pattern, self.tokens = java_pattern(pattern), read_ranks(ranks_path)
-        ids = {t: i for i, t in enumerate(self.tokens)}
-        self.pairs = Pairs(self.tokens)
-        #: The literals that a fold needs, to be bound once.
-        self.ranks = F.struct(_json([ids[bytes([b])] for b in range(256)], "bigint").alias("bytes"), self.pairs.tables.alias("pairs"))
-        self.pieces = _json([t.decode("latin-1") for t in self.tokens], "string")
-        self.little_endian = _json([i.to_bytes(4, "little").hex() for i in range(len(self.tokens))], "string")
-        self.frequent: Words | None = None
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
+    @staticmethod
+    def _first(ranks: Column, word: Column, b: Column, i: Column) -> Column:
+        """Rank of joining byte ``b`` at ``i`` with the byte after it."""
+        return F.coalesce(F.get(ranks["pairs"], b * 256 + F.get(word, i + 1)), F.lit(NEVER).cast("long"))
 
     def fold(self, ranks: Column, word: Column) -> Column:
-        """Ids of one word of at most LONG bytes; ``ranks`` is the bound literal.
+        """Ids of an array of bytes; ``ranks`` is the bound literal.
 
         The state is an array of longs, one a token: the rank of joining it with the next one, its place and its id. The
         least long is the leftmost of the pairs with the least rank.
         """
         rank_shift, place_shift = 2 * TOKEN_BITS, TOKEN_BITS
-        never = 1 << TOKEN_BITS
 
         def token(entry: Column) -> Column:
             return entry.bitwiseAND(TOKEN_MASK)
 
         def ranked(a: Column, b: Column) -> Column:
-            return F.shiftleft(F.coalesce(self.pairs(ranks["pairs"], a, b), F.lit(never).cast("long")), rank_shift)
+            return F.shiftleft(F.when(b.isNull() | a.isNull(), F.lit(NEVER).cast("long")).otherwise(self.joined(ranks, a, b)), rank_shift)
 
-        def joined(state: Column, least: Column, at: Column) -> Column:
+        def merged(state: Column, least: Column, at: Column) -> Column:
             rank = F.shiftright(least, rank_shift)
             place = least.bitwiseAND(TOKEN_MASK << place_shift)
             after, before = F.get(state, at + 1), F.get(state, at - 2)
@@ -175,106 +135,214 @@ class Encoding:
         def step(state: Column) -> Column:
             def go(least: Column) -> Column:
                 at = F.array_position(state, least).cast("int")
-                return F.when(least >= never << rank_shift, state).otherwise(let(at, lambda k: joined(state, least, k)))
+                return F.when(least >= NEVER << rank_shift, state).otherwise(let(at, lambda k: merged(state, least, k)))
 
             return let(F.array_min(state), go)
 
-        def run(tokens: Column) -> Column:
-            n = F.size(tokens)
-            start = F.transform(tokens, lambda t, i: ranked(t, F.get(tokens, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), place_shift)).bitwiseOR(t))
-            merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda s, _: step(s))
-            return F.transform(merged, lambda e: token(e).cast("int"))
-
-        def of(latin: Column) -> Column:
-            return let(F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(ranks["bytes"], F.ascii(F.substring(latin, i, F.lit(1))))), run)
-
-        return let(_latin(word), of)
-
-    def remember(self, documents: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, words: int = REMEMBERED) -> Encoding:
-        """Folds the most frequent words of at most ``rows`` documents once, for later lookups."""
-        spark = documents.sparkSession
-        sample = documents.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(F.pmod("h", F.lit(max(1, documents.count() // rows))) == 0).limit(rows)
-        counted = sample.select(F.explode(self.words(F.col("t"))).alias("w")).filter(F.octet_length("w") <= LONG).groupBy("w").count()
-        top = counted.orderBy(F.desc("count"), "w").limit(words)
-        got = top.repartition(spark.sparkContext.defaultParallelism).select("w", let(self.ranks, lambda k: self.fold(k, F.col("w"))).alias("ids")).toArrow()
-        self.frequent = Words(spark, list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)))
+        n = F.size(word)
+        start = F.transform(word, lambda b, i: F.shiftleft(self._first(ranks, word, b, i), rank_shift).bitwiseOR(F.shiftleft(i.cast("long"), place_shift)).bitwiseOR(F.get(ranks["bytes"], b)))
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda s, _: step(s))
+        return F.transform(done, lambda e: token(e).cast("int"))
+
+    def sweep(self, ranks: Column, word: Column) -> Column:
+        """The same for long words: a step joins all pairs of the least rank, from left to right.
+
+        The state's longs hold the rank of joining a token with the next one and its id.
+        """
+        changed = 1 << 62
+
+        def marks(state: Column, least: Column) -> Column:
+            """Of each token: S if the pair that it starts is joined, D if it is the second of one."""
+            ones = F.array_join(F.transform(state, lambda e: F.when(F.shiftright(e, TOKEN_BITS) == least, "1").otherwise("0")), "")
+            return F.split(F.regexp_replace(ones, "1.", "SD"), "")
+
+        def again(first: Column) -> Column:
+            def new(e: Column, n: Column) -> Column:
+                a, b = e.bitwiseAND(TOKEN_MASK), n.bitwiseAND(TOKEN_MASK)
+                rank = F.when(n.isNull(), F.lit(NEVER).cast("long")).otherwise(self.joined(ranks, a, b))
+                return F.when((e >= changed) | F.coalesce(n >= changed, F.lit(False)), F.shiftleft(rank, TOKEN_BITS).bitwiseOR(a)).otherwise(e)
+
+            return F.transform(first, lambda e, i: let(F.get(first, i + 1), lambda n: new(e, n)))
+
+        def merged(state: Column, least: Column, m: Column) -> Column:
+            kept = F.transform(state, lambda e, i: F.when(F.get(m, i) == "S", least.bitwiseOR(changed)).when(F.get(m, i) != "D", e))
+            return let(F.filter(kept, lambda e: e.isNotNull()), again)
+
+        def state_of(done: Column, fell: Column, last: Column, state: Column) -> Column:
+            return F.struct(done.alias("done"), fell.alias("fell"), last.alias("last"), state.alias("state"))
+
+        def step(s: Column) -> Column:
+            def go(least: Column) -> Column:
+                more = let(marks(s["state"], least), lambda m: merged(s["state"], least, m))
+                return F.when(least >= NEVER, state_of(F.lit(True), s["fell"], s["last"], s["state"])).otherwise(state_of(F.lit(False), s["fell"] | (least < s["last"]), least, more))
+
+            return F.when(s["done"], s).otherwise(let(F.shiftright(F.array_min(s["state"]), TOKEN_BITS), go))
+
+        start = F.transform(word, lambda b, i: F.shiftleft(self._first(ranks, word, b, i), TOKEN_BITS).bitwiseOR(F.get(ranks["bytes"], b)))
+        nothing = state_of(F.lit(False), F.lit(False), F.lit(0).cast("long"), start)
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1))), nothing, lambda s, _: step(s))
+        ids = lambda s: F.transform(s["state"], lambda e: e.bitwiseAND(TOKEN_MASK).cast("int"))
+        return let(done, lambda s: F.when(s["fell"], self.fold(ranks, word)).otherwise(ids(s)))
+
+    def of(self, df: DataFrame, words: str, name: str) -> DataFrame:
+        """``df`` with a column ``name``: the ids of every word of ``words``, an array of byte arrays."""
+        each = lambda k: F.transform(words, lambda w: F.when(F.size(w) > LONG, self.sweep(k, w)).otherwise(self.fold(k, w)))
+        return df.withColumn("__ranks", self.literal).select(*df.columns, let(F.col("__ranks"), each).alias(name))
+
+
+@dataclass(frozen=True)
+class Remembered:
+    """Words in order of their hashes, and their ids one word after the other."""
+
+    hashes: np.ndarray
+    words: pa.Array
+    starts: np.ndarray
+    sizes: np.ndarray
+    flat: np.ndarray
+
+    @staticmethod
+    def of(words: pa.Array, ids: pa.ListArray) -> Remembered:
+        hashes = word_hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        offsets = np.asarray(ids.offsets).astype(np.int32)
+        return Remembered(hashes[order], words.cast(pa.large_binary()).take(pa.array(order)), offsets[:-1][order] - offsets[0], np.diff(offsets)[order], np.asarray(ids.flatten()))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, or -1."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, word_hashes(words)), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), words.cast(pa.large_binary()))
+        return np.where(np.asarray(same), at, -1)
+
+
+def _byte_lists(words: pa.Array) -> pa.Array:
+    """Each word as a list of its bytes."""
+    raw = words.cast(pa.large_binary()).to_pylist()
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
+
+
+def _rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of each row's part of ``values``."""
+    ends = (offsets * values.dtype.itemsize).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _values(rows: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of ``_rows``: (all values, row offsets); null rows have none."""
+    kind = np.dtype(kind)
+    raw = b"".join(x.as_buffer() for x in rows if x.is_valid)
+    return np.frombuffer(raw, kind), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0)).astype(np.int64) // kind.itemsize)])
+
+
+class Encoding:
+    """Encodes and decodes columns by a rank file."""
+
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
+        bounded_batches(spark)
+        self.spark, self.pattern, self.tokens = spark, pattern, read_ranks(ranks_path)
+        self.ranks = Ranks(spark, self.tokens)
+        self.known = spark.sparkContext.broadcast(Remembered.of(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))))
+
+    def counts(self, texts: DataFrame) -> DataFrame:
+        """(word, n) over all rows of the only column of ``texts``."""
+        pattern = self.pattern
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start, stop in slices(batch.column(0)):
+                    codes, _, words = pretokens(batch.column(0).slice(start, stop - start), pattern)
+                    yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)))], names=["word", "n"])
+
+        return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def remember(self, texts: DataFrame, most: int = REMEMBERED) -> Encoding:
+        """Folds the frequent words of ``texts`` (one column) once; at most ``most``, by the least count that leaves no more."""
+        counted = cut(self.counts(texts).filter((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)))
+        # counts on a scale of eighths of powers of two, so that few numbers come to the driver
+        scale = F.floor(F.log2("n") * 8).cast("int")
+        least, total = None, 0
+        for level, n in sorted(((r["level"], r["n"]) for r in counted.groupBy(scale.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True):
+            if total + n > most:
+                break
+            least, total = level, total + n
+        if least is None:
+            return self
+        listed = F.arrow_udf(_byte_lists, "array<int>")(F.col("word"))
+        frequent = counted.filter(scale >= least).select("word").repartition(-(-total // FOLDED_PER_TASK))
+        folded = self.ranks.of(frequent.select("word", F.array(listed).alias("w")), "w", "ids").select("word", F.col("ids")[0].alias("ids")).toArrow()
+        self.known = self.spark.sparkContext.broadcast(Remembered.of(*(folded.column(c).combine_chunks() for c in ("word", "ids"))))
         return self
 
-    def encode(self, text: Column) -> Column:
-        """Array of ids: remembered words are looked up, the text's other distinct words are folded."""
-        ranks = {t: i for i, t in enumerate(self.tokens)}
-
-        def merged(lists: pa.Array) -> pa.Array:
-            return pa.array([[merge(w.encode(), ranks) for w in words or []] for words in lists.to_pylist()], pa.list_(pa.list_(pa.int32())))
-
-        words = self.words(text)
-        # a long word has at least LONG / 4 characters of one kind in a row
-        any_long = text.rlike(rf"\p{{L}}{{{LONG // 4}}}|\p{{N}}{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}|[^{SPACE}\p{{L}}\p{{N}}]{{{LONG // 4}}}")
-        listed = F.when(any_long, F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > LONG)))
-        listed = F.coalesce(listed, F.array().cast("array<string>"))
-        long = F.map_from_arrays(listed, F.arrow_udf(merged, "array<array<int>>")(listed))
-
-        def folded(w: Column, m: Column, k: Column) -> Column:
-            return F.when(F.octet_length(w) > LONG, F.element_at(m, w)).otherwise(self.fold(k, w))
-
-        def of(ws: Column, known: Column, m: Column, k: Column) -> Column:
-            others = F.array_distinct(F.filter(ws, lambda w, i: F.get(known, i).isNull()))
-            rest = let(others, lambda o: F.map_from_arrays(o, F.transform(o, lambda w: folded(w, m, k))))
-            return let(rest, lambda r: F.flatten(F.transform(known, lambda x, i: F.coalesce(x, F.element_at(r, F.get(ws, i))))))
-
-        def row(m: Column, k: Column, held: Column) -> Column:
-            look = (lambda w: self.frequent(held, w)) if self.frequent is not None else (lambda w: F.lit(None).cast("array<int>"))
-            return let(words, lambda ws: let(F.transform(ws, look), lambda known: of(ws, known, m, k)))
-
-        held = self.frequent.tables if self.frequent is not None else F.lit(0)
-        return let(long, lambda m: let(self.ranks, lambda k: let(held, lambda h: row(m, k, h))))
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
-
-    def id_bytes(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little_endian, i)), ""))
-
-
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word by a heap of pairs: the same merges in n log n steps."""
-    if word in ranks:
-        return [ranks[word]]
-    end = len(word)
-    after, before, stop = list(range(1, end + 1)), list(range(-1, end - 1)), list(range(1, end + 1))
-    alive = [True] * end
-    heap: list[tuple[int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < end and (r := ranks.get(word[i : stop[j]])) is not None:
-            heapq.heappush(heap, (r, i, stop[j]))
-
-    for i in range(end - 1):
-        push(i)
-    while heap:
-        r, i, to = heapq.heappop(heap)
-        j = after[i] if alive[i] else end
-        if j >= end or stop[j] != to or ranks.get(word[i:to]) != r:
-            continue
-        stop[i], after[i], alive[j] = to, after[j], False
-        if after[i] < end:
-            before[after[i]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    out, i = [], 0
-    while i < end:
-        out.append(ranks[word[i : stop[i]]])
-        i = after[i]
-    return out
+    def encode(self, df: DataFrame, text_col: str) -> DataFrame:
+        """``df`` with ids (array<int>) and id_bytes (little-endian unsigned 32-bit integers) instead of its text."""
+        pattern, known = self.pattern, self.known
+        kept = [f for f in df.schema.fields if f.name not in (text_col, "ids", "id_bytes")]
+        names, n = [f.name for f in kept], len(kept)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Words as numbers (a remembered word's place; after those, a place in the row's list of others) and that list."""
+            for batch in batches:
+                for start, stop in slices(batch.column(n)):
+                    codes, offsets, words = pretokens(batch.column(n).slice(start, stop - start), pattern)
+                    numbers = known.value.find(words)[codes]
+                    new = np.flatnonzero(numbers < 0)
+                    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[new]
+                    per_row = max(1, len(words))
+                    pairs, where = np.unique(row * per_row + codes[new], return_inverse=True)
+                    firsts = np.searchsorted(pairs, np.arange(len(offsets)) * per_row)
+                    numbers[new] = len(known.value.hashes) + where - firsts[row]
+                    others = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), _byte_lists(words.take(pa.array(pairs % per_row))))
+                    same = [batch.column(i).slice(start, stop - start) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([*same, _rows(numbers.astype(np.int32), offsets), others], names=[*names, "__numbers", "__others"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Ids in the order of the words."""
+            held = known.value
+            for batch in batches:
+                for start, stop in slices(batch.column(n)):
+                    part = batch.slice(start, stop - start)
+                    codes, offsets = _values(part.column(n), np.int32)
+                    each, inner = np.asarray(part.column(n + 1).offsets).astype(np.int64), part.column(n + 1).flatten()
+                    ends, codes = np.asarray(inner.offsets).astype(np.int64), codes.astype(np.int64)
+                    other = codes >= len(held.hashes)
+                    codes[other] += (each[:-1] - each[0]).repeat(np.diff(offsets))[other]
+                    starts = np.concatenate([held.starts, len(held.flat) + ends[:-1] - ends[0]])
+                    at, stops = expand(codes, starts, np.concatenate([held.sizes, np.diff(ends)]))
+                    ids = np.concatenate([held.flat, np.asarray(inner.flatten())]).astype(np.int32)[at]
+                    rows = stops[offsets]
+                    found = [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids)), _rows(ids.astype("<u4"), rows)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], *found], names=[*names, "ids", "id_bytes"])
+
+        def schema(**more: DataType) -> StructType:
+            return StructType([*kept, *(StructField(name, kind) for name, kind in more.items())])
+
+        read = df.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+        words = read.mapInArrow(split, schema(__numbers=BinaryType(), __others=ArrayType(ArrayType(IntegerType()))))
+        folded = self.ranks.of(words, "__others", "__folded").drop("__others")
+        return folded.mapInArrow(gather, schema(ids=ArrayType(IntegerType()), id_bytes=BinaryType()))
+
+    def decode(self, id_bytes: Column) -> Column:
+        """The bytes that the ids (as little-endian unsigned 32-bit integers) stand for."""
+        pieces = pa.array(self.tokens, pa.large_binary())
+
+        def joined(rows: pa.Array) -> pa.Array:
+            parts = []
+            for start, stop in slices(rows):
+                ids, ends = _values(rows.slice(start, stop - start), np.dtype("<u4"))
+                taken = pieces.take(pa.array(ids))  # its buffer holds the pieces one after the other
+                at = np.asarray(pc.binary_length(taken)).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(at)])[ends]
+                parts.append(_rows(np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets))
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+        return F.arrow_udf(joined, "binary")(id_bytes)
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): every text's ids, and the bytes that they decode to."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    encoding = Encoding(documents.sparkSession, ranks_path, pattern).remember(docs)
-    encoded = docs.select("doc_id", encoding.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", encoding.decode(F.col("ids")).alias("decoded"), encoding.id_bytes(F.col("ids")).alias("id_bytes"))
+    """(doc_id, ids, decoded, id_bytes): every text's ids, and the bytes that they decode to."""
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    encoding = Encoding(documents.sparkSession, ranks_path, pattern).remember(docs.select("text"))
+    encoded = encoding.encode(docs, "text")
+    return encoded.select("doc_id", "ids", encoding.decode(F.col("id_bytes")).alias("decoded"), "id_bytes")

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, slices
+from .pretokens import expand, odd_space, space_words
 
 CAPACITY, END_ID, BUCKETS = 1024, 2, 128
 
@@ -38,9 +39,6 @@ REMEMBERED = 120_000
 #: Text bytes that a Python worker tokenizes at a time.
 SLICE = 1_500_000
 
-#: White space that is not a single space or line feed between other characters, and the mark used for splitting.
-ODD_SPACE = r"[\x01\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
-
 
 class Ids:
     """Ids of whole texts, with the ids of frequent words remembered.
@@ -104,22 +102,15 @@ class Ids:
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, row offsets)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        odd = odd_space(texts)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
-        plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
-        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n\x01")
-        split = pc.split_pattern(marked, "\x01")
-        coded = split.flatten().dictionary_encode()
-        codes, offsets = np.asarray(coded.indices).astype(np.int64), np.asarray(split.offsets).astype(np.int64)
-        known = self._words(coded.dictionary.to_pylist())
+        codes, offsets, distinct = space_words(pc.if_else(odd, pa.scalar("", pa.large_string()), texts))
+        known = self._words(distinct.to_pylist())
         flat = np.frombuffer(b"".join(known), dtype="<u4")
         sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
-        rows = ends[offsets - offsets[0]]
+        at, ends = expand(codes, np.cumsum(sizes) - sizes, sizes)
+        ids, rows = flat[at], ends[offsets]
         if pc.any(odd).as_py():
             whole = [np.asarray(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, dtype="<u4") if o.as_py() else ids[i:j] for t, o, i, j in zip(texts, odd, rows[:-1], rows[1:], strict=True)]
             return np.concatenate(whole), np.concatenate([[0], np.cumsum([len(w) for w in whole])])

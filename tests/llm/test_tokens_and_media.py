@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
+import regex
 import tiktoken
-from corpusloom.llm import bpe, media, packing, queries
+from corpusloom.llm import bpe, media, packing, pretokens, queries
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -124,17 +126,61 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
-def test_bpe_encodes_and_decodes(spark):
+def long_words(seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(5000)), "a" * 5001, "".join(rng.choice("ab") for _ in range(3000)), "https://www.example.com/a?b=c&d=e_f-g/" + "=-" * 70]
+
+
+def mixtures(n=300, seed=4):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(["a", "B", "é", "'s", "'", " ", "  ", "\n", "\t", "1", "22", ".", "_", "中", "\u3000", "\x1c", "don't"]) for _ in range(rng.randrange(14))) for _ in range(n)]
+
+
+def test_pretokens_are_the_matches_of_the_pattern():
+    texts = TEXTS + long_words() + mixtures()
+    for pattern in (P.PATTERN, r"\S+|\s"):
+        for start in (0, 5):
+            codes, offsets, distinct = pretokens.pretokens(pa.array(texts, pa.string()).slice(start), pattern)
+            listed = distinct.to_pylist()
+            assert len(set(listed)) == len(listed)
+            assert [[listed[c] for c in codes[i:j]] for i, j in zip(offsets[:-1], offsets[1:])] == [regex.findall(pattern, t or "") for t in texts[start:]]
+
+
+@pytest.mark.parametrize("most", [None, 40, 0])
+def test_bpe_encodes_and_decodes(spark, monkeypatch, most):
+    """With all, some and none of the frequent words remembered; slices of a few hundred bytes for one of them."""
     enc, _ = encoding()
-    rows = bpe.encode_documents(frame(spark), RANKS, P.PATTERN).collect()
-    assert len(rows) == len(TEXTS)
+    texts = TEXTS + long_words() + mixtures(60)
+    if most is not None:
+        monkeypatch.setattr(bpe, "REMEMBERED", most)
+        monkeypatch.setattr(bpe.Encoding.remember, "__defaults__", (most,))
+    rows = bpe.encode_documents(frame(spark, texts), RANKS, P.PATTERN).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        text = TEXTS[r.doc_id] or ""
+        text = texts[r.doc_id] or ""
         assert list(r.ids) == enc.encode_ordinary(text) and bytes(r.decoded) == text.encode()
         assert bytes(r.id_bytes) == np.array(r.ids, "<u4").tobytes()
     assert bpe.encode_documents(frame(spark).limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_of_repeated_rows_null_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the end", "x"), (1, "the end", "y"), (None, "the end", "z"), (None, None, None)], "doc_id long, text string, ids string")
+    rows = bpe.encode_documents(df, RANKS, P.PATTERN).collect()
+    assert len(rows) == 4 and sorted(len(r.ids) for r in rows) == [0, 2, 2, 2]
+
+
+def test_sweeps_are_folds(spark):
+    """Words of all lengths by either fold, and ranks that fall from one step to the next."""
+    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ab", b"cab", b"bcab", b"cc", b"aa", b"aaaa", b"ca", b"abca"]
+    ranks = bpe.Ranks(spark, tokens)
+    rng = random.Random(0)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(300)})
+    df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, b array<int>").withColumn("r", ranks.literal)
+    library = tiktoken.Encoding("small", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    for r in df.select("w", ranks.fold(F.col("r"), F.col("b")).alias("f"), ranks.sweep(F.col("r"), F.col("b")).alias("s")).collect():
+        assert r.f == r.s == library.encode_ordinary(r.w), r.w
+
+
 def test_bpe_query(spark, sf):
     enc, _ = encoding()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -144,23 +190,6 @@ def test_bpe_query(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abthe 'é0!", max_size=40))
-def test_heap_merge_is_the_library_merge(text):
-    enc, ranks = encoding_cached()
-    if text:
-        assert bpe.merge(text.encode(), ranks) == enc._core_bpe.encode_single_piece(text.encode())
-
-
-_HELD = []
-
-
-def encoding_cached():
-    if not _HELD:
-        _HELD.append(encoding())
-    return _HELD[0]
-
-
 # --------------------------------------------------------------------------------------------------------------- media
 
 
