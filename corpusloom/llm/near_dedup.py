@@ -38,6 +38,8 @@ ELEMENTS = 100_000
 SLICE = 1_500_000
 #: Counters that order elements by rarity.
 SLOTS = 1 << 20
+#: Bits of a set's map of its elements.
+MAP_BITS = 512
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,8 @@ def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingl
     """Pairs (a, b) of ``rest`` (set_key, root) with unlike roots that may be linked, by their rarest elements.
 
     Two sets of that likeness share one of the first n - ceil(percent n / 100) + 1 elements of each, in any one order of
-    all elements, and what stands before a shared element counts against their overlap. The order is by how many sets
+    all elements, and what stands before a shared element counts against their overlap. So does every bit that is set
+    in one's map of elements only, as it stands for an element that the other lacks. The order is by how many sets
     of ``rest`` have an element of the same hash slot (at most SLOTS numbers go to the driver and back), then by the
     element. Under each element, classes of its most frequent root are only compared with the others, never with one another.
     """
@@ -232,17 +235,24 @@ def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingl
                 order = np.lexsort((elements, times))[: len(elements) - -(-len(elements) * percent // 100) + 1]
                 before = np.flatnonzero(times[order] > 1)  # what one set alone has meets no other
                 own = batch.slice(i, 1).take(pa.array(np.zeros(len(before), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(elements[order[before]].view(np.int64)), own.column("set_key"), own.column("root"), own.column("n"), pa.array(before)], names=["element", "set_key", "root", "n", "before"])
-
-    prefix = cut(each.mapInArrow(first, "element long, set_key long, root long, n long, before long"))
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(elements >> np.uint64(40)) % np.uint64(MAP_BITS)] = 1
+                held = np.tile(np.packbits(bits).view(np.int64), (len(before), 1))
+                maps = [pa.array(np.ascontiguousarray(held[:, k])) for k in range(MAP_BITS // 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(elements[order[before]].view(np.int64)), own.column("set_key"), own.column("root"), own.column("n"), pa.array(before), *maps], names=["element", "set_key", "root", "n", "before", *bit_names])
+
+    bit_names = [f"m{k}" for k in range(MAP_BITS // 64)]
+    prefix = cut(each.mapInArrow(first, "element long, set_key long, root long, n long, before long, " + ", ".join(f"{m} long" for m in bit_names)))
     often = prefix.groupBy("element", "root").agg(F.count("*").alias("c")).groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("often"), F.count("*").alias("roots")).filter("roots > 1")
     held = prefix.join(often.select("element", "often"), "element")
-    side = lambda name: held.select("element", "often", *[F.col(c).alias(f"{name}_{c}") for c in ("set_key", "root", "n", "before")])
+    side = lambda name: held.select("element", "often", *[F.col(c).alias(f"{name}_{c}") for c in ("set_key", "root", "n", "before", *bit_names)])
     x, y = side("x").filter("x_root <> often").drop("often"), side("y").drop("often")
     room = F.least(F.col("x_n") - F.col("x_before"), F.col("y_n") - F.col("y_before"))  # overlap from the shared element on
     least = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
     small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    met = x.join(y, "element").filter((F.col("x_root") != F.col("y_root")) & (small * 100 >= large * percent) & (room >= least))
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{m}")))) for m in bit_names), F.lit(0))
+    alike = (F.col("x_n") - lacks("x", "y") >= least) & (F.col("y_n") - lacks("y", "x") >= least)
+    met = x.join(y, "element").filter((F.col("x_root") != F.col("y_root")) & (small * 100 >= large * percent) & (room >= least) & alike)
     return met.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
 
 
