@@ -1,17 +1,18 @@
 """License scans: canonical texts looked up by digest.
 
-Built-in functions only. A text is put into a canonical form - lower case, equivalent spellings made one, copyright
+Built-in functions only. A text is put into a canonical form once - lower case, equivalent spellings made one, copyright
 lines left out, punctuation and runs of white space turned into single spaces - and its digest is hash-joined to the
-digests of known licence texts. Whole documents are looked up, and so is each whole line of a document, because
-notices usually stand on a line of their own. The known texts are a parameter table; it is broadcast only when it has
-at most MAX_BROADCAST rows, else both sides are shuffled.
+digests of known licence texts. Each whole line of a document is looked up too, because notices usually stand on a line
+of their own: in the document's own row, against a literal of the known digests. The known texts are a parameter table;
+beyond MAX_BROADCAST digests both joins are shuffled instead.
 
 ``known_texts`` has the notices of KNOWN and full public texts: those in ``license_texts``, with and without what follows
 the end of their terms, and the usual forms of the MIT and BSD licences. A licence text is found when it is the whole
 document, copyright lines aside.
 
-Defined cases: null and empty texts, and lines of punctuation only, match nothing; repeated rows each get a result;
-two known texts with the same canonical form count as the one whose id is first in order.
+Defined cases: null and empty texts, and lines of punctuation only, match nothing; every row is judged by its own text,
+also where rows repeat an id or have none; two known texts with the same canonical form count as the one whose id is
+first in order; columns of the input other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST = 10_000
+from .common import cut, let
+
+MAX_BROADCAST = 4096
 
 _PERMISSION = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -146,21 +149,28 @@ def known_digests(known: DataFrame) -> DataFrame:
     return known.select("license_id", _digest(canonical(F.col("text"))).alias("digest")).filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, text_digest, whole_license, licenses, n_license_lines) for every row of ``documents``.
 
-    ``licenses`` has the ids found, sorted and distinct, of the whole text and of its lines; null ids are kept, and rows
-    that share an id share the lines found under it.
+    ``licenses`` has the ids found, sorted and distinct, of the whole text and of its lines.
     """
     digests = known_digests(known)
-    few = digests.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    digests = F.broadcast(digests) if few else digests
-    docs = documents.select(F.col(id_col).alias("doc_id"), canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
-    lines = docs.select("doc_id", F.explode(F.split("__text", "\n")).alias("__line")).withColumn("digest", _digest(F.col("__line")))
-    found = lines.filter("digest IS NOT NULL").join(digests, "digest").groupBy("doc_id").agg(F.sort_array(F.collect_set("license_id")).alias("__ids"), F.count("*").alias("__n"))
-    whole = docs.select("doc_id", _digest(F.col("__text")).alias("digest")).join(digests, "digest", "left").withColumnRenamed("license_id", "whole_license")
-    found = found.withColumnRenamed("doc_id", "__doc")
-    joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    ids = F.coalesce(F.col("__ids"), F.array().cast("array<string>"))
-    all_ids = F.array_sort(F.array_union(ids, F.when(F.col("whole_license").isNotNull(), F.array("whole_license")).otherwise(F.array().cast("array<string>"))))
-    return joined.select("doc_id", F.col("digest").alias("text_digest"), "whole_license", all_ids.alias("licenses"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_license_lines"))
+    few = digests.limit(max_broadcast + 1).collect()
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    lines = lambda t: F.filter(F.transform(F.split(t, "\n"), _digest), lambda d: d.isNotNull())
+    if len(few) <= max_broadcast:
+        ids = {r["digest"]: r["license_id"] for r in few}
+        names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]) if ids else F.create_map().cast("map<string,string>")
+        found = lambda t: F.transform(F.filter(lines(t), lambda d: d.isin(*ids)), lambda d: F.element_at(names, d))
+        judged = docs.select("doc_id", let(canonical(F.col("__text")), lambda t: F.struct(_digest(t).alias("digest"), found(t).alias("ids"))).alias("__r"))
+        rows, digests = judged.select("doc_id", F.col("__r.digest").alias("digest"), F.col("__r.ids").alias("__ids")), F.broadcast(digests)
+    else:
+        judged = docs.select("doc_id", let(canonical(F.col("__text")), lambda t: F.struct(_digest(t).alias("digest"), lines(t).alias("lines"))).alias("__r"))
+        rows = cut(judged.select("doc_id", F.col("__r.digest").alias("digest"), F.col("__r.lines").alias("__lines"), F.md5(F.array_join("__r.lines", "")).alias("__key")))
+        each = rows.select("__key", F.posexplode("__lines").alias("__at", "digest")).join(digests, "digest").select("__key", "__at", "license_id").distinct()
+        hits = each.groupBy("__key").agg(F.collect_list("license_id").alias("__ids"))
+        rows = rows.join(hits, "__key", "left").select("doc_id", "digest", "__ids")
+    none = F.array().cast("array<string>")
+    whole = rows.join(digests, "digest", "left")
+    both = F.array_union(F.coalesce("__ids", none), F.when(F.col("license_id").isNotNull(), F.array("license_id")).otherwise(none))
+    return whole.select("doc_id", F.col("digest").alias("text_digest"), F.col("license_id").alias("whole_license"), F.array_sort(both).alias("licenses"), F.size(F.coalesce("__ids", none)).cast("long").alias("n_license_lines"))

@@ -119,13 +119,13 @@ f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS low FROM k), g AS (
 r AS (SELECT doc_id, w, CASE WHEN starts IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_has_any(starts, range(i - 12, i + 1))) END AS kept FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r""",
     "op9_license_scan": f"""WITH known AS (SELECT license_id, md5({_FLAT.format("t")}) AS digest FROM (SELECT license_id, {_SPELT} AS t FROM (VALUES {_KNOWN}) v(license_id, text)) WHERE {_FLAT.format("t")} <> ''),
-digests AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY 1), d AS (SELECT doc_id, {_SPELT} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-whole AS (SELECT doc_id, CASE WHEN {_FLAT.format("t")} <> '' THEN md5({_FLAT.format("t")}) END AS digest FROM d),
-lines AS (SELECT doc_id, {_FLAT.format("l")} AS l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-hits AS (SELECT doc_id, license_id, count(*) AS n FROM lines JOIN digests ON digest = md5(l) WHERE l <> '' GROUP BY 1, 2),
-ids AS (SELECT doc_id, license_id, n FROM hits UNION ALL SELECT doc_id, license_id, 0 FROM whole JOIN digests USING (digest)),
-found AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS licenses, sum(n) AS n FROM ids GROUP BY 1)
-SELECT w.doc_id, w.digest AS text_digest, g.license_id AS whole_license, coalesce(f.licenses, '') AS licenses, coalesce(f.n, 0)::BIGINT AS n_license_lines FROM whole w LEFT JOIN digests g USING (digest) LEFT JOIN found f USING (doc_id)""",
+digests AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY 1), d AS (SELECT row_number() OVER () AS k, doc_id, {_SPELT} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+whole AS (SELECT k, doc_id, CASE WHEN {_FLAT.format("t")} <> '' THEN md5({_FLAT.format("t")}) END AS digest FROM d),
+lines AS (SELECT k, {_FLAT.format("l")} AS l FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d)),
+hits AS (SELECT k, license_id, count(*) AS n FROM lines JOIN digests ON digest = md5(l) WHERE l <> '' GROUP BY 1, 2),
+ids AS (SELECT k, license_id, n FROM hits UNION ALL SELECT k, license_id, 0 FROM whole JOIN digests USING (digest)),
+found AS (SELECT k, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS licenses, sum(n) AS n FROM ids GROUP BY 1)
+SELECT w.doc_id, w.digest AS text_digest, g.license_id AS whole_license, coalesce(f.licenses, '') AS licenses, coalesce(f.n, 0)::BIGINT AS n_license_lines FROM whole w LEFT JOIN digests g USING (digest) LEFT JOIN found f USING (k)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

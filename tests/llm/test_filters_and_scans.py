@@ -108,3 +108,14 @@ def test_license_scan_of_nothing_and_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (1, "x\nReleased under the MIT License."), (None, "y")], "doc_id long, text string")
     assert licenses.scan(docs, known).count() == 3 and licenses.scan(docs.limit(0), known).count() == 0
     assert licenses.scan(docs, known.limit(0)).filter("size(licenses) > 0").count() == 0
+
+
+def test_licenses_are_found_row_by_row_and_alike_with_a_long_list(spark):
+    known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
+    one = "a\nReleased under the MIT License."
+    rows = [(1, one, "x"), (1, one, "y"), (1, "no notice", "z"), (None, one + "\n" + one, None), (None, None, None), (2, "", ""), (3, "Licensed under CC0 1.0.", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    few, many = ([tuple(r) for r in licenses.scan(docs, known, max_broadcast=n).collect()] for n in (1000, 0))
+    assert sorted(few, key=repr) == sorted(many, key=repr)
+    found = sorted(((r[0], tuple(r[3]), r[4]) for r in few), key=repr)
+    assert found == sorted([(1, ("MIT",), 1), (1, ("MIT",), 1), (1, (), 0), (None, ("MIT",), 2), (None, (), 0), (2, (), 0), (3, ("CC0-1.0",), 1)], key=repr)
