@@ -2,14 +2,16 @@
 
 A word's vector is the mean of learned vectors of its hash and of its hashed character n-grams; a document's vector is
 the mean over its words, and over one marker for each word that repeats the word before it. A softmax over the two
-classes follows. Vectors and weights are learned by numpy stochastic gradient descent on at most TRAIN_ROWS labelled
-rows (a documented sample, picked by a hash of the id); scoring covers every row and whole texts.
+classes follows. Vectors and weights are learned by STEPS steps of numpy stochastic gradient descent, whatever the number
+of rows, on at most TRAIN_ROWS labelled rows of at most TRAIN_BYTES each (a documented sample, picked by a hash of the
+id); n-grams are made for one step's rows at a time. Scoring covers every row and whole texts.
 
 As the output is linear in the mean, each hash bucket's share of the log-odds is one number, and that is all the
 executors get (BUCKETS floats).
 
-Defined cases: null and empty texts get the bias alone; repeated rows get equal scores; a table without labelled rows
-gives the constant score 0.5.
+Defined cases: null and empty texts get the bias alone; repeated rows get equal scores; a score of exactly 0.5 counts as
+1; an id with several labels counts with the least; a table without labelled rows gives the constant score 0.5; columns
+of the input other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, held_out, mix, slices, words_of
+from .pretokens import expand
 
-TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 2048, 1 << 17, 8, 6, 2.0, 32, 7
+TRAIN_ROWS, TRAIN_BYTES = 4096, 1 << 16
+BUCKETS, DIM, STEPS, RATE, BATCH, SEED = 1 << 17, 8, 384, 2.0, 16, 7
 NGRAMS = (3, 4, 5)
 
 
@@ -79,52 +83,63 @@ def _repeats(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS) -> Model:
-    """Gradient descent over shuffled batches, with a rate that falls to zero."""
-    if not texts:
-        return Model(np.zeros(buckets), 0.0)
+def shares(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, share) of every feature of the texts; a row's shares add up to 1, unless it has no words."""
     codes, offsets, distinct = words_of(pa.array(texts, pa.string()))
     index, bucket = subwords(distinct, buckets)
     order = np.argsort(index, kind="stable")
-    index, bucket = index[order], bucket[order]
-    starts = np.searchsorted(index, np.arange(len(distinct) + 1, dtype=np.int32))
-    del index, order
-    repeats, y = _repeats(codes, offsets), np.asarray(labels, dtype=np.float64)
+    bucket, starts = bucket[order], np.searchsorted(index[order], np.arange(len(distinct) + 1, dtype=np.int32))
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    used, times = np.unique(row * max(1, len(distinct)) + codes, return_counts=True)
+    row, word = np.divmod(used, max(1, len(distinct)))
+    repeats = _repeats(codes, offsets)
+    total = np.maximum(np.diff(offsets) + repeats, 1)
+    n = np.diff(starts)[word]
+    at, _ = expand(word, starts[:-1], np.diff(starts))
+    marked = np.flatnonzero(repeats)
+    rows = np.concatenate([np.repeat(row, n), marked])
+    return rows, np.concatenate([bucket[at], np.full(len(marked), buckets - 1)]), np.concatenate([np.repeat(times / n, n), repeats[marked]]) / total[rows]
+
+
+@dataclass
+class Weights:
+    """What is learned: vectors of the buckets, and the difference of the two classes' softmax rows."""
+
+    vectors: np.ndarray
+    out: np.ndarray
+    bias: float = 0.0
+
+
+def loss_and_gradient(w: Weights, rows: np.ndarray, ids: np.ndarray, where: np.ndarray, share: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Mean cross-entropy of a batch, and its derivatives by the vectors of ``ids``, by ``out`` and by the bias."""
+    local = w.vectors[ids]
+    docs = np.stack([np.bincount(rows, weights=share * local[where, d], minlength=len(y)) for d in range(local.shape[1])], axis=1)
+    logit = docs @ w.out + w.bias
+    error = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
+    return loss, np.outer(np.bincount(where, weights=share * error[rows], minlength=len(ids)), w.out), docs.T @ error, float(error.sum())
+
+
+def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, steps: int = STEPS) -> Model:
+    """Gradient descent over shuffled batches, with a rate that falls to zero."""
+    if not texts:
+        return Model(np.zeros(buckets), 0.0)
+    y = np.asarray(labels, dtype=np.float64)
     rng = np.random.default_rng(SEED)
-    vectors = (rng.random((buckets, DIM)) - 0.5) / DIM
-    out, bias = np.zeros(DIM), 0.0
-    steps, step = EPOCHS * -(-len(y) // BATCH), 0
-    for _ in range(EPOCHS):
-        shuffled = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            rows = shuffled[at : at + BATCH]
-            rate = RATE * (1 - step / steps)
-            step += 1
-            # (row, bucket, share) of every feature of the batch, shares of a row adding up to 1
-            r_all, b_all, s_all = [], [], []
-            for k, r in enumerate(rows):
-                used, times = np.unique(codes[offsets[r] : offsets[r + 1]], return_counts=True)
-                total = times.sum() + repeats[r]
-                if not total:
-                    continue
-                n = starts[used + 1] - starts[used]
-                spots = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                b_all.append(np.append(bucket[spots], buckets - 1))
-                s_all.append(np.append(np.repeat(times / n, n), repeats[r]) / total)
-                r_all.append(np.full(len(spots) + 1, k))
-            if not r_all:
-                continue
-            r, b, s = map(np.concatenate, (r_all, b_all, s_all))
-            ids, where = np.unique(b, return_inverse=True)
-            local = vectors[ids]
-            docs = np.stack([np.bincount(r, weights=s * local[where, d], minlength=len(rows)) for d in range(DIM)], axis=1)
-            error = 1 / (1 + np.exp(-(docs @ out + bias))) - y[rows]
-            grad_out, push = docs.T @ error / len(rows), np.bincount(where, weights=s * error[r], minlength=len(ids))
-            vectors[ids] -= rate * np.outer(push, out)
-            out -= rate * grad_out * 4
-            out += rate * 1e-3 * (out == 0) * rng.standard_normal(DIM)
-            bias -= rate * error.mean() * 0.2
-    return Model((vectors @ out).astype(np.float32), float(bias))
+    w = Weights((rng.random((buckets, DIM)) - 0.5) / DIM, rng.standard_normal(DIM) * 1e-3)
+    shuffled: np.ndarray = rng.permutation(len(y))
+    for step in range(steps):
+        if len(shuffled) < min(BATCH, len(y)):
+            shuffled = np.concatenate([shuffled, rng.permutation(len(y))])
+        chosen, shuffled = shuffled[:BATCH], shuffled[BATCH:]
+        row, bucket, share = shares([texts[i] for i in chosen], buckets)
+        ids, where = np.unique(bucket, return_inverse=True)
+        _, by_vectors, by_out, by_bias = loss_and_gradient(w, row, ids, where, share, y[chosen])
+        rate = RATE * (1 - step / steps)
+        w.vectors[ids] -= rate * len(chosen) * by_vectors
+        w.out -= rate * 4 * by_out
+        w.bias -= rate * 0.2 * by_bias
+    return Model((w.vectors @ w.out).astype(np.float32), float(w.bias))
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
@@ -150,12 +165,13 @@ def score_column(text: Column, model: Model) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """A model learned from at most ``rows`` labelled rows that are not held out."""
+    """A model learned from at most ``rows`` labelled rows, of at most TRAIN_BYTES each, that are not held out."""
     bounded_batches(documents.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min(label_col).alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows are broadcast and collected
-    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "__label").toArrow()
+    short = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    got = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "__label").toArrow()
     return train(got.column(0).to_pylist(), got.column(1).to_pylist())
 
 
