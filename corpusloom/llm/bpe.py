@@ -33,7 +33,7 @@ from .common import bounded_batches, cut, let, slices, word_hashes
 from .pretokens import expand, pretokens
 
 #: At most so many words are remembered, none of more bytes than LONGEST.
-REMEMBERED, LONGEST = 1 << 20, 64
+REMEMBERED, LONGEST = 1 << 19, 64
 #: Bytes from which on a fold's step joins all pairs of the least rank.
 LONG = 32
 #: Words that one task folds, of those remembered.
@@ -236,6 +236,13 @@ def _values(rows: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, kind), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0)).astype(np.int64) // kind.itemsize)])
 
 
+def _decoded(ids: np.ndarray, rows: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """Of each row, the pieces of its ids one after the other."""
+    taken = pieces.take(pa.array(ids))  # its buffer holds the pieces one after the other
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(taken)).astype(np.int64))])[rows]
+    return _rows(np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
+
+
 class Encoding:
     """Encodes and decodes columns by a rank file."""
 
@@ -275,11 +282,15 @@ class Encoding:
         self.known = self.spark.sparkContext.broadcast(Remembered.of(*(folded.column(c).combine_chunks() for c in ("word", "ids"))))
         return self
 
-    def encode(self, df: DataFrame, text_col: str) -> DataFrame:
-        """``df`` with ids (array<int>) and id_bytes (little-endian unsigned 32-bit integers) instead of its text."""
+    def encode(self, df: DataFrame, text_col: str, lists: bool = True, decoded: bool = False) -> DataFrame:
+        """``df`` with id_bytes (the ids as little-endian unsigned 32-bit integers) instead of its text.
+
+        With ``lists`` also ids (array<int>), with ``decoded`` also the bytes that the ids decode to.
+        """
         pattern, known = self.pattern, self.known
-        kept = [f for f in df.schema.fields if f.name not in (text_col, "ids", "id_bytes")]
+        kept = [f for f in df.schema.fields if f.name not in (text_col, "ids", "id_bytes", "decoded")]
         names, n = [f.name for f in kept], len(kept)
+        pieces = pa.array(self.tokens, pa.large_binary())
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Words as numbers (a remembered word's place; after those, a place in the row's list of others) and that list."""
@@ -312,8 +323,12 @@ class Encoding:
                     at, stops = expand(codes, starts, np.concatenate([held.sizes, np.diff(ends)]))
                     ids = np.concatenate([held.flat, np.asarray(inner.flatten())]).astype(np.int32)[at]
                     rows = stops[offsets]
-                    found = [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids)), _rows(ids.astype("<u4"), rows)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:n], *found], names=[*names, "ids", "id_bytes"])
+                    found = {"id_bytes": _rows(ids.astype("<u4"), rows)}
+                    if lists:
+                        found["ids"] = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
+                    if decoded:
+                        found["decoded"] = _decoded(ids, rows, pieces)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], *found.values()], names=[*names, *found])
 
         def schema(**more: DataType) -> StructType:
             return StructType([*kept, *(StructField(name, kind) for name, kind in more.items())])
@@ -321,7 +336,8 @@ class Encoding:
         read = df.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
         words = read.mapInArrow(split, schema(__numbers=BinaryType(), __others=ArrayType(ArrayType(IntegerType()))))
         folded = self.ranks.of(words, "__others", "__folded").drop("__others")
-        return folded.mapInArrow(gather, schema(ids=ArrayType(IntegerType()), id_bytes=BinaryType()))
+        more = {"ids": ArrayType(IntegerType())} if lists else {}
+        return folded.mapInArrow(gather, schema(id_bytes=BinaryType(), **more, **({"decoded": BinaryType()} if decoded else {})))
 
     def decode(self, id_bytes: Column) -> Column:
         """The bytes that the ids (as little-endian unsigned 32-bit integers) stand for."""
@@ -331,18 +347,14 @@ class Encoding:
             parts = []
             for start, stop in slices(rows):
                 ids, ends = _values(rows.slice(start, stop - start), np.dtype("<u4"))
-                taken = pieces.take(pa.array(ids))  # its buffer holds the pieces one after the other
-                at = np.asarray(pc.binary_length(taken)).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(at)])[ends]
-                parts.append(_rows(np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets))
+                parts.append(_decoded(ids, ends, pieces))
             return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
         return F.arrow_udf(joined, "binary")(id_bytes)
 
 
-def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded, id_bytes): every text's ids, and the bytes that they decode to."""
+def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lists: bool = True) -> DataFrame:
+    """(doc_id, id_bytes, ids if ``lists``, decoded): every text's ids, and the bytes that they decode to."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     encoding = Encoding(documents.sparkSession, ranks_path, pattern).remember(docs.select("text"))
-    encoded = encoding.encode(docs, "text")
-    return encoded.select("doc_id", "ids", encoding.decode(F.col("id_bytes")).alias("decoded"), "id_bytes")
+    return encoding.encode(docs, "text", lists, decoded=True)

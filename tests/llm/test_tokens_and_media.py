@@ -160,6 +160,9 @@ def test_bpe_encodes_and_decodes(spark, monkeypatch, most):
         text = texts[r.doc_id] or ""
         assert list(r.ids) == enc.encode_ordinary(text) and bytes(r.decoded) == text.encode()
         assert bytes(r.id_bytes) == np.array(r.ids, "<u4").tobytes()
+    ids = spark.createDataFrame([(i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in enumerate(texts)], "i int, b binary")
+    for r in ids.select("i", bpe.Encoding(spark, RANKS, P.PATTERN).decode(F.col("b")).alias("d")).collect():
+        assert bytes(r.d) == (texts[r.i] or "").encode()
     assert bpe.encode_documents(frame(spark).limit(0), RANKS, P.PATTERN).count() == 0
 
 
