@@ -8,11 +8,14 @@ four bits once in sixteen, and the likeness is corrected for that.
 
 Defined cases: null text counts as empty; a text of fewer than five words is one shingle; without words there is no
 fingerprint ('' in text form), like another empty one (1.0) and unlike all others (0.0); rows that repeat an id stand
-next to one another in order of text; a row without id has an empty next document.
+next to one another in order of a hash of their texts; a row without id has an empty next document; ids may be any
+longs; columns of the input other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +24,8 @@ from .common import ascii_lower, let
 
 BIN_BITS, LOW_BITS, SHINGLE, LONGS = 7, 4, 5, 8
 BINS = 1 << BIN_BITS
-ROWS_PER_BUCKET = 1000
+#: Rows of a range of ids, and the most ranges.
+ROWS_PER_BUCKET, MAX_BUCKETS = 1000, 1 << 14
 
 
 def _bin(value: Column) -> Column:
@@ -79,23 +83,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), corrected))
 
 
+def _range(key: Column, spread: Column, bounds: list[int]) -> Column:
+    """Number of the range that ``key`` falls into; an id that is several bounds has its rows dealt over those ranges.
+
+    ``spread`` is a number from 0 to below 1 that rises with what orders rows of one id.
+    """
+    width = max(1, int(len(bounds) ** 0.5))
+    all_, every = (F.array(*[F.lit(b).cast("long") for b in x]) for x in (bounds, bounds[::width]))
+
+    def count(below: Callable[[Column], Column]) -> Column:
+        within = lambda top: F.size(F.filter(F.slice(all_, (top - 1) * width + 1, F.lit(width)), below))
+        return let(F.size(F.filter(every, below)), lambda top: F.when(top > 0, (top - 1) * width + within(top)).otherwise(F.lit(0)))
+
+    low, high = count(lambda b: b < key), count(lambda b: b <= key)
+    return let(low, lambda x: x + F.floor(spread * (high - x + 1)))
+
+
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``df`` with ``next_<c>`` of the row that follows in ascending id (after the last: the first).
 
-    Ids are cut into even ranges of about ROWS_PER_BUCKET rows; each range is sorted by itself, and only the first row of
-    each range is sent on, to the range before it. Nothing is sorted in one task but one row a range.
+    Ids are cut at sampled quantiles into ranges of about ROWS_PER_BUCKET rows; each range is sorted by itself, and only
+    the first row of each range is sent on, to the range before it. What is sorted in one task is the ranges' numbers.
     """
-    low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // max(1, n // ROWS_PER_BUCKET)))
-    key = F.col(id_col)
-    spread = -1 - F.pmod(F.xxhash64(*columns), F.lit(1024))
-    placed = df.withColumn("__bucket", F.when(key.isNull(), spread).otherwise(F.floor((key - F.lit(low or 0)) / width)).cast("long"))
-    order = W.partitionBy("__bucket").orderBy(id_col, *columns[:1])
+    key, n = F.col(id_col), df.agg(F.count(id_col)).first()[0]
+    cuts = min(MAX_BUCKETS, n // ROWS_PER_BUCKET)
+    bounds = sorted(df.agg(F.percentile_approx(id_col, [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 8 * cuts))).first()[0]) if cuts else []
+    hashed = F.xxhash64(columns[0])
+    spread = F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 12) / F.lit(2.0**52)
+    nowhere = -1 - F.pmod(F.xxhash64(*columns), F.lit(1024))
+    bucket = _range(key, spread, bounds) if bounds else F.lit(0)
+    placed = df.withColumn("__hash", hashed).withColumn("__bucket", F.when(key.isNull(), nowhere).otherwise(bucket).cast("long"))
+    order = W.partitionBy("__bucket").orderBy(id_col, "__hash")
     ranked = placed.select("*", F.row_number().over(order).alias("__rn"), *[F.lead(F.struct(c)).over(order).alias(f"__lead_{c}") for c in columns])
-    firsts = ranked.filter((F.col("__rn") == 1) & (F.col("__bucket") >= 0)).select("__bucket", *[F.col(c).alias(f"__first_{c}") for c in columns])
-    one = W.orderBy("__bucket")
+    one = W.orderBy("__bucket")  # over at most MAX_BUCKETS + 1 numbers
+    numbers = placed.filter("__bucket >= 0").select("__bucket").distinct()
     top = F.max("__bucket").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    firsts = firsts.withColumn("__before", F.coalesce(F.lag("__bucket").over(one), top)).drop("__bucket")
+    before = numbers.select("__bucket", F.coalesce(F.lag("__bucket").over(one), top).alias("__before"))
+    firsts = ranked.filter((F.col("__rn") == 1) & (F.col("__bucket") >= 0)).select("__bucket", *[F.col(c).alias(f"__first_{c}") for c in columns])
+    firsts = firsts.join(F.broadcast(before), "__bucket").drop("__bucket")
     joined = ranked.join(firsts, ranked["__bucket"] == firsts["__before"], "left")
     following = [F.when(key.isNotNull(), F.coalesce(F.col(f"__lead_{c}")[c], F.when(F.col(f"__lead_{c}").isNull(), F.col(f"__first_{c}")))).alias(f"next_{c}") for c in columns]
     return joined.select(*df.columns, *following)

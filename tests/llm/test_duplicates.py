@@ -166,6 +166,25 @@ def test_fingerprints_of_repeated_rows_null_ids_and_nothing(spark):
     assert fingerprints.fingerprint_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_range", [3, 10**6])
+def test_next_documents_of_far_and_frequent_ids(spark, monkeypatch, per_range):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", per_range)
+    far = [-(2**62) - 5, -(2**63), 2**62 + 9, 2**63 - 1]
+    rows = [(i, f"text {i}") for i in [*far, *range(30)]] + [(7, f"again {i}") for i in range(40)] + [(None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in fingerprints.with_next(df, "doc_id", ["text"]).collect()]
+    assert sorted(r[:2] for r in got if r[0] is not None) == sorted(r for r in rows if r[0] is not None) and len(got) == len(rows)
+    assert [r[2] for r in got if r[0] is None] == [None, None]
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], hashed[r[1]]))
+    assert {(i, t): n for i, t, n in got if i is not None} == {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    if per_range == 3:  # no range has much more than its share, though one id has more than half of all rows
+        bounds = sorted(df.agg(F.percentile_approx("doc_id", [k / 20 for k in range(1, 20)])).first()[0])
+        spread = F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000
+        sizes = df.filter("doc_id is not null").groupBy(fingerprints._range(F.col("doc_id"), spread, bounds).alias("b")).count().collect()
+        assert max(r["count"] for r in sizes) < 20
+
+
 def test_densified_values_fill_all_bins(spark):
     text = " ".join(f"q{i}" for i in range(24))  # 20 shingles in 128 bins
     same = spark.createDataFrame([(text,)], "t string").select(fingerprints.as_text(fingerprints.fingerprint(F.col("t"))).alias("f")).first().f
