@@ -30,12 +30,24 @@ def sample_passages(chunks: DataFrame, seed: int, min_chars: int = MIN_CHARS, mo
 
 
 def make_testset(chunks: DataFrame, n: int, seed: int, generate: Callable[[pd.Series], pd.Series], template: str = "{passage}", oversample: int = 3) -> DataFrame:
-    """The first ``n`` passages of the shuffle for which ``generate`` gives a usable question, with their gold ids."""
-    drawn = sample_passages(chunks, seed).orderBy("sample_key", "chunk_id").limit(n * oversample)
-    before, _, after = template.partition("{passage}")
-    raw = materialize(drawn.withColumn("raw", F.pandas_udf(generate, "string")(F.concat(F.lit(before), "passage", F.lit(after)))))
-    usable = raw.withColumn("qa", parse_qa(strip_think(F.col("raw")))).filter("qa IS NOT NULL")
-    return usable.orderBy("sample_key", "chunk_id").limit(n).select(F.col("chunk_id").alias("query_id"), "qa.question", "qa.answer", F.col("chunk_id").alias("gold_id"), F.col("source").alias("gold_source"))
+    """The first ``n`` passages of the shuffle for which ``generate`` gives a usable question, with their gold ids.
+
+    Passages are drawn in slices of ``n * oversample``, one after the other in the seeded order, until ``n`` are usable or
+    there are no more; ``generate`` sees each once.
+    """
+    candidates, before, after = sample_passages(chunks, seed), *template.partition("{passage}")[::2]
+    found, last = None, None
+    while True:
+        rest = candidates if last is None else candidates.filter(F.struct("sample_key", "chunk_id") > F.struct(F.lit(last[0]), F.lit(last[1]).cast(candidates.schema["chunk_id"].dataType)))
+        drawn = rest.orderBy("sample_key", "chunk_id").limit(n * oversample)
+        raw = materialize(drawn.withColumn("raw", F.pandas_udf(generate, "string")(F.concat(F.lit(before), "passage", F.lit(after)))))
+        usable = raw.withColumn("qa", parse_qa(strip_think(F.col("raw")))).filter("qa IS NOT NULL")
+        found = usable if found is None else found.unionByName(usable)
+        seen = raw.agg(F.count("*").alias("n"), F.max(F.struct("sample_key", "chunk_id")).alias("last")).first()
+        if seen["n"] < n * oversample or found.count() >= n:
+            break
+        last = seen["last"]
+    return found.orderBy("sample_key", "chunk_id").limit(n).select(F.col("chunk_id").alias("query_id"), "qa.question", "qa.answer", F.col("chunk_id").alias("gold_id"), F.col("source").alias("gold_source"))
 
 
 def gold_ranks(testset: DataFrame, ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from corpusloom.functions.text import let, tokens
 from corpusloom.operators import bm25, vectors
+from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,7 +140,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, Data
         ranked = near
     pool = ranked.filter(F.col("rank") <= (settings.rerank_candidates if settings.rerank else settings.top_k)).select("query_id", "chunk_id", "rank")
     hits = pool.join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
-    best = rerank(hits, settings.top_k, scorer if settings.rerank else None)
+    best = materialize(rerank(hits, settings.top_k, scorer if settings.rerank else None))  # short and long hits take different ways
     if not settings.expand_short:
         return best.withColumns({"expanded": F.lit(False), "expanded_span": F.lit(None).cast("array<int>")})
     return expand_short_hits(best, chunks, settings.expand_min_chars, settings.expand_target_chars, settings.expand_max_neighbors)

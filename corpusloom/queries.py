@@ -10,10 +10,13 @@ from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
+from corpusloom import sql
 from corpusloom.functions.text import text_key
 from corpusloom.operators import augment, bm25, chunk_quality, chunking, clean, embedding, evaluate, prompt, retrieve, vectors
 from corpusloom.plans import ingest
-from corpusloom.sources.tables import materialize
+from corpusloom.sources import files, tables
+from corpusloom.sources.tables import materialize, scratch_folder
+from corpusloom.streaming.ingest import ingest_stream
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,11 @@ ORACLES: dict[str, str] = {}
 CUT, STEP, TOP = 950, 100, 10
 
 
-def query(sql: str | None = None):
+def query(says: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.strip()
+        if says:
+            ORACLES[f.__name__] = says.strip()
         return f
 
     return register
@@ -67,10 +70,10 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.range(0, 20, 2).select(F.concat(F.lit("src"), F.col("id")).alias("source"), F.lit(3).alias("body_start"), F.lit(25).alias("index_start"))
 
 
-def cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of CUT characters: (chunk_id, source, idx, text, chapter, section), a document being a source."""
+def cut_chunks(spark: SparkSession, sf_dir: str, size: int = CUT) -> DataFrame:
+    """Chunks of ``size`` characters: (chunk_id, source, idx, text, chapter, section), a document being a source."""
     docs = read(spark, sf_dir, "documents").filter("text <> ''")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CUT).cast("int")), lambda i: F.substring("text", i * CUT + 1, F.lit(CUT)))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda i: F.substring("text", i * size + 1, F.lit(size)))
     source = F.concat_ws("/", "source", "doc_id")
     rows = docs.select(source.alias("source"), F.posexplode(pieces).alias("idx", "text"))
     none = F.lit(None).cast("string")
@@ -128,9 +131,22 @@ def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.cleaning_stats(clean.clean_pages(books(spark, sf_dir), rules(spark)), ["source"]).drop("chars")
 
 
-@query()
+@query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, string_agg(line || CASE WHEN n % 3 = 2 THEN chr(10) || n || '第二章，留下' ELSE '' END, chr(10) ORDER BY n) AS text FROM lines GROUP BY 1""")
+def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running header of either kind after a document's lines, wherever they stand; one with a comma is none."""
+    n = lambda i: (i + 1).cast("string")
+    added = lambda i: F.when(i % 3 == 0, F.concat(n(i % 100), F.lit("第一章绪论"), n(i % 100))).when(i % 3 == 1, F.concat(n(i), F.lit("第二章，留下"))).otherwise(F.lit(" 血液实验诊断与应用 "))
+    lines = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.array(x, added(i))))
+    said = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    return said.select("doc_id", F.array_join(clean.drop_running_headers(F.col("lines")), "\n").alias("text"))
+
+
+@query(f"""SELECT page_id, {sql.strip("regexp_replace(regexp_replace(html, '</?(div|html|body|span|p|img|br|table|tr|td|th)[^>]*>', '', 'gi') || chr(10) || '[表格]' || chr(10) || '| page | ' || page_id || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| a b | 3 |' || chr(10) || 'between <120' || chr(10) || '[表格]' || chr(10) || '| x |' || chr(10) || '| --- |', chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS text FROM pages""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", clean.html_to_text(F.col("html")).alias("text"))
+    """Pages with two tables after them: with a header cell, inner tags, an empty row, and an angle bracket that is no tag between them."""
+    table = F.concat(F.lit("<TABLE border=1><tr><th>page</th><td>"), "page_id", F.lit("</td></tr>\n<tr><td> </td></tr><tr><td>a<br/>b</td><td><i>3</i></td></tr></TABLE>\nbetween <120<table><tr><td>x</td></tr></table>"))
+    return read(spark, sf_dir, "pages").select("page_id", clean.html_to_text(F.concat("html", table)).alias("text"))
 
 
 LINE_CELLS = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
@@ -189,19 +205,38 @@ def detect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------------------------------------- chunking
 
 
-@query()
+DOCUMENT_CHUNKS = "WITH RECURSIVE input AS (SELECT source || '/' || doc_id AS source, text AS t FROM documents)," + sql.chunked(950, 100)
+CLEANED = ORACLES["clean_text"]
+
+
+@query(DOCUMENT_CHUNKS + "SELECT chunk_id, source, idx, text, chapter, section FROM chunked")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text")
     return chunking.chunk_documents(docs)
 
 
-@query()
+@query(f"WITH RECURSIVE input AS (SELECT d.source || '/' || doc_id AS source, c.cleaned AS t FROM documents d JOIN ({CLEANED}) c USING (doc_id))," + sql.chunked(500, 80) + "SELECT chunk_id, source, idx, text, chapter, section FROM chunked")
 def chunk_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and sections of the cleaned books, with overlap."""
     cleaned = clean.clean_text(clean.clean_pages(books(spark, sf_dir), rules(spark)))
     return chunking.chunk_documents(cleaned.select(F.concat_ws("/", "source", "doc_id").alias("source"), F.col("cleaned").alias("text")), chunk_size=500, overlap=80)
 
 
+TABLE_BOOKS = f"""SELECT CAST(l_orderkey // 4 AS VARCHAR) AS source, '# 第一章 orders' || chr(10) || chr(10) || 'first; more!' || chr(10) || chr(10) || '## lines' || chr(10) || chr(10) || '表1 of ' || l_orderkey // 4 || chr(10) || chr(10) || '[表格]' || chr(10) ||
+  {TABLE_SQL.replace("ORDER BY l_linenumber", "ORDER BY l_orderkey, l_linenumber")} || chr(10) || chr(10) || 'a;b!' || chr(10) || chr(10) || '| no | rows |' AS t FROM lineitem GROUP BY l_orderkey // 4"""
+
+
+@query(f"WITH RECURSIVE input AS ({TABLE_BOOKS})," + sql.chunked(260, 60) + "SELECT chunk_id, source, idx, text, chapter, section FROM chunked")
+def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose one long table has the lines of four orders: its rows go into groups under caption and header."""
+    cells = F.array(*[F.col(c).cast("string") for c in LINE_CELLS])
+    lines = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("book"), F.struct("l_orderkey", *LINE_CELLS, cells.alias("cells")).alias("line"))
+    rows = lines.groupBy("book").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["cells"]).alias("rows"))
+    header = F.array(F.array(*map(F.lit, ("line", "part", "supplier", "flag", "status"))))
+    text = F.concat(F.lit("# 第一章 orders\n\nfirst; more!\n\n## lines\n\n表1 of "), "book", F.lit("\n\n[表格]\n"), clean.table_to_markdown(F.concat(header, "rows")), F.lit("\n\na;b!\n\n| no | rows |"))
+    return chunking.chunk_documents(materialize(rows.select(F.col("book").cast("string").alias("source"), text.alias("text"))), chunk_size=260, overlap=60)
+
+
 @query(r"""WITH found AS (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS s FROM documents),
 rows AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS s FROM found)
 SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM rows""")
@@ -255,10 +290,13 @@ def first_words(prompts: pd.Series) -> pd.Series:
 
 @query(r"""SELECT doc_id, CASE WHEN contains(text, '?') THEN text ELSE text || chr(10) || chr(10) || '【检索增强】' || chr(10) ||
  regexp_replace(substr(regexp_replace(array_to_string((string_split('3 ' || text, ' '))[-3:], ' '), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 1, 400), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS text,
- NOT contains(text, '?') AS enriched, false AS reused FROM documents""")
+ NOT contains(text, '?') AS enriched, false AS reused FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE lang = 'fr')
+UNION ALL SELECT doc_id, text || chr(10) || chr(10) || '【检索增强】' || chr(10) || 'held ' || length(text), true, true FROM documents WHERE sha1(text) IN (SELECT sha1(text) FROM documents WHERE lang = 'fr')""")
 def enrich_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return augment.enrich_cached(docs, None, first_words, "{n} {chunk}")[0]
+    """A run over all documents with a cache that holds other words for the French ones, and words of another generator."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held = lambda name, lang: docs.filter(F.col("lang") == lang).select(F.lit(name).alias("generator"), text_key(F.col("text")).alias("text_key"), F.concat(F.lit("held "), F.length("text")).alias("generated"))
+    return augment.enrich_cached(docs.drop("lang"), held("default", "fr").unionByName(held("other", "de")), first_words, "{n} {chunk}")[0]
 
 
 @query("SELECT sha1(text) AS text_key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -295,10 +333,28 @@ def encode_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("chars"), "reused")
 
 
-@query()
+def by_dimension(encoded: DataFrame, key: str) -> DataFrame:
+    rows = encoded.select(key, F.posexplode("embedding").alias("dim", "x"))
+    return rows.select(key, F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+BY_DIMENSION = "SELECT key AS {}, generate_subscripts(e, 1) - 1 AS dim, round(CAST(unnest(e) AS DOUBLE), 6) AS value FROM vectors"
+
+
+@query(f"WITH keys AS (SELECT doc_id AS key FROM documents), tokens AS (SELECT doc_id AS key, unnest({sql.tokens('text')}) AS token FROM documents)," + sql.encoded() + BY_DIMENSION.format("doc_id"))
 def encode_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", embedding.encode(F.col("text")).alias("embedding"))
+    return by_dimension(docs.select("doc_id", embedding.encode(F.col("text")).alias("embedding")), "doc_id")
+
+
+PREFIX = "为这个句子生成表示："
+
+
+@query(f"WITH keys AS (SELECT item_id AS key FROM benchmark), tokens AS (SELECT item_id AS key, unnest({sql.tokens(f"'{PREFIX}' || text")}) AS token FROM benchmark)," + sql.encoded() + BY_DIMENSION.format("query_id"))
+def encode_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as questions, with the prefix that only questions get."""
+    asked = questions(spark, sf_dir)
+    return by_dimension(asked.select("query_id", embedding.encode_query(F.col("question"), PREFIX).alias("embedding")), "query_id")
 
 
 FLAGS = r"""
@@ -323,25 +379,20 @@ def chunks_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_quality.chunks_per_source(cut_chunks(spark, sf_dir))
 
 
-@query(CHUNKS + """, keyed AS (SELECT source, text, sha1(text) AS k FROM chunks)
-SELECT count(DISTINCT source) AS doc_files, count(*) AS chunks, 0::BIGINT AS reused, count(*) AS to_encode FROM keyed""")
+@query(CHUNKS + """, keyed AS (SELECT source, text, sha1(text) AS k FROM chunks), held AS (SELECT DISTINCT k FROM keyed WHERE k < '8')
+SELECT count(DISTINCT source) AS doc_files, count(*) AS chunks, count(h.k) AS reused, count(*) - count(h.k) AS to_encode FROM keyed LEFT JOIN held h USING (k)""")
 def rebuild_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded, _ = embedding.encode_cached(cut_chunks(spark, sf_dir), None, "hashing")
-    return chunk_quality.rebuild_stats(encoded)
+    """A rebuild with the cache that a run over about half of the chunks left."""
+    chunks = cut_chunks(spark, sf_dir)
+    _, cache = embedding.encode_cached(chunks.filter(text_key(F.col("text")) < "8"), None, "hashing")
+    return chunk_quality.rebuild_stats(embedding.encode_cached(chunks, cache, "hashing")[0])
 
 
 # ---------------------------------------------------------------------------------------------------------- retrieval
 
-TOKENS = r"regexp_extract_all(text, '[0-9A-Za-z\x{c0}-\x{24f}]+|[^\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')"
-BM25 = f"""
-WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-post AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY 1, 2),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
-terms AS (SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 9) AS idf FROM raw)
-"""
-SCORES = BM25 + f""", q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
-scored AS (SELECT q.query_id, p.doc_id AS chunk_id, round(sum(t.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)) * q.qtf), 9) AS score
-  FROM q JOIN terms t USING (term) JOIN post p USING (term), stats s GROUP BY 1, 2),
+TOKENS = sql.tokens("text")
+BM25 = f"WITH d AS MATERIALIZED (SELECT doc_id AS chunk_id, {TOKENS} AS t FROM documents)," + sql.BM25
+SCORES = BM25 + f", q AS (SELECT item_id AS query_id, {TOKENS} AS t FROM benchmark)" + sql.scored("q") + f""",
 bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= {TOP})
 """
 
@@ -404,14 +455,15 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.context_window(short, chunks, 2).select("source", "idx", F.array_join(near, ",").alias("near"))
 
 
-@query(CHUNKS + """, wide AS (SELECT c.source, c.idx, c.text, p.text AS before FROM chunks c LEFT JOIN chunks p ON p.source = c.source AND p.idx = c.idx - 1 WHERE length(c.text) < 300)
-SELECT source, idx, before IS NOT NULL AS expanded, length(text) AS own FROM wide""")
+SHORT = 200
+
+
+@query(CHUNKS.replace(str(CUT), str(SHORT)) + ", store AS (SELECT source, idx, text FROM chunks), hits AS (SELECT chunk_id AS h, source, idx, text FROM chunks)," + sql.expanded() + "SELECT source, idx, expanded, low || '-' || high AS span, grown_text AS text FROM grown")
 def expand_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every short chunk as a hit, grown by its neighbours."""
-    chunks = cut_chunks(spark, sf_dir)
-    short = chunks.filter(F.length("text") < 300).withColumn("own", F.length("text").cast("long"))
-    hits = short.withColumns({"query_id": F.col("chunk_id"), "rank": F.lit(1)})
-    return retrieve.expand_short_hits(hits, chunks).select("source", "idx", "expanded", "own")
+    """Every chunk of 200 characters as a hit, grown by its neighbours."""
+    chunks = cut_chunks(spark, sf_dir, SHORT)
+    hits = chunks.withColumns({"query_id": F.col("chunk_id"), "rank": F.lit(1)})
+    return retrieve.expand_short_hits(hits, chunks).select("source", "idx", "expanded", F.array_join("expanded_span", "-").alias("span"), "text")
 
 
 HITS = SCORES + """, hits AS (SELECT b.query_id, b.rank, d.source, d.text FROM bm b JOIN documents d ON d.doc_id = b.chunk_id WHERE b.rank <= 4)
@@ -443,7 +495,7 @@ def retrieval_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SCORES + f""", words AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark),
-r AS (SELECT b.query_id, b.chunk_id, b.rank AS before, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(d.t, x))) / len(w) END, 9) AS s FROM bm b JOIN words ON item_id = b.query_id JOIN d ON d.doc_id = b.chunk_id),
+r AS (SELECT b.query_id, b.chunk_id, b.rank AS before, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(d.t, x))) / len(w) END, 9) AS s FROM bm b JOIN words ON item_id = b.query_id JOIN d ON d.chunk_id = b.chunk_id),
 o AS (SELECT query_id, chunk_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, before) AS rank FROM r QUALIFY rank <= 4)
 SELECT query_id, chunk_id, rerank_score, CAST(rank AS INT) AS rank FROM o""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,13 +510,61 @@ def hybrid(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     return retrieve.retrieve(materialize(asked), tables["chunks"], (tables["postings"], tables["term_stats"], tables["corpus_stats"]), tables["embeddings"], retrieve.Settings(**settings))
 
 
-@query()
+HYBRID = DOCUMENT_CHUNKS + f""", c AS MATERIALIZED (SELECT *, {TOKENS} AS t FROM chunked), d AS (SELECT chunk_id, t FROM c), q AS MATERIALIZED (SELECT item_id AS query_id, text AS question, {TOKENS} AS t FROM benchmark),
+{sql.BM25} {sql.scored("q")},
+filled AS (SELECT q.query_id, c.chunk_id, c.source, c.idx, coalesce(s.score, 0.0) AS score FROM q CROSS JOIN c LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_id = c.chunk_id),
+lexical AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, idx) AS rank FROM filled QUALIFY rank <= 20),
+keys AS (SELECT 'q' || query_id AS key FROM q UNION ALL SELECT 'c' || chunk_id FROM c), tokens AS (SELECT 'q' || query_id AS key, unnest(t) AS token FROM q UNION ALL SELECT 'c' || chunk_id, unnest(t) FROM c),
+{sql.encoded()},
+qu AS MATERIALIZED (SELECT query_id, u FROM q JOIN directions ON key = 'q' || query_id), cu AS MATERIALIZED (SELECT chunk_id, u FROM c JOIN directions ON key = 'c' || chunk_id),
+near AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qu.u, cu.u), 9) DESC, chunk_id) AS rank FROM qu CROSS JOIN cu QUALIFY rank <= 20),
+fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0), 12) AS rrf
+  FROM near a FULL JOIN lexical b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra NULLS LAST, rb NULLS LAST) AS before FROM fused QUALIFY before <= 20),
+again AS (SELECT p.query_id, p.chunk_id, c.source, c.idx, c.text, before, round(CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_filter(list_distinct(q.t), lambda x: list_contains(c.t, x))) / len(list_distinct(q.t)) END, 9) AS s FROM pool p JOIN q USING (query_id) JOIN c USING (chunk_id)),
+hits AS (SELECT query_id || ' ' || row_number() OVER w AS h, query_id, row_number() OVER w AS rank, chunk_id, source, idx, text, s FROM again WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, before) QUALIFY rank <= 4),
+store AS (SELECT source, idx, text FROM c),
+{sql.expanded()}
+"""
+
+
+@query(HYBRID + "SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, source, round(s, 6) AS rerank_score, expanded, grown_text AS text FROM grown")
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of it: chunks, index, both searches, fusion, reranking and expansion for every benchmark passage."""
-    return hybrid(spark, sf_dir).select("query_id", "rank", "chunk_id", "source", F.round("rerank_score", 6).alias("rerank_score"), "expanded", F.length("text").alias("chars"))
+    return hybrid(spark, sf_dir).select("query_id", "rank", "chunk_id", "source", F.round("rerank_score", 6).alias("rerank_score"), "expanded", "text")
 
 
-@query()
+def _filled(context: str, question: str) -> str:
+    """The default prompt as SQL."""
+    before, rest = prompt.TEMPLATE.split("{context}")
+    middle, after = rest.split("{question}")
+    return " || ".join([f"'{before}'", context, f"'{middle}'", question, f"'{after}'"])
+
+
+ANSWERS = HITS + f""", prompts AS (SELECT q.item_id AS query_id, q.text AS question, {_filled("coalesce((SELECT string_agg('[来源:' || source || '] ' || text, chr(10) || chr(10) ORDER BY rank) FROM hits h WHERE h.query_id = q.item_id), '(无)')", "q.text")} AS prompt FROM benchmark q),
+answered AS (SELECT query_id, question, CASE WHEN NOT contains(prompt, '?') THEN '<think>x</think>' || array_to_string(string_split(prompt, ' ')[-3:], ' ') END AS answer, (SELECT list(source ORDER BY rank) FROM hits h WHERE h.query_id = p.query_id) AS sources FROM prompts p)
+"""
+
+
+@query(ANSWERS + "SELECT query_id, answer, '' AS no_answer FROM answered")
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in generator's answers to the default prompt."""
+    prompts = prompt.build_prompts(questions(spark, sf_dir), top_hits(spark, sf_dir))
+    return prompt.answers(prompts, first_words, 1).select("query_id", "answer", F.lit("").alias("no_answer"))
+
+
+@query("SELECT item_id AS query_id, '知识库为空,请先导入文档并重建索引。' AS answer, 0::BIGINT AS n_sources FROM benchmark")
+def answers_of_an_empty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = top_hits(spark, sf_dir).limit(0)
+    made = prompt.answers(prompt.build_prompts(questions(spark, sf_dir), none), first_words, 0)
+    return made.select("query_id", "answer", F.size("sources").cast("long").alias("n_sources"))
+
+
+REPORT = ANSWERS + """, gold AS (SELECT b.item_id AS query_id, min_by(d.source, d.doc_id) AS gold_source FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)
+SELECT a.query_id, a.question, '' AS reference, a.answer, g.gold_source, array_to_string(coalesce(a.sources, []), ',') AS retrieved_sources, coalesce(list_contains(a.sources, g.gold_source), false) AS source_hit FROM answered a JOIN gold g USING (query_id)"""
+
+
+@query(REPORT)
 def answers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in generator's answers, and whether the gold document was among the sources."""
     prompts = prompt.build_prompts(questions(spark, sf_dir), top_hits(spark, sf_dir))
@@ -472,6 +572,14 @@ def answers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.answers_report(gold(spark, sf_dir), answered).withColumn("retrieved_sources", F.array_join("retrieved_sources", ","))
 
 
+@query(REPORT)
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report written as JSON lines and read back."""
+    report, path = answers_report(spark, sf_dir), scratch_folder(spark, "report")
+    files.write_json(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 # --------------------------------------------------------------------------------------------------------- evaluation
 
 
@@ -497,7 +605,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GOLD = SCORES + f""", words AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark),
-re AS (SELECT b.query_id, b.chunk_id, row_number() OVER (PARTITION BY b.query_id ORDER BY round(len(list_filter(w, lambda x: list_contains(d.t, x))) / len(w), 9) DESC, b.rank) AS rank FROM bm b JOIN words ON item_id = b.query_id JOIN d ON d.doc_id = b.chunk_id),
+re AS (SELECT b.query_id, b.chunk_id, row_number() OVER (PARTITION BY b.query_id ORDER BY round(len(list_filter(w, lambda x: list_contains(d.t, x))) / len(w), 9) DESC, b.rank) AS rank FROM bm b JOIN words ON item_id = b.query_id JOIN d ON d.chunk_id = b.chunk_id),
 lists AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM bm UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM re),
 gold AS (SELECT b.item_id AS query_id, min(d.doc_id) AS gold_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
 ranks AS (SELECT g.query_id, s.stage, l.rank FROM gold g, (SELECT DISTINCT stage FROM lists) s LEFT JOIN lists l ON l.query_id = g.query_id AND l.stage = s.stage AND l.chunk_id = g.gold_id)
@@ -536,7 +644,31 @@ def full_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.gold_ranks(materialize(testset), v).withColumn("variant", F.lit("whole"))
 
 
-@query()
+VARIANTS = f"""WITH original AS (SELECT l_orderkey, '表1 ' || l_orderkey || chr(10) || chr(10) || '[表格]' || chr(10) || {TABLE_SQL} AS text FROM lineitem GROUP BY 1), sentences AS ({ORACLES["augment_tables"]}),
+said AS (SELECT 'original' AS variant, * FROM original UNION ALL SELECT 'tables', * FROM sentences), asked AS (SELECT l_orderkey, '表1 ' || list(l_linenumber || ':' || l_partkey || '、' || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey)[1] AS question FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1),
+keys AS (SELECT variant || l_orderkey AS key FROM said UNION ALL SELECT 'q' || l_orderkey FROM asked),
+tokens AS (SELECT variant || l_orderkey AS key, unnest({sql.tokens("text")}) AS token FROM said UNION ALL SELECT 'q' || l_orderkey, unnest({sql.tokens("question")}) FROM asked),
+{sql.encoded()},
+qu AS MATERIALIZED (SELECT l_orderkey AS query_id, u FROM asked JOIN directions ON key = 'q' || l_orderkey), cu AS MATERIALIZED (SELECT variant, l_orderkey AS chunk_id, u FROM said JOIN directions ON key = variant || l_orderkey),
+scores AS MATERIALIZED (SELECT query_id, variant, chunk_id, round(list_inner_product(qu.u, cu.u), 9) AS score FROM qu CROSS JOIN cu)
+SELECT s.query_id, s.variant, count(*) FILTER (s.score > g.score) + 1 AS rank FROM scores s JOIN scores g ON g.query_id = s.query_id AND g.variant = s.variant AND g.chunk_id = s.query_id GROUP BY 1, 2"""
+
+
+@query(VARIANTS)
+def table_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of orders' tables over all orders, as they are and with their rows as sentences; every hundredth order's first line is asked for."""
+    told = materialize(order_tables(spark, sf_dir).select(F.col("l_orderkey").alias("chunk_id"), "text"))
+    first = read(spark, sf_dir, "lineitem").filter("l_orderkey % 100 = 0").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("x"))
+    testset = first.select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("表1 "), "x.l_linenumber", F.lit(":"), "x.l_partkey", F.lit("、"), "x.l_suppkey").alias("question"), F.col("l_orderkey").alias("gold_id"))
+    return evaluate.variant_ranks(testset, told, {"original": F.col("text"), "tables": augment.augment_tables(F.col("text"))})
+
+
+@query(f"""WITH gold AS (SELECT b.item_id AS query_id, any_value(b.text) AS question, min(d.doc_id) AS gold_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+keys AS (SELECT 'c' || doc_id AS key FROM documents UNION ALL SELECT 'q' || query_id FROM gold), tokens AS (SELECT 'c' || doc_id AS key, unnest({TOKENS}) AS token FROM documents UNION ALL SELECT 'q' || query_id, unnest({sql.tokens("question")}) FROM gold),
+{sql.encoded()},
+qu AS MATERIALIZED (SELECT query_id, gold_id, u FROM gold JOIN directions ON key = 'q' || query_id), cu AS MATERIALIZED (SELECT doc_id AS chunk_id, u FROM documents JOIN directions ON key = 'c' || doc_id),
+scores AS MATERIALIZED (SELECT query_id, gold_id, chunk_id, round(list_inner_product(qu.u, cu.u), 9) AS score FROM qu CROSS JOIN cu)
+SELECT s.query_id, variant, count(*) FILTER (s.score > g.score) + 1 AS rank FROM scores s JOIN scores g ON g.query_id = s.query_id AND g.chunk_id = g.gold_id, (VALUES ('original'), ('tables')) v(variant) GROUP BY 1, 2""")
 def full_ranks_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each passage's literal document over all documents, encoded as they are and with their tables as sentences."""
     variants = {"original": F.col("text"), "tables": augment.augment_tables(F.col("text"))}
@@ -563,10 +695,10 @@ def parse_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", evaluate.parse_qa(made).alias("qa")).select("conv_id", "turn", "qa.question", "qa.answer")
 
 
-@query(CHUNKS + "SELECT chunk_id, source, substr(text, 1, 500) AS passage FROM chunks WHERE length(text) >= 200")
+@query(CHUNKS + "SELECT chunk_id, source, substr(text, 1, 1200) AS passage FROM chunks WHERE length(text) >= 200")
 def sample_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of a sample, of which a test set takes the first of the seeded order."""
-    return evaluate.sample_passages(cut_chunks(spark, sf_dir), seed=7, most=500).drop("sample_key")
+    return evaluate.sample_passages(cut_chunks(spark, sf_dir), seed=7).drop("sample_key")
 
 
 @query()
@@ -577,3 +709,96 @@ def make_testset(spark: SparkSession, sf_dir: str) -> DataFrame:
         return passages.map(lambda p: f"问题: {p[:30]}\n答案: {p[30:60]}")
 
     return evaluate.make_testset(cut_chunks(spark, sf_dir), 20, 7, ask)
+
+
+# ----------------------------------------------------------------------------------------------------- sources and sinks
+
+
+TALKS = """WITH talks AS (SELECT conv_id, 'conversation ' || conv_id || chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY turn) || chr(10) AS text FROM conversations WHERE conv_id % 10 <> 0 GROUP BY 1)
+"""
+
+
+def talk_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one text file a conversation; every tenth is blank."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    text = F.concat(F.lit("conversation "), "conv_id", F.lit("\n"), F.array_join(F.transform("t", lambda x: x["text"]), "\n"))
+    folder = scratch_folder(spark, "texts")
+    turns.select(F.when(F.col("conv_id") % 10 == 0, " \t\u3000").otherwise(text).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def talk_number(text: Column) -> Column:
+    return F.regexp_extract(text, r"^\S+ (\d+)", 1).cast("long")
+
+
+@query(TALKS + "SELECT conv_id, md5(text) AS digest FROM talks")
+def text_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as text files and read back; blank files are left out."""
+    found = files.read_text_folder(spark, talk_files(spark, sf_dir))
+    return found.select(talk_number(F.col("text")).alias("conv_id"), F.md5("text").alias("digest"))
+
+
+def shouted(raw: bytes) -> str:
+    """A stand-in for a parser: capital letters; fails on the conversations whose number is divisible by three."""
+    text = raw.decode()
+    number = text.partition("\n")[0].rpartition(" ")[2]
+    if number.isdigit() and int(number) % 3 == 0:
+        raise ValueError(f"conversation {number}")
+    return text.replace("a", "A")
+
+
+@query(TALKS + "SELECT CASE WHEN conv_id % 3 <> 0 THEN md5(replace(text, 'a', 'A')) END AS digest, CASE WHEN conv_id % 3 = 0 THEN 'ValueError: conversation ' || conv_id END AS error FROM talks")
+def parsed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files through a parser that fails on some: those are rows of the errors table."""
+    good, bad = files.read_parsed_folder(spark, talk_files(spark, sf_dir), {"txt": shouted})
+    return good.select(F.md5("text").alias("digest"), F.lit(None).cast("string").alias("error")).unionByName(bad.select(F.lit(None).cast("string").alias("digest"), "error"))
+
+
+@query("SELECT text AS question, '' AS answer, 'item::' || item_id AS gold_id, CAST(NULL AS VARCHAR) AS gold_source, sha1(text || chr(10) || 'item::' || item_id) AS query_id FROM benchmark")
+def testset_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages written as a test set, a JSON array, and read back."""
+    path = scratch_folder(spark, "testset")
+    items = read(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), F.lit("").alias("answer"), F.concat(F.lit("item::"), "item_id").alias("gold_id"), F.lit(None).cast("string").alias("gold_source"))
+    files.write_testset(items, path)
+    return files.read_testset(spark, path)
+
+
+@query(CHUNKS + "SELECT chunk_id, text, (SELECT count(*) FROM chunks) AS n_chunks FROM chunks WHERE idx = 0 AND CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 100 = 0")
+def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index published twice, first of some chunks, then of all; chunks of the last version fetched by id."""
+    root, chunks = scratch_folder(spark, "index"), cut_chunks(spark, sf_dir)
+    for part in (chunks.filter("idx = 0"), chunks):
+        posted, terms, stats = bm25.build_index(part)
+        vectors_ = part.select("chunk_id", F.array(F.length("text").cast("float")).alias("embedding"))
+        tables.publish_index({"chunks": part, "embeddings": vectors_, "postings": posted, "term_stats": terms, "corpus_stats": stats}, root)
+    index = tables.read_index(spark, root)
+    ids = read(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.concat("source", F.lit("/"), "doc_id", F.lit("::0")).alias("chunk_id"))
+    asked = ids.unionByName(spark.createDataFrame([("nowhere::0",)], "chunk_id string"))
+    return tables.fetch_chunks(index, asked).select("chunk_id", "text", F.lit(tables.count_chunks(index)).cast("long").alias("n_chunks"))
+
+
+@query("""SELECT 'french' AS cache, count(DISTINCT sha1(text)) AS n FROM documents WHERE lang = 'fr' UNION ALL SELECT 'other model', 0 UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'unreadable', 0""")
+def cache_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache written by model and read back; another model, a missing folder and files of another kind count as empty."""
+    schema, path, broken = "model string, text_key string, embedding array<float>", scratch_folder(spark, "cache"), scratch_folder(spark, "broken")
+    docs = read(spark, sf_dir, "documents").filter("lang = 'fr'")
+    keyed = docs.select(F.lit("french").alias("model"), text_key(F.col("text")).alias("text_key"), F.array(F.length("text").cast("float")).alias("embedding")).dropDuplicates(["text_key"])
+    tables.write_cache(keyed, path)
+    spark.range(3).select(F.lit("no table").alias("value")).coalesce(1).write.option("compression", "none").text(f"{broken}/part")
+    found = {"french": tables.read_cache(spark, path, schema).filter("model = 'french'"), "other model": tables.read_cache(spark, path, schema).filter("model = 'german'"), "missing": tables.read_cache(spark, f"{path}-none", schema), "unreadable": tables.read_cache(spark, f"{broken}/part", schema)}
+    out = None
+    for name, cache in found.items():
+        row = cache.agg(F.lit(name).alias("cache"), F.count("text_key").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(DOCUMENT_CHUNKS + "SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(*) AS cached FROM chunked GROUP BY 1")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as files: chunks of every batch, and how many of their texts the cache then holds."""
+    root = scratch_folder(spark, "stream")
+    read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text").write.parquet(f"{root}/in")
+    ingest_stream(spark, f"{root}/in", f"{root}/chunks", f"{root}/cache", f"{root}/checkpoint", "hashing").awaitTermination()
+    cached = spark.read.parquet(f"{root}/cache").select("text_key").distinct().withColumn("held", F.lit(1))
+    rows = spark.read.parquet(f"{root}/chunks").join(cached, "text_key", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count("held").alias("cached"))

@@ -56,6 +56,14 @@ def read_testset(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("query_id", F.sha1(F.concat_ws("\n", "question", "gold_id")))
 
 
+def write_testset(testset: DataFrame, path: str) -> None:
+    """Questions with gold ids as one JSON array, in order of question and gold id (a test set is small)."""
+    fields = [f.split()[0] for f in TESTSET.split(", ")]
+    rows = testset.select(*[F.col(c).cast("string").alias(c) for c in fields])
+    ordered = F.array_sort(F.collect_list(F.struct("question", "gold_id", *[c for c in fields if c not in ("question", "gold_id")])))
+    rows.agg(F.to_json(F.transform(ordered, lambda r: F.struct(*[r[c].alias(c) for c in fields]))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """A test set or an answers report, as JSON lines."""
+    """An answers report, as JSON lines."""
     df.write.mode("overwrite").json(path)

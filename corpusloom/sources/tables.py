@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INDEX_TABLES = ("chunks", "embeddings", "postings", "term_stats", "corpus_stats")
+POINTER = "version string, published long"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, only one machine may make its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that no model runs twice and lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    """``df`` written once to the shared folder as Parquet, so that no model runs twice and lost executors cost nothing."""
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def publish_index(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes every table under a new version, then moves the pointer; an old version is read until that moment.
+    """Writes every table under a new version, then adds a pointer to it; older versions and pointers stay as they are.
 
     An empty corpus publishes empty tables. Returns the version.
     """
@@ -27,26 +43,35 @@ def publish_index(tables: dict[str, DataFrame], root: str) -> str:
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark.createDataFrame([(version, time.time_ns())], POINTER).coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
 def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The published version's tables."""
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
+    """The tables of the version published last."""
+    version = spark.read.schema(POINTER).json(f"{root}/current").orderBy(F.desc("published"), F.desc("version")).first()["version"]
     return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in INDEX_TABLES}
 
 
+def count_chunks(index: dict[str, DataFrame]) -> int:
+    return index["chunks"].count()
+
+
+def fetch_chunks(index: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """The chunks whose chunk_id is among ``ids`` (chunk_id); unknown ids give no row."""
+    return index["chunks"].join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
 def write_cache(cache: DataFrame, path: str, partition: str = "model") -> None:
     """A cache table by model or generator, as a new folder: never the one that is being read."""
     cache.write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache table; what is not there or cannot be read counts as empty."""
-    from pyspark.errors import AnalysisException
-
+    """A cache table; what is not there or cannot be read counts as empty. Every file's footer is read to know that."""
+    empty = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        found = spark.read.option("mergeSchema", True).parquet(path)
+        return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema])
+    except (PySparkException, Py4JJavaError):
+        return empty
