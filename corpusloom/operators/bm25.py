@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from corpusloom.functions.text import tokens
+from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Questions scored at a time.
+BLOCK = 1024
 #: Scores are rounded to so many digits before they are ranked, as sums of floats depend on their order.
 DIGITS = 9
 Tokenizer = Callable[[Column], Column]
@@ -41,29 +46,75 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     return posted, term_stats(posted, F.col("n_docs"), stats), stats
 
 
-def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, store: DataFrame | None = None, tokenizer: Tokenizer = tokens, query_id: str = "query_id", question: str = "question") -> DataFrame:
+def _best(asked: pd.DataFrame, ids: list, k: int):
+    """A function from batches of chunks (chunk_id, terms, parts; in order of ties) to each question's k best of a batch.
+
+    ``asked`` has question, term and qtf as numbers.
+    """
+    by_term = {t: (g["question"].to_numpy(), g["qtf"].to_numpy(np.float64)) for t, g in asked.groupby("term")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["terms"].map(len).to_numpy()
+            row, term, part = np.repeat(np.arange(len(pdf)), sizes), np.concatenate([*pdf["terms"], np.empty(0, np.int64)]), np.concatenate([*pdf["parts"], np.empty(0)])
+            scores, met = np.zeros((len(ids), len(pdf))), np.zeros((len(ids), len(pdf)), bool)
+            order = np.argsort(term, kind="stable")
+            starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+            for rows in np.split(order, starts[1:]):
+                if len(rows):
+                    questions, qtf = by_term[term[rows[0]]]
+                    at = np.ix_(questions, row[rows])
+                    scores[at] += qtf[:, None] * part[rows]
+                    met[at] = True
+            scores = np.where(met, np.round(scores, DIGITS), -np.inf)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            question, nth = np.nonzero(np.take_along_axis(met, top, axis=1))
+            chosen = top[question, nth]
+            yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[question], "chunk_id": pdf["chunk_id"].to_numpy()[chosen], "score": scores[question, chosen]})
+
+    return run
+
+
+def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, store: DataFrame | None = None, tokenizer: Tokenizer = tokens, query_id: str = "query_id", question: str = "question", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank), best first, ties by chunk_id.
 
-    Postings are cut down to the queries' terms before they meet the queries. With ``store`` (chunk_id, and ``store_order``
-    where the order is another), a query with fewer hits than k is filled up with chunks of score 0 in that order; a chunk
-    of negative score comes after those.
+    Questions are taken in blocks of ``block`` by a hash of their id. Postings are cut down to a block's terms and gathered
+    by chunk; each batch of chunks keeps its own k best of every question, and only those are shuffled again. With
+    ``store`` (chunk_id, and ``store_order`` where the order is another), a query with fewer hits than k is filled up with
+    chunks of score 0 in that order; a chunk of negative score comes after those.
     """
     posted, terms, stats = index
+    spark = queries.sparkSession
+    n_blocks = max(1, -(-queries.count() // block))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf")
-    found = posted.join(wanted, "term").join(F.broadcast(stats), how="cross")
+    weighed = asked.join(terms.select("term", "idf"), "term").withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    kinds = dict(asked.dtypes) | {"chunk_id": dict(posted.dtypes)["chunk_id"]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    ordered = None if store is None else (store if "store_order" in store.columns else store.withColumn("store_order", F.col("chunk_id"))).select("chunk_id", "store_order")
+    ties = "chunk_id" if ordered is None else "store_order"
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.select("term", "chunk_id", part.alias("part")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), DIGITS).alias("score"))
-    ties: list[Column] = [F.col("chunk_id").asc()]
-    if store is not None:
-        ordered = store if "store_order" in store.columns else store.withColumn("store_order", F.col("chunk_id"))
-        ties = [F.col("store_order").asc()]
-        scored = scored.join(ordered.select("chunk_id", "store_order"), "chunk_id")
+    scored = spark.createDataFrame([], schema)
+    for b in range(n_blocks):
+        mine = (weighed.filter(F.col("__block") == b) if n_blocks > 1 else weighed).select("query_id", "term", "qtf", "idf").toPandas()
+        if mine.empty:
+            continue
+        ids, numbers = sorted(mine["query_id"].unique().tolist()), mine.drop_duplicates("term")[["term", "idf"]].reset_index(drop=True)
+        known = spark.createDataFrame(numbers.assign(no=range(len(numbers))), "term string, idf double, no int")
+        found = posted.join(F.broadcast(known), "term").join(F.broadcast(stats), how="cross").select("chunk_id", F.struct("no", part.alias("part")).alias("x"))
+        gathered = found.groupBy("chunk_id").agg(F.collect_list("x").alias("x")).select("chunk_id", F.col("x.no").alias("terms"), F.col("x.part").alias("parts"))
+        if ordered is not None:
+            gathered = gathered.join(ordered, "chunk_id")
+        in_order = gathered.sortWithinPartitions(ties).select("chunk_id", "terms", "parts")
+        numbered = pd.DataFrame({"question": mine["query_id"].map({q: i for i, q in enumerate(ids)}), "term": mine["term"].map({t: i for i, t in enumerate(numbers["term"])}), "qtf": mine["qtf"]})
+        best = in_order.mapInPandas(_best(numbered, ids, k), schema)
+        scored = scored.unionByName(materialize(best) if n_blocks > 1 or store is not None else best)
+    if ordered is not None:
         # a query's k fillers are among the first k + its number of hits; hits beyond k need none
         hits = queries.select(F.col(query_id).alias("query_id")).join(scored.filter("score >= 0").groupBy("query_id").count(), "query_id", "left").select("query_id", F.coalesce("count", F.lit(0)).alias("n")).filter(F.col("n") < k)
-        first = ordered.select("chunk_id", "store_order").orderBy("store_order").limit(2 * k)
-        fill = hits.select("query_id").join(F.broadcast(first), how="cross").join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        scored = scored.select("query_id", "chunk_id", "score", "store_order").unionByName(fill.withColumn("score", F.lit(0.0)))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *ties))
+        first = ordered.orderBy("store_order").limit(2 * k)
+        met = posted.join(F.broadcast(first.select("chunk_id")), "chunk_id").join(asked, "term").select("query_id", "chunk_id").distinct()
+        fill = hits.select("query_id").join(F.broadcast(first.select("chunk_id")), how="cross").join(met, ["query_id", "chunk_id"], "left_anti")
+        scored = scored.unionByName(fill.withColumn("score", F.lit(0.0))).join(ordered, "chunk_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), ties))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")

@@ -52,23 +52,26 @@ def split_pages(text: Column, patterns: PagePatterns = PATTERNS) -> Column:
 
 def is_header(line: Column, patterns: PagePatterns = PATTERNS) -> Column:
     """A short line that is a page number or names a chapter."""
-    s = strip(line)
-    return (s != "") & (F.length(s) <= patterns.header_chars) & (s.rlike(patterns.number_only) | s.rlike(patterns.header_prefix) | s.rlike(patterns.header_anywhere))
+    either = "|".join(f"(?:{p})" for p in (patterns.number_only, patterns.header_prefix, patterns.header_anywhere))
+    return let(strip(line), lambda s: (s != "") & (F.length(s) <= patterns.header_chars) & s.rlike(either))
 
 
 def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS) -> Column:
     """The first line that is not blank goes if it is a header, then the last one if it is a page number."""
 
     def without(xs: Column, at: Column) -> Column:
-        return F.filter(xs, lambda _, i: i != at)
+        return F.concat(F.slice(xs, F.lit(1), at), F.slice(xs, at + 2, F.size(xs)))
+
+    def full(xs: Column) -> Column:
+        return F.transform(xs, lambda x: ~is_blank(x))
 
     def top(xs: Column) -> Column:
-        first = F.array_position(F.transform(xs, lambda x: ~is_blank(x)), F.lit(True)).cast("int") - 1
-        return F.when((first >= 0) & is_header(F.get(xs, first), patterns), without(xs, first)).otherwise(xs)
+        first = F.array_position(full(xs), F.lit(True)).cast("int") - 1
+        return let(first, lambda k: F.when((k >= 0) & F.coalesce(is_header(F.get(xs, k), patterns), F.lit(False)), without(xs, k)).otherwise(xs))
 
     def bottom(xs: Column) -> Column:
-        last = F.size(xs) - F.array_position(F.reverse(F.transform(xs, lambda x: ~is_blank(x))), F.lit(True)).cast("int")
-        return F.when((last < F.size(xs)) & strip(F.get(xs, last)).rlike(patterns.number_only), without(xs, last)).otherwise(xs)
+        last = F.size(xs) - F.array_position(F.reverse(full(xs)), F.lit(True)).cast("int")
+        return let(last, lambda k: F.when((k < F.size(xs)) & strip(F.get(xs, k)).rlike(patterns.number_only), without(xs, k)).otherwise(xs))
 
     return let(let(lines, top), bottom)
 
@@ -76,14 +79,8 @@ def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS) -> Column
 def drop_running_headers(lines: Column, patterns: PagePatterns = PATTERNS) -> Column:
     """Lines that as a whole are a running header go wherever they stand."""
 
-    def stays(line: Column) -> Column:
-        s = strip(line)
-        hit = F.lit(False)
-        for p in patterns.standalone:
-            hit = hit | s.rlike(p)
-        return ~hit
-
-    return F.filter(lines, stays)
+    either = "|".join(f"(?:{p})" for p in patterns.standalone)
+    return F.filter(lines, lambda line: ~strip(line).rlike(either))
 
 
 def join_bodies(bodies: Column) -> Column:
@@ -92,25 +89,20 @@ def join_bodies(bodies: Column) -> Column:
 
 
 def strip_references(text: Column, patterns: PagePatterns = PATTERNS) -> Column:
-    """Struct (text, removed): each reference list goes from its heading to before the next other heading."""
-
-    def run(lines: Column) -> Column:
-        def places(test) -> Column:
-            return F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    """Struct (text, removed): each reference list goes from its heading to before the next other heading.
 
-        refs = places(lambda x: x.rlike(patterns.reference_heading))
-        ends = places(lambda x: x.rlike(patterns.heading) & ~x.rlike(patterns.reference_heading))
-
-        def keep(r: Column, e: Column) -> Column:
-            def outside(_: Column, i: Column) -> Column:
-                began, ended = F.array_max(F.filter(r, lambda p: p <= i)), F.array_max(F.filter(e, lambda p: p <= i))
-                return began.isNull() | F.coalesce(ended > began, F.lit(False))
-
-            return F.filter(lines, outside)
+    Three passes of expressions over the whole text; the patterns of lines are taken as they are, with every class of
+    white space kept within its line.
+    """
+    inner = SPACE.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
+    listed, heading = (p.replace(SPACE, inner).removeprefix("^").removesuffix(r"\z") for p in (patterns.reference_heading, patterns.heading))
+    rest = rf"(?:{listed})$(?:\n(?!(?!(?:{listed})$)(?:{heading}))[^\n]*)*+"
 
-        return let(refs, lambda r: F.struct(F.array_join(let(ends, lambda e: keep(r, e)), "\n").alias("text"), F.size(r).alias("removed")))
+    def run(t: Column) -> Column:
+        open_ended = F.regexp_replace(t, rf"(?md)(?:\A|\n){rest}\z", "")
+        return F.struct(F.regexp_replace(open_ended, rf"(?md)^{rest}\n", "").alias("text"), F.regexp_count(t, F.lit(rf"(?md)^(?:{listed})$")).alias("removed"))
 
-    return let(F.split(text, "\n"), run)
+    return let(text, run)
 
 
 def clean_pages(documents: DataFrame, rules: DataFrame | None = None, patterns: PagePatterns = PATTERNS) -> DataFrame:
@@ -128,7 +120,7 @@ def clean_pages(documents: DataFrame, rules: DataFrame | None = None, patterns:
             lambda edged: F.struct(
                 p["page_no"].alias("page_no"),
                 inside.alias("in_range"),
-                (F.array_join(edged, "\n") != F.array_join(p["lines"], "\n")).alias("changed"),
+                (F.size(edged) != F.size(p["lines"])).alias("changed"),
                 strip(F.array_join(drop_running_headers(edged, patterns), "\n")).alias("body"),
             ),
         )

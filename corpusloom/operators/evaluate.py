@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import SPACE, let, strip
 from corpusloom.operators import embedding, retrieve, vectors
 from corpusloom.operators.augment import strip_think
 from corpusloom.sources.tables import materialize
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_CHARS, PASSAGE_CHARS, LEAST_QUESTION = 200, 1200, 4
+#: Words in a row that stand for a passage.
+ANCHOR = 8
 
 
 def parse_qa(text: Column, wide_colon: bool = True) -> Column:
@@ -50,6 +52,42 @@ def make_testset(chunks: DataFrame, n: int, seed: int, generate: Callable[[pd.Se
     return found.orderBy("sample_key", "chunk_id").limit(n).select(F.col("chunk_id").alias("query_id"), "qa.question", "qa.answer", F.col("chunk_id").alias("gold_id"), F.col("source").alias("gold_source"))
 
 
+def literal_pairs(passages: DataFrame, documents: DataFrame, passage_id: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(passage_id, doc_id) of documents that have a passage's text literally.
+
+    Whatever stands between the first and the last white space of a passage are whole words of the document too. ANCHOR of
+    them in a row, or one where there are fewer, are joined by hash to the documents' words, and only those pairs are
+    compared in full. Passages of less than three words have no such word; they alone are compared with every document.
+    """
+    def words(t: Column) -> Column:
+        return F.split(t, rf"[{SPACE}]+")
+
+    def anchor(w: Column) -> Column:
+        longest = F.array_max(F.transform(F.slice(w, F.lit(2), F.size(w) - 2), lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+        return F.when(F.size(w) >= ANCHOR + 2, F.xxhash64(F.slice(w, 2, ANCHOR))).when(F.size(w) > 2, F.xxhash64(longest))
+
+    asked = passages.select(F.col(passage_id).alias("__p"), F.col(text).alias("__said"), let(words(F.col(text)), lambda w: F.struct(anchor(w).alias("a"), F.size(w).alias("n"))).alias("__w"))
+    asked = materialize(asked.filter(F.col("__said") != "").select("__p", "__said", "__w.a", "__w.n"))
+    docs = documents.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"))
+
+    def matched(some: DataFrame, hashes: Callable[[Column], Column]) -> DataFrame:
+        each = docs.select("__d", F.explode(let(words(F.col("__t")), hashes)).alias("a"))
+        pairs = each.join(some.select("__p", "a"), "a").select("__d", "__p").distinct()
+        full = docs.join(pairs, "__d").join(some.select("__p", "__said"), "__p")
+        return full.filter(F.col("__t").contains(F.col("__said"))).select("__p", "__d")
+
+    counts = asked.agg(F.count_if(F.col("n") >= ANCHOR + 2).alias("long"), F.count_if((F.col("n") > 2) & (F.col("n") < ANCHOR + 2)).alias("short"), F.count_if(F.col("n") <= 2).alias("tiny")).first()
+    out = asked.limit(0).join(docs.limit(0), how="cross").select("__p", "__d")
+    if counts["long"]:
+        runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(ANCHOR))))
+        out = out.unionByName(matched(asked.filter(F.col("n") >= ANCHOR + 2), runs))
+    if counts["short"]:
+        out = out.unionByName(matched(asked.filter((F.col("n") > 2) & (F.col("n") < ANCHOR + 2)), lambda w: F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))))
+    if counts["tiny"]:
+        out = out.unionByName(docs.join(asked.filter("n <= 2"), F.col("__t").contains(F.col("__said"))).select("__p", "__d"))
+    return out.select(F.col("__p").alias(passage_id), F.col("__d").alias(doc_id))
+
+
 def gold_ranks(testset: DataFrame, ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(query_id, keys, rank): the gold chunk's rank in each list of ``ranked`` (query_id, keys, chunk_id, rank), or null."""
     keys = keys or ["stage"]

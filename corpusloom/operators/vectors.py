@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from corpusloom.sources.tables import materialize
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ BLOCK, DIGITS = 1024, 9
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "chunk_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, best first, ties by id.
 
-    Queries are taken in blocks of ``block`` by a hash of their id; a block's matrix (bounded) goes to every task, each
-    batch of vectors keeps its own k best of every query, and only those are shuffled.
+    Queries are taken in blocks of ``block`` by a hash of their id, one after the other; a block's matrix (bounded) goes to
+    every task, each batch of vectors keeps its own k best of every query, and only those are shuffled.
     """
     kind = dict(vectors.select(vector_id).dtypes)[vector_id]
     n_blocks = max(1, -(-queries.count() // block))
@@ -43,7 +44,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
         if len(rows):
             matrix = np.stack(rows[embedding].to_numpy()).astype(np.float64)
             length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            parts.append(vectors.select(vector_id, embedding).filter(F.col(embedding).isNotNull()).mapInPandas(best(matrix / np.where(length == 0, 1, length), rows[query_id].tolist()), f"query_id {qkind}, chunk_id {kind}, score double"))
+            found = (vectors.select(vector_id, embedding).filter(F.col(embedding).isNotNull()).mapInPandas(best(matrix / np.where(length == 0, 1, length), rows[query_id].tolist()), f"query_id {qkind}, chunk_id {kind}, score double"))
+            parts.append(materialize(found) if n_blocks > 1 else found)
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"query_id {qkind}, chunk_id {kind}, score double, rank int")
     all_ = parts[0]
@@ -59,7 +61,8 @@ def gold_ranks(testset: DataFrame, vectors: DataFrame, vector_id: str = "chunk_i
     Each batch of vectors counts its nearer ones for a block of questions; only the counts are shuffled.
     """
     gold = vectors.select(F.col(vector_id).alias("gold_id"), F.col(embedding).alias("__gold"))
-    held = testset.join(gold, "gold_id").withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-testset.count() // block)))))
+    n_blocks = max(1, -(-testset.count() // block))
+    held = testset.join(gold, "gold_id").withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     kind = dict(testset.dtypes)["query_id"]
 
     def unit(column: pd.Series) -> np.ndarray:
@@ -76,12 +79,13 @@ def gold_ranks(testset: DataFrame, vectors: DataFrame, vector_id: str = "chunk_i
         return run
 
     parts = None
-    for b in range(max(1, -(-testset.count() // block))):
+    for b in range(n_blocks):
         rows = held.filter(F.col("__block") == b).select("query_id", "embedding", "__gold").toPandas()
         if len(rows):
             asked = unit(rows["embedding"])
             least = np.round((asked * unit(rows["__gold"])).sum(axis=1), DIGITS)
-            found = vectors.select(embedding).filter(F.col(embedding).isNotNull()).mapInPandas(nearer(asked, least, rows["query_id"].tolist()), f"query_id {kind}, higher long")
+            found = vectors.select(embedding).filter(F.col(embedding).isNotNull()).mapInPandas(nearer(asked, least, rows["query_id"].tolist()), f"query_id {kind}, higher long").groupBy("query_id").agg(F.sum("higher").alias("higher"))
+            found = materialize(found) if n_blocks > 1 else found
             parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank long")

@@ -583,16 +583,10 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------------------- evaluation
 
 
-def gold(spark: SparkSession, sf_dir: str, block: int = 1000) -> DataFrame:
-    """Benchmark passages with the least document that has them literally; passages are taken in blocks of bounded size."""
-    asked = read(spark, sf_dir, "benchmark").select("item_id", "text")
-    n_blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n_blocks):
-        passages = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).select("item_id", F.col("text").alias("passage"))
-        docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-        hits = docs.join(F.broadcast(passages), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.min(F.struct("doc_id", "source")).alias("g"))
-        found = hits if found is None else found.unionByName(hits)
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages with the least document that has them literally."""
+    asked, docs = read(spark, sf_dir, "benchmark").select("item_id", "text"), read(spark, sf_dir, "documents")
+    found = evaluate.literal_pairs(asked, docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("item_id").agg(F.min(F.struct("doc_id", "source")).alias("g"))
     out = asked.join(found, "item_id")
     return out.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.col("g.doc_id").alias("gold_id"), F.col("g.source").alias("gold_source"))
 

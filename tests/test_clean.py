@@ -38,6 +38,29 @@ def test_references(spark):
     assert (got.text, got.removed) == ("a\n# B", 1)
 
 
+def test_references_of_any_mixture_of_lines(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    kinds = ["a", "", "## 参考文献", "##参考文献 ", "# B", "#\u3000C", "#no", "## 参考文献 x", "\u3000", "b\r"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(9))) for _ in range(400)] + ["\n".join(kinds * 3000)]
+
+    def naive(text):
+        out, inside, n = [], False, 0
+        for line in text.split("\n"):
+            if re.search(r"^#{1,6}\s*参考文献\s*\Z", line):
+                inside, n = True, n + 1
+            elif re.search(r"^#{1,6}\s", line):
+                inside = False
+            if not inside:
+                out.append(line)
+        return "\n".join(out), n
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean.strip_references(F.col("t")).alias("r")).collect()
+    assert [(r.r.text, r.r.removed) for r in rows] == [naive(r.t) for r in rows]
+
+
 def test_tables_to_markdown(spark):
     kind = "array<array<string>>"
     assert one(spark, [["a", None], ["x\ny ", "b", "c"], ["", " "]], clean.table_to_markdown, kind) == "| a |  |  |\n| --- | --- | --- |\n| x y | b | c |"
