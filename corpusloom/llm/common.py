@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +22,8 @@ SLICE_BYTES = 1_500_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
+_LIBRARY = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    held = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return held, seen.get["n"]
+
+
+def give_back() -> None:
+    """Returns memory that is free inside this Python process to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBRARY, "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """From now on the session sends at most BATCH_ROWS rows at a time to Python, as whole texts may be long."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -77,12 +95,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > limit:
             yield start, i
-            pa.default_memory_pool().release_unused()
+            give_back()
             start, held = i, 0
         held += n
     if start < len(sizes):
         yield start, len(sizes)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -1,12 +1,12 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins on node ids; nothing is gathered on the driver but a count and a checksum
-that tell when a round changed nothing. The rounds needed grow with the logarithm of the number of nodes.
+, taken while a round is written, that tell when it changed nothing. The rounds needed grow with the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,13 +27,15 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from each node that has a link; ``links`` has long columns a, b."""
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def written(found: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        held = cut(found.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("checksum")))
+        return held, seen.get
+
+    edges, now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
-            break
+    while now != before and now["n"]:
         before = now
-        edges = cut(_small(_large(edges)))
+        edges, now = written(_small(_large(edges)))
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

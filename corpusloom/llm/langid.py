@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, slices, words_of
+from .common import bounded_batches, give_back, held_out, slices, words_of
 from .pretokens import expand
 
 TRAIN_ROWS, TRAIN_BYTES, LANGUAGES, ORDER = 500, 1 << 16, 256, 4
@@ -205,7 +205,11 @@ def fit(documents: DataFrame, rows: int = TRAIN_ROWS, languages: int = LANGUAGES
     texts: dict[str, list[str]] = {}
     for lang, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
         texts.setdefault(lang, []).append(text)
-    return train(texts)
+    del got
+    trees = train(texts)
+    del texts
+    give_back()
+    return trees
 
 
 def identify(documents: DataFrame, trees: Trees) -> DataFrame:

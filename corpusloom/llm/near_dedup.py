@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import bounded_batches, cut, mix, slices, windows_hash, word_hashes, words_of
+from .common import bounded_batches, cut, cut_counted, mix, slices, windows_hash, word_hashes, words_of
 from .components import components
 
 POSITIONS, BANDS, SHINGLE, PERCENT = 128, 32, 4, 80
@@ -169,8 +169,8 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 def class_sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
     """(set_key, elements) of the classes in ``keys``, read again from one text of each."""
-    wanted = cut(keys.select("set_key").join(classes.select("set_key", "doc_id"), "set_key").select("doc_id").distinct())
-    texts, _ = bloom.split(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, wanted.count())
+    wanted, n = cut_counted(keys.select("set_key").join(classes.select("set_key", "doc_id"), "set_key").select("doc_id").distinct())
+    texts, _ = bloom.split(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, n)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,11 +256,11 @@ def open_pairs(rest: DataFrame, classes: DataFrame, documents: DataFrame, shingl
     return met.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, set_key, root) of the buckets of three or more that hold several components."""
+def _open_members(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(band, set_key, root) of the buckets of three or more that hold several components, and the number of rows."""
     rooted = members.filter("members > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("band", "set_key", F.coalesce("root", "set_key").alias("root"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    return cut(rooted.join(several, "band", "left_semi"))
+    return cut_counted(rooted.join(several, "band", "left_semi"))
 
 
 def _absorb(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,16 +291,16 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     # buckets of three or more in which the pivot left several components: first the member linked with most pivots is
     # compared with the others, then what is left by rarest elements
     degrees = links.groupBy(F.col("b").alias("set_key")).agg(F.count("*").alias("degree"))  # pivots that it is linked with
-    left = _open_members(members, roots)
-    if not left.isEmpty():
+    left, n_left = _open_members(members, roots)
+    if n_left:
         known = left.join(degrees, "set_key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         hubs = known.groupBy("band").agg(F.max_by(F.struct("set_key", "root"), F.struct("degree", "set_key")).alias("hub"))
         met = known.join(hubs, "band").filter("root <> hub.root").select(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b")).distinct()
         alike = met.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
         roots = cut(_absorb(roots, confirm(cut(alike), classes, documents, shingle, percent)))
-        left = _open_members(members, roots)
-    rest = cut(left.select("set_key", "root").distinct())
-    if not rest.isEmpty():
+        left, n_left = _open_members(members, roots)
+    if n_left:
+        rest = cut(left.select("set_key", "root").distinct())
         more = open_pairs(rest, classes, documents, shingle, percent)
         alike = more.join(side("b"), "b").join(side("a"), "a").filter(_alike("a", "b", percent)).select("a", "b")
         roots = cut(_absorb(roots, confirm(cut(alike), classes, documents, shingle, percent)))
@@ -319,7 +319,7 @@ def keep_one(documents: DataFrame, shingle: int, percent: int = PERCENT) -> Data
     Only rows that a bounded filter marks are shuffled with their texts.
     """
     judged = cut(near_duplicates(documents, shingle, percent))
-    twice = cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR NOT kept").select("doc_id", "kept"))
-    hits, rest = bloom.split(documents, "doc_id", twice.select("doc_id"), twice.count())
+    twice, n = cut_counted(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR NOT kept").select("doc_id", "kept"))
+    hits, rest = bloom.split(documents, "doc_id", twice.select("doc_id"), n)
     again = hits.join(twice.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rest.unionByName(again).select(*documents.columns)

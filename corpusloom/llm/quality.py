@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, mix, slices, words_of
+from .common import bounded_batches, give_back, held_out, mix, slices, words_of
 from .pretokens import expand
 
 TRAIN_ROWS, TRAIN_BYTES = 4096, 1 << 16
@@ -172,7 +172,9 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", row
     # at most ``rows`` rows are broadcast and collected
     short = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     got = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "__label").toArrow()
-    return train(got.column(0).to_pylist(), got.column(1).to_pylist())
+    model = train(got.column(0).to_pylist(), got.column(1).to_pylist())
+    give_back()
+    return model
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

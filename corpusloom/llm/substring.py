@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import bounded_batches, cut, mix, slices, windows_hash, word_hashes, words_of
+from .common import bounded_batches, cut, cut_counted, mix, slices, windows_hash, word_hashes, words_of
 
 WIDTH, ROUNDS, LEAST_SPAN = 13, 4, 3
 _ALL = (1 << 64) - 1
@@ -186,8 +186,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
     # 1. whole texts
     digests = docs.filter("doc_id IS NOT NULL").select(F.md5("text").alias("digest"), "doc_id")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    copies = cut(digests.join(firsts, "digest").filter("doc_id > low").select(F.concat_ws(":", "doc_id", "digest").alias("__key")).distinct())
-    n_copies = copies.count()
+    copies, n_copies = cut_counted(digests.join(firsts, "digest").filter("doc_id > low").select(F.concat_ws(":", "doc_id", "digest").alias("__key")).distinct())
     log2 = bloom.log2_blocks(n_copies)
     probed = bloom.probe(docs, "__key", bloom.build(copies, "__key", log2), log2, "__maybe")
     judged = cut(probed.filter("__maybe").drop("__maybe").join(copies.withColumn("__copy", F.lit(True)), "__key", "left"))
@@ -195,16 +194,16 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
     rest = probed.filter("NOT __maybe").drop("__maybe").unionByName(judged.filter("__copy IS NULL").drop("__copy"))
     # 2. anchors
     usable = rest.filter("doc_id IS NOT NULL")
-    shared = cut(shared_anchors(usable, width))
-    blocks = bloom.collect_hashed(shared, "anchor", shared.count())
+    shared, n_shared = cut_counted(shared_anchors(usable, width))
+    blocks = bloom.collect_hashed(shared, "anchor", n_shared)
     # 3. windows
     windows = cut(candidate_windows(usable.select("doc_id", "text", F.col("__variant").alias("variant")), blocks, width))
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
     later = windows.join(least, ["k1", "k2"]).filter("doc_id > low")
-    starts = cut(later.groupBy("doc_id", F.col("variant").alias("__variant")).agg(F.collect_set("start").alias("__starts")))
+    starts, n_starts = cut_counted(later.groupBy("doc_id", F.col("variant").alias("__variant")).agg(F.collect_set("start").alias("__starts")))
     # 4. words
     listed = starts.select(F.col("doc_id").alias("__doc")).distinct()
-    log2 = bloom.log2_blocks(starts.count())
+    log2 = bloom.log2_blocks(n_starts)
     touched = bloom.probe(rest.drop("__key"), "doc_id", bloom.build(listed, "__doc", log2), log2, "__maybe")
     nothing = F.lit(None).cast("array<int>")
     cut_down = touched.filter("__maybe").drop("__maybe").join(starts, ["doc_id", "__variant"], "left")
