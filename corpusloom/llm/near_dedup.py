@@ -102,8 +102,8 @@ def super_minhash(elements: np.ndarray, offsets: np.ndarray, positions: int = PO
 
 
 def features(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_key, lanes, bands) of every document; the last three null without shingles or id."""
-    schema = "doc_id long, n_shingles long, set_key long, lanes array<long>, bands array<long>"
+    """(doc_id, text_hash, n_shingles, set_key, lanes, bands) of every document; the last three null without shingles or id."""
+    schema = "doc_id long, text_hash long, n_shingles long, set_key long, lanes array<long>, bands array<long>"
 
     def lists(values: np.ndarray, present: np.ndarray) -> pa.Array:
         width = values.shape[1]
@@ -113,8 +113,8 @@ def features(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices(batch.column(1), SLICE):
-                ids, texts = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+            for start, stop in slices(batch.column(2), SLICE):
+                ids, hashes, texts = (batch.column(i).slice(start, stop - start) for i in range(3))
                 elements, offsets = shingle_sets(texts, shingle)
                 n = np.diff(offsets)
                 signed = []
@@ -131,9 +131,13 @@ def features(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = np.repeat(band, len(n), axis=0)
                 for k in range(ROWS):
                     keys = mix(keys + bits[:, k::ROWS])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_set_keys(elements, offsets), mask=~present), lists(lanes, present), lists(keys, present)], names=["doc_id", "n_shingles", "set_key", "lanes", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(n.astype(np.int64)), pa.array(_set_keys(elements, offsets), mask=~present), lists(lanes, present), lists(keys, present)], names=["doc_id", "text_hash", "n_shingles", "set_key", "lanes", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _set_keys(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -276,6 +280,11 @@ def _absorb(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``."""
+    return judged(documents, shingle, percent).drop("text_hash")
+
+
+def judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with a hash of each row's text."""
     bounded_batches(documents.sparkSession)
     held = cut(features(documents, shingle))
     linked = held.filter("set_key IS NOT NULL")
@@ -308,18 +317,20 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = joined.join(least, "root").select("set_key", "component_id")
     named = classes.select("set_key", "doc_id").join(of_class, "set_key", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = held.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = held.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(documents: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
-    """``documents`` without all but the least id of each component, and without rows that repeat an id.
+    """``documents`` without the rows that belong to a component of a smaller id, and without repeated rows.
 
-    Only rows that a bounded filter marks are shuffled with their texts.
+    Every row is judged by its own text, also where rows repeat an id. Only rows that a bounded filter marks are shuffled
+    with their texts.
     """
-    judged = cut(near_duplicates(documents, shingle, percent))
-    twice, n = cut_counted(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR NOT kept").select("doc_id", "kept"))
-    hits, rest = bloom.split(documents, "doc_id", twice.select("doc_id"), n)
-    again = hits.join(twice.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(again).select(*documents.columns)
+    rows = cut(judged(documents, shingle, percent).select("doc_id", "text_hash", "kept"))
+    marked, n = cut_counted(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n > 1 OR NOT kept").select("doc_id"))
+    hits, rest = bloom.split(documents, "doc_id", marked, n)
+    good = rows.filter("kept").join(marked, "doc_id", "left_semi").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    again = hits.withColumn("__hash", _text_hash()).join(good, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return rest.unionByName(again.select(*documents.columns)).select(*documents.columns)

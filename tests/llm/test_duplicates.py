@@ -105,6 +105,14 @@ def test_keep_one_keeps_columns_and_one_row_an_id(spark):
     assert near_dedup.keep_one(docs.limit(0), 5).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, one, "x"), (5, one, "y"), (5, other, "z"), (5, other, "z"), (7, other, "w"), (8, None, "v"), (None, one, "u"), (None, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted((tuple(r) for r in near_dedup.keep_one(docs, 5).collect()), key=repr)
+    assert got == sorted([(3, one, "x"), (5, other, "z"), (8, None, "v"), (None, one, "u"), (None, None, "t")], key=repr)
+
+
 def test_super_minhash_estimates_with_low_variance():
     rng = np.random.default_rng(0)
     errors = []
