@@ -2,12 +2,14 @@
 
 ``encode`` carries bytes in the ancillary data of silent MPEG-1 Layer III frames (32 kHz, mono, checksummed): an ID3v2
 tag, a variable-bitrate table, frames of 320 kbit/s with two units of 576 bytes each, one of 160 kbit/s for an odd last
-unit, and an ID3v1 tag. ``parse`` reads any MPEG audio stream (versions 1, 2, 2.5; layers I to III): it skips tags, finds
-frame headers again after foreign bytes, reads Xing, Info and VBRI tables, verifies frame checksums of Layer III, and
-gives exact durations and the offset of every frame.
+unit, and an ID3v1 tag. ``parse`` reads any MPEG audio stream (versions 1, 2, 2.5; layers I to III): it reads the text
+frames of ID3v2 tags (2.2 to 2.4) and the fields of ID3v1, finds frame headers again after foreign bytes, reads Xing,
+Info and VBRI tables with their seek points, verifies the checksums of protected frames of every layer, and gives exact
+durations and the offset of every frame.
 
 Defined cases: null text is empty and makes one unit of filling; equal texts give equal bytes; bytes without any frame
-parse to zero frames; a stream cut off in its last frame keeps the frames before it and counts the rest as skipped.
+parse to zero frames; a stream cut off in its last frame keeps the frames before it and counts the rest as skipped;
+repeated rows and null ids each get their row; columns of the input other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +43,12 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 #: Bytes of side information of Layer III, for (MPEG-1?, mono?).
 SIDE = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}
 CRC_POLYNOMIAL, CRC_START = 0x8005, 0xFFFF
+#: Layer II: (first subband, bits of its allocation) by table; the number of subbands is chosen with the table.
+ALLOCATION_HIGH, ALLOCATION_LOW, ALLOCATION_HALF = ((0, 4), (11, 3), (23, 2)), ((0, 4), (2, 3)), ((0, 4), (4, 3), (11, 2))
+#: Fields of an ID3v1 tag: (name, first byte, length).
+ID3V1 = (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4), ("comment", 97, 30))
+#: Codecs of ID3v2 text by its first byte.
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
 @dataclass(frozen=True)
@@ -51,6 +59,7 @@ class Header:
     kbps: int
     rate: int
     mono: bool
+    bound: int
     length: int
     samples: int
 
@@ -73,7 +82,8 @@ def header(raw: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     slot = 4 if layer == 1 else 1
     length = (samples // 8 // slot * kbps * 1000 // rate + padding) * slot
-    return Header(version, layer, not raw[1] & 1, kbps, rate, raw[3] >> 6 == 3, length, samples)
+    joint = raw[3] >> 6 == 1 and layer < 3  # subbands from the bound on share their allocation
+    return Header(version, layer, not raw[1] & 1, kbps, rate, raw[3] >> 6 == 3, 4 * (raw[3] >> 4 & 3) + 4 if joint else 32, length, samples)
 
 
 @lru_cache(maxsize=4096)
@@ -87,6 +97,44 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _subbands(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    kbps = h.kbps if h.mono else h.kbps // 2
+    if h.version != 3:
+        n, steps = 30, ALLOCATION_HALF
+    elif kbps < 56:
+        n, steps = 12 if h.rate == 32000 else 8, ALLOCATION_LOW
+    else:
+        n, steps = 30 if kbps >= 96 and h.rate != 48000 else 27, ALLOCATION_HIGH
+    return [next(bits for first, bits in reversed(steps) if first <= sb) for sb in range(n)]
+
+
+def protected_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers: side information, or allocations (and, in Layer II, scale factor selections)."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * sum(channels if sb < h.bound else 1 for sb in range(32))
+    value, at, used = int.from_bytes(frame[6:66].ljust(60, b"\0"), "big"), 0, 0
+    for sb, bits in enumerate(_subbands(h)):
+        for _ in range(channels if sb < h.bound else 1):
+            at += bits
+            if value >> 480 - at & (1 << bits) - 1:
+                used += 1 if sb < h.bound else channels
+    return at + 2 * used
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The checksum that a protected frame should have."""
+    n = protected_bits(frame, h)
+    crc = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for k in range(n % 8):
+        bit = frame[6 + n // 8] >> 7 - k & 1
+        crc = (crc << 1 ^ (CRC_POLYNOMIAL if (crc >> 15) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -133,6 +181,7 @@ class Stream:
     table_frames: int = 0
     table_bytes: int = 0
     toc: bytes = b""
+    seek: list[int] = field(default_factory=list)
     skipped: int = 0
     checked: int = 0
     broken: int = 0
@@ -150,23 +199,55 @@ class Stream:
         return sum(n * 1_000_000 // rate for rate, n in by_rate.items())
 
 
+def _number(raw: bytes, syncsafe: bool) -> int:
+    out = 0
+    for b in raw:
+        out = out << 7 | b & 0x7F if syncsafe else out << 8 | b
+    return out
+
+
 def _id3v2(data: bytes, at: int, out: Stream) -> int:
-    """Reads the tag at ``at`` and gives the place after it; user texts go into ``out.tags``."""
-    size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=False))
-    end, place = at + 10 + size, at + 10
-    while place + 10 <= min(end, len(data)) and data[place] != 0:
-        length = int.from_bytes(data[place + 4 : place + 8], "big")
-        if data[place : place + 4] == b"TXXX":
-            name, _, value = data[place + 11 : place + 10 + length].partition(b"\0")
-            out.tags[name.decode("latin-1")] = value.decode("latin-1")
-        place += 10 + length
-    return end
+    """Reads the tag at ``at`` and gives the place after it; text frames go into ``out.tags`` by id or, user texts, by name."""
+    major, flags, size = data[at + 3], data[at + 5], _number(data[at + 6 : at + 10], True)
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    place = 0
+    if flags & 0x40 and major > 2:  # an extended header
+        place = _number(body[:4], True) if major == 4 else 4 + _number(body[:4], False)
+    head, name_size = (6, 3) if major == 2 else (10, 4)
+    while place + head <= len(body) and body[place]:
+        name = body[place : place + name_size].decode("latin-1")
+        length = _number(body[place + name_size : place + 2 * name_size], major == 4)
+        raw = body[place + head : place + head + length]
+        if major == 4 and flags & 0x80:
+            raw = raw.replace(b"\xff\0", b"\xff")
+        if name.startswith("T") and raw and raw[0] < len(ENCODINGS):
+            text = raw[1:].decode(ENCODINGS[raw[0]], "replace")
+            if name in ("TXXX", "TXX"):
+                name, _, text = text.partition("\0")
+                text = text.removeprefix("\ufeff")
+            out.tags[name] = text.rstrip("\0")
+        place += head + length
+    return at + 10 + size + (10 if major == 4 and flags & 0x10 else 0)
+
+
+def _id3v1(raw: bytes, out: Stream) -> None:
+    for name, first, n in ID3V1:
+        if text := raw[first : first + n].partition(b"\0")[0].decode("latin-1").rstrip():
+            out.tags[f"v1.{name}"] = text
+    if raw[125] == 0 and raw[126]:
+        out.tags["v1.track"] = str(raw[126])
 
 
 def _table(frame: bytes, h: Header, out: Stream) -> bool:
-    """Reads a variable-bitrate table, if the frame has one."""
-    if frame[36:40] == b"VBRI":
-        out.table, (out.table_bytes, out.table_frames) = "VBRI", struct.unpack(">II", frame[46:54])
+    """Reads a variable-bitrate table, if the frame has one; ``out.seek`` gets byte places counted from the frame."""
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.table, (out.table_bytes, out.table_frames, entries, scale, width) = "VBRI", struct.unpack(">IIHHH", frame[46:60])
+        place = 0
+        for k in range(entries if width else 0):
+            place += _number(frame[62 + k * width : 62 + (k + 1) * width], False) * scale
+            out.seek.append(place)
         return True
     at = 4 + h.side
     name = frame[at : at + 4]
@@ -177,6 +258,7 @@ def _table(frame: bytes, h: Header, out: Stream) -> bool:
         if flags & bit:
             raw, at = frame[at : at + n], at + n
             setattr(out, what, raw if bit == 4 else int.from_bytes(raw, "big"))
+    out.seek = [b * out.table_bytes // 256 for b in out.toc] if out.table_bytes else []
     return True
 
 
@@ -185,7 +267,10 @@ def parse(data: bytes) -> Stream:
     out, at = Stream(), 0
     while data[at : at + 3] == b"ID3":
         at = _id3v2(data, at, out)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else len(data)
+    end = len(data)
+    if data[-128:-125] == b"TAG" and end - 128 >= at:
+        end -= 128
+        _id3v1(data[end:], out)
     while at + 4 <= end:
         h = header(data[at : at + 4])
         follows = h and (at + h.length == end or at + h.length + 4 <= end and header(data[at + h.length : at + h.length + 4]))
@@ -198,9 +283,9 @@ def parse(data: bytes) -> Stream:
         if not out.offsets and not out.table and _table(data[at : at + h.length], h, out):
             at += h.length
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            out.broken += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.broken += checksum(data[at : at + h.length], h) != int.from_bytes(data[at + 4 : at + 6], "big")
         out.offsets.append(at)
         out.headers.append(h)
         at += h.length

@@ -233,6 +233,70 @@ def test_headers_of_other_layers():
     assert media.header(b"\xff\xfb\xf0\x00") is None and media.header(b"\xff\xfb\x0c\x00") is None and media.header(b"ab") is None
 
 
+def bit_crc(bits):
+    """The format's checksum, one bit at a time."""
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(b) else 0)) & 0xFFFF
+    return crc
+
+
+def bits_of(raw):
+    return "".join(f"{b:08b}" for b in raw)
+
+
+def test_checksums_of_layers_one_and_two():
+    # (header, what the checksum covers): Layer I mono and joint stereo; Layer II mono with two of 27 subbands in use, joint stereo, and few subbands
+    high, low = [4] * 11 + [3] * 12 + [2] * 4, [4] * 2 + [3] * 6
+    cases = [
+        (b"\xff\xfe\x94\xc0", "1010" * 32), (b"\xff\xfe\x94\x50", "0110" * (8 + 8 + 24)),
+        (b"\xff\xfc\x54\xc0", "".join("1".zfill(n) if k in (0, 20) else "0" * n for k, n in enumerate(high)) + "10" * 2),
+        (b"\xff\xfc\x84\x40", "".join(("1".zfill(n) if k in (3, 5) else "0" * n) * (2 if k < 4 else 1) for k, n in enumerate(high)) + "11" * 4),
+        (b"\xff\xfc\x10\xc0", "".join("1".zfill(n) if k == 7 else "0" * n for k, n in enumerate(low)) + "01"),
+    ]
+    for head, covered in cases:
+        h = media.header(head)
+        rest = covered + "01" * 4 * h.length
+        body = int(rest[: 8 * (h.length - 6)], 2).to_bytes(h.length - 6, "big")
+        frame = head + bit_crc(bits_of(head[2:]) + covered).to_bytes(2, "big") + body
+        assert media.protected_bits(frame, h) == len(covered)
+        got = media.parse(frame * 3)
+        assert (len(got.offsets), got.checked, got.broken) == (3, 3, 0), head
+        wrong = bytearray(frame)
+        wrong[6] ^= 0x80
+        assert media.parse(frame + bytes(wrong) + frame).broken == 1
+
+
+def test_tags_of_every_version():
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+
+    def tag(major, flags, body):
+        return b"ID3" + bytes((major, 0, flags)) + media._syncsafe(len(body)) + body
+
+    long = b"\3" + b"x" * 200
+    for raw, want in (
+        (tag(2, 0, b"TT2\0\0\4\0abc" + b"TXX\0\0\5\0k\0vw" + bytes(9)), {"TT2": "abc", "k": "vw"}),
+        (tag(3, 0, b"TIT2\0\0\0\x07\0\0\1" + "é!".encode("utf-16") + b"APIC\0\0\0\2\0\0zz" + b"TPE1\0\0\0\2\0\0\0z"), {"TIT2": "é!", "TPE1": "z"}),
+        (tag(3, 0x40, b"\0\0\0\6" + bytes(6) + b"TALB\0\0\0\3\0\0\0ab"), {"TALB": "ab"}),
+        (tag(4, 0, b"TIT2" + media._syncsafe(len(long)) + b"\0\0" + long + b"TPE1\0\0\0\3\0\0\3" + "é".encode()), {"TIT2": "x" * 200, "TPE1": "é"}),
+        (tag(4, 0x10, b"TIT2\0\0\0\2\0\0\0a") + b"3DI" + bytes(7), {"TIT2": "a"}),
+    ):
+        got = media.parse(raw + frame * 2)
+        assert got.tags == want and len(got.offsets) == 2 and got.skipped == 0
+    last = b"TAG" + b"Title".ljust(30, b"\0") + b"Who".ljust(30) + bytes(30) + b"1999" + b"said".ljust(28, b"\0") + b"\0\x07\x11"
+    assert media.parse(frame * 2 + last).tags == {"v1.title": "Title", "v1.artist": "Who", "v1.year": "1999", "v1.comment": "said", "v1.track": "7"}
+
+
+def test_seek_points():
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    table = bytearray(frame)
+    table[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 9999, 3, 3, 2, 2, 1)
+    table[62:68] = struct.pack(">HHH", 208, 209, 210)
+    assert media.parse(bytes(table) + frame * 3).seek == [416, 834, 1254]
+    got = media.parse(media.encode(bytes(576 * 40)))
+    assert len(got.seek) == 100 and got.seek == sorted(got.seek) and got.seek[50] <= got.offsets[10]
+
+
 def test_vbri_table_and_mixed_rates():
     frame = b"\xff\xfb\x90\x00" + bytes(413)
     table = bytearray(frame)
@@ -244,5 +308,6 @@ def test_vbri_table_and_mixed_rates():
 
 def test_first_column_names(spark, sf):
     got = queries.op10_media(spark, sf)
-    assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us", "frame_offsets"]
+    assert got.filter("duration_us <= 0 OR size(frame_offsets) = 0").count() == 0
     assert got.filter(F.length("payload_sha256") != 64).count() == 0
