@@ -5,10 +5,11 @@ piece is the shorter one, all later ones are full). Best-fit decreasing then run
 ``capacity`` rows however large the table is: bins that are filled alike form one group, a segment tree over remaining
 capacities finds the tightest group that still fits, and one step places as many pieces of a length as the group takes.
 The outcome is that of best-fit decreasing over all pieces of the table at once. Pieces find their place by their rank
-within their length; ranks are counted in BUCKETS parts of each length, so that a frequent length is no single task.
+within their length; ranks are counted in parts of about PART_ROWS pieces, so that a frequent length is no single task.
 
 Defined cases: null text is empty and makes a piece of the end token alone; rows that repeat an id, and null ids, are
-packed like any other row; an empty table gives no rows.
+packed like any other row; equal pieces take places in any order; an empty table gives no rows; columns of the input
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, slices
 from .pretokens import expand, odd_space, space_words
 
-CAPACITY, END_ID, BUCKETS = 1024, 2, 128
+CAPACITY, END_ID, PART_ROWS = 1024, 2, 100_000
 
 #: Words whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 120_000
@@ -223,13 +224,15 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (with doc_id, piece, length) with sequence_id and offset; evaluates its input once."""
-    part = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(BUCKETS)).cast("int")
-    held = cut(cut_pieces.withColumn("__part", part))
+    spark = cut_pieces.sparkSession
+    written = cut(cut_pieces)
+    histogram = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    parts = spark.createDataFrame([(n, -(-count // PART_ROWS)) for n, count in histogram.items()], "length long, __parts long")
+    held = written.join(F.broadcast(parts), "length").withColumn("__part", F.pmod(F.xxhash64(*written.columns), F.col("__parts"))).drop("__parts")
     counts = held.groupBy("length", "__part").count()
     before = W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    # at most capacity x BUCKETS rows
-    bases = cut(counts.select("length", "__part", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")))
-    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
+    # one row for PART_ROWS pieces, and one for each length
+    bases = cut(counts.select("length", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")))
     plan, _ = best_fit_decreasing(histogram, capacity)
     table = np.asarray([(p.length, p.first_rank, p.per_bin, p.first_bin, p.offset) for p in plan] or np.empty((0, 5)), dtype=np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
@@ -243,9 +246,9 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             nth = rank - first_rank
             yield pdf.assign(sequence_id=first_bin + nth // per, offset=offset + nth % per * length)
 
-    ranked = held.join(F.broadcast(bases.drop("count")), ["length", "__part"])
-    order = W.partitionBy("length", "__part").orderBy("doc_id", "piece")
-    ranked = ranked.withColumn("__rank", F.row_number().over(order) - 1 + F.col("__base")).select(*[c for c in held.columns if c != "__part"], "__rank")
+    ranked = held.join(F.broadcast(bases), ["length", "__part"])
+    order = W.partitionBy("length", "__part").orderBy(*written.columns)
+    ranked = ranked.withColumn("__rank", F.row_number().over(order) - 1 + F.col("__base")).select(*written.columns, "__rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank")
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
 

@@ -102,6 +102,19 @@ def test_only_first_pieces_are_short(spark):
     check_packed(packing.pack_documents(frame(spark, texts), JSON, capacity).collect(), texts, capacity)
 
 
+def test_packing_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
+    texts = ["a b"] * 40 + ["the " * n for n in range(30)]
+    df = spark.createDataFrame([(None if i < 20 else i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, length string")
+    rows = packing.pack_documents(df, JSON, 16).collect()
+    seen = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    ends = {}
+    for where, offset, length in seen:
+        assert ends.get(where, 0) == offset
+        ends[where] = offset + length
+    assert max(ends.values()) <= 16 and len(ends) == len(naive_bfd([r.length for r in rows], 16))
+
+
 def test_packing_repeated_rows_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, JSON).collect()
