@@ -1,6 +1,6 @@
 """Substring dedup by recompression: words of passages that an earlier document already has are removed.
 
-A passage is a window of ``width`` consecutive words. Rounds of naming turn a document's words into ever longer symbols:
+A passage is a window of ``width`` consecutive words. Rounds of naming, inside each task, turn a document's words into ever longer symbols:
 a symbol's hash says whether it is a left or a right one, and each left symbol that stands before a right one is joined
 with it under a name that is a hash of the two; runs of one symbol are named by symbol and length. Names are the same in
 every document, so no round needs a shuffle. With each symbol goes the stretch of words that its forming depended on:
@@ -19,7 +19,9 @@ If more symbols are shared than the filter holds, it lets more windows through t
 same.
 
 Defined cases: null text has no words; documents of fewer words than a window lose nothing; rows that repeat an id do
-not count as earlier or later than one another; a row without id neither loses words nor makes others lose any.
+not count as earlier or later than one another, and each loses words by its own text; a row without id neither loses
+words nor makes others lose any; other columns are kept, but for input columns named n_words and n_removed, which the
+result replaces; names that start with ``__`` are not allowed.
 """
 
 from __future__ import annotations
@@ -148,7 +150,7 @@ def candidate_windows(docs: DataFrame, blocks: np.ndarray, width: int) -> DataFr
                 arrays = [pa.array(own.view(np.int64)), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, variants, pa.array((first - offsets[doc]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "doc_id", "variant", "start"])
 
-    return docs.select("doc_id", "variant", "text").mapInArrow(run, "k1 long, k2 int, doc_id long, variant int, start int")
+    return docs.select("doc_id", "variant", "text").mapInArrow(run, "k1 long, k2 int, doc_id long, variant long, start int")
 
 
 def _kept(text: Column, starts: Column, width: int) -> Column:
@@ -182,7 +184,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep_layout: bool =
     own = ("n_words", "n_removed")
     docs = documents.drop(*own).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     columns = docs.columns
-    docs = docs.withColumn("__variant", F.hash("text")).withColumn("__key", F.concat_ws(":", "doc_id", F.md5("text")))
+    docs = docs.withColumn("__variant", F.xxhash64("text")).withColumn("__key", F.concat_ws(":", "doc_id", F.md5("text")))
     # 1. whole texts
     digests = docs.filter("doc_id IS NOT NULL").select(F.md5("text").alias("digest"), "doc_id")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
