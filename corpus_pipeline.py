@@ -1,4 +1,11 @@
-"""From raw documents to packed token sequences: five stages, each one operator over all that the stage before kept."""
+"""From raw documents to packed token sequences: five stages, each one operator over all that the stage before kept.
+
+Defined cases: a null or empty text is scored by the bias alone and then dropped by language ID, as it has no letter; with
+no labelled row every document passes the first stage, with no language to learn from none passes the second; a row without
+id is no copy of another and neither loses nor removes passages; repeated rows count as one document; extra columns are
+carried up to the last stage, under any name that does not start with ``__`` and is not n_words or n_removed; an empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
