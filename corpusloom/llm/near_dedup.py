@@ -14,7 +14,9 @@ Sizes: an oversize bucket is never gathered; it costs one row a member (the pivo
 the rarest fifth of its members' elements. Nothing is capped or sampled.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one
-shingle of the whole sequence; repeated rows are one class and each gets its row; a row without id is linked with nothing.
+shingle of the whole sequence; repeated rows are one class and each gets its row; a row without id is linked with nothing;
+of equally good pivots the one with the least set hash is taken, which changes no result; other columns of the input are
+not read, or kept as they are by ``keep_one`` under any name that does not start with ``__``.
 """
 
 from __future__ import annotations
