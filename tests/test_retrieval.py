@@ -185,3 +185,41 @@ def test_encoders_compared_by_stage_on_literal_gold(spark, sf):
     assert rows["hashing", "vector"].mrr != rows["hashing-16", "vector"].mrr
     ranks = queries.full_ranks_by_variant(spark, sf).groupBy("variant").count().collect()
     assert {(r.variant, r["count"]) for r in ranks} == {("original", n), ("tables", n)}
+
+
+def test_literal_pairs_are_those_of_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["aa", "b", "cc,", "d.", "é", "ff"])
+    docs = [(i, rng.choice([" ", "\n", "  ", "　"]).join(word() for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(99, None)]
+    passages = [(k, t[a : a + n]) for k, (t, a, n) in enumerate((rng.choice(docs[:60])[1], rng.randrange(20), rng.randrange(0, 70)) for _ in range(120))] + [(500, "nowhere at all"), (501, None)]
+    want = sorted((p, d) for p, said in passages if said for d, t in docs if t and said in t)
+    asked, texts = spark.createDataFrame(passages, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in evaluate.literal_pairs(asked, texts).collect()) == want and len(want) > 100
+    assert evaluate.literal_pairs(asked.limit(0), texts).count() == 0
+
+
+def test_blocks_of_questions_do_not_change_hits(spark):
+    chunks = spark.createDataFrame([(f"c{i:02}", " ".join(f"t{(i * k) % 11}" for k in range(1, 9))) for i in range(40)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"t{i} t{i + 1} t{i} unseen") for i in range(9)] + [("none", "zzz")], "query_id string, question string")
+    index = bm25.build_index(chunks)
+    for store in (None, chunks.select("chunk_id")):
+        whole, parts = (sorted(map(tuple, bm25.search(asked, index, 5, store=store, block=n).collect())) for n in (1000, 2))
+        assert whole == parts and {r[0] for r in whole} == ({f"q{i}" for i in range(9)} | ({"none"} if store is not None else set()))
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(30)], "chunk_id int, embedding array<float>")
+    q = v.filter("chunk_id < 7").withColumnRenamed("chunk_id", "query_id")
+    assert sorted(map(tuple, vectors.vector_topk(q, v, 3).collect())) == sorted(map(tuple, vectors.vector_topk(q, v, 3, block=2).collect()))
+
+
+def test_a_test_set_draws_until_enough_are_usable(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "s", f"{i} " + "x" * 300) for i in range(60)], "chunk_id string, source string, text string")
+
+    def picky(passages):
+        return passages.map(lambda p: f"问题: number {p.split()[0]}\n答案: a" if int(p.split()[0]) % 9 == 0 else "no")
+
+    got = evaluate.make_testset(chunks, 5, 3, picky)
+    usable = [f"c{i}" for i in range(0, 60, 9)]
+    order = [r.chunk_id for r in evaluate.sample_passages(chunks, 3).orderBy("sample_key").collect() if r.chunk_id in usable]
+    assert sorted(r.gold_id for r in got.collect()) == sorted(order[:5])
+    assert evaluate.make_testset(chunks, 50, 3, picky).count() == len(usable)
