@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes that one vectorised step inside a Python worker handles at a time.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 700_000
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000

@@ -37,7 +37,7 @@ ROWS = POSITIONS // BANDS
 LANES, AGREE = POSITIONS // 8, int(0.6 * POSITIONS)
 #: Elements whose permutations are held at a time.
 ELEMENTS = 100_000
-SLICE = 1_500_000
+SLICE = 700_000
 #: Counters that order elements by rarity.
 SLOTS = 1 << 20
 #: Bits of a set's map of its elements.

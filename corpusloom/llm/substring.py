@@ -39,7 +39,7 @@ from .common import bounded_batches, cut, cut_counted, mix, slices, windows_hash
 WIDTH, ROUNDS, LEAST_SPAN = 13, 4, 3
 _ALL = (1 << 64) - 1
 _FAR = 1 << 20
-SLICE = 1_500_000
+SLICE = 700_000
 
 
 def symbols(words: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
