@@ -38,7 +38,7 @@ CAPACITY, END_ID, PART_ROWS = 1024, 2, 100_000
 REMEMBERED = 120_000
 
 #: Text bytes that a Python worker tokenizes at a time.
-SLICE = 700_000
+SLICE = 1_500_000
 
 
 class Ids:
