@@ -155,3 +155,43 @@ def windows_hash(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     for k in range(width):
         out = out * base + hashes[k : k + n]
     return mix(out)
+
+
+def byte_table(lower: bool, gap: bytes, breaks: bytes = b"") -> bytes:
+    """A map of all bytes for ``mapped_words``: ``gap`` and ``breaks`` to space and line feed, A-Z to a-z if ``lower``."""
+    table = bytearray(range(256))
+    if lower:
+        table[ord("A") : ord("Z") + 1] = LOWER.encode()
+    for to, listed in ((b" ", gap), (b"\n", breaks)):
+        for b in listed:
+            table[b] = to[0]
+    return bytes(table)
+
+
+def mapped_words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Words of each text once its bytes are mapped: (codes of all words, row offsets, distinct words, part of each word).
+
+    Mapped spaces and line feeds stand between words, line feeds also between parts; parts are numbered upwards and none
+    goes from one text to the next. Null texts have no words. ``table`` leaves bytes from 128 on as they are.
+    """
+    held = pc.fill_null(texts.cast(pa.large_string()), "")
+    none = np.empty(0, np.int64)
+    if not len(held):
+        return none, np.zeros(1, np.int64), pa.array([], pa.large_string()), none
+    _, ends, data = held.buffers()
+    ends = np.frombuffer(ends, np.int64)[held.offset : held.offset + len(held) + 1]
+    mapped = np.frombuffer(bytes(memoryview(data or b"")[ends[0] : ends[-1]]).translate(table), np.uint8)
+    ends = ends - ends[0]
+    breaks = mapped == 10
+    gap = breaks | (mapped == 32)
+    filled = np.flatnonzero(np.diff(ends))
+    before, after = np.append(True, gap)[: len(gap)], np.append(gap, True)[1:]  # is a word's first byte, its last byte here?
+    before[ends[filled]] = True
+    after[ends[filled + 1] - 1] = True
+    starts, stops = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    sizes = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(mapped[~gap])))
+    coded = words.dictionary_encode()
+    offsets = np.searchsorted(starts, ends)
+    part = np.cumsum(breaks)[starts] + np.repeat(np.arange(len(held)), np.diff(offsets)) if len(starts) else none
+    return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary, part

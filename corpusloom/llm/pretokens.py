@@ -6,6 +6,7 @@ texts are cut there first and each distinct piece of a batch is matched once; al
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -47,11 +48,14 @@ def expand(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1]), ends
 
 
-def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(codes of all matches of ``pattern``, row offsets, distinct matches); null texts have none."""
+def pretokens(texts: pa.Array, pattern: str, find: Callable[[str], list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes of all matches of ``pattern``, row offsets, distinct matches); null texts have none.
+
+    ``find`` gives the matches in a text, where another finder than the pattern's is wanted.
+    """
     from public_tokenizers import PATTERN
 
-    texts, find = pc.fill_null(texts.cast(pa.large_string()), ""), finder(pattern)
+    texts, find = pc.fill_null(texts.cast(pa.large_string()), ""), find or finder(pattern)
     odd = np.asarray(odd_space(texts)) if pattern == PATTERN else np.ones(len(texts), bool)
     codes, offsets, distinct = space_words(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts))
     # a text that is matched whole counts as a piece of its own, in place of its only, empty one

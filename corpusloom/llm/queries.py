@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, media, near_dedup, packing, quality, substring, url_filter
+from . import bpe, collocations, fingerprints, langid, licenses, media, near_dedup, packing, quality, rank_array, resampling, substring, url_filter
 from .common import table
 
 
@@ -70,6 +70,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = rank_array.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), lists=False)
+    return coded.select("doc_id", F.floor(F.octet_length("id_bytes") / 4).alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the words of the benchmark's passages."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -98,6 +113,37 @@ _KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''").replace("\n", "
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Counts of one to three words, the least-scoring cut, triples against the pairs inside them.
+_COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), spot AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS x, count(*) AS f FROM spot GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY 1),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM spot WHERE i < len(w) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM spot WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+two AS (SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, l.f AS l, r.f AS r, 1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f) AS score FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+  LEFT JOIN longer g ON g.lang = c.lang AND g.x = c.x AND g.y = c.y WHERE g.f IS NULL OR 100 * g.f < {collocations.PERCENT} * c.f),
+cuts AS (SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z AS phrase, c.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2, 1000000::HUGEINT * c.f * c.f // (l1.f::HUGEINT * r1.f) AS s1, 1000000::HUGEINT * c.f * c.f // (l2.f::HUGEINT * r2.f) AS s2
+  FROM f3 c JOIN f1 l1 ON l1.lang = c.lang AND l1.x = c.x JOIN f2 r1 ON r1.lang = c.lang AND r1.x = c.y AND r1.y = c.z JOIN f2 l2 ON l2.lang = c.lang AND l2.x = c.x AND l2.y = c.y JOIN f1 r2 ON r2.lang = c.lang AND r2.x = c.z),
+c AS (SELECT lang, phrase, a, l, r, score FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {collocations.TOP}"""
+
+#: CRC-32 of distinct words, byte by byte, by a table that eight shifts make for each byte.
+_RESAMPLING = rf"""WITH steps AS (SELECT list(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT k, unnest(w) AS x FROM d), g AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+v AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM e UNION SELECT x FROM g)),
+u AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM v, steps),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN u USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM g JOIN u USING (x) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + {resampling.BUCKETS})::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT k, sum(gain)::BIGINT AS total FROM e JOIN u USING (x) JOIN gain USING (bucket) GROUP BY 1),
+o AS (SELECT k, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total / len(w)), 0)::BIGINT AS weight FROM d LEFT JOIN m USING (k)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (k)"""
+
 #: SQL of the queries that SQL can express; the others are tested against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {
     "op1_url_filter": _CANONICAL_URL + f""", l AS (SELECT DISTINCT canonical_url FROM c WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND canonical_url IS NOT NULL),
@@ -125,6 +171,8 @@ hits AS (SELECT k, license_id, count(*) AS n FROM lines JOIN digests ON digest =
 ids AS (SELECT k, license_id, n FROM hits UNION ALL SELECT k, license_id, 0 FROM whole JOIN digests USING (digest)),
 found AS (SELECT k, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS licenses, sum(n) AS n FROM ids GROUP BY 1)
 SELECT w.doc_id, w.digest AS text_digest, g.license_id AS whole_license, coalesce(f.licenses, '') AS licenses, coalesce(f.n, 0)::BIGINT AS n_license_lines FROM whole w LEFT JOIN digests g USING (digest) LEFT JOIN found f USING (k)""",
+    "op11_collocations": _COLLOCATIONS,
+    "op13_resampling": _RESAMPLING,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -138,5 +186,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_media": op10_media,
+    "op11_collocations": op11_collocations,
+    "op12_rank_array_bpe": op12_rank_array_bpe,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
