@@ -137,7 +137,7 @@ def cutoff(eligible: DataFrame, n: int, wanted: int, margin: float = MARGIN) ->
         above, within = eligible.agg(F.count(F.when(score > most, 1)), F.count(F.when(inside, 1))).first()
         if above < wanted <= above + within:
             break
-        margin *= WIDER
+        margin = max(margin * WIDER, 1e-6)
     # scores are whole numbers, so that the bracket's distinct ones are few
     for r in eligible.filter(inside).groupBy("score").count().orderBy(F.desc("score")).collect():
         above += r["count"]
