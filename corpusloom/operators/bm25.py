@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Questions scored at a time.
-BLOCK = 1024
+#: Questions scored at a time, and chunks that a task scores against them at a time.
+BLOCK, ROWS = 1024, 1024
 #: Scores are rounded to so many digits before they are ranked, as sums of floats depend on their order.
 DIGITS = 9
 Tokenizer = Callable[[Column], Column]
@@ -26,60 +26,102 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     return split.select("chunk_id", "dl", F.explode("__t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", F.col("dl").cast("long").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """One row (n_docs, avgdl)."""
-    return chunks.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokenizer(F.col(text_col)))).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl); a chunk's length is the sum of its postings' tf, so no text is read again."""
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("__total"))
+    n = F.col("n_docs")
+    return chunks.agg(F.count("*").alias("n_docs")).join(F.broadcast(total), how="cross").select("n_docs", F.when(n > 0, F.col("__total") / n).alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): negative idf is set to EPSILON times the mean idf of the whole vocabulary before that."""
-    counted = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n_docs")), how="cross")
+def term_weights(counted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of ``counted`` (term, df): negative idf is set to EPSILON times the mean idf of the whole vocabulary before that."""
+    counted = counted.join(F.broadcast(stats.select("n_docs")), how="cross")
     raw = counted.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw"))
     return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.round(idf, DIGITS).alias("idf"), "mean_idf")
 
 
+def term_stats(posted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
+    return term_weights(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs, stats)
+
+
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term_stats, corpus_stats); the statistics are single rows and broadcast as such."""
-    posted, stats = postings(chunks, id_col, text_col, tokenizer), corpus_stats(chunks, text_col, tokenizer)
-    return posted, term_stats(posted, F.col("n_docs"), stats), stats
+    """(postings, term_stats, corpus_stats), each written once: texts are tokenized a single time.
+
+    The statistics are single rows and broadcast as such.
+    """
+    posted = materialize(postings(chunks, id_col, text_col, tokenizer))
+    stats = materialize(corpus_stats(chunks, posted))
+    return posted, materialize(term_stats(posted, F.col("n_docs"), stats)), stats
 
 
 def _best(asked: pd.DataFrame, ids: list, k: int):
-    """A function from batches of chunks (chunk_id, terms, parts; in order of ties) to each question's k best of a batch.
+    """A function from a task's chunks (chunk_id, terms, parts) to each question's k best of them, ties included.
 
     ``asked`` has question, term and qtf as numbers.
     """
     by_term = {t: (g["question"].to_numpy(), g["qtf"].to_numpy(np.float64)) for t, g in asked.groupby("term")}
 
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["terms"].map(len).to_numpy()
+        row, term, parts = np.repeat(np.arange(len(pdf)), sizes), np.concatenate([*pdf["terms"], np.empty(0, np.int64)]), np.concatenate([*pdf["parts"], np.empty(0)])
+        scores, met = np.zeros((len(ids), len(pdf))), np.zeros((len(ids), len(pdf)), bool)
+        order = np.argsort(term, kind="stable")
+        starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+        for rows in np.split(order, starts[1:]):
+            if len(rows):
+                questions, qtf = by_term[term[rows[0]]]
+                at = np.ix_(questions, row[rows])
+                scores[at] += qtf[:, None] * parts[rows]
+                met[at] = True
+        scores = np.where(met, np.round(scores, DIGITS), -np.inf)
+        if k < scores.shape[1]:
+            met &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        question, chosen = np.nonzero(met)
+        return pd.DataFrame({"question": question, "chunk_id": pdf["chunk_id"].to_numpy()[chosen], "score": scores[question, chosen]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["terms"].map(len).to_numpy()
-            row, term, part = np.repeat(np.arange(len(pdf)), sizes), np.concatenate([*pdf["terms"], np.empty(0, np.int64)]), np.concatenate([*pdf["parts"], np.empty(0)])
-            scores, met = np.zeros((len(ids), len(pdf))), np.zeros((len(ids), len(pdf)), bool)
-            order = np.argsort(term, kind="stable")
-            starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-            for rows in np.split(order, starts[1:]):
-                if len(rows):
-                    questions, qtf = by_term[term[rows[0]]]
-                    at = np.ix_(questions, row[rows])
-                    scores[at] += qtf[:, None] * part[rows]
-                    met[at] = True
-            scores = np.where(met, np.round(scores, DIGITS), -np.inf)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            question, nth = np.nonzero(np.take_along_axis(met, top, axis=1))
-            chosen = top[question, nth]
-            yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[question], "chunk_id": pdf["chunk_id"].to_numpy()[chosen], "score": scores[question, chosen]})
+        held = None
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                held = pd.concat([x for x in (held, part(whole.iloc[at : at + ROWS])) if x is not None and len(x)] or [pd.DataFrame({"question": [], "chunk_id": [], "score": []})])
+                held = held[held.groupby("question")["score"].rank(method="min", ascending=False) <= k]
+        if held is not None and len(held):
+            yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[held["question"].to_numpy().astype(np.int64)], "chunk_id": held["chunk_id"].to_numpy(), "score": held["score"].to_numpy()})
 
     return run
 
 
+def fillers(queries: DataFrame, scored: DataFrame, asked: DataFrame, posted: DataFrame, ordered: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score 0): for queries with less than ``k`` hits from 0 on, the first ``k`` chunks without any of their terms.
+
+    Chunks are tried in store order, so many at first and eight times as many whenever some query still lacks fillers.
+    """
+    full = scored.filter("score >= 0").groupBy("query_id").count().filter(F.col("count") >= k)
+    short = materialize(queries.join(full, "query_id", "left_anti").distinct())
+    tried, found = 4 * k, None
+    while short.limit(1).count():
+        first = materialize(ordered.orderBy("store_order").limit(tried))
+        n_first = first.count()
+        met = posted.select("term", "chunk_id").join(F.broadcast(first.select("chunk_id")), "chunk_id").join(asked.join(short, "query_id", "left_semi").select("query_id", "term"), "term").select("query_id", "chunk_id").distinct()
+        free = short.join(F.broadcast(first), how="cross").join(met, ["query_id", "chunk_id"], "left_anti")
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy("store_order"))
+        free = materialize(free.withColumn("__nth", nth).filter(F.col("__nth") <= k).select("query_id", "chunk_id", F.lit(0.0).alias("score")))
+        done = free.groupBy("query_id").count().filter(F.col("count") >= k) if n_first == tried else short
+        ready = free.join(done, "query_id", "left_semi")
+        found = ready if found is None else found.unionByName(ready)
+        if n_first < tried:
+            break
+        short, tried = materialize(short.join(done, "query_id", "left_anti")), 8 * tried
+    return scored.limit(0) if found is None else found
+
+
 def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, store: DataFrame | None = None, tokenizer: Tokenizer = tokens, query_id: str = "query_id", question: str = "question", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank), best first, ties by chunk_id.
 
     Questions are taken in blocks of ``block`` by a hash of their id. Postings are cut down to a block's terms and gathered
-    by chunk; each batch of chunks keeps its own k best of every question, and only those are shuffled again. With
+    by chunk; each task keeps its own k best of every question, and only those are shuffled again. With
     ``store`` (chunk_id, and ``store_order`` where the order is another), a query with fewer hits than k is filled up with
     chunks of score 0 in that order; a chunk of negative score comes after those.
     """
@@ -103,18 +145,10 @@ def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k:
         known = spark.createDataFrame(numbers.assign(no=range(len(numbers))), "term string, idf double, no int")
         found = posted.join(F.broadcast(known), "term").join(F.broadcast(stats), how="cross").select("chunk_id", F.struct("no", part.alias("part")).alias("x"))
         gathered = found.groupBy("chunk_id").agg(F.collect_list("x").alias("x")).select("chunk_id", F.col("x.no").alias("terms"), F.col("x.part").alias("parts"))
-        if ordered is not None:
-            gathered = gathered.join(ordered, "chunk_id")
-        in_order = gathered.sortWithinPartitions(ties).select("chunk_id", "terms", "parts")
         numbered = pd.DataFrame({"question": mine["query_id"].map({q: i for i, q in enumerate(ids)}), "term": mine["term"].map({t: i for i, t in enumerate(numbers["term"])}), "qtf": mine["qtf"]})
-        best = in_order.mapInPandas(_best(numbered, ids, k), schema)
+        best = gathered.mapInPandas(_best(numbered, ids, k), schema)
         scored = scored.unionByName(materialize(best) if n_blocks > 1 or store is not None else best)
     if ordered is not None:
-        # a query's k fillers are among the first k + its number of hits; hits beyond k need none
-        hits = queries.select(F.col(query_id).alias("query_id")).join(scored.filter("score >= 0").groupBy("query_id").count(), "query_id", "left").select("query_id", F.coalesce("count", F.lit(0)).alias("n")).filter(F.col("n") < k)
-        first = ordered.orderBy("store_order").limit(2 * k)
-        met = posted.join(F.broadcast(first.select("chunk_id")), "chunk_id").join(asked, "term").select("query_id", "chunk_id").distinct()
-        fill = hits.select("query_id").join(F.broadcast(first.select("chunk_id")), how="cross").join(met, ["query_id", "chunk_id"], "left_anti")
-        scored = scored.unionByName(fill.withColumn("score", F.lit(0.0))).join(ordered, "chunk_id")
+        scored = scored.unionByName(fillers(queries.select(F.col(query_id).alias("query_id")), scored, asked, posted, ordered, k)).join(ordered, "chunk_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), ties))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")

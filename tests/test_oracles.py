@@ -2,7 +2,7 @@
 
 import pytest
 from compare import assert_same
-from corpusloom.queries import ORACLES, QUERIES
+from corpusloom.index_queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -49,6 +49,19 @@ def test_negative_scores_stand_behind_fillers(spark):
     assert [r.chunk_id for r in got] == sorted(corpus, key=lambda k: (-round(want[k], 9), k))
 
 
+def test_fillers_are_all_that_is_needed(spark):
+    """Hits of negative score do not use up the chunks that fillers come from."""
+    chunks = spark.createDataFrame([(i, "a b" if i < 50 else "c") for i in range(60)], "chunk_id int, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "a"), (2, "c"), (3, "a c"), (4, "")], "query_id int, question string")
+    got = bm25.search(queries, bm25.build_index(chunks), 4, store=chunks).collect()
+    assert [(r.chunk_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1] == [(i, 0.0) for i in range(50, 54)]
+    assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 2] == [50, 51, 52, 53]
+    assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 4] == [0, 1, 2, 3]
+    deep = bm25.search(queries, bm25.build_index(chunks), 55, store=chunks).filter("query_id = 1").orderBy("rank").collect()
+    want = brute_bm25({i: "a b" if i < 50 else "c" for i in range(60)}, "a")
+    assert [r.chunk_id for r in deep] == sorted(want, key=lambda i: (-round(want[i], 9), i))[:55]
+
+
 def test_vector_topk_in_blocks_with_ties_and_large_k(spark):
     rng = np.random.default_rng(0)
     rows = rng.standard_normal((40, 5)).astype(np.float32)
