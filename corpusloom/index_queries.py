@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from corpusloom import sql
 from corpusloom.operators import ann, blockmax, bm25, vectors
-from corpusloom.queries import ORACLES, QUERIES, SCORES, STEP, TOKENS, TOP, VECTORS, doc_chunks, query, questions, read
+from corpusloom.queries import DOCUMENT_CHUNKS, ORACLES, QUERIES, SCORES, STEP, TOKENS, TOP, VECTORS, doc_chunks, query, questions, read
 from corpusloom.sources.segments import SegmentedIndex
 from corpusloom.sources.tables import materialize, scratch_folder
+from corpusloom.streaming.stateful import ingest_with_state
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +89,16 @@ def segmented_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.merge()
     posted, terms, _ = index.index()
     return terms.join(posted.groupBy("term").agg(F.count("*").alias("postings")), "term").select("term", "df", F.round("idf", 6).alias("idf"), "postings")
+
+
+@query(DOCUMENT_CHUNKS + "SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(*) AS cached FROM chunked GROUP BY 1")
+def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as files, in several batches: chunks, and how many of their texts were encoded once by then."""
+    root = scratch_folder(spark, "stateful")
+    read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text").repartition(4).write.parquet(f"{root}/in")
+    for started in ingest_with_state(spark, f"{root}/in", f"{root}/chunks", f"{root}/cache", f"{root}/checkpoint", "hashing", files_per_batch=2):
+        started.awaitTermination()
+    # a text that was encoded twice would count twice
+    cached = spark.read.parquet(f"{root}/cache").select("text_key").withColumn("held", F.lit(1))
+    rows = spark.read.parquet(f"{root}/chunks").join(cached, "text_key", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count("held").alias("cached"))

@@ -21,7 +21,7 @@ class PagePatterns:
     header_prefix: str = rf"^\d{{0,3}}[{SPACE}]*第?[{SPACE}]*[一二三四五六七八九十百]+[{SPACE}]*章"
     header_anywhere: str = r"第[一二三四五六七八九十百]+章"
     standalone: tuple[str, ...] = (
-        r"^\d{0,3}第[一二三四五六七八九十百]+章[^。,，、:：;；?？!！()（）]{0,18}\d{0,3}\z",
+        rf"^\d{{0,3}}[{SPACE}]*第[一二三四五六七八九十百]+章[^。,，、:：;；?？!！()（）]{{0,18}}\d{{0,3}}\z",
         r"^\d{0,3}[\x{4e00}-\x{9fff}、]{0,24}实验诊断与应用\d{0,3}\z",
     )
     header_chars: int = 30

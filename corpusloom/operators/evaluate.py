@@ -28,7 +28,7 @@ def parse_qa(text: Column, wide_colon: bool = True) -> Column:
 def sample_passages(chunks: DataFrame, seed: int, min_chars: int = MIN_CHARS, most: int = PASSAGE_CHARS) -> DataFrame:
     """Chunks long enough, cut to ``most`` characters, with ``sample_key`` whose order is a seeded shuffle."""
     long = chunks.filter(F.length("text") >= min_chars)
-    return long.select("chunk_id", "source", F.substring("text", 1, most).alias("passage"), F.xxhash64("chunk_id", F.lit(seed)).alias("sample_key"))
+    return long.select("chunk_id", "source", F.substring("text", 1, most).alias("passage"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string"))).alias("sample_key"))
 
 
 def make_testset(chunks: DataFrame, n: int, seed: int, generate: Callable[[pd.Series], pd.Series], template: str = "{passage}", oversample: int = 3) -> DataFrame:

@@ -114,29 +114,33 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_no").cast("long").alias("page_no"), "p.in_range", "p.changed", "p.body")
 
 
-@query(BOOKS + f""", kept AS (SELECT doc_id, n, {BODY.replace("rtrim(refs, chr(10))", "''")} AS body, refs <> '' AS ref FROM parts
+CLEANED = BOOKS + f""", kept AS (SELECT doc_id, n, {BODY.replace("rtrim(refs, chr(10))", "''")} AS body, refs <> '' AS ref FROM parts
   WHERE NOT (CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AND (n < 3 OR n >= 25))),
-joined AS (SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY n) AS text, count(*) FILTER (ref) AS ref_blocks FROM kept GROUP BY doc_id)
-SELECT d.doc_id, coalesce(regexp_replace(regexp_replace(j.text, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '') || chr(10) AS cleaned, coalesce(ref_blocks, 0) AS ref_blocks
-FROM documents d LEFT JOIN joined j USING (doc_id)""")
+joined AS (SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY n) AS text, count(*) FILTER (ref) AS ref_blocks FROM kept GROUP BY doc_id),
+cleaned AS (SELECT d.doc_id, source, coalesce(regexp_replace(regexp_replace(j.text, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '') || chr(10) AS cleaned, coalesce(ref_blocks, 0) AS ref_blocks
+FROM documents d LEFT JOIN joined j USING (doc_id))
+"""
+
+
+@query(CLEANED + "SELECT doc_id, cleaned, ref_blocks FROM cleaned")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean.clean_text(clean.clean_pages(books(spark, sf_dir), rules(spark)))
     return cleaned.select("doc_id", "cleaned", F.col("ref_blocks").cast("long").alias("ref_blocks"))
 
 
-@query(BOOKS + """, ruled AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AS ruled FROM parts)
+@query(CLEANED + """, ruled AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AS ruled FROM parts)
 SELECT source, count(*) AS pages, count(*) FILTER (ruled AND n < 3) AS dropped_front, count(*) FILTER (ruled AND n >= 25) AS dropped_index,
-count(*) FILTER (NOT (ruled AND (n < 3 OR n >= 25))) AS pages_changed, count(*) FILTER (refs <> '' AND NOT (ruled AND (n < 3 OR n >= 25))) AS ref_blocks FROM ruled GROUP BY source""")
+count(*) FILTER (NOT (ruled AND (n < 3 OR n >= 25))) AS pages_changed, count(*) FILTER (refs <> '' AND NOT (ruled AND (n < 3 OR n >= 25))) AS ref_blocks, chars FROM ruled JOIN (SELECT source, sum(length(cleaned))::BIGINT AS chars FROM cleaned GROUP BY 1) USING (source) GROUP BY source, chars""")
 def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.cleaning_stats(clean.clean_pages(books(spark, sf_dir), rules(spark)), ["source"]).drop("chars")
+    return clean.cleaning_stats(clean.clean_pages(books(spark, sf_dir), rules(spark)), ["source"])
 
 
 @query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 SELECT doc_id, string_agg(line || CASE WHEN n % 3 = 2 THEN chr(10) || n || '第二章，留下' ELSE '' END, chr(10) ORDER BY n) AS text FROM lines GROUP BY 1""")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running header of either kind after a document's lines, wherever they stand; one with a comma is none."""
+    """A running header of either kind after a document's lines, its page number close by or apart; one with a comma is none."""
     n = lambda i: (i + 1).cast("string")
-    added = lambda i: F.when(i % 3 == 0, F.concat(n(i % 100), F.lit("第一章绪论"), n(i % 100))).when(i % 3 == 1, F.concat(n(i), F.lit("第二章，留下"))).otherwise(F.lit(" 血液实验诊断与应用 "))
+    added = lambda i: F.when(i % 3 == 0, F.concat(n(i % 100), F.when(i % 2 == 0, " \u3000").otherwise(""), F.lit("第一章绪论"), n(i % 100))).when(i % 3 == 1, F.concat(n(i), F.lit("第二章，留下"))).otherwise(F.lit(" 血液实验诊断与应用 "))
     lines = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.array(x, added(i))))
     said = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     return said.select("doc_id", F.array_join(clean.drop_running_headers(F.col("lines")), "\n").alias("text"))
@@ -695,7 +699,10 @@ def sample_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.sample_passages(cut_chunks(spark, sf_dir), seed=7).drop("sample_key")
 
 
-@query()
+@query(CHUNKS + f""", drawn AS (SELECT chunk_id, source, substr(text, 1, 1200) AS p FROM chunks WHERE length(text) >= 200),
+asked AS (SELECT *, '问题: ' || substr(p, 1, 30) || chr(10) || '答案: ' || substr(p, 31, 30) AS t FROM drawn),
+qa AS (SELECT *, {sql.strip("regexp_extract(t, '问题[:：][\\s]*([^\\n]+)', 1)")} AS question, {sql.strip("regexp_extract(t, '答案[:：][\\s]*((?s:.+))', 1)")} AS answer FROM asked)
+SELECT chunk_id AS query_id, question, answer, chunk_id AS gold_id, source AS gold_source FROM qa WHERE length(question) >= 4 ORDER BY md5('7:' || chunk_id), chunk_id LIMIT 20""")
 def make_testset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty questions by a stand-in generator that asks for a passage's first words."""
 
@@ -771,15 +778,16 @@ def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fetch_chunks(index, asked).select("chunk_id", "text", F.lit(tables.count_chunks(index)).cast("long").alias("n_chunks"))
 
 
-@query("""SELECT 'french' AS cache, count(DISTINCT sha1(text)) AS n FROM documents WHERE lang = 'fr' UNION ALL SELECT 'other model', 0 UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'unreadable', 0""")
+@query("""SELECT 'french' AS cache, count(DISTINCT sha1(text)) AS n FROM documents WHERE lang = 'fr' UNION ALL SELECT 'all', count(*) FROM (SELECT DISTINCT lang, sha1(text) FROM documents) UNION ALL SELECT 'other model', 0 UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'unreadable', 0""")
 def cache_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache written by model and read back; another model, a missing folder and files of another kind count as empty."""
+    """A cache with a model for each language, one model read back; another, a missing folder and files of another kind count as empty."""
     schema, path, broken = "model string, text_key string, embedding array<float>", scratch_folder(spark, "cache"), scratch_folder(spark, "broken")
-    docs = read(spark, sf_dir, "documents").filter("lang = 'fr'")
-    keyed = docs.select(F.lit("french").alias("model"), text_key(F.col("text")).alias("text_key"), F.array(F.length("text").cast("float")).alias("embedding")).dropDuplicates(["text_key"])
+    docs = read(spark, sf_dir, "documents")
+    keyed = docs.select(F.col("lang").alias("model"), text_key(F.col("text")).alias("text_key"), F.array(F.length("text").cast("float")).alias("embedding")).dropDuplicates(["model", "text_key"])
     tables.write_cache(keyed, path)
     spark.range(3).select(F.lit("no table").alias("value")).coalesce(1).write.option("compression", "none").text(f"{broken}/part")
-    found = {"french": tables.read_cache(spark, path, schema).filter("model = 'french'"), "other model": tables.read_cache(spark, path, schema).filter("model = 'german'"), "missing": tables.read_cache(spark, f"{path}-none", schema), "unreadable": tables.read_cache(spark, f"{broken}/part", schema)}
+    held = tables.read_cache(spark, path, schema)
+    found = {"french": held.filter("model = 'fr'"), "all": held, "other model": held.filter("model = 'german'"), "missing": tables.read_cache(spark, f"{path}-none", schema), "unreadable": tables.read_cache(spark, f"{broken}/part", schema)}
     out = None
     for name, cache in found.items():
         row = cache.agg(F.lit(name).alias("cache"), F.count("text_key").alias("n"))

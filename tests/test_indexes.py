@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from corpusloom.operators import ann, blockmax, bm25, vectors
 from corpusloom.sources.segments import SegmentedIndex
+from corpusloom.streaming.stateful import PROVIDER, ingest_with_state
 
 WORDS = ["the", "of", *(f"w{i}" for i in range(60))]
 
@@ -144,3 +145,30 @@ def test_a_commit_without_its_manifest_does_not_count(spark, tmp_path):
     assert_like_rebuilt(spark, index, {"a": "w1 w2"})
     index.commit(as_chunks(spark, {"b": "w3"}))
     assert_like_rebuilt(spark, index, {"a": "w1 w2", "b": "w3"})
+
+
+# ------------------------------------------------------------------------------------------------------ keyed stream state
+
+
+def test_texts_are_encoded_once_whatever_the_batch(spark, tmp_path):
+    folder = lambda name: str(tmp_path / name)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "source string, text string").coalesce(1).write.mode("append").parquet(folder("in"))
+
+    def run():
+        before = spark.conf.get(PROVIDER, None)
+        for q in ingest_with_state(spark, folder("in"), folder("chunks"), folder("cache"), folder("checkpoint"), "m", files_per_batch=1):
+            q.awaitTermination()
+        assert spark.conf.get(PROVIDER, None) == before
+        cache = spark.read.parquet(folder("cache"))
+        assert {r.model for r in cache.select("model").distinct().collect()} == {"m"} and cache.filter("embedding IS NULL").count() == 0
+        return spark.read.parquet(folder("chunks")).count(), sorted(r.text_key for r in cache.collect())
+
+    arrive([("a", "one"), ("b", "two"), ("c", "one")])
+    arrive([("d", "two"), ("e", "three")])
+    n, keys = run()
+    assert n == 5 and len(keys) == len(set(keys)) == 3
+    assert run() == (n, keys)  # nothing new
+    arrive([("f", "one"), ("g", "four")])  # a late duplicate
+    assert run()[0] == 7 and len(run()[1]) == 4
