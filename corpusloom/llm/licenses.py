@@ -114,7 +114,10 @@ SPELLINGS = (
     (r"https?://", ""),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(copyright|\(c\)|©)[^\n]{0,20}[0-9]{4}[^\n]*$"
+#: Punctuation and white space before a mark, however much of it: indentation and comment marks.
+_LEAD = r"^[^\p{L}\p{N}\n]*"
+#: The mark a few words into its line and a year a few words behind it.
+COPYRIGHT_LINE = rf"(?md){_LEAD}[^\n]{{0,20}}(copyright|\(c\)|©)[^\p{{L}}\p{{N}}\n]*[^\n]{{0,20}}[0-9]{{4}}[^\n]*$"
 
 #: Words that follow "copyright" in running text, where a wrapped line may start with it.
 _PROSE = (
@@ -125,10 +128,17 @@ _PROSE = (
 #: Besides those, lines that start with a mark, with or without a year. A bare "(c)" is also how lists are numbered and
 #: needs a year; a bare "copyright" needs a holder or year.
 COPYRIGHT_MARK = (
-    COPYRIGHT_LINE + r"|^[^\p{L}\p{N}\n]{0,20}(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)[^\n]*[0-9]{4}"
+    COPYRIGHT_LINE + rf"|{_LEAD}(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)[^\n]*[0-9]{{4}}"
     r"|copyright(?!\p{L})[^\p{L}\p{N}\n]*(?!(?:" + _PROSE + r")(?!\p{L}))[\p{L}\p{N}])[^\n]*$"
 )
 
+#: The same for one line, without look-ahead: patterns of which one must match, and one that must match while others do not.
+MARKED_LINE = (
+    r"^[^\p{L}\p{N}]*.{0,20}(copyright|\(c\)|©)[^\p{L}\p{N}]*.{0,20}[0-9]{4}",
+    r"^[^\p{L}\p{N}]*(copyright[ \t]*(\(c\)|©)|©|\(c\).*[0-9]{4})",
+)
+NAMED_LINE = (r"^[^\p{L}\p{N}]*copyright[^\p{L}\p{N}]*[\p{L}\p{N}]", r"^[^\p{L}\p{N}]*copyright\p{L}", rf"^[^\p{{L}}\p{{N}}]*copyright[^\p{{L}}\p{{N}}]*({_PROSE})([^\p{{L}}]|$)")
+
 
 def canonical(text: Column) -> Column:
     """Case, copyright lines, equivalent spellings, punctuation and white space normalised; lines stay lines."""

@@ -103,13 +103,13 @@ _RULE = "CASE " + " ".join(
     for i, (site, start) in sorted(((i, (t.partition("/")[0], t.partition("/")[2])) for i, (_, t) in enumerate(url_filter.RULES)), key=lambda r: -sum(map(len, r[1])))
 ) + " END"
 
-_SPELT = "lower(text)"
-_SPELT = f"CASE WHEN contains({_SPELT}, 'copyright') OR contains({_SPELT}, '(c)') OR contains({_SPELT}, '©') THEN regexp_replace({_SPELT}, '{licenses.COPYRIGHT_LINE}', '', 'g') ELSE {_SPELT} END"
+_MARKED = " OR ".join(f"regexp_matches(l, '{p}')" for p in licenses.MARKED_LINE) + " OR (regexp_matches(l, '{}') AND NOT regexp_matches(l, '{}') AND NOT regexp_matches(l, '{}'))".format(*licenses.NAMED_LINE)
+_SPELT = f"array_to_string(list_transform(string_split(lower(text), chr(10)), lambda l: CASE WHEN {_MARKED} THEN '' ELSE l END), chr(10))"
 for _pattern, _one in licenses.SPELLINGS:
     _SPELT = f"regexp_replace({_SPELT}, '{_pattern}', '{_one.replace('$1', chr(92) + '1')}', 'g')"
 _SPELT = rf"regexp_replace({_SPELT}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 _FLAT = r"trim(regexp_replace({}, '[ \n]+', ' ', 'g'))"
-_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''").replace("\n", "' || chr(10) || '")) for i, t in licenses.KNOWN)
+_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.known_texts())
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -152,12 +152,12 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' E
     "op2_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, v.b FROM reach r JOIN ways v ON v.a = r.b),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
-SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp USING (doc_id)""".replace("both AS", "met AS").replace("FROM both", "FROM met"),
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp USING (doc_id)""",
     "op7_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13), k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM p),
 f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS low FROM k), g AS (SELECT doc_id, list(i) AS starts FROM f WHERE low < doc_id GROUP BY 1),

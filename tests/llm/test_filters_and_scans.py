@@ -1,5 +1,6 @@
 """URL filters, license scans and the Bloom filter."""
 
+import duckdb
 import numpy as np
 import pytest
 from compare import assert_same
@@ -83,7 +84,7 @@ def test_license_spellings(spark):
     assert got[8].licenses == ["CC-BY-NC-4.0", "MIT"] and got[8].n_license_lines == 3
 
 
-def test_full_license_texts(spark):
+def test_full_license_texts(spark, tmp_path):
     known = licenses.known_texts()
     full = {i: t for i, t in known if len(t) > 900}
     assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"} <= set(full)
@@ -91,7 +92,7 @@ def test_full_license_texts(spark):
     mit = licenses.KNOWN[1][1]
     for line in (
         "Copyright (c) The Regents of the University of California, 1998", "Copyright (c) Facebook, Inc. and its affiliates.", "# Copyright Facebook, Inc. and its affiliates.",
-        "© The Very Long Name of a Holder, Limited", "Copyright: nobody", "(c) The Regents of the University of California, 1998", "COPYRIGHT 2001-2005 BY SOMEONE",
+        "© The Very Long Name of a Holder, Limited", "Copyright: nobody", " " * 24 + "Copyright (c) 2019 Someone", " *" * 30 + " Copyright Someone", "\t" * 25 + "Portions (c)" + " " * 30 + "2019 Someone", "(c) The Regents of the University of California, 1998", "COPYRIGHT 2001-2005 BY SOMEONE",
     ):
         want += [("MIT", "MIT License\n\n" + line + "\n\n" + mit), ("BSD-3-Clause", line + "\n" + full["BSD-3-Clause"])]
     # lines wrapped before a word that starts like a copyright line
@@ -101,6 +102,12 @@ def test_full_license_texts(spark):
     got = {r.doc_id: r for r in licenses.scan(docs, spark.createDataFrame(known, "license_id string, text string")).collect()}
     assert [(n, got[n].whole_license) for n in range(len(want))] == [(n, i) for n, (i, _) in enumerate(want)]
     assert got[len(want) - 2].text_digest is not None and got[len(want) - 1].text_digest is None
+    # the query's SQL says the same of these texts
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    said = con.execute("SELECT doc_id, text_digest, whole_license, licenses, n_license_lines FROM (" + queries.ORACLES["op9_license_scan"] + ")").fetchall()
+    assert sorted(said) == sorted(tuple(r) for r in queries.QUERIES["op9_license_scan"](spark, str(tmp_path)).select("doc_id", "text_digest", "whole_license", "licenses", "n_license_lines").collect())
 
 
 def test_license_scan_of_nothing_and_of_repeated_rows(spark):
