@@ -3,9 +3,9 @@
 Texts are split into words by the tokenizer's pattern. A word is an array of its bytes, and a fold joins, step by step, the
 leftmost adjacent pair whose joined bytes have the least rank, until no pair has one. Ranks are a literal (the value of a
 one-row table): two arrays from pairs of ids to joined ids, so that a lookup is an index or two, and one for pairs of bytes.
-Words of more than LONG bytes take a second fold, whose steps join all pairs of the least rank from left to right; as
-long as ranks only rise from step to step that is the same, and a word where one falls takes the first fold.
-Decoding takes each id's bytes from a table and concatenates these pieces.
+A fold takes quadratic time, so words of more than LONG bytes keep their ranks in a heap, where texts are split; the
+outcome is the same and the time for one long unbroken word grows as n log n.
+Decoding takes each id's bytes from a literal table, as hexadecimal digits, and concatenates these pieces.
 
 Only distinct words are folded: words are counted over the whole table, and the frequent ones (a bounded number; by a
 threshold on their counts) are folded once and broadcast; each text's other distinct words are folded in its row. What is
@@ -19,8 +19,10 @@ not read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .pretokens import expand, pretokens
 
 #: At most so many words are remembered, none of more bytes than LONGEST.
 REMEMBERED, LONGEST = 1 << 20, 64
-#: Bytes from which on a fold's step joins all pairs of the least rank.
-LONG = 32
+#: Most bytes of a word that is folded.
+LONG = 256
 #: Words that one task folds, of those remembered.
 FOLDED_PER_TASK = 8192
 
@@ -69,8 +71,41 @@ def _two_places(entries: list[int], places: list[tuple[int, int]], size: int) ->
     return one, two
 
 
+def by_heap(parts: list[int], least: Callable[[int], int | None]) -> list[int]:
+    """``parts`` (ids) with adjacent ones joined, the least rank first and then the leftmost, by a heap of ranks.
+
+    ``least`` gives for two ids, as ``first << 32 | second``, the rank and in the low TOKEN_BITS bits the id of both.
+    """
+    parts, n = list(parts), len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := least(parts[i] << 32 | parts[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] < 0 or j >= n or least(parts[i] << 32 | parts[j]) != rank:
+            continue  # one of the two has been joined since
+        parts[i], parts[j] = rank & TOKEN_MASK, -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (r := least(parts[left] << 32 | parts[right])) is not None:
+                heapq.heappush(heap, (r, left))
+    return [p for p in parts if p >= 0]
+
+
+@lru_cache(maxsize=2)
+def joins(ranks_path: str) -> tuple[list[int], Callable[[int], int | None]]:
+    """(id of each byte, ``least`` for ``by_heap``) of a rank file; made where a long word is met, once a worker."""
+    tokens = read_ranks(ranks_path)
+    ids = {t: i for i, t in enumerate(tokens)}
+    found = {ids[t[:k]] << 32 | ids[t[k:]]: r << TOKEN_BITS | r for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+    return [ids[bytes((b,))] for b in range(256)], found.get
+
+
 class Ranks:
-    """The literal rank map, and the folds that use it."""
+    """The literal rank map, and the fold that uses it."""
 
     BITS = 18
     FACTORS = ((654_435_761, 40_503_127), (97_531_237, 1_013_904_223))
@@ -144,49 +179,12 @@ class Ranks:
         done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda s, _: step(s))
         return F.transform(done, lambda e: token(e).cast("int"))
 
-    def sweep(self, ranks: Column, word: Column) -> Column:
-        """The same for long words: a step joins all pairs of the least rank, from left to right.
+    def of(self, df: DataFrame, words: str, name: str) -> DataFrame:
+        """``df`` with a column ``name``: the ids of every word of ``words``, an array of byte arrays.
 
-        The state's longs hold the rank of joining a token with the next one and its id.
+        A word that starts with a number below 0 has its ids already, each as -1 - id.
         """
-        changed = 1 << 62
-
-        def marks(state: Column, least: Column) -> Column:
-            """Of each token: S if the pair that it starts is joined, D if it is the second of one."""
-            ones = F.array_join(F.transform(state, lambda e: F.when(F.shiftright(e, TOKEN_BITS) == least, "1").otherwise("0")), "")
-            return F.split(F.regexp_replace(ones, "1.", "SD"), "")
-
-        def again(first: Column) -> Column:
-            def new(e: Column, n: Column) -> Column:
-                a, b = e.bitwiseAND(TOKEN_MASK), n.bitwiseAND(TOKEN_MASK)
-                rank = F.when(n.isNull(), F.lit(NEVER).cast("long")).otherwise(self.joined(ranks, a, b))
-                return F.when((e >= changed) | F.coalesce(n >= changed, F.lit(False)), F.shiftleft(rank, TOKEN_BITS).bitwiseOR(a)).otherwise(e)
-
-            return F.transform(first, lambda e, i: let(F.get(first, i + 1), lambda n: new(e, n)))
-
-        def merged(state: Column, least: Column, m: Column) -> Column:
-            kept = F.transform(state, lambda e, i: F.when(F.get(m, i) == "S", least.bitwiseOR(changed)).when(F.get(m, i) != "D", e))
-            return let(F.filter(kept, lambda e: e.isNotNull()), again)
-
-        def state_of(done: Column, fell: Column, last: Column, state: Column) -> Column:
-            return F.struct(done.alias("done"), fell.alias("fell"), last.alias("last"), state.alias("state"))
-
-        def step(s: Column) -> Column:
-            def go(least: Column) -> Column:
-                more = let(marks(s["state"], least), lambda m: merged(s["state"], least, m))
-                return F.when(least >= NEVER, state_of(F.lit(True), s["fell"], s["last"], s["state"])).otherwise(state_of(F.lit(False), s["fell"] | (least < s["last"]), least, more))
-
-            return F.when(s["done"], s).otherwise(let(F.shiftright(F.array_min(s["state"]), TOKEN_BITS), go))
-
-        start = F.transform(word, lambda b, i: F.shiftleft(self._first(ranks, word, b, i), TOKEN_BITS).bitwiseOR(F.get(ranks["bytes"], b)))
-        nothing = state_of(F.lit(False), F.lit(False), F.lit(0).cast("long"), start)
-        done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1))), nothing, lambda s, _: step(s))
-        ids = lambda s: F.transform(s["state"], lambda e: e.bitwiseAND(TOKEN_MASK).cast("int"))
-        return let(done, lambda s: F.when(s["fell"], self.fold(ranks, word)).otherwise(ids(s)))
-
-    def of(self, df: DataFrame, words: str, name: str) -> DataFrame:
-        """``df`` with a column ``name``: the ids of every word of ``words``, an array of byte arrays."""
-        each = lambda k: F.transform(words, lambda w: F.when(F.size(w) > LONG, self.sweep(k, w)).otherwise(self.fold(k, w)))
+        each = lambda k: F.transform(words, lambda w: F.when(F.get(w, F.lit(0)) < 0, F.transform(w, lambda i: -1 - i)).otherwise(self.fold(k, w)))
         return df.withColumn("__ranks", self.literal).select(*df.columns, let(F.col("__ranks"), each).alias(name))
 
 
@@ -216,6 +214,18 @@ class Remembered:
         return np.where(np.asarray(same), at, -1)
 
 
+def _with_long(words: pa.Array, ranks_path: str) -> pa.Array:
+    """Each word as a list of its bytes; one of more than LONG bytes as its ids, each as -1 - id."""
+    long = np.flatnonzero(np.asarray(pc.binary_length(words.cast(pa.large_binary()))) > LONG)
+    if not len(long):
+        return _byte_lists(words)
+    singles, least = joins(ranks_path)
+    rows = [list(w) for w in words.cast(pa.large_binary()).to_pylist()]
+    for i in long.tolist():
+        rows[i] = [-1 - t for t in by_heap([singles[b] for b in rows[i]], least)]
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
 def _byte_lists(words: pa.Array) -> pa.Array:
     """Each word as a list of its bytes."""
     raw = words.cast(pa.large_binary()).to_pylist()
@@ -236,20 +246,16 @@ def _values(rows: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, kind), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0)).astype(np.int64) // kind.itemsize)])
 
 
-def _decoded(ids: np.ndarray, rows: np.ndarray, pieces: pa.Array) -> pa.Array:
-    """Of each row, the pieces of its ids one after the other."""
-    taken = pieces.take(pa.array(ids))  # its buffer holds the pieces one after the other
-    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(taken)).astype(np.int64))])[rows]
-    return _rows(np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
-
-
 class Encoding:
     """Encodes and decodes columns by a rank file."""
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         bounded_batches(spark)
-        self.spark, self.pattern, self.tokens = spark, pattern, read_ranks(ranks_path)
-        self.ranks = Ranks(spark, self.tokens)
+        self.spark, self.pattern, self.path = spark, pattern, ranks_path
+        tokens = read_ranks(ranks_path)
+        self.ranks = Ranks(spark, tokens)
+        #: Of each id its bytes, in hexadecimal digits: the value of a one-row table.
+        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([[t.hex() for t in tokens]], pa.list_(pa.string()))})).select(F.struct("pieces")).scalar()
         self.known = spark.sparkContext.broadcast(Remembered.of(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))))
 
     def counts(self, texts: DataFrame) -> DataFrame:
@@ -282,15 +288,11 @@ class Encoding:
         self.known = self.spark.sparkContext.broadcast(Remembered.of(*(folded.column(c).combine_chunks() for c in ("word", "ids"))))
         return self
 
-    def encode(self, df: DataFrame, text_col: str, lists: bool = True, decoded: bool = False) -> DataFrame:
-        """``df`` with id_bytes (the ids as little-endian unsigned 32-bit integers) instead of its text.
-
-        With ``lists`` also ids (array<int>), with ``decoded`` also the bytes that the ids decode to.
-        """
-        pattern, known = self.pattern, self.known
+    def encode(self, df: DataFrame, text_col: str) -> DataFrame:
+        """``df`` with ids (array<int>) and id_bytes (little-endian unsigned 32-bit integers) instead of its text."""
+        pattern, known, path = self.pattern, self.known, self.path
         kept = [f for f in df.schema.fields if f.name not in (text_col, "ids", "id_bytes", "decoded")]
         names, n = [f.name for f in kept], len(kept)
-        pieces = pa.array(self.tokens, pa.large_binary())
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Words as numbers (a remembered word's place; after those, a place in the row's list of others) and that list."""
@@ -304,7 +306,7 @@ class Encoding:
                     pairs, where = np.unique(row * per_row + codes[new], return_inverse=True)
                     firsts = np.searchsorted(pairs, np.arange(len(offsets)) * per_row)
                     numbers[new] = len(known.value.hashes) + where - firsts[row]
-                    others = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), _byte_lists(words.take(pa.array(pairs % per_row))))
+                    others = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), _with_long(words.take(pa.array(pairs % per_row)), path))
                     same = [batch.column(i).slice(start, stop - start) for i in range(n)]
                     yield pa.RecordBatch.from_arrays([*same, _rows(numbers.astype(np.int32), offsets), others], names=[*names, "__numbers", "__others"])
 
@@ -323,11 +325,7 @@ class Encoding:
                     at, stops = expand(codes, starts, np.concatenate([held.sizes, np.diff(ends)]))
                     ids = np.concatenate([held.flat, np.asarray(inner.flatten())]).astype(np.int32)[at]
                     rows = stops[offsets]
-                    found = {"id_bytes": _rows(ids.astype("<u4"), rows)}
-                    if lists:
-                        found["ids"] = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
-                    if decoded:
-                        found["decoded"] = _decoded(ids, rows, pieces)
+                    found = {"ids": pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids)), "id_bytes": _rows(ids.astype("<u4"), rows)}
                     yield pa.RecordBatch.from_arrays([*part.columns[:n], *found.values()], names=[*names, *found])
 
         def schema(**more: DataType) -> StructType:
@@ -336,25 +334,17 @@ class Encoding:
         read = df.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
         words = read.mapInArrow(split, schema(__numbers=BinaryType(), __others=ArrayType(ArrayType(IntegerType()))))
         folded = self.ranks.of(words, "__others", "__folded").drop("__others")
-        more = {"ids": ArrayType(IntegerType())} if lists else {}
-        return folded.mapInArrow(gather, schema(id_bytes=BinaryType(), **more, **({"decoded": BinaryType()} if decoded else {})))
-
-    def decode(self, id_bytes: Column) -> Column:
-        """The bytes that the ids (as little-endian unsigned 32-bit integers) stand for."""
-        pieces = pa.array(self.tokens, pa.large_binary())
-
-        def joined(rows: pa.Array) -> pa.Array:
-            parts = []
-            for start, stop in slices(rows):
-                ids, ends = _values(rows.slice(start, stop - start), np.dtype("<u4"))
-                parts.append(_decoded(ids, ends, pieces))
-            return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+        return folded.mapInArrow(gather, schema(ids=ArrayType(IntegerType()), id_bytes=BinaryType()))
 
-        return F.arrow_udf(joined, "binary")(id_bytes)
+    def decode(self, df: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
+        """``df`` with a column ``name``: the bytes that the ids in ``ids`` stand for; unknown ids stand for none."""
+        joined = lambda k: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(k["pieces"], i)), ""))
+        return df.withColumn("__pieces", self.pieces).select(*df.columns, let(F.col("__pieces"), joined).alias(name))
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lists: bool = True) -> DataFrame:
     """(doc_id, id_bytes, ids if ``lists``, decoded): every text's ids, and the bytes that they decode to."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     encoding = Encoding(documents.sparkSession, ranks_path, pattern).remember(docs.select("text"))
-    return encoding.encode(docs, "text", lists, decoded=True)
+    done = encoding.decode(encoding.encode(docs, "text"))
+    return done if lists else done.drop("ids")

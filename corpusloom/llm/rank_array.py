@@ -17,7 +17,6 @@ of the input other than the id and the text are not read.
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _decoded, _rows, _values
+from .bpe import _rows, _values, by_heap
 from .common import bounded_batches, slices
 from .packing import _byte_letters
 from .pretokens import expand, finder, pretokens
@@ -43,6 +42,13 @@ NEVER = np.int64(1) << 40
 SETTLED = regex.compile("[\x00-\u024f\u2010-\u2027\u20ac]*")
 
 
+def _decoded(ids: np.ndarray, rows: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """Of each row, the pieces of its ids one after the other."""
+    taken = pieces.take(pa.array(ids))  # its buffer holds the pieces one after the other
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(taken)).astype(np.int64))])[rows]
+    return _rows(np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level vocabulary file."""
 
@@ -114,24 +120,7 @@ class Vocabulary:
 
     def long(self, word: bytes) -> np.ndarray:
         """Ids of one word, its ranks in a heap: the least rank first, then the leftmost."""
-        parts = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
-        n, get = len(parts), self.least.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := get(parts[i] << 32 | parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            least, i = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] < 0 or j >= n or get(parts[i] << 32 | parts[j]) != least:
-                continue  # one of the two has been joined since
-            parts[i], parts[j] = least & ((1 << 20) - 1), -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (r := get(parts[left] << 32 | parts[right])) is not None:
-                    heapq.heappush(heap, (r, left))
-        return np.asarray([p for p in parts if p >= 0], np.int64)
+        return np.asarray(by_heap(self.of_byte[np.frombuffer(word, np.uint8)].tolist(), self.least.get), np.int64)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""

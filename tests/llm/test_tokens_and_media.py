@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -173,9 +174,9 @@ def test_bpe_encodes_and_decodes(spark, monkeypatch, most):
         text = texts[r.doc_id] or ""
         assert list(r.ids) == enc.encode_ordinary(text) and bytes(r.decoded) == text.encode()
         assert bytes(r.id_bytes) == np.array(r.ids, "<u4").tobytes()
-    ids = spark.createDataFrame([(i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in enumerate(texts)], "i int, b binary")
-    for r in ids.select("i", bpe.Encoding(spark, RANKS, P.PATTERN).decode(F.col("b")).alias("d")).collect():
-        assert bytes(r.d) == (texts[r.i] or "").encode()
+    ids = spark.createDataFrame([(i, enc.encode_ordinary(t or "")) for i, t in enumerate(texts)] + [(-1, [50_000, 999_999, None, 0])], "i int, ids array<int>")
+    for r in bpe.Encoding(spark, RANKS, P.PATTERN).decode(ids).collect():
+        assert bytes(r.decoded) == ((texts[r.i] or "").encode() if r.i >= 0 else enc.decode_bytes([50_000, 0]))
     assert bpe.encode_documents(frame(spark).limit(0), RANKS, P.PATTERN).count() == 0
 
 
@@ -185,16 +186,26 @@ def test_bpe_of_repeated_rows_null_ids_and_clashing_names(spark):
     assert len(rows) == 4 and sorted(len(r.ids) for r in rows) == [0, 2, 2, 2]
 
 
-def test_sweeps_are_folds(spark):
-    """Words of all lengths by either fold, and ranks that fall from one step to the next."""
-    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ab", b"cab", b"bcab", b"cc", b"aa", b"aaaa", b"ca", b"abca"]
-    ranks = bpe.Ranks(spark, tokens)
-    rng = random.Random(0)
-    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(300)})
-    df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, b array<int>").withColumn("r", ranks.literal)
-    library = tiktoken.Encoding("small", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
-    for r in df.select("w", ranks.fold(F.col("r"), F.col("b")).alias("f"), ranks.sweep(F.col("r"), F.col("b")).alias("s")).collect():
-        assert r.f == r.s == library.encode_ordinary(r.w), r.w
+def test_heaps_are_folds(spark):
+    """Words of all lengths by either way, with ranks that fall from one step to the next and inside one."""
+    for extra in ([b"bc", b"abc", b"ab", b"cab", b"bcab", b"cc", b"aa", b"aaaa", b"ca", b"abca"], [b"aba", b"ab", b"bab", b"ba", b"abab"]):
+        tokens = [bytes([b]) for b in range(256)] + extra
+        ranks, ids = bpe.Ranks(spark, tokens), {t: i for i, t in enumerate(tokens)}
+        least = {ids[t[:k]] << 32 | ids[t[k:]]: i << bpe.TOKEN_BITS | i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        rng = random.Random(0)
+        words = sorted({"abab"} | {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(300)})
+        df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, b array<int>").withColumn("r", ranks.literal)
+        library = tiktoken.Encoding("small", pat_str=r"\S+", mergeable_ranks=ids, special_tokens={})
+        for r in df.select("w", ranks.fold(F.col("r"), F.col("b")).alias("f")).collect():
+            assert r.f == bpe.by_heap(list(r.w.encode()), least.get) == library.encode_ordinary(r.w), r.w
+
+
+def test_a_long_word_takes_little_more_than_linear_time(spark):
+    enc, _ = encoding()
+    words, began = ["".join(random.Random(n).choice("abcdefgh") for _ in range(n)) for n in (200, 257, 300, 200_000)], time.time()
+    for r in bpe.encode_documents(frame(spark, words), RANKS, P.PATTERN).collect():
+        assert list(r.ids) == enc.encode_ordinary(words[r.doc_id]) and bytes(r.decoded) == words[r.doc_id].encode()
+    assert time.time() - began < 60
 
 
 def test_bpe_query(spark, sf):
