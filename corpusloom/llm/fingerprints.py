@@ -16,16 +16,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, cut, let
 
 BIN_BITS, LOW_BITS, SHINGLE, LONGS = 7, 4, 5, 8
 BINS = 1 << BIN_BITS
-#: Rows of a range of ids, and the most ranges.
-ROWS_PER_BUCKET, MAX_BUCKETS = 1000, 1 << 14
+#: Rows of a range of ids, and the most ranges (their bounds are one literal array of longs).
+ROWS_PER_BUCKET, MAX_BUCKETS = 1000, 1 << 17
 
 
 def _bin(value: Column) -> Column:
@@ -83,13 +84,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), corrected))
 
 
-def _range(key: Column, spread: Column, bounds: list[int]) -> Column:
+def _range(key: Column, spread: Column, bounds: Column, width: int) -> Column:
     """Number of the range that ``key`` falls into; an id that is several bounds has its rows dealt over those ranges.
 
-    ``spread`` is a number from 0 to below 1 that rises with what orders rows of one id.
+    ``bounds`` has ``all`` bounds and ``every`` one in ``width``; ``spread`` is a number from 0 to below 1 that rises with
+    what orders rows of one id.
     """
-    width = max(1, int(len(bounds) ** 0.5))
-    all_, every = (F.array(*[F.lit(b).cast("long") for b in x]) for x in (bounds, bounds[::width]))
+    all_, every = bounds["all"], bounds["every"]
 
     def count(below: Callable[[Column], Column]) -> Column:
         within = lambda top: F.size(F.filter(F.slice(all_, (top - 1) * width + 1, F.lit(width)), below))
@@ -99,21 +100,26 @@ def _range(key: Column, spread: Column, bounds: list[int]) -> Column:
     return let(low, lambda x: x + F.floor(spread * (high - x + 1)))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``df`` with ``next_<c>`` of the row that follows in ascending id (after the last: the first).
+def range_bounds(df: DataFrame, id_col: str) -> list[int]:
+    """Sampled quantiles of the ids, one for about ROWS_PER_BUCKET rows."""
+    n = df.agg(F.count(id_col)).first()[0]
+    cuts = min(MAX_BUCKETS, n // ROWS_PER_BUCKET)
+    return sorted(df.agg(F.percentile_approx(id_col, [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 8 * cuts))).first()[0]) if cuts else []
+
+
+def with_next(df: DataFrame, id_col: str, columns: list[str], bounds: list[int], tie: str) -> DataFrame:
+    """``df`` with ``next_<c>`` of the row that follows in ascending id (after the last: the first); ``tie`` orders rows of one id.
 
-    Ids are cut at sampled quantiles into ranges of about ROWS_PER_BUCKET rows; each range is sorted by itself, and only
-    the first row of each range is sent on, to the range before it. What is sorted in one task is the ranges' numbers.
+    Each range of ids between ``bounds`` is sorted by itself, and only the first row of each range is sent on, to the range
+    before it. What is sorted in one task is the ranges' numbers.
     """
-    key, n = F.col(id_col), df.agg(F.count(id_col)).first()[0]
-    cuts = min(MAX_BUCKETS, n // ROWS_PER_BUCKET)
-    bounds = sorted(df.agg(F.percentile_approx(id_col, [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 8 * cuts))).first()[0]) if cuts else []
-    hashed = F.xxhash64(columns[0])
+    key, hashed, width = F.col(id_col), F.col(tie), max(1, int(len(bounds) ** 0.5))
+    held = F.struct(F.lit(np.asarray(bounds, np.int64)).alias("all"), F.lit(np.asarray(bounds[::width], np.int64)).alias("every"))  # two literals
     spread = F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 12) / F.lit(2.0**52)
     nowhere = -1 - F.pmod(F.xxhash64(*columns), F.lit(1024))
-    bucket = _range(key, spread, bounds) if bounds else F.lit(0)
-    placed = df.withColumn("__hash", hashed).withColumn("__bucket", F.when(key.isNull(), nowhere).otherwise(bucket).cast("long"))
-    order = W.partitionBy("__bucket").orderBy(id_col, "__hash")
+    bucket = let(held, lambda b: _range(key, spread, b, width)) if bounds else F.lit(0)
+    placed = df.withColumn("__bucket", F.when(key.isNull(), nowhere).otherwise(bucket).cast("long"))
+    order = W.partitionBy("__bucket").orderBy(id_col, tie)
     ranked = placed.select("*", F.row_number().over(order).alias("__rn"), *[F.lead(F.struct(c)).over(order).alias(f"__lead_{c}") for c in columns])
     one = W.orderBy("__bucket")  # over at most MAX_BUCKETS + 1 numbers
     numbers = placed.filter("__bucket >= 0").select("__bucket").distinct()
@@ -127,18 +133,22 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 
 def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose last half is replaced by the start of the next document."""
+    """Fingerprints of each text and of its edited text, whose last half is replaced by the start of the next document.
+
+    Every text and every edited text is fingerprinted once; next fingerprints are found among the written, short rows.
+    """
     base = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("fp", fingerprint(F.col("text")))
+    base, bounds = base.withColumn("tie", F.xxhash64("text")), range_bounds(base, "doc_id")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    moved = with_next(base, "doc_id", ["text", "fp"]).withColumn("next_text", F.coalesce("next_text", F.lit("")))
-    edited = moved.select("doc_id", "text", "fp", "next_fp", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    done = edited.withColumn("edited_fp", fingerprint(F.col("edited")))
+    moved = with_next(base, "doc_id", ["text"], bounds, "tie").withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    edited = moved.select("doc_id", "tie", "text", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    made = edited.select("doc_id", "tie", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp"))
+    done = with_next(cut(made), "doc_id", ["fp"], bounds, "tie")
     return done.select(
         "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
