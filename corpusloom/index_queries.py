@@ -1,12 +1,19 @@
-"""Registered queries of the pruned, approximate and growing indexes; importing this module completes the registry."""
+"""Registered queries of the pruned, approximate and growing indexes, bucketed caches, token-wise generation and page text.
+
+Importing this module completes the registry.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from corpusloom import sql
-from corpusloom.operators import ann, blockmax, bm25, vectors
+from corpusloom.functions.text import text_key
+from corpusloom.operators import ann, augment, blockmax, bm25, clean, embedding, vectors
+from corpusloom.operators.models import Loaded, Tokens
 from corpusloom.queries import DOCUMENT_CHUNKS, ORACLES, QUERIES, SCORES, STEP, TOKENS, TOP, VECTORS, doc_chunks, query, questions, read
 from corpusloom.sources.segments import SegmentedIndex
-from corpusloom.sources.tables import materialize, scratch_folder
+from corpusloom.sources.tables import materialize, read_bucketed_cache, scratch_folder, write_bucketed_cache
 from corpusloom.streaming.stateful import ingest_with_state
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +109,64 @@ def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = spark.read.parquet(f"{root}/cache").select("text_key").withColumn("held", F.lit(1))
     rows = spark.read.parquet(f"{root}/chunks").join(cached, "text_key", "left")
     return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count("held").alias("cached"))
+
+
+# ------------------------------------------------------------------------------- bucketed caches, generation, page text
+
+BUCKETS = 16
+
+
+@query("""SELECT doc_id, length(text) AS chars, sha1(text) IN (SELECT sha1(text) FROM documents WHERE lang = 'en') AS reused FROM documents""")
+def encode_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all documents with a bucketed cache of the English ones, by an encoder that each worker loads once."""
+    docs, path = read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), scratch_folder(spark, "bucketed")
+    lengths = docs.filter("lang = 'en'").select(F.lit("length").alias("model"), text_key(F.col("text")).alias("text_key"), F.array(F.length("text").cast("float")).alias("embedding"))
+    write_bucketed_cache(lengths.dropDuplicates(["text_key"]), path, BUCKETS)
+    cache = read_bucketed_cache(spark, path, "model string, text_key string, embedding array<float>", BUCKETS)
+    encoded, _ = embedding.encode_cached(docs, cache, "length", Loaded("length", text_lengths), normalize=False)
+    return encoded.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("chars"), "reused")
+
+
+def text_lengths() -> Callable:
+    """A stand-in for a model that is loaded: gives each text's length."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(t)] for t in texts])
+
+
+def endless() -> Callable[[str], Iterator[str]]:
+    """A stand-in for a language model that never stops by itself: says the prompt's words again and again."""
+
+    def stream(prompt: str) -> Iterator[str]:
+        while True:
+            for word in prompt.split(" "):
+                yield word + " "
+
+    return stream
+
+
+@query(f"""SELECT doc_id, text || CASE WHEN said <> '' THEN chr(10) || chr(10) || '【检索增强】' || chr(10) || said ELSE '' END AS text, said <> '' AS enriched
+FROM (SELECT doc_id, text, {sql.strip("substr(repeat(text || ' ', CAST(2400 // (length(text) + 1) + 1 AS INT)), 1, 400)")} AS said FROM documents)""")
+def enrich_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document enriched by a generator that has to be stopped."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return augment.enrich_cached(docs, None, Tokens(Loaded("endless", endless)), "{chunk}")[0].drop("reused")
+
+
+BOXES = """WITH boxes AS (SELECT ceil(l_orderkey / 8.0)::BIGINT AS page_no, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_suppkey % 97)::DOUBLE AS x1, (l_linenumber * 12 + l_suppkey % 5)::DOUBLE AS top, l_partkey || '/' || l_suppkey AS text FROM lineitem),
+"""
+
+
+@query(BOXES + """cols AS (SELECT page_no, CASE WHEN count(*) >= 10 AND count(*) FILTER (x0 < 230 AND x1 > 270) / count(*) < 0.06 AND count(*) FILTER ((x0 + x1) / 2 < 250) > count(*) * 0.25
+  AND count(*) - count(*) FILTER ((x0 + x1) / 2 < 250) > count(*) * 0.25 THEN 2 ELSE 1 END AS n_columns FROM boxes GROUP BY 1),
+placed AS (SELECT *, CAST(n_columns = 2 AND (x0 + x1) / 2 >= 250 AS INT) AS c FROM boxes JOIN cols USING (page_no)),
+starts AS (SELECT *, CAST(coalesce(top - lag(top) OVER w, 0) > 3 AS INT) AS new FROM placed WINDOW w AS (PARTITION BY page_no, c ORDER BY top, x0, text)),
+lined AS (SELECT *, sum(new) OVER (PARTITION BY page_no, c ORDER BY top, x0, text ROWS UNBOUNDED PRECEDING) AS line FROM starts),
+lines AS (SELECT page_no, n_columns, c, line, string_agg(text, ' ' ORDER BY x0, top, text) AS text FROM lined GROUP BY ALL)
+SELECT page_no, n_columns, string_agg(text, chr(10) ORDER BY c, line) AS text FROM lines GROUP BY ALL""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of word boxes made of order lines, read column by column."""
+    x0 = (F.col("l_partkey") % 500).cast("double")
+    top = (F.col("l_linenumber") * 12 + F.col("l_suppkey") % 5).cast("double")
+    words = read(spark, sf_dir, "lineitem").select(F.ceil(F.col("l_orderkey") / 8).alias("page_no"), x0.alias("x0"), (x0 + F.col("l_suppkey") % 97).alias("x1"), top.alias("top"), F.lit(500.0).alias("page_width"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("text"))
+    return clean.page_text(words, ["page_no"], least_words=10)

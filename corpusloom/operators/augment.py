@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from corpusloom.functions.text import let, split_lines, strip, text_key
 from corpusloom.operators.chunking import merge_captions, split_blocks
+from corpusloom.operators.models import Tokens, as_batch
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +64,33 @@ def strip_think(text: Column) -> Column:
     return strip(F.when(out.contains(OPEN), "").otherwise(out))
 
 
-def cut_generated(raw: Column, limit: int = 400) -> Column:
-    """What is kept of generated text: no more than the generator may say, without thoughts, at most ``limit`` characters."""
-    return strip(F.substring(strip_think(F.substring(raw, 1, max(6 * limit, 1800))), 1, limit))
+def most_said(limit: int) -> int:
+    """Characters after which a generator is stopped: thoughts go before the part that is kept."""
+    return max(6 * limit, 1800)
 
 
-def enrich_cached(chunks: DataFrame, cache: DataFrame | None, generate: Callable[[pd.Series], pd.Series], template: str, generator: str = "default", questions: int = 3, limit: int = 400) -> tuple[DataFrame, DataFrame]:
+def cut_generated(raw: Column, limit: int = 400, stopped: bool = False) -> Column:
+    """What is kept of generated text: no more than the generator may say, without thoughts, at most ``limit`` characters.
+
+    A generator that was ``stopped`` at its limit said its last token in full.
+    """
+    return strip(F.substring(strip_think(raw if stopped else F.substring(raw, 1, most_said(limit))), 1, limit))
+
+
+def enrich_cached(chunks: DataFrame, cache: DataFrame | None, generate: Callable[[pd.Series], pd.Series] | Tokens, template: str, generator: str = "default", questions: int = 3, limit: int = 400) -> tuple[DataFrame, DataFrame]:
     """(chunks with ``text`` enriched, ``enriched`` and ``reused``; the cache pruned to the keys of this run).
 
     Each distinct text that the cache lacks is generated once; a null or empty outcome leaves the chunk as it is and is
-    not cached. Only keys and distinct misses are shuffled.
+    not cached. Only keys and distinct misses are shuffled. A generator of ``Tokens`` is stopped when it has said enough.
     """
     spark = chunks.sparkSession
     keyed = chunks.withColumn("text_key", text_key(F.col("text")))
     schema = "generator string, text_key string, generated string"
     known = (cache.select("generator", "text_key", "generated") if cache is not None else spark.createDataFrame([], schema)).filter(F.col("generator") == generator).select("text_key", "generated").dropDuplicates(["text_key"])
     missing = keyed.select("text_key", "text").dropDuplicates(["text_key"]).join(known, "text_key", "left_anti")
-    made = F.pandas_udf(generate, "string")(enrich_prompt(template, F.col("text"), questions))
-    new = materialize(missing.select("text_key", made.alias("raw"))).select("text_key", cut_generated(F.col("raw"), limit).alias("generated")).filter("generated <> ''")
+    stopped = isinstance(generate, Tokens)
+    made = F.pandas_udf(as_batch(generate, most_said(limit)), "string")(enrich_prompt(template, F.col("text"), questions))
+    new = materialize(missing.select("text_key", made.alias("raw"))).select("text_key", cut_generated(F.col("raw"), limit, stopped).alias("generated")).filter("generated <> ''")
     both = known.withColumn("reused", F.lit(True)).unionByName(new.withColumn("reused", F.lit(False)))
     joined = keyed.join(both, "text_key", "left")
     text = F.when(F.col("generated").isNotNull(), F.concat("text", F.lit(ENRICH_NOTE), "generated")).otherwise(F.col("text"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from corpusloom.functions.text import SPACE, collapse_blank_lines, is_blank, let, split_lines, strip
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -196,3 +197,20 @@ def detect_columns(words: DataFrame, keys: list[str], least_words: int = 40, mar
     n = F.col("n")
     two = (n >= least_words) & (F.col("over") / n < crossing) & (F.col("left") > n * side) & (n - F.col("left") > n * side)
     return counted.select(*keys, F.when(two, 2).otherwise(1).alias("n_columns"))
+
+
+def page_text(words: DataFrame, keys: list[str], tolerance: float = 3.0, **columns) -> DataFrame:
+    """(keys, n_columns, text) of word boxes (x0, x1, top, page_width, text): the left column's lines, then the right one's.
+
+    A word starts a new line where its top is more than ``tolerance`` below that of the word before it; a line's words go from
+    left to right. A word belongs to the half that its middle is in. ``columns`` are those of ``detect_columns``.
+    """
+    found = detect_columns(words, keys, **columns)
+    right = (F.col("n_columns") == 2) & ((F.col("x0") + F.col("x1")) / 2 >= F.col("page_width") / 2)
+    placed = words.join(found, keys).withColumn("__column", right.cast("int"))
+    order = W.partitionBy(*keys, "__column").orderBy("top", "x0", "text")
+    starts = placed.withColumn("__new", (F.coalesce(F.col("top") - F.lag("top").over(order), F.lit(0)) > tolerance).cast("int"))
+    lined = starts.withColumn("__line", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = lambda x, by: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda w: w["text"]), by)
+    lines = lined.groupBy(*keys, "n_columns", "__column", "__line").agg(joined(F.struct("x0", "top", "text"), " ").alias("text"))
+    return lines.groupBy(*keys, "n_columns").agg(joined(F.struct("__column", "__line", "text"), "\n").alias("text"))

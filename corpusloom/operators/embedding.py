@@ -52,14 +52,14 @@ def encode_query(question: Column, prefix: str = "", encoder: Encoder = hashing_
 
 
 def cache_misses(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """One row for each text_key of ``keyed`` that the cache lacks for ``model``."""
+    """One row for each text_key of ``keyed`` that the cache lacks for ``model``; a bucketed cache is not shuffled."""
     known = cache.filter(F.col("model") == model).select("text_key")
     return keyed.dropDuplicates(["text_key"]).join(known, "text_key", "left_anti")
 
 
 def prune_cache(cache: DataFrame, keyed: DataFrame, model: str) -> DataFrame:
     """The cache's rows of ``model`` whose key is used; rows of other models do not carry over."""
-    return cache.filter(F.col("model") == model).join(keyed.select("text_key"), "text_key", "left_semi")
+    return cache.filter(F.col("model") == model).join(keyed.select("text_key").distinct(), "text_key", "left_semi")
 
 
 def encode_cached(chunks: DataFrame, cache: DataFrame | None, model: str, encoder: Encoder = hashing_encoder, normalize: bool = True) -> tuple[DataFrame, DataFrame]:

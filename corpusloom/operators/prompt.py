@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from corpusloom.operators.models import Tokens, as_batch
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ def payload(hits: DataFrame) -> DataFrame:
     return kept.select("query_id", F.transform("hits", lambda h: h.dropFields("rank")).alias("retrieval"))
 
 
-def answers(prompts: DataFrame, generate: Callable[[pd.Series], pd.Series], n_chunks: int) -> DataFrame:
+def answers(prompts: DataFrame, generate: Callable[[pd.Series], pd.Series] | Tokens, n_chunks: int) -> DataFrame:
     """``prompts`` with ``answer``, each made once; over an empty index a fixed message without sources."""
     if not n_chunks:
         return prompts.withColumn("answer", F.lit(EMPTY_INDEX)).withColumn("sources", F.array().cast("array<string>"))
-    return materialize(prompts.withColumn("answer", F.pandas_udf(generate, "string")("prompt")))
+    return materialize(prompts.withColumn("answer", F.pandas_udf(as_batch(generate), "string")("prompt")))

@@ -57,7 +57,7 @@ def rerank(hits: DataFrame, top_k: int, scorer: Callable[[Column, Column], Colum
     """
     if scorer is None:
         return hits.filter(F.col("rank") <= top_k).withColumn("rerank_score", F.lit(None).cast("double"))
-    score = F.pandas_udf(scorer, "double") if batch else scorer
+    score = F.pandas_udf(lambda q, t: scorer(q, t), "double") if batch else scorer
     scored = hits.withColumn("rerank_score", F.round(score(F.col("question"), F.col("text")), DIGITS))
     order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)

@@ -67,6 +67,27 @@ def write_cache(cache: DataFrame, path: str, partition: str = "model") -> None:
     cache.write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
+def write_bucketed_cache(cache: DataFrame, path: str, buckets: int, key: str = "text_key") -> None:
+    """A cache as a new folder of files bucketed and sorted by ``key``, so that a run joins it without shuffling it."""
+    cache.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(_named())
+
+
+def read_bucketed_cache(spark: SparkSession, path: str, schema: str, buckets: int, key: str = "text_key") -> DataFrame:
+    """What ``write_bucketed_cache`` wrote, in this session or another; empty where there is nothing."""
+    name = _named()
+    try:
+        spark.read.schema(schema).parquet(path)
+    except PySparkException:
+        return spark.createDataFrame([], schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def _named() -> str:
+    return f"bucketed_{uuid.uuid4().hex}"
+
+
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A cache table; what is not there or cannot be read counts as empty. Every file's footer is read to know that."""
     empty = spark.createDataFrame([], schema)

@@ -1,12 +1,18 @@
-"""Pruned, approximate and growing indexes against exhaustive search and rebuilds."""
+"""Pruned, approximate and growing indexes against exhaustive search and rebuilds; model slots, bucketed caches, page text."""
 
+import os
 import random
+import uuid
+from itertools import takewhile
 
 import numpy as np
 import pytest
-from corpusloom.operators import ann, blockmax, bm25, vectors
+from corpusloom.operators import ann, augment, blockmax, bm25, clean, embedding, prompt, retrieve, vectors
+from corpusloom.operators.models import Loaded, Tokens
 from corpusloom.sources.segments import SegmentedIndex
+from corpusloom.sources.tables import read_bucketed_cache, write_bucketed_cache
 from corpusloom.streaming.stateful import PROVIDER, ingest_with_state
+from pyspark.sql import functions as F
 
 WORDS = ["the", "of", *(f"w{i}" for i in range(60))]
 
@@ -172,3 +178,108 @@ def test_texts_are_encoded_once_whatever_the_batch(spark, tmp_path):
     assert run() == (n, keys)  # nothing new
     arrive([("f", "one"), ("g", "four")])  # a late duplicate
     assert run()[0] == 7 and len(run()[1]) == 4
+
+
+# ---------------------------------------------------------------------------------------------------------- model slots
+
+
+def notes(folder, what):
+    return [open(f"{folder}/{f}").read() for f in os.listdir(folder) if f.startswith(what)]
+
+
+def test_models_are_loaded_once_a_worker_and_stopped_at_their_limit(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(folder, what):  # workers do not see this module
+        with open(f"{folder}/{what}-{uuid.uuid4().hex}", "w") as f:
+            f.write(str(os.getpid()))
+
+    def load():
+        noted(folder, "load")
+
+        def stream(text):
+            try:
+                while True:
+                    noted(folder, "token")
+                    yield text[:1] * 100
+            finally:
+                noted(folder, "closed")
+
+        return stream
+
+    model = Tokens(Loaded(f"model-{folder}", load))
+    chunks = spark.createDataFrame([(i, c) for i, c in enumerate("abcdefgh")] + [(8, "a")], "chunk_id long, text string").repartition(6)
+    out, cache = augment.enrich_cached(chunks, None, model, "{chunk}", limit=250)
+    assert {r.text for r in out.collect()} == {c + augment.ENRICH_NOTE + c * 250 for c in "abcdefgh"} and cache.count() == 8
+    loads = notes(folder, "load")
+    assert len(loads) == len(set(loads))  # no process twice, however many tasks it ran
+    assert len(notes(folder, "token")) == 8 * 18 and len(notes(folder, "closed")) == 8  # 1800 characters, then closed
+
+
+def test_generators_that_end_by_themselves(spark):
+    model = Tokens(lambda text: iter(["<think>", "x" * 50, "</think>", text.upper(), ""]))
+    assert model.said("q") == "<think>" + "x" * 50 + "</think>Q" and model.said(None) is None and model.said("q", 0) == "<think>"
+    prompts = spark.createDataFrame([(1, "q"), (2, None)], "query_id int, prompt string")
+    assert {r.query_id: r.answer for r in prompt.answers(prompts, model, 3).collect()} == {1: model.said("q"), 2: None}
+
+
+def test_loaded_models_fit_every_slot(spark):
+    hits = spark.createDataFrame([(1, "a", 1, "q", "xx"), (1, "b", 2, "q", "xxx")], "query_id int, chunk_id string, rank int, question string, text string")
+    scorer = Loaded("text length", lambda: lambda q, t: t.str.len().astype(float))
+    assert [r.chunk_id for r in retrieve.rerank(hits, 1, scorer, batch=True).collect()] == ["b"]
+    encoder = Loaded("one number", lambda: lambda texts: np.array([[len(t)] for t in texts]))
+    assert [list(r.e) for r in hits.select(embedding.encode(F.col("text"), encoder, normalize=False).alias("e")).collect()] == [[2.0], [3.0]]
+
+
+# ------------------------------------------------------------------------------------------------------ bucketed caches
+
+CACHE = "model string, text_key string, embedding array<float>"
+
+
+def test_a_bucketed_cache_is_joined_where_it_lies(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    held = spark.range(2000).select(F.lit("m").alias("model"), F.sha1(F.col("id").cast("string")).alias("text_key"), F.array(F.col("id").cast("float")).alias("embedding"))
+    write_bucketed_cache(held, path, 8)
+    cache = read_bucketed_cache(spark, path, CACHE, 8)
+    chunks = spark.range(1990, 2010).selectExpr("id AS chunk_id", "CAST(id AS STRING) AS text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = chunks.withColumn("text_key", F.sha1("text"))
+        for df in (embedding.cache_misses(keyed, cache, "m"), embedding.prune_cache(cache, keyed, "m")):
+            assert df.count() == 10
+            between = list(takewhile(lambda line: "SortMergeJoin" not in line, above(df._jdf.queryExecution().executedPlan().toString(), "bucketed_")))
+            assert between and not [line for line in between if "Exchange" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    encoded, after = embedding.encode_cached(chunks, cache, "m", lambda texts: np.array([[-1.0]] * len(texts)), normalize=False)
+    assert sorted((r.chunk_id, r.embedding[0], r.reused) for r in encoded.collect()) == [(i, float(i) if i < 2000 else -1.0, i < 2000) for i in range(1990, 2010)]
+    assert after.count() == 20 and read_bucketed_cache(spark, str(tmp_path / "none"), CACHE, 8).count() == 0
+
+
+def above(plan, mark):
+    """Lines of a plan from the parent of the last one with ``mark`` up to the root."""
+    lines = plan.split("\n")
+    at = max(i for i, line in enumerate(lines) if mark in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    out, least = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            out.append(line)
+            least = depth(line)
+    return out
+
+
+# ------------------------------------------------------------------------------------------------------------ page text
+
+
+def test_two_columns_are_read_one_after_the_other(spark):
+    words = []
+    for line in range(12):
+        for k in range(2):
+            words.append((1, 10.0 + 60 * k, 60.0 + 60 * k, 20.0 * line + k, 400.0, f"l{line}.{k}"))
+            words.append((1, 210.0 + 60 * k, 260.0 + 60 * k, 20.0 * line + k, 400.0, f"r{line}.{k}"))
+    words += [(2, 10.0, 390.0, 5.0, 400.0, "title"), (2, 210.0, 300.0, 30.0, 400.0, "b"), (2, 10.0, 100.0, 31.0, 400.0, "a"), (3, 1.0, 2.0, 0.0, 400.0, "same"), (3, 1.0, 2.0, 0.0, 400.0, "same")]
+    df = spark.createDataFrame(words, "page int, x0 double, x1 double, top double, page_width double, text string").repartition(3)
+    got = {r.page: (r.n_columns, r.text) for r in clean.page_text(df, ["page"]).collect()}
+    side = lambda s: "\n".join(f"{s}{i}.0 {s}{i}.1" for i in range(12))
+    assert got == {1: (2, side("l") + "\n" + side("r")), 2: (1, "title\na b"), 3: (1, "same same")}
