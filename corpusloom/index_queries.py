@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from corpusloom import sql
-from corpusloom.functions.text import text_key
-from corpusloom.operators import ann, augment, blockmax, bm25, clean, embedding, vectors
+from corpusloom.functions.text import SPACE, text_key
+from corpusloom.operators import ann, augment, blockmax, bm25, chunking, clean, embedding, segment, vectors
 from corpusloom.operators.models import Loaded, Tokens
-from corpusloom.queries import DOCUMENT_CHUNKS, ORACLES, QUERIES, SCORES, STEP, TOKENS, TOP, VECTORS, doc_chunks, query, questions, read
+from corpusloom.queries import DOCUMENT_CHUNKS, ORACLES, QUERIES, SCORES, STEP, TOKENS, TOP, VECTORS, books, doc_chunks, query, questions, read, rules
 from corpusloom.sources.segments import SegmentedIndex
 from corpusloom.sources.tables import materialize, read_bucketed_cache, scratch_folder, write_bucketed_cache
 from corpusloom.streaming.stateful import ingest_with_state
@@ -170,3 +170,38 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = (F.col("l_linenumber") * 12 + F.col("l_suppkey") % 5).cast("double")
     words = read(spark, sf_dir, "lineitem").select(F.ceil(F.col("l_orderkey") / 8).alias("page_no"), x0.alias("x0"), (x0 + F.col("l_suppkey") % 97).alias("x1"), top.alias("top"), F.lit(500.0).alias("page_width"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("text"))
     return clean.page_text(words, ["page_no"], least_words=10)
+
+
+# --------------------------------------------------------------------------------------------- dictionary segmentation
+
+LETTERS = r"[\p{L}\p{N}]+"
+
+
+@query(f"""WITH RECURSIVE words AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS}) AS word FROM documents) WHERE length(word) <= {segment.LONGEST} GROUP BY 1 HAVING count(*) >= {segment.LEAST}),
+weights AS (SELECT word, CAST(round(1000000 * (ln(n) - ln((SELECT sum(n) FROM words)))) AS BIGINT) AS weight FROM words), least AS (SELECT CAST(round(1000000 * (0 - ln(sum(n)))) AS BIGINT) AS unknown FROM words),
+pieces AS (SELECT item_id, generate_subscripts(p, 1) AS spot, unnest(p) AS piece FROM (SELECT item_id, regexp_extract_all(replace(text, ' ', ''), '{LETTERS}|[^{SPACE}]') AS p FROM benchmark)),
+runs AS (SELECT DISTINCT piece AS run FROM pieces WHERE regexp_matches(piece, '^{LETTERS}$')),
+starts AS (SELECT run, unnest(range(0, length(run))) AS start FROM runs), parts AS (SELECT run, start, unnest(range(1, least({segment.LONGEST}, length(run) - start) + 1)) AS size FROM starts),
+edges AS (SELECT run, start, start + size AS stop, weight FROM parts JOIN weights ON word = substr(run, CAST(start + 1 AS INT), CAST(size AS INT)) UNION ALL SELECT run, start, start + 1, unknown FROM starts, least),
+ways AS (SELECT run, start, list({{'stop': stop, 'weight': weight}}) AS ways FROM edges GROUP BY ALL),
+routes AS (SELECT run, length(run) AS i, [{{'score': 0::BIGINT, 'next': length(run)}}] AS r FROM runs UNION ALL
+  SELECT routes.run, i - 1, list_prepend(list_sort(list_transform(ways, lambda e: {{'score': e.weight + r[e.stop - i + 1].score, 'next': e.stop}}), 'DESC')[1], r) FROM routes JOIN ways w ON w.run = routes.run AND w.start = i - 1),
+best AS (SELECT run, r FROM routes WHERE i = 0),
+walk AS (SELECT run, r, 0::BIGINT AS spot, CAST([] AS VARCHAR[]) AS words FROM best UNION ALL SELECT run, r, r[spot + 1].next, list_append(words, substr(run, CAST(spot + 1 AS INT), CAST(r[spot + 1].next - spot AS INT))) FROM walk WHERE spot < length(run)),
+done AS (SELECT run, array_to_string(words, ' ') AS words FROM walk WHERE spot = length(run))
+SELECT item_id, string_agg(coalesce(words, piece), ' ' ORDER BY spot) AS tokens FROM pieces LEFT JOIN done ON run = piece GROUP BY 1""")
+def segment_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages without their spaces, split into words that the documents have."""
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.replace(F.col("text"), F.lit(" "), F.lit("")).alias("text"))
+    made = segment.segment(asked, segment.learn(read(spark, sf_dir, "documents")), "item_id", run=LETTERS)
+    return made.select("item_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+# ----------------------------------------------------------------------------------------------------- giant documents
+
+
+@query(ORACLES["chunk_books"])
+def chunk_giants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned books of chunk_books, their chapters dealt over all tasks."""
+    cleaned = clean.clean_text(clean.clean_pages(books(spark, sf_dir), rules(spark)))
+    return chunking.chunk_giants(cleaned.select(F.concat_ws("/", "source", "doc_id").alias("source"), F.col("cleaned").alias("text")), chunk_size=500, overlap=80)

@@ -169,9 +169,14 @@ def chunks(text: str | None, chunk_size: int, overlap: int) -> list[Chunk]:
     text = (text or "").strip()
     if len(text) <= chunk_size and "\n" not in text:
         return [Chunk(text, None, None)] if text else []
+    return chunks_of(captioned(blocks(text)), chunk_size, overlap)
+
+
+def chunks_of(found: Iterable[tuple[str, str]], chunk_size: int, overlap: int) -> list[Chunk]:
+    """Chunks of blocks whose captions are in their tables."""
 
     def all_of() -> Iterator[Chunk]:
-        for s in sections(captioned(blocks(text))):
+        for s in sections(found):
             lead = crumb(s)
             for piece in packed(s, chunk_size - len(lead), overlap):
                 if piece.strip():

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from corpusloom.functions.text import SPACE, is_blank, strip
+from corpusloom.functions.text import SPACE, is_blank, let, strip
 from corpusloom.operators import _pack
+from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +82,56 @@ def chunk_documents(documents: DataFrame, source_col: str = "source", text_col:
     return rows.select(F.concat_ws("::", "source", "idx").alias("chunk_id"), "source", "idx", "c.*")
 
 
+def chapter_parts(text: Column, chunk_size: int) -> Column:
+    """Array of parts of a text, each an array of (kind, text) blocks: cut where a chapter of another name than the last one starts.
+
+    Neither captions nor fragments are ever joined over such a start, so parts can be packed apart. A text of one short
+    line is a single block of the kind ``plain``.
+    """
+
+    def starts(blocks: Column) -> Column:
+        title = lambda b: F.regexp_replace(strip(b["text"]), HEADING_MARK, "")
+        chapters = F.filter(F.transform(blocks, lambda b, i: F.when((b["kind"] == "heading") & title(b).rlike(CHAPTER), F.struct(i.alias("at"), title(b).alias("title")))), lambda c: c.isNotNull())
+        return let(chapters, lambda cs: F.transform(F.filter(cs, lambda c, k: (k == 0) | (c["title"] != F.get(cs, k - 1)["title"])), lambda c: c["at"]))
+
+    def cut(blocks: Column) -> Column:
+        edges = F.concat(F.array(F.lit(0)), starts(blocks))
+        parts = let(edges, lambda es: F.transform(es, lambda at, k: F.slice(blocks, at + 1, F.coalesce(F.get(es, k + 1), F.size(blocks)) - at)))
+        return F.filter(parts, lambda p: F.size(p) > 0)
+
+    def parts(t: Column) -> Column:
+        plain = F.array(F.array(F.struct(F.lit("plain").alias("kind"), t.alias("text"))))
+        return F.when(t == "", F.slice(plain, F.lit(1), F.lit(0))).when((F.length(t) <= chunk_size) & ~t.contains("\n"), plain).otherwise(let(merge_captions(split_blocks(t)), cut))
+
+    return let(strip(F.coalesce(text, F.lit(""))), parts)
+
+
+def chunk_giants(documents: DataFrame, source_col: str = "source", text_col: str = "text", chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The rows of ``chunk_documents``, for documents too long for one task each: their chapters are dealt over all tasks.
+
+    Built-in functions cut a text into chapters; chapters are shuffled and packed apart, and chunks are numbered by sums of
+    their numbers, of which a document has one a chapter. Sources are distinct.
+    """
+
+    def run(parts: pd.Series) -> pd.Series:
+        def one(blocks) -> list[tuple]:
+            found = [(b["kind"], b["text"]) for b in blocks]
+            if found and found[0][0] == "plain":
+                return [(found[0][1], None, None)]
+            return [(c.text, c.chapter, c.section) for c in _pack.chunks_of(found, chunk_size, overlap)]
+
+        return parts.map(one)
+
+    pack = F.pandas_udf(run, "array<struct<text string, chapter string, section string>>")
+    rows = documents.select(F.col(source_col).alias("source"), F.posexplode(chapter_parts(F.col(text_col), chunk_size)).alias("part", "blocks"))
+    packed = materialize(rows.repartition("source", "part").select("source", "part", pack("blocks").alias("c")).withColumn("n", F.size("c")))
+    before = F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    bases = packed.select("source", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    each = packed.select("source", "part", F.posexplode("c").alias("at", "c")).join(bases, ["source", "part"])
+    numbered = each.withColumn("idx", (F.col("base") + F.col("at")).cast("int"))
+    return numbered.select(F.concat_ws("::", "source", "idx").alias("chunk_id"), "source", "idx", "c.*")
+
+
 def parse_id(chunk_id: Column) -> Column:
     """Struct (source, idx) from ``source::idx``, split at the last ``::``; nulls where the number is none."""
     pattern = r"(?s)^(.*)::[\x{9}-\x{d}\x{20}]*([+-]?\d+)[\x{9}-\x{d}\x{20}]*\z"

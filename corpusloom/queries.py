@@ -114,7 +114,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_no").cast("long").alias("page_no"), "p.in_range", "p.changed", "p.body")
 
 
-CLEANED = BOOKS + f""", kept AS (SELECT doc_id, n, {BODY.replace("rtrim(refs, chr(10))", "''")} AS body, refs <> '' AS ref FROM parts
+CLEANED_TEXTS = BOOKS + f""", kept AS (SELECT doc_id, n, {BODY.replace("rtrim(refs, chr(10))", "''")} AS body, refs <> '' AS ref FROM parts
   WHERE NOT (CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AND (n < 3 OR n >= 25))),
 joined AS (SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY n) AS text, count(*) FILTER (ref) AS ref_blocks FROM kept GROUP BY doc_id),
 cleaned AS (SELECT d.doc_id, source, coalesce(regexp_replace(regexp_replace(j.text, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '') || chr(10) AS cleaned, coalesce(ref_blocks, 0) AS ref_blocks
@@ -122,13 +122,13 @@ FROM documents d LEFT JOIN joined j USING (doc_id))
 """
 
 
-@query(CLEANED + "SELECT doc_id, cleaned, ref_blocks FROM cleaned")
+@query(CLEANED_TEXTS + "SELECT doc_id, cleaned, ref_blocks FROM cleaned")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean.clean_text(clean.clean_pages(books(spark, sf_dir), rules(spark)))
     return cleaned.select("doc_id", "cleaned", F.col("ref_blocks").cast("long").alias("ref_blocks"))
 
 
-@query(CLEANED + """, ruled AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AS ruled FROM parts)
+@query(CLEANED_TEXTS + """, ruled AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 AS ruled FROM parts)
 SELECT source, count(*) AS pages, count(*) FILTER (ruled AND n < 3) AS dropped_front, count(*) FILTER (ruled AND n >= 25) AS dropped_index,
 count(*) FILTER (NOT (ruled AND (n < 3 OR n >= 25))) AS pages_changed, count(*) FILTER (refs <> '' AND NOT (ruled AND (n < 3 OR n >= 25))) AS ref_blocks, chars FROM ruled JOIN (SELECT source, sum(length(cleaned))::BIGINT AS chars FROM cleaned GROUP BY 1) USING (source) GROUP BY source, chars""")
 def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

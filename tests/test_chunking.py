@@ -1,5 +1,8 @@
+import math
+import random
+
 from corpusloom.functions.text import let
-from corpusloom.operators import _pack, chunking
+from corpusloom.operators import _pack, bm25, chunking, segment
 from pyspark.sql import functions as F
 
 
@@ -82,3 +85,61 @@ def test_ids_are_contiguous_and_parsed_back(spark):
 def test_sentences(spark):
     df = spark.createDataFrame([("甲。乙！ 丙?\n　丁.x;",)], "t string").select(chunking.split_sentences(F.col("t")).alias("s"))
     assert df.first().s == ["甲。", "乙！", "丙?", "丁.x;"]
+
+
+def giant_rows():
+    head = "intro text。\n\n表1 列\n\n[表格]\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n"
+    chapters = "".join(f"# 第{n}章 {n}题\n\n" + "开头句子。" * 30 + f"\n\n## 节{n}\n\n" + "内容！" * 90 + "\n\n短。\n\n## 又\n\n短" + "\n\n   " for n in "一二三四")
+    same = "# 第一章 甲\n\n## 末\n\n短。\n\n# 第一章 甲\n\n## 再\n\n短。\n\n# 第二章 乙\n\n# 第三章 丙\n\n尾。"
+    return {"giant": head + chapters, "same name": same, "plain": "  一行 ", "bare heading": "# 第一章 甲", "heading only": "# 第一章 甲\n\n# 第二章 乙\n", "blank": " \n\n ", "null": None, "caption at the end": "正文。\n\n表2 末\n\n# 第一章 甲\n\n[表格]\n| x |", "long line": "句。" * 900}
+
+
+def test_giant_documents_are_chunked_like_others(spark):
+    df = spark.createDataFrame(list(giant_rows().items()), "source string, text string")
+    rows = lambda out: sorted(map(tuple, out.select("chunk_id", "source", "idx", "text", "chapter", "section").collect()))
+    for size, overlap in ((500, 80), (60, 20), (2000, 0)):
+        assert rows(chunking.chunk_giants(df, chunk_size=size, overlap=overlap)) == rows(chunking.chunk_documents(df, chunk_size=size, overlap=overlap))
+
+
+def test_chapters_of_one_book_are_dealt_over_tasks(spark):
+    book = "".join(f"# 第{n}章 题{k}\n\n" + f"第{k}句。" * 200 + "\n\n" for k, n in enumerate("一二三四五六七八九十" * 20))
+    df = spark.createDataFrame([("book", book)], "source string, text string")
+    parts = df.select("source", F.posexplode(chunking.chapter_parts(F.col("text"), 500)).alias("part", "blocks"))
+    assert parts.count() == 200 and parts.repartition(8, "source", "part").select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    want = [c.text for c in _pack.chunks(book, 500, 80)]
+    assert [r.text for r in chunking.chunk_giants(df, chunk_size=500, overlap=80).orderBy("idx").collect()] == want
+
+
+def brute_words(run, counts, longest):
+    total = sum(counts.values())
+    weight = lambda n: round(1_000_000 * (math.log(n) - math.log(total)))
+    best = {len(run): (0, len(run))}
+    for i in range(len(run) - 1, -1, -1):
+        ways = [(weight(1) + best[i + 1][0], i + 1)] + [(weight(counts[run[i:j]]) + best[j][0], j) for j in range(i + 1, min(len(run), i + longest) + 1) if run[i:j] in counts]
+        best[i] = max(ways)
+    out, i = [], 0
+    while i < len(run):
+        out.append(run[i : best[i][1]])
+        i = best[i][1]
+    return out
+
+
+def test_segmentation_takes_the_best_path(spark):
+    counts = {"检验": 40, "检验结果": 9, "结果": 30, "分析": 25, "果分": 50, "的": 200, "临床检验": 3, "一" * 30: 900}
+    dictionary = spark.createDataFrame(list(counts.items()), "word string, n long")
+    rng = random.Random(0)
+    runs = ["临床检验结果分析的检验", "未知词检验", "一" * 30, *("".join(rng.choice("检验结果分析的临床") for _ in range(rng.randrange(1, 40))) for _ in range(60))]
+    rows = [(i, f"Hb {r}, g/L {r}") for i, r in enumerate(runs)] + [(-1, None), (-2, " "), (-3, "abc 12")]
+    got = {r.chunk_id: r.tokens for r in segment.segment(spark.createDataFrame(rows, "chunk_id long, text string").repartition(3), dictionary).collect()}
+    assert len(got) == len(rows) and got[-1] == got[-2] == [] and got[-3] == ["abc", "12"]
+    for i, r in enumerate(runs):
+        words = brute_words(r, counts, segment.LONGEST)
+        assert got[i] == ["Hb", *words, ",", "g", "/", "L", *words]
+
+
+def test_segmented_texts_are_indexed(spark):
+    chunks = spark.createDataFrame([(1, "检验结果"), (2, "结果分析"), (3, "分析")], "chunk_id long, text string")
+    dictionary = segment.learn(spark.createDataFrame([("结果 结果 分析 分析 检验",)], "text string"), tokenizer=lambda t: F.split(t, " "))
+    assert {r.word for r in dictionary.collect()} == {"结果", "分析"}
+    posted, _, _ = bm25.build_index(segment.segment(chunks, dictionary), text_col="tokens", tokenizer=lambda t: t)
+    assert {(r.term, r.chunk_id) for r in posted.collect()} == {("检", 1), ("验", 1), ("结果", 1), ("结果", 2), ("分析", 2), ("分析", 3)}
