@@ -6,8 +6,10 @@ Everything works inside the row of its document on arrays of lines, so no step s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from corpusloom.functions.text import SPACE, collapse_blank_lines, is_blank, let, split_lines, strip
+from corpusloom.functions.text import SPACE, collapse_blank_lines, let, split_lines, strip
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ class PagePatterns:
         rf"^\d{{0,3}}[{SPACE}]*第[一二三四五六七八九十百]+章[^。,，、:：;；?？!！()（）]{{0,18}}\d{{0,3}}\z",
         r"^\d{0,3}[\x{4e00}-\x{9fff}、]{0,24}实验诊断与应用\d{0,3}\z",
     )
+    #: A standalone line has one of these; lines without any are not matched. Empty: all lines are.
+    standalone_parts: tuple[str, ...] = ("章", "实验诊断与应用")
     header_chars: int = 30
     reference_heading: str = rf"^#{{1,6}}[{SPACE}]*参考文献[{SPACE}]*\z"
     heading: str = rf"^#{{1,6}}[{SPACE}]"
@@ -64,7 +68,7 @@ def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS) -> Column
         return F.concat(F.slice(xs, F.lit(1), at), F.slice(xs, at + 2, F.size(xs)))
 
     def full(xs: Column) -> Column:
-        return F.transform(xs, lambda x: ~is_blank(x))
+        return F.transform(xs, lambda x: x.rlike(rf"[^{SPACE}]"))
 
     def top(xs: Column) -> Column:
         first = F.array_position(full(xs), F.lit(True)).cast("int") - 1
@@ -81,7 +85,13 @@ def drop_running_headers(lines: Column, patterns: PagePatterns = PATTERNS) -> Co
     """Lines that as a whole are a running header go wherever they stand."""
 
     either = "|".join(f"(?:{p})" for p in patterns.standalone)
-    return F.filter(lines, lambda line: ~strip(line).rlike(either))
+
+    def header(line: Column) -> Column:
+        may = [line.contains(part) for part in patterns.standalone_parts]
+        matched = strip(line).rlike(either)
+        return reduce(or_, may) & matched if may else matched
+
+    return F.filter(lines, lambda line: ~header(line))
 
 
 def join_bodies(bodies: Column) -> Column:
