@@ -77,10 +77,15 @@ def context_window(wanted: DataFrame, chunks: DataFrame, radius: int) -> DataFra
 
 def stitch(before: Column, after: Column) -> Column:
     """The two texts joined over their longest overlap of 6 to 200 characters, else with a blank line."""
-    longest = F.least(F.length(before), F.length(after), F.lit(MOST_OVERLAP))
-    sizes = F.when(longest >= LEAST_OVERLAP, F.sequence(F.lit(LEAST_OVERLAP), longest)).otherwise(F.array().cast("array<int>"))
-    same = F.filter(sizes, lambda n: F.right(before, n) == F.left(after, n))
-    return let(F.array_max(same), lambda n: F.when(n.isNull(), F.concat(before, F.lit("\n\n"), after)).otherwise(F.concat(before, F.substring(after, n + 1, F.length(after)))))
+    ends = F.struct(F.right(before, F.lit(MOST_OVERLAP)).alias("tail"), F.left(after, F.lit(MOST_OVERLAP)).alias("head"))
+
+    def overlap(e: Column) -> Column:
+        """Of the lengths in question; there is none unless the end holds the start's first characters."""
+        longest = F.least(F.length(e["tail"]), F.length(e["head"]))
+        may = (longest >= LEAST_OVERLAP) & e["tail"].contains(F.left(e["head"], F.lit(LEAST_OVERLAP)))
+        return F.when(may, F.array_max(F.filter(F.sequence(F.lit(LEAST_OVERLAP), longest), lambda n: F.right(e["tail"], n) == F.left(e["head"], n))))
+
+    return let(let(ends, overlap), lambda n: F.when(n.isNull(), F.concat(before, F.lit("\n\n"), after)).otherwise(F.concat(before, F.substring(after, n + 1, F.length(after)))))
 
 
 def expand(row_text: str, idx: int, window: list, least: int, target: int, most: int) -> tuple[int, int] | None:
