@@ -673,7 +673,25 @@ def full_ranks_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.variant_ranks(gold(spark, sf_dir), doc_chunks(spark, sf_dir), variants)
 
 
-@query()
+STAGES = f"""WITH gold AS MATERIALIZED (SELECT b.item_id AS query_id, any_value(b.text) AS question, min(d.doc_id) AS gold_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+d AS MATERIALIZED (SELECT doc_id AS chunk_id, {TOKENS} AS t FROM documents), q AS MATERIALIZED (SELECT query_id, {sql.tokens("question")} AS t FROM gold),
+{sql.BM25} {sql.scored("q")},
+lexical AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 30),
+keys AS (SELECT 'q' || query_id AS key FROM q UNION ALL SELECT 'c' || chunk_id FROM d), tokens AS MATERIALIZED (SELECT 'q' || query_id AS key, unnest(t) AS token FROM q UNION ALL SELECT 'c' || chunk_id, unnest(t) FROM d),
+{sql.encoded(64, "_wide")}, {sql.encoded(16, "_narrow")},
+known AS MATERIALIZED (SELECT 'hashing' AS model, * FROM directions_wide UNION ALL SELECT 'hashing-16', * FROM directions_narrow),
+near AS MATERIALIZED (SELECT x.model, query_id, chunk_id, row_number() OVER (PARTITION BY x.model, query_id ORDER BY round(list_inner_product(x.u, y.u), 9) DESC, chunk_id) AS rank FROM q JOIN known x ON x.key = 'q' || query_id JOIN known y ON y.model = x.model JOIN d ON y.key = 'c' || chunk_id QUALIFY rank <= 30),
+other AS (SELECT model, l.* FROM lexical l, (VALUES ('hashing'), ('hashing-16')) m(model)),
+fused AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0), 12) AS rrf
+  FROM near a FULL JOIN other b ON a.model = b.model AND a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+pool AS MATERIALIZED (SELECT model, query_id, chunk_id, row_number() OVER (PARTITION BY model, query_id ORDER BY rrf DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM fused QUALIFY rank <= 30),
+again AS (SELECT model, p.query_id, p.chunk_id, row_number() OVER (PARTITION BY model, p.query_id ORDER BY round(CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_filter(list_distinct(q.t), lambda x: list_contains(d.t, x))) / len(list_distinct(q.t)) END, 9) DESC, p.rank) AS rank FROM pool p JOIN q USING (query_id) JOIN d USING (chunk_id)),
+lists AS (SELECT 'vector' AS stage, * FROM near UNION ALL SELECT 'hybrid', * FROM pool UNION ALL SELECT 'reranked', * FROM again),
+ranks AS (SELECT g.query_id, k.model, k.stage, l.rank FROM gold g CROSS JOIN (SELECT DISTINCT model, stage FROM lists) k LEFT JOIN lists l ON l.query_id = g.query_id AND l.model = k.model AND l.stage = k.stage AND l.chunk_id = g.gold_id)
+SELECT model, stage, round(avg(coalesce(CAST(rank = 1 AS INT), 0)), 6) AS hit_at_1, round(avg(coalesce(CAST(rank <= 4 AS INT), 0)), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(rank) AS found, count(*) AS n FROM ranks GROUP BY ALL"""
+
+
+@query(STAGES)
 def compare_encoders_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two widths of the default encoder by vector, hybrid and reranked lists, 30 deep; a passage's literal document is gold."""
     testset, chunks = materialize(gold(spark, sf_dir)), doc_chunks(spark, sf_dir)

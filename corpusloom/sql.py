@@ -74,15 +74,15 @@ chunked AS (SELECT source || '::' || (row_number() OVER w - 1) AS chunk_id, sour
 """
 
 
-def encoded(dim: int = 64) -> str:
-    """CTEs from keys (key) and tokens (key, token) to vectors (key, e) of the default encoder, and directions (key, u): doubles of length 1."""
+def encoded(dim: int = 64, tag: str = "") -> str:
+    """CTEs from keys (key) and tokens (key, token) to vectors (key, e) of the default encoder, and directions (key, u): doubles of length 1; names end in ``tag``."""
     return f"""
-crc_table AS (SELECT list(list_reduce([b] || range(8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
-coded AS (SELECT token, xor(list_reduce([4294967295] || list_transform(range(0, octet_length(encode(token))), lambda i: CAST('0x' || substr(hex(encode(token)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM (SELECT DISTINCT token FROM tokens), crc_table),
-summed AS (SELECT key, h % {dim} AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM tokens JOIN coded USING (token) GROUP BY 1, 2),
-lengths AS (SELECT key, sqrt(sum(x * x)) AS len FROM summed GROUP BY 1),
-vectors AS (SELECT k.key, list(coalesce(CAST(s.x / CASE WHEN l.len = 0 THEN 1 ELSE l.len END AS FLOAT), 0) ORDER BY r.d) AS e FROM keys k CROSS JOIN range({dim}) r(d) LEFT JOIN summed s ON s.key = k.key AND s.d = r.d LEFT JOIN lengths l ON l.key = k.key GROUP BY 1),
-directions AS MATERIALIZED (SELECT key, list_transform(d, lambda x: x / CASE WHEN list_inner_product(d, d) = 0 THEN 1 ELSE sqrt(list_inner_product(d, d)) END) AS u FROM (SELECT key, list_transform(e, lambda x: CAST(x AS DOUBLE)) AS d FROM vectors))
+crc_table{tag} AS (SELECT list(list_reduce([b] || range(8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
+coded{tag} AS (SELECT token, xor(list_reduce([4294967295] || list_transform(range(0, octet_length(encode(token))), lambda i: CAST('0x' || substr(hex(encode(token)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM (SELECT DISTINCT token FROM tokens), crc_table{tag}),
+summed{tag} AS (SELECT key, h % {dim} AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM tokens JOIN coded{tag} USING (token) GROUP BY 1, 2),
+lengths{tag} AS (SELECT key, sqrt(sum(x * x)) AS len FROM summed{tag} GROUP BY 1),
+vectors{tag} AS (SELECT k.key, list(coalesce(CAST(s.x / CASE WHEN l.len = 0 THEN 1 ELSE l.len END AS FLOAT), 0) ORDER BY r.d) AS e FROM keys k CROSS JOIN range({dim}) r(d) LEFT JOIN summed{tag} s ON s.key = k.key AND s.d = r.d LEFT JOIN lengths{tag} l ON l.key = k.key GROUP BY 1),
+directions{tag} AS MATERIALIZED (SELECT key, list_transform(d, lambda x: x / CASE WHEN list_inner_product(d, d) = 0 THEN 1 ELSE sqrt(list_inner_product(d, d)) END) AS u FROM (SELECT key, list_transform(e, lambda x: CAST(x AS DOUBLE)) AS d FROM vectors{tag}))
 """
 
 
