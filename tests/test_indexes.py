@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from corpusloom.operators import ann, augment, blockmax, bm25, clean, embedding, prompt, retrieve, vectors
 from corpusloom.operators.models import Loaded, Tokens
+from corpusloom.plans import ingest
 from corpusloom.sources.segments import SegmentedIndex
 from corpusloom.sources.tables import read_bucketed_cache, write_bucketed_cache
 from corpusloom.streaming.stateful import PROVIDER, ingest_with_state
@@ -141,6 +142,17 @@ def test_segments_are_like_a_rebuild(spark, tmp_path):
     assert_like_rebuilt(spark, index, held)
 
 
+def test_documents_are_chunked_into_a_growing_index(spark, tmp_path):
+    index = SegmentedIndex(spark, str(tmp_path / "index"))
+    docs = lambda **held: spark.createDataFrame(list(held.items()), "source string, text string")
+    assert ingest.update(index, docs(a="甲句。" * 400, b="b text", c="c text"))
+    assert not ingest.update(index, docs(a="甲句。" * 400, b="b text"))
+    assert ingest.update(index, docs(b="new text", c=" "), docs(a="").select("source"))
+    assert [(r.chunk_id, r.text) for r in index.live("chunks").collect()] == [("b::0", "new text")]
+    want = bm25.build_index(ingest.chunked(docs(b="new text")))
+    assert sorted(map(tuple, index.index()[1].collect())) == sorted(map(tuple, want[1].collect()))
+
+
 def test_a_commit_without_its_manifest_does_not_count(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "index"))
     index.commit(as_chunks(spark, {"a": "w1 w2"}))
