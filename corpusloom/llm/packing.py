@@ -131,13 +131,13 @@ def held_ids(path: str) -> Ids:
     return Ids(path)
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
+def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's pieces; ``slice_bytes`` of text are tokenized at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = held_ids(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at, stop in slices(batch.column(1), SLICE):
+            for at, stop in slices(batch.column(1), slice_bytes):
                 flat, offsets = ids.of(batch.column(1).slice(at, stop - at))
                 rows: list[tuple[int, int, int, int, int]] = []
                 for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -253,6 +253,6 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, slice_bytes: int = SLICE) -> DataFrame:
     bounded_batches(documents.sparkSession)
-    return pack(pieces(documents, tokenizer_path, capacity, end_id), capacity)
+    return pack(pieces(documents, tokenizer_path, capacity, end_id, slice_bytes=slice_bytes), capacity)
