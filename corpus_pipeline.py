@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Five-word shingles, a likeness of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
+#: Text bytes that are tokenized at a time: Python workers keep what a stage took, and the stages share them.
+PACK_BYTES = 700_000
 #: Least probability of the predicted language.
 LEAST_SHARE = 0.5
 
@@ -47,7 +49,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_bytes=PACK_BYTES)
 
 
 STAGES = [
