@@ -105,39 +105,52 @@ def joins(ranks_path: str) -> tuple[list[int], Callable[[int], int | None]]:
 
 
 class Ranks:
-    """The literal rank map, and the fold that uses it."""
+    """The literal rank map, and the fold that uses it.
+
+    A pair of ids is one long, and its entry stands at its first or second place. A first place tells whether any pair that
+    has it stands at its second one, so that most pairs that have no rank take one look.
+    """
 
     BITS = 18
-    FACTORS = ((654_435_761, 40_503_127), (97_531_237, 1_013_904_223))
+    FACTORS = (7_654_321, 5_308_417)  # with 40 bits of a pair no product passes 63 bits
+    #: In an entry's low bits, beside a rank; and the entry of a place without pair.
+    ELSEWHERE = 1 << TOKEN_BITS - 1
+    NOTHING = TOKEN_MASK << 2 * TOKEN_BITS
 
     def __init__(self, spark: SparkSession, tokens: list[bytes]) -> None:
+        if len(tokens) > self.ELSEWHERE:
+            raise ValueError(f"more than {self.ELSEWHERE} ranks")
         ids = {t: i for i, t in enumerate(tokens)}
-        found = [(ids[t[:k]], ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
-        packed = [((a << TOKEN_BITS | b) << TOKEN_BITS) | r for a, b, r in found]
-        one, two = _two_places(packed, [(self._at(a, b, 0), self._at(a, b, 1)) for a, b, _ in found], 1 << self.BITS)
+        found = [(ids[t[:k]] << TOKEN_BITS | ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
+        one, two = _two_places([p << TOKEN_BITS | r for p, r in found], [(self._at(p, 0), self._at(p, 1)) for p, _ in found], 1 << self.BITS)
+        one, two = ([self.NOTHING if e < 0 else e for e in t] for t in (one, two))
+        for e in two:
+            if e != self.NOTHING:
+                one[self._at(e >> TOKEN_BITS, 0)] |= self.ELSEWHERE
         pairs = [ids.get(bytes((a, b)), NEVER) for a in range(256) for b in range(256)]
         singles = [ids[bytes((b,))] for b in range(256)]
         row = pa.table({name: pa.array([values], pa.list_(pa.int64())) for name, values in (("t0", one), ("t1", two), ("pairs", pairs), ("bytes", singles))})
         #: A struct of arrays. Spark wants it in a column of its own, which it then puts where the column is used.
         self.literal = spark.createDataFrame(row).select(F.struct("t0", "t1", "pairs", "bytes")).scalar()
 
-    def _at(self, a: int, b: int, side: int) -> int:
-        x, y = self.FACTORS[side]
-        return a * x + b * y >> 12 & (1 << self.BITS) - 1
+    def _at(self, pair: int, side: int) -> int:
+        return pair * self.FACTORS[side] >> TOKEN_BITS & (1 << self.BITS) - 1
 
     def joined(self, ranks: Column, a: Column, b: Column) -> Column:
-        """The id (which is the rank) of the joined bytes of two tokens, or NEVER."""
-        key = F.shiftleft(a, TOKEN_BITS).bitwiseOR(b)
+        """The id (which is the rank) of the joined bytes of two tokens, or NEVER, also where one of them is null."""
+        never = F.lit(NEVER).cast("long")
 
-        def at(side: int) -> Column:
-            x, y = self.FACTORS[side]
-            return F.get(ranks[f"t{side}"], F.shiftright(a * F.lit(x).cast("long") + b * F.lit(y).cast("long"), 12).bitwiseAND((1 << self.BITS) - 1).cast("int"))
+        def at(pair: Column, side: int) -> Column:
+            return F.get(ranks[f"t{side}"], F.shiftright(pair * F.lit(self.FACTORS[side]).cast("long"), TOKEN_BITS).bitwiseAND((1 << self.BITS) - 1).cast("int"))
 
-        def held(entry: Column, otherwise: Column) -> Column:
-            return F.when(F.shiftright(entry, TOKEN_BITS) == key, entry.bitwiseAND(TOKEN_MASK)).otherwise(otherwise)
+        def second(pair: Column) -> Column:
+            return let(at(pair, 1), lambda e: F.when(F.shiftright(e, TOKEN_BITS) == pair, e.bitwiseAND(TOKEN_MASK)).otherwise(never))
 
-        never = F.lit(NEVER).cast("long")
-        return let(at(0), lambda e: held(e, let(at(1), lambda o: held(o, never))))
+        def first(pair: Column, e: Column) -> Column:
+            here = F.when(F.shiftright(e, TOKEN_BITS) == pair, e.bitwiseAND(self.ELSEWHERE - 1))
+            return here.when(e.bitwiseAND(self.ELSEWHERE) > 0, second(pair)).otherwise(never)
+
+        return let(F.shiftleft(a, TOKEN_BITS).bitwiseOR(b), lambda pair: let(at(pair, 0), lambda e: first(pair, e)))
 
     @staticmethod
     def _first(ranks: Column, word: Column, b: Column, i: Column) -> Column:
@@ -156,7 +169,7 @@ class Ranks:
             return entry.bitwiseAND(TOKEN_MASK)
 
         def ranked(a: Column, b: Column) -> Column:
-            return F.shiftleft(F.when(b.isNull() | a.isNull(), F.lit(NEVER).cast("long")).otherwise(self.joined(ranks, a, b)), rank_shift)
+            return F.shiftleft(self.joined(ranks, a, b), rank_shift)
 
         def merged(state: Column, least: Column, at: Column) -> Column:
             rank = F.shiftright(least, rank_shift)
