@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from .common import bounded_batches, cut, let, slices, word_hashes
+from .common import bounded_batches, cut, let, mix, slices
 from .pretokens import expand, pretokens
 
 #: At most so many words are remembered, none of more bytes than LONGEST.
@@ -46,6 +46,9 @@ TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 NEVER = 1 << TOKEN_BITS
 
+#: Base of the words' hashes.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 
 def read_ranks(path: str) -> list[bytes]:
     """Tokens in order of rank, from a file of base64 tokens and ranks."""
@@ -201,6 +204,21 @@ class Ranks:
         return df.withColumn("__ranks", self.literal).select(*df.columns, let(F.col("__ranks"), each).alias(name))
 
 
+def _hashes(words: pa.Array, block: int = 1 << 16) -> np.ndarray:
+    """64-bit hash of each word: a polynomial of its bytes, mixed. Equal hashes are not yet equal words."""
+    parts = [np.empty(0, np.uint64)]
+    for start in range(0, len(words), block):
+        part = words.slice(start, block).cast(pa.large_binary())
+        _, ends, data = part.buffers()
+        ends = np.frombuffer(ends, np.int64)[part.offset : part.offset + len(part) + 1]
+        raw, sizes = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64), np.diff(ends)
+        powers = np.cumprod(np.full(max(1, sizes.max()), _BASE, np.uint64))
+        place = np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], sizes)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * powers[place])])[ends - ends[0]]
+        parts.append(mix(np.diff(sums)))
+    return np.concatenate(parts)
+
+
 @dataclass(frozen=True)
 class Remembered:
     """Words in order of their hashes, and their ids one word after the other."""
@@ -213,7 +231,7 @@ class Remembered:
 
     @staticmethod
     def of(words: pa.Array, ids: pa.ListArray) -> Remembered:
-        hashes = word_hashes(words)
+        hashes = _hashes(words)
         order = np.argsort(hashes, kind="stable")
         offsets = np.asarray(ids.offsets).astype(np.int32)
         return Remembered(hashes[order], words.cast(pa.large_binary()).take(pa.array(order)), offsets[:-1][order] - offsets[0], np.diff(offsets)[order], np.asarray(ids.flatten()))
@@ -222,7 +240,7 @@ class Remembered:
         """Place of each word, or -1."""
         if not len(self.hashes) or not len(words):
             return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, word_hashes(words)), len(self.hashes) - 1)
+        at = np.minimum(np.searchsorted(self.hashes, _hashes(words)), len(self.hashes) - 1)
         same = pc.equal(self.words.take(pa.array(at)), words.cast(pa.large_binary()))
         return np.where(np.asarray(same), at, -1)
 
