@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 RRF_K, DIGITS = 60, 9
 LEAST_OVERLAP, MOST_OVERLAP = 6, 200
+#: Ids of neighbouring chunks that are gathered together.
+SPAN = 32
 
 
 @dataclass(frozen=True)
@@ -66,13 +68,19 @@ def rerank(hits: DataFrame, top_k: int, scorer: Callable[[Column, Column], Colum
 def context_window(wanted: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
     """``wanted`` (source, idx and others) with ``window``: the chunks idx - radius to idx + radius of its source, in order.
 
-    The range becomes an equi-join: each wanted row asks for at most 2 radius + 1 ids.
+    The range becomes an equi-join: chunks are gathered by spans of ``SPAN`` ids and what lies ``radius`` around them, so that
+    of the asked sources each is shuffled little more than once, and a wanted row meets its one span.
     """
-    keys = wanted.columns
-    asked = wanted.withColumn("__near", F.explode(F.sequence(F.greatest(F.lit(0), F.col("idx") - radius), F.col("idx") + radius)))
-    near = chunks.select(F.col("source").alias("__source"), F.col("idx").alias("__near"), F.struct("idx", "text", "chapter", "section").alias("__chunk"))
-    joined = asked.join(near, (asked["source"] == near["__source"]) & (asked["__near"] == near["__near"]), "left")
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list("__chunk")).alias("window"))
+    at = lambda i: F.floor(i / SPAN)
+    asked = wanted.withColumn("__span", at(F.col("idx")))
+    spans = F.sequence(at(F.col("idx") - radius), at(F.col("idx") + radius))
+    each = chunks.select(F.col("source").alias("__source"), F.explode(spans).alias("__at"), F.struct("idx", "text", "chapter", "section").alias("__chunk"))
+    needed = asked.select(F.col("source").alias("__source"), F.col("__span").alias("__at")).distinct()
+    near = each.join(needed, ["__source", "__at"], "left_semi").groupBy("__source", "__at").agg(F.array_sort(F.collect_list("__chunk")).alias("__chunks"))
+    joined = asked.join(near, (asked["source"] == near["__source"]) & (asked["__span"] == near["__at"]), "left")
+    held = F.coalesce("__chunks", F.array().cast(near.schema["__chunks"].dataType))
+    window = F.filter(held, lambda c: c["idx"].between(F.greatest(F.lit(0), F.col("idx") - radius), F.col("idx") + radius))
+    return joined.select(*wanted.columns, window.alias("window"))
 
 
 def stitch(before: Column, after: Column) -> Column:
@@ -112,20 +120,19 @@ def expand(row_text: str, idx: int, window: list, least: int, target: int, most:
     return (edges[-1], edges[1]) if edges[-1] < edges[1] else None
 
 
-def expand_short_hits(hits: DataFrame, chunks: DataFrame, min_chars: int = 300, target: int = 600, max_neighbors: int = 4, keys: tuple[str, ...] = ("query_id", "rank")) -> DataFrame:
+def expand_short_hits(hits: DataFrame, chunks: DataFrame, min_chars: int = 300, target: int = 600, max_neighbors: int = 4) -> DataFrame:
     """``hits`` with ``expanded`` and ``expanded_span``; texts shorter than ``min_chars`` grow by their neighbours.
 
     Only short hits ask for neighbours; windows hold at most 2 max_neighbors + 1 chunks.
     """
     long = hits.filter(F.length("text") >= min_chars).withColumns({"expanded": F.lit(False), "expanded_span": F.lit(None).cast("array<int>")})
-    short = hits.filter(F.length("text") < min_chars)
-    windows = context_window(short.select(*keys, "source", "idx").distinct(), chunks, max_neighbors).select(*keys, "window")
+    short = context_window(hits.filter(F.length("text") < min_chars), chunks, max_neighbors)
 
     def spans(texts: pd.Series, idxs: pd.Series, found: pd.Series) -> pd.Series:
         out = [expand(t, int(i), list(w) if w is not None else [], min_chars, target, max_neighbors) for t, i, w in zip(texts, idxs, found, strict=True)]
         return pd.Series([list(o) if o else None for o in out])
 
-    grown = short.join(windows, list(keys), "left").withColumn("expanded_span", F.pandas_udf(spans, "array<int>")("text", "idx", "window"))
+    grown = short.withColumn("expanded_span", F.pandas_udf(spans, "array<int>")("text", "idx", "window"))
     span = F.col("expanded_span")
     inside = F.transform(F.filter("window", lambda w: w["idx"].between(F.get(span, F.lit(0)), F.get(span, F.lit(1)))), lambda w: w["text"])
     text = F.aggregate(F.slice(inside, F.lit(2), F.greatest(F.size(inside) - 1, F.lit(0))), F.get(inside, F.lit(0)), stitch)

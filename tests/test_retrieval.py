@@ -236,3 +236,17 @@ def test_a_test_set_draws_until_enough_are_usable(spark):
     order = [r.chunk_id for r in evaluate.sample_passages(chunks, 3).orderBy("sample_key").collect() if r.chunk_id in usable]
     assert sorted(r.gold_id for r in got.collect()) == sorted(order[:5])
     assert evaluate.make_testset(chunks, 50, 3, picky).count() == len(usable)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_windows_chunks_are_gathered_once_and_not_for_every_hit(spark):
+    chunks = spark.range(100).selectExpr("concat('s', id % 2) AS source", "cast(id div 2 AS int) AS idx", "concat('t', id) AS text", "cast(NULL AS string) AS chapter", "cast(NULL AS string) AS section")
+    wanted = chunks.select("source", "idx").unionByName(chunks.filter("idx = 31").select("source", "idx"))  # two hits of one chunk
+    rows = retrieve.context_window(wanted, chunks, 3).collect()
+    assert len(rows) == 102
+    for r in rows:
+        assert [w.idx for w in r.window] == list(range(max(0, r.idx - 3), min(49, r.idx + 3) + 1))
+        assert [w.text for w in r.window] == [f"t{2 * w.idx + int(r.source[1])}" for w in r.window]
