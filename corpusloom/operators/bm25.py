@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from corpusloom.functions.text import tokens
+import pyarrow as pa
+import pyarrow.compute as pc
+from corpusloom.functions.text import let, tokens
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Questions scored at a time, and chunks that a task scores against them at a time.
@@ -20,17 +23,46 @@ DIGITS = 9
 Tokenizer = Callable[[Column], Column]
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """(term, chunk_id, tf, dl). Counting needs one partial aggregation; the text is dropped before tokens are exploded."""
-    split = chunks.select(F.col(id_col).alias("chunk_id"), tokenizer(F.col(text_col)).alias("__t")).withColumn("dl", F.size("__t"))
-    return split.select("chunk_id", "dl", F.explode("__t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", F.col("dl").cast("long").alias("dl"))
+class Index(tuple):
+    """(postings, term_stats, corpus_stats); ``forward`` has the same postings, a row for each chunk, if no two share an id."""
 
+    forward: DataFrame | None = None
 
-def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
-    """One row (n_docs, avgdl); a chunk's length is the sum of its postings' tf, so no text is read again."""
-    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("__total"))
-    n = F.col("n_docs")
-    return chunks.agg(F.count("*").alias("n_docs")).join(F.broadcast(total), how="cross").select("n_docs", F.when(n > 0, F.col("__total") / n).alias("avgdl"))
+
+def counted(words: Column) -> Column:
+    """Array of (term, tf) of an array of tokens, in order of terms: they are sorted, and a term's run is its count."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs))
+
+
+def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, dl, terms: array of (term, tf), and the columns of ``keep``), one row a chunk, written once.
+
+    Tokens are counted inside their chunk's row, so nothing is shuffled.
+    """
+    split = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokenizer(F.col(text_col)).alias("__t"))
+    return materialize(split.select("chunk_id", *keep, F.greatest(F.size("__t"), F.lit(0)).cast("long").alias("dl"), counted(F.col("__t")).alias("terms")))
+
+
+def postings(forward: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """((term, chunk_id, tf, dl, and the columns of ``keep``) of a forward index, whether ids are distinct).
+
+    Only where ids are not are postings of one id and length brought together by a shuffle.
+    """
+    each = forward.select("chunk_id", "dl", *keep, F.explode("terms").alias("x")).select("x.term", "chunk_id", "x.tf", "dl", *keep)
+    if not forward.groupBy("chunk_id").count().filter("count > 1").limit(1).count():
+        return each, True
+    return materialize(each.groupBy("term", "chunk_id", "dl", *keep).agg(F.sum("tf").alias("tf")).select(*each.columns)), False
+
+
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl) of chunks' lengths (dl)."""
+    n = F.count("*")
+    return lengths.agg(n.alias("n_docs"), F.when(n > 0, F.coalesce(F.sum("dl"), F.lit(0)) / n).alias("avgdl"))
 
 
 def term_weights(counted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
@@ -47,26 +79,58 @@ def term_stats(posted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term_stats, corpus_stats), each written once: texts are tokenized a single time.
+    """(postings, term_stats, corpus_stats): texts are tokenized a single time, what is made of them is written once.
 
     The statistics are single rows and broadcast as such.
     """
-    posted = materialize(postings(chunks, id_col, text_col, tokenizer))
-    stats = materialize(corpus_stats(chunks, posted))
-    return posted, materialize(term_stats(posted, F.col("n_docs"), stats)), stats
+    forward = forward_index(chunks, id_col, text_col, tokenizer)
+    posted, distinct = postings(forward)
+    stats = materialize(corpus_stats(forward.select("dl")))
+    index = Index((posted, materialize(term_stats(posted, F.col("n_docs"), stats)), stats))
+    index.forward = forward if distinct else None
+    return index
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ids, row, term, part) of ROWS chunks at a time: of each of their postings the chunk's place, the term's number and its part of the score."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            sizes = pc.list_value_length(some["terms"]).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(some.num_rows), sizes)
+            yield some["chunk_id"].to_pandas().to_numpy(), row, some["terms"].flatten().to_numpy(zero_copy_only=False), some["parts"].flatten().to_numpy(zero_copy_only=False)
+
+
+def _from_forward(numbers: pd.DataFrame, avgdl: float | None):
+    """As ``_gathered``, from batches of a forward index; ``numbers`` has the asked terms in order of their numbers."""
+    words, idf = numbers["term"].tolist(), numbers["idf"].to_numpy(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                sizes = pc.fill_null(pc.list_value_length(some["terms"]), 0).to_numpy(zero_copy_only=False)
+                flat = some["terms"].flatten()
+                term = pc.struct_field(flat, "term")
+                no = pc.fill_null(pc.index_in(term, value_set=pa.array(words, type=term.type)), -1).to_numpy(zero_copy_only=False)
+                met = no >= 0
+                row, no = np.repeat(np.arange(some.num_rows), sizes)[met], no[met]
+                tf = pc.struct_field(flat, "tf").to_numpy(zero_copy_only=False)[met].astype(np.float64)
+                dl = some["dl"].to_numpy(zero_copy_only=False)[row]
+                yield some["chunk_id"].to_pandas().to_numpy(), row, no, idf[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) if len(no) else np.empty(0)
+
+    return run
 
 
-def _best(asked: pd.DataFrame, ids: list, k: int):
-    """A function from a task's chunks (chunk_id, terms, parts) to each question's k best of them, ties included.
+def _best(asked: pd.DataFrame, ids: list, k: int, schema: pa.Schema, gathered=_gathered):
+    """A function from a task's chunks, as ``gathered`` gives them, to each question's k best of them, ties included.
 
     ``asked`` has question, term and qtf as numbers.
     """
     by_term = {t: (g["question"].to_numpy(), g["qtf"].to_numpy(np.float64)) for t, g in asked.groupby("term")}
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["terms"].map(len).to_numpy()
-        row, term, parts = np.repeat(np.arange(len(pdf)), sizes), np.concatenate([*pdf["terms"], np.empty(0, np.int64)]), np.concatenate([*pdf["parts"], np.empty(0)])
-        scores, met = np.zeros((len(ids), len(pdf))), np.zeros((len(ids), len(pdf)), bool)
+    def part(chunk_ids: np.ndarray, row: np.ndarray, term: np.ndarray, parts: np.ndarray) -> pd.DataFrame:
+        scores, met = np.zeros((len(ids), len(chunk_ids))), np.zeros((len(ids), len(chunk_ids)), bool)
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.diff(term[order], prepend=-1))
         for rows in np.split(order, starts[1:]):
@@ -79,16 +143,18 @@ def _best(asked: pd.DataFrame, ids: list, k: int):
         if k < scores.shape[1]:
             met &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
         question, chosen = np.nonzero(met)
-        return pd.DataFrame({"question": question, "chunk_id": pdf["chunk_id"].to_numpy()[chosen], "score": scores[question, chosen]})
+        return pd.DataFrame({"question": question, "chunk_id": chunk_ids[chosen], "score": scores[question, chosen]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for whole in batches:
-            for at in range(0, len(whole), ROWS):
-                held = pd.concat([x for x in (held, part(whole.iloc[at : at + ROWS])) if x is not None and len(x)] or [pd.DataFrame({"question": [], "chunk_id": [], "score": []})])
+        for some in gathered(batches):
+            found = part(*some)
+            if len(found):
+                held = found if held is None else pd.concat([held, found])
                 held = held[held.groupby("question")["score"].rank(method="min", ascending=False) <= k]
-        if held is not None and len(held):
-            yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[held["question"].to_numpy().astype(np.int64)], "chunk_id": held["chunk_id"].to_numpy(), "score": held["score"].to_numpy()})
+        if held is not None:
+            asked_by = np.asarray(ids, dtype=object)[held["question"].to_numpy().astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((asked_by, held["chunk_id"].to_numpy(), held["score"].to_numpy()), schema, strict=True)], schema=schema)
 
     return run
 
@@ -121,11 +187,12 @@ def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k:
     """(query_id, chunk_id, score, rank), best first, ties by chunk_id.
 
     Questions are taken in blocks of ``block`` by a hash of their id. Postings are cut down to a block's terms and gathered
-    by chunk; each task keeps its own k best of every question, and only those are shuffled again. With
+    by chunk, unless the index has them so; each task keeps its own k best of every question, and only those are shuffled again. With
     ``store`` (chunk_id, and ``store_order`` where the order is another), a query with fewer hits than k is filled up with
     chunks of score 0 in that order; a chunk of negative score comes after those.
     """
     posted, terms, stats = index
+    forward = getattr(index, "forward", None)
     spark = queries.sparkSession
     n_blocks = max(1, -(-queries.count() // block))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -137,16 +204,20 @@ def search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k:
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = spark.createDataFrame([], schema)
+    made = to_arrow_schema(scored.schema)
     for b in range(n_blocks):
         mine = (weighed.filter(F.col("__block") == b) if n_blocks > 1 else weighed).select("query_id", "term", "qtf", "idf").toPandas()
         if mine.empty:
             continue
         ids, numbers = sorted(mine["query_id"].unique().tolist()), mine.drop_duplicates("term")[["term", "idf"]].reset_index(drop=True)
-        known = spark.createDataFrame(numbers.assign(no=range(len(numbers))), "term string, idf double, no int")
-        found = posted.join(F.broadcast(known), "term").join(F.broadcast(stats), how="cross").select("chunk_id", F.struct("no", part.alias("part")).alias("x"))
-        gathered = found.groupBy("chunk_id").agg(F.collect_list("x").alias("x")).select("chunk_id", F.col("x.no").alias("terms"), F.col("x.part").alias("parts"))
         numbered = pd.DataFrame({"question": mine["query_id"].map({q: i for i, q in enumerate(ids)}), "term": mine["term"].map({t: i for i, t in enumerate(numbers["term"])}), "qtf": mine["qtf"]})
-        best = gathered.mapInPandas(_best(numbered, ids, k), schema)
+        if forward is not None:
+            best = forward.select("chunk_id", "dl", "terms").mapInArrow(_best(numbered, ids, k, made, _from_forward(numbers, stats.first()["avgdl"])), schema)
+        else:
+            known = spark.createDataFrame(numbers.assign(no=range(len(numbers))), "term string, idf double, no int")
+            found = posted.join(F.broadcast(known), "term").join(F.broadcast(stats), how="cross").select("chunk_id", F.struct("no", part.alias("part")).alias("x"))
+            gathered = found.groupBy("chunk_id").agg(F.collect_list("x").alias("x")).select("chunk_id", F.col("x.no").alias("terms"), F.col("x.part").alias("parts"))
+            best = gathered.mapInArrow(_best(numbered, ids, k, made), schema)
         scored = scored.unionByName(materialize(best) if n_blocks > 1 or store is not None else best)
     if ordered is not None:
         scored = scored.unionByName(fillers(queries.select(F.col(query_id).alias("query_id")), scored, asked, posted, ordered, k)).join(ordered, "chunk_id")

@@ -118,7 +118,7 @@ class SegmentedIndex:
         segment = f"{number:06d}-{uuid.uuid4().hex}"
         seg = F.lit(number)
         added = materialize(chunks.join(changed, "source", "left_semi").withColumn("seg", seg))
-        posted = bm25.postings(added, tokenizer=self.tokenizer).join(added.select("chunk_id", "source"), "chunk_id")
+        posted, _ = bm25.postings(bm25.forward_index(added, tokenizer=self.tokenizer, keep=("source",)), ("source",))
         self._write(segment, "chunks", added)
         self._write(segment, "sources", changed.withColumn("seg", seg))
         self._write(segment, "removed", removed.withColumn("seg", seg))

@@ -250,3 +250,26 @@ def test_a_windows_chunks_are_gathered_once_and_not_for_every_hit(spark):
     for r in rows:
         assert [w.idx for w in r.window] == list(range(max(0, r.idx - 3), min(49, r.idx + 3) + 1))
         assert [w.text for w in r.window] == [f"t{2 * w.idx + int(r.source[1])}" for w in r.window]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([(1, "b a b"), (2, None), (3, "a")], "chunk_id long, text string")
+    index = bm25.build_index(chunks)
+    assert "Exchange" not in plan_of(index[0])
+    assert sorted(map(tuple, index[0].collect())) == [("a", 1, 1, 3), ("a", 3, 1, 1), ("b", 1, 2, 3)]
+    assert index[2].first().asDict() == {"n_docs": 3, "avgdl": 4 / 3}
+
+
+def test_rows_that_share_an_id_are_one_chunk_of_the_postings(spark):
+    chunks = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a a x y z"), (3, "q r s")], "chunk_id long, text string")
+    index = bm25.build_index(chunks)
+    assert sorted(map(tuple, index[0].filter("chunk_id = 1").collect())) == [("a", 1, 2, 2), ("b", 1, 1, 2), ("c", 1, 1, 2)]
+    assert [r.chunk_id for r in bm25.search(spark.createDataFrame([(7, "c")], "query_id long, question string"), index, 3).collect()] == [1]
+
+
+def test_search_gives_the_same_by_postings_and_by_chunks(spark):
+    chunks = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7, i % 11 + 3))) for i in range(60)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 2} w{i}") for i in range(9)], "query_id string, question string")
+    index = bm25.build_index(chunks)
+    by_chunks, by_postings = (sorted(map(tuple, bm25.search(asked, x, 5).collect())) for x in (index, tuple(index)))
+    assert by_chunks == by_postings and len(by_chunks) > 30
