@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,13 +12,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK, DIGITS = 1024, 9
+#: Vectors that a task scores at a time; bytes of questions that go to a task at a time, and questions it multiplies with them.
+ROWS, HELD, TILE = 4096, 1 << 25, 128
+#: Far more than a product of doubles is off by, far less than a rounded digit.
+SLACK = 1e-12
+
+
+def nearest(score: Callable[[pd.DataFrame], np.ndarray], k: int, n: int, least: np.ndarray | None = None):
+    """A function from a task's batches of rows (with chunk_id) to (q, chunk_id, score): each question's ``k`` best, ties by id.
+
+    ``score`` gives a matrix questions x rows of some rows; scores below ``least`` do not count. What is held are the k best of
+    every question and what came since they were last sorted out.
+    """
+
+    def sorted_out(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable").groupby("q").head(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor, held, size = np.full(n, -np.inf) if least is None else least.copy(), [], 0
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                rows = whole.iloc[at : at + ROWS]
+                scores = score(rows)
+                q, c = np.nonzero(scores >= floor[:, None])
+                if len(q) > 4 * k * n and scores.shape[1] > k:
+                    floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+                    q, c = np.nonzero(scores >= floor[:, None])
+                held.append(pd.DataFrame({"q": q, "chunk_id": rows["chunk_id"].to_numpy()[c], "score": scores[q, c]}))
+                size += len(q)
+                if size > 8 * k * n:
+                    held = [sorted_out(held)]
+                    size = len(held[0])
+                    last = held[0].groupby("q")["score"].agg(["min", "size"])
+                    full = last[last["size"] == k]
+                    floor[full.index.to_numpy()] = np.maximum(floor[full.index.to_numpy()], full["min"].to_numpy())
+        if size:
+            yield sorted_out(held)
+
+    return run
+
+
+def unit(column: pd.Series) -> np.ndarray:
+    rows = np.stack(column.to_numpy()).astype(np.float64)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length == 0, 1, length)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "chunk_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, best first, ties by id.
 
     Queries are taken in blocks of ``block`` by a hash of their id, one after the other; a block's matrix (bounded) goes to
-    every task, each batch of vectors keeps its own k best of every query, and only those are shuffled.
+    every task, each task keeps its own k best of every query, ROWS vectors at a time, and only those are shuffled.
     """
     kind = dict(vectors.select(vector_id).dtypes)[vector_id]
     n_blocks = max(1, -(-queries.count() // block))
@@ -26,15 +70,11 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     qkind = dict(queries.select(query_id).dtypes)[query_id]
 
     def best(matrix: np.ndarray, ids: list):
+        found = nearest(lambda rows: np.round(matrix @ unit(rows["embedding"]).T, DIGITS), k, len(ids))
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf = pdf.sort_values(vector_id, kind="stable")
-                rows = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(rows, axis=1)
-                scores = np.round(matrix @ (rows / np.where(length == 0, 1, length)[:, None]).T, DIGITS)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "chunk_id": pdf[vector_id].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
+            for pdf in found(batches):
+                yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[pdf["q"].to_numpy()], "chunk_id": pdf["chunk_id"].to_numpy(), "score": pdf["score"].to_numpy()})
 
         return run
 
@@ -42,9 +82,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     for b in range(n_blocks):
         rows = held.filter(F.col("__block") == b).select(query_id, embedding).toPandas()
         if len(rows):
-            matrix = np.stack(rows[embedding].to_numpy()).astype(np.float64)
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            found = (vectors.select(vector_id, embedding).filter(F.col(embedding).isNotNull()).mapInPandas(best(matrix / np.where(length == 0, 1, length), rows[query_id].tolist()), f"query_id {qkind}, chunk_id {kind}, score double"))
+            some = vectors.filter(F.col(embedding).isNotNull()).select(F.col(vector_id).alias("chunk_id"), F.col(embedding).alias("embedding"))
+            found = some.mapInPandas(best(unit(rows[embedding]), rows[query_id].tolist()), f"query_id {qkind}, chunk_id {kind}, score double")
             parts.append(materialize(found) if n_blocks > 1 else found)
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"query_id {qkind}, chunk_id {kind}, score double, rank int")
@@ -55,38 +94,55 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     return all_.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def gold_ranks(testset: DataFrame, vectors: DataFrame, vector_id: str = "chunk_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _higher(asked: np.ndarray, least: np.ndarray, ids: list):
+    """A function from a task's vectors to (query_id, higher): how many have a rounded score above the question's ``least``.
+
+    Equal questions are multiplied once. Scores are rounded only for the questions that have one so close to the limit that
+    it matters.
+    """
+    distinct, which = np.unique(asked, axis=0, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    which, limit = which[order], least[order] + 0.5 * 10.0**-DIGITS
+    ends = np.searchsorted(which, np.arange(0, len(distinct) + TILE, TILE))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        higher = np.zeros(len(ids), np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                rows = unit(pdf["embedding"].iloc[at : at + ROWS]).T
+                for t, start in enumerate(range(0, len(distinct), TILE)):
+                    scores = distinct[start : start + TILE] @ rows
+                    for i in range(ends[t], ends[t + 1]):
+                        row = scores[which[i] - start]
+                        n = np.count_nonzero(row > limit[i] + SLACK)
+                        if n != np.count_nonzero(row > limit[i] - SLACK):
+                            n = np.count_nonzero(np.round(row, DIGITS) > least[order[i]])
+                        higher[order[i]] += n
+        yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object), "higher": higher})
+
+    return run
+
+
+def gold_ranks(testset: DataFrame, vectors: DataFrame, vector_id: str = "chunk_id", embedding: str = "embedding", block: int | None = None) -> DataFrame:
     """(query_id, rank) of ``testset`` (query_id, embedding, gold_id): one more than the vectors nearer than the gold one.
 
-    Each batch of vectors counts its nearer ones for a block of questions; only the counts are shuffled.
+    Every question meets every vector. Questions go to the tasks ``block`` at a time (as many as HELD bytes hold), joined to
+    their gold vectors once; each task counts, and only the counts are shuffled.
     """
     gold = vectors.select(F.col(vector_id).alias("gold_id"), F.col(embedding).alias("__gold"))
-    n_blocks = max(1, -(-testset.count() // block))
-    held = testset.join(gold, "gold_id").withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    joined = materialize(testset.select("query_id", F.col("embedding").alias("embedding"), "gold_id").join(gold, "gold_id").filter(F.col("embedding").isNotNull() & F.col("__gold").isNotNull()))
+    size = joined.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     kind = dict(testset.dtypes)["query_id"]
-
-    def unit(column: pd.Series) -> np.ndarray:
-        rows = np.stack(column.to_numpy()).astype(np.float64)
-        length = np.linalg.norm(rows, axis=1, keepdims=True)
-        return rows / np.where(length == 0, 1, length)
-
-    def nearer(asked: np.ndarray, least: np.ndarray, ids: list):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                scores = np.round(asked @ unit(pdf[embedding]).T, DIGITS)
-                yield pd.DataFrame({"query_id": ids, "higher": (scores > least[:, None]).sum(axis=1)})
-
-        return run
-
-    parts = None
+    if not size["n"]:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank long")
+    n_blocks = -(-size["n"] // (block or max(BLOCK, HELD // (8 * max(1, size["width"])))))
+    some, parts = vectors.filter(F.col(embedding).isNotNull()).select(F.col(embedding).alias("embedding")), None
     for b in range(n_blocks):
-        rows = held.filter(F.col("__block") == b).select("query_id", "embedding", "__gold").toPandas()
+        rows = joined.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "embedding", "__gold").toPandas()
         if len(rows):
             asked = unit(rows["embedding"])
             least = np.round((asked * unit(rows["__gold"])).sum(axis=1), DIGITS)
-            found = vectors.select(embedding).filter(F.col(embedding).isNotNull()).mapInPandas(nearer(asked, least, rows["query_id"].tolist()), f"query_id {kind}, higher long").groupBy("query_id").agg(F.sum("higher").alias("higher"))
+            found = some.mapInPandas(_higher(asked, least, rows["query_id"].tolist()), f"query_id {kind}, higher long").groupBy("query_id").agg(F.sum("higher").alias("higher"))
             found = materialize(found) if n_blocks > 1 else found
             parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank long")
     return parts.groupBy("query_id").agg((F.sum("higher") + 1).alias("rank"))

@@ -295,3 +295,15 @@ def test_two_columns_are_read_one_after_the_other(spark):
     got = {r.page: (r.n_columns, r.text) for r in clean.page_text(df, ["page"]).collect()}
     side = lambda s: "\n".join(f"{s}{i}.0 {s}{i}.1" for i in range(12))
     assert got == {1: (2, side("l") + "\n" + side("r")), 2: (1, "title\na b"), 3: (1, "same same")}
+
+
+def test_exact_search_finds_what_the_codes_miss(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(rng.normal(size=(1500, 32)))]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = ann.build(v, ann.fit(v, 5))
+    want = hits(vectors.vector_topk(asked, v, 5))
+    assert hits(ann.search(asked, index, 5, probes=2, depth=6)) != want
+    for block in (1024, 7):
+        assert hits(ann.search(asked, index, 5, probes=2, depth=6, exact=True, block=block)) == want

@@ -273,3 +273,22 @@ def test_search_gives_the_same_by_postings_and_by_chunks(spark):
     index = bm25.build_index(chunks)
     by_chunks, by_postings = (sorted(map(tuple, bm25.search(asked, x, 5).collect())) for x in (index, tuple(index)))
     assert by_chunks == by_postings and len(by_chunks) > 30
+
+
+def test_gold_ranks_round_scores_at_the_limit_and_multiply_equal_questions_once(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.integers(-2, 3, (80, 4)), 3, axis=0)  # equal scores, and copies
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)]
+    table = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, rows[i % 9][1], 2 * i) for i in range(60)], "query_id long, embedding array<float>, gold_id long")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 9)
+    want = {i: int((s[i % 9] > s[i % 9, 2 * i]).sum()) + 1 for i in range(60)}
+    for block in (None, 7):
+        assert {r.query_id: r["rank"] for r in vectors.gold_ranks(asked, table, block=block).collect()} == want
+
+
+def test_gold_ranks_of_a_thousand_blocks_join_their_gold_once(spark):
+    v = spark.range(3000).selectExpr("id AS chunk_id", "array(cast(id % 7 AS float), cast(1 AS float)) AS embedding")
+    plan = plan_of(vectors.gold_ranks(v.selectExpr("chunk_id AS query_id", "embedding", "chunk_id AS gold_id"), v))
+    assert plan.count("MapInPandas") == 1  # 1,024 questions a job made three
