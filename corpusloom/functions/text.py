@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Character classes.
 #: White space of Unicode and the ASCII separators, as a class body.
 SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same as characters.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line ends of Unicode text.
 LINE_END = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: Letters and digits that make up one token together.
@@ -21,7 +23,7 @@ DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{
 
 def strip(text: Column) -> Column:
     """White space of any kind taken off both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(WHITE))  # looks at the ends only; a pattern would try every character
 
 
 def is_blank(text: Column) -> Column:

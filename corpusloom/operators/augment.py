@@ -22,7 +22,7 @@ def linearize_table(block: Column) -> Column:
     lines = F.filter(F.transform(split_lines(block), strip), lambda s: (s != "") & ~s.startswith("[表格]"))
 
     def cells(line: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+\z", ""), r"\|"), strip)
+        return F.transform(F.split(F.btrim(line, F.lit("|")), r"\|"), strip)
 
     def sentence(row: Column) -> Column:
         filled = F.filter(row, lambda c: c != "")

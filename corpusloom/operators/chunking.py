@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from corpusloom.functions.text import SPACE, is_blank, let, strip
+from corpusloom.functions.text import SPACE, WHITE, is_blank, let, strip
 from corpusloom.operators import _pack
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
@@ -27,14 +27,14 @@ def split_sentences(text: Column) -> Column:
 
 
 def block_kind(block: Column) -> Column:
-    left, line = F.regexp_replace(block, rf"^[{SPACE}]+", ""), strip(block)
+    left, line = F.ltrim(block, F.lit(WHITE)), strip(block)
     table = left.startswith("[表格]") | left.startswith("|")
     return F.when(table, "table").when(~line.contains("\n") & line.rlike(HEADING), "heading").otherwise("para")
 
 
 def split_blocks(text: Column) -> Column:
     """Array of (kind, text) between blank lines."""
-    pieces = F.filter(F.transform(F.split(text, BLANK_LINES), lambda b: F.regexp_replace(b, r"^\n+|\n+\z", "")), lambda b: ~is_blank(b))
+    pieces = F.filter(F.transform(F.split(text, BLANK_LINES), lambda b: F.btrim(b, F.lit("\n"))), lambda b: ~is_blank(b))
     return F.transform(pieces, lambda b: F.struct(block_kind(b).alias("kind"), b.alias("text")))
 
 

@@ -104,3 +104,17 @@ def test_enrich_uses_and_prunes_the_cache(spark):
     assert rows["1"].text.endswith("【检索增强】\nkept") and rows["1"].reused and not rows["2"].reused
     assert rows["2"].text == rows["3"].text == "b\n\n【检索增强】\ngen b" and rows["4"].text == "bad" and not rows["4"].enriched
     assert after.count() == 2
+
+
+def test_strip_takes_the_white_space_of_the_pattern_and_looks_at_no_pattern(spark):
+    import re
+
+    from corpusloom.functions.text import SPACE, WHITE, strip
+    from pyspark.sql import functions as F
+
+    space = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\u" + m[1].zfill(4), SPACE) + "]")
+    assert set(WHITE) == {chr(c) for c in range(0x10000) if space.match(chr(c))}
+    texts = [f"{c}a{c}b{c}" for c in WHITE] + ["", WHITE, "é\u200b ", "\u3000\n表 1\t\x1f", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("s"))
+    assert all(r.s == (None if r.t is None else r.t.strip(WHITE)) for r in got.collect())
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
