@@ -509,7 +509,7 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text")
-    tables, _, _ = ingest.build_tables(docs)
+    tables, _, _ = ingest.build_tables(docs, linearize=False)  # chunks as they are, tables too
     asked = questions(spark, sf_dir).withColumn("embedding", embedding.encode_query(F.col("question")))
     return retrieve.retrieve(materialize(asked), tables["chunks"], (tables["postings"], tables["term_stats"], tables["corpus_stats"]), tables["embeddings"], retrieve.Settings(**settings))
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from compare import TABLES, assert_same
 from corpusloom import queries
 from corpusloom.operators import augment, bm25, chunk_quality, embedding, evaluate, prompt, retrieve, vectors
 from pyspark.sql import functions as F
@@ -292,3 +293,16 @@ def test_gold_ranks_of_a_thousand_blocks_join_their_gold_once(spark):
     v = spark.range(3000).selectExpr("id AS chunk_id", "array(cast(id % 7 AS float), cast(1 AS float)) AS embedding")
     plan = plan_of(vectors.gold_ranks(v.selectExpr("chunk_id AS query_id", "embedding", "chunk_id AS gold_id"), v))
     assert plan.count("MapInPandas") == 1  # 1,024 questions a job made three
+
+
+def test_hybrid_search_takes_tables_as_they_are(spark, sf, tmp_path):
+    for name in TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    table = "| st. | {0} |\n| --- | --- |\n| ung {0} | eit |\n| ach | {0} |"
+    rows = [(i, "s", f"sodium text w{i}\n\n" + table.format(f"w{i % 5}") if i % 2 else f"plain w{i % 5} ung text") for i in range(40)]
+    (tmp_path / "documents.parquet").unlink()
+    (tmp_path / "benchmark.parquet").unlink()
+    spark.createDataFrame(rows, "doc_id long, source string, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    asked = [(i, f"ung w{i} ach eit") for i in range(5)]
+    spark.createDataFrame(asked, "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    assert_same(queries.retrieve_hybrid(spark, str(tmp_path)), queries.ORACLES["retrieve_hybrid"], str(tmp_path))
