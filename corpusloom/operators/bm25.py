@@ -36,16 +36,26 @@ def counted(words: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    return F.when(F.size(words) > 0, let(F.array_sort(words), runs))
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))  # array_sort would call a comparing lambda for every pair
 
 
-def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk_id, dl, terms: array of (term, tf), and the columns of ``keep``), one row a chunk, written once.
+def counted_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, dl, terms: array of (term, tf), and the columns of ``keep``), one row a chunk.
 
     Tokens are counted inside their chunk's row, so nothing is shuffled.
     """
     split = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokenizer(F.col(text_col)).alias("__t"))
-    return materialize(split.select("chunk_id", *keep, F.greatest(F.size("__t"), F.lit(0)).cast("long").alias("dl"), counted(F.col("__t")).alias("terms")))
+    return split.select("chunk_id", *keep, F.greatest(F.size("__t"), F.lit(0)).cast("long").alias("dl"), counted(F.col("__t")).alias("terms"))
+
+
+def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``counted_rows``, written once."""
+    return materialize(counted_rows(chunks, id_col, text_col, tokenizer, keep))
+
+
+def distinct_ids(forward: DataFrame) -> bool:
+    """Whether no two rows share an id."""
+    return not forward.groupBy("chunk_id").count().filter("count > 1").limit(1).count()
 
 
 def postings(forward: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
@@ -53,12 +63,17 @@ def postings(forward: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame,
 
     Only where ids are not are postings of one id and length brought together by a shuffle.
     """
-    each = forward.select("chunk_id", "dl", *keep, F.explode("terms").alias("x")).select("x.term", "chunk_id", "x.tf", "dl", *keep)
-    if not forward.groupBy("chunk_id").count().filter("count > 1").limit(1).count():
+    each = exploded(forward, keep)
+    if distinct_ids(forward):
         return each, True
     return materialize(each.groupBy("term", "chunk_id", "dl", *keep).agg(F.sum("tf").alias("tf")).select(*each.columns)), False
 
 
+def exploded(forward: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, chunk_id, tf, dl, and the columns of ``keep``) of a forward index."""
+    return forward.select("chunk_id", "dl", *keep, F.explode("terms").alias("x")).select("x.term", "chunk_id", "x.tf", "dl", *keep)
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row (n_docs, avgdl) of chunks' lengths (dl)."""
     n = F.count("*")

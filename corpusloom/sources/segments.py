@@ -1,9 +1,9 @@
 """A BM25 index that grows by segments: documents are added, changed and deleted without a rebuild.
 
 A commit writes one segment: the chunks of new and changed sources with their postings, the sources that it takes away from
-older segments (tombstones), and what it changes in document frequencies and lengths. Nothing older is touched; the commit
-counts once a manifest file names its segment, so a reader sees the state before or after it. Statistics are sums of
-the segments' changes, and equal those of a rebuild. ``merge`` writes what is left as one segment.
+older segments (tombstones), and what it changes in document frequencies and lengths. Postings are kept a row a chunk. Nothing
+older is touched; the commit counts once a manifest file names its segment, so a reader sees the state before or after it.
+Statistics are sums of the segments' changes, and equal those of a rebuild. ``merge`` writes what is left as one segment.
 
 Defined cases: a source that comes again with the same chunks is left alone; one that is both given and deleted is
 deleted; deleting an unknown source does nothing; an empty commit makes no segment; null texts are empty; rows without
@@ -43,7 +43,7 @@ class SegmentedIndex:
         self.spark, self.root, self.tokenizer = spark, root.rstrip("/"), tokenizer
         self.schemas = SCHEMAS | {
             "chunks": f"chunk_id {id_type}, source string, text string, seg int",
-            "postings": f"term string, chunk_id {id_type}, tf long, dl long, source string, seg int, bucket int",
+            "postings": f"chunk_id {id_type}, dl long, terms array<struct<term:string,tf:long>>, source string, seg int, bucket int",
         }
 
     # ------------------------------------------------------------------------------------------------------- reading
@@ -71,17 +71,24 @@ class SegmentedIndex:
 
     def live(self, name: str, segments: list[str] | None = None) -> DataFrame:
         """Rows of ``name`` that no later segment took away."""
+        segments = self.manifest()[1] if segments is None else segments
+        newest = self.table(name, segments[-1:])  # tombstones are for older segments
+        if len(segments) < 2:
+            return newest
         gone = self.table("removed", segments).groupBy("source").agg(F.max("seg").alias("__gone"))
-        rows = self.table(name, segments).join(gone, "source", "left")
-        return rows.filter(F.col("__gone").isNull() | (F.col("seg") >= F.col("__gone"))).drop("__gone")
+        rows = self.table(name, segments[:-1]).join(gone, "source", "left")
+        return rows.filter(F.col("__gone").isNull() | (F.col("seg") >= F.col("__gone"))).drop("__gone").unionByName(newest)
 
     def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(postings, term_stats, corpus_stats) as ``bm25.search`` takes them."""
+        """(postings, term_stats, corpus_stats) as ``bm25.search`` takes them: by chunk, unless two sources share an id."""
         segments = self.manifest()[1]
         totals = self.table("totals", segments).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"))
         stats = materialize(totals.select("n_docs", F.when(F.col("n_docs") > 0, F.col("n") / F.col("n_docs")).alias("avgdl")))
         counted = self.table("frequencies", segments).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        return self.live("postings", segments).select("term", "chunk_id", "tf", "dl"), materialize(bm25.term_weights(counted, F.col("n_docs"), stats)), stats
+        rows = self.live("postings", segments).select("chunk_id", "dl", "terms")
+        index = bm25.Index((bm25.exploded(rows), materialize(bm25.term_weights(counted, F.col("n_docs"), stats)), stats))
+        index.forward = rows if bm25.distinct_ids(self.live("postings", segments).select("chunk_id")) else None
+        return index
 
     # ------------------------------------------------------------------------------------------------------- writing
 
@@ -106,34 +113,47 @@ class SegmentedIndex:
         """
         last, segments = self.manifest()
         number = last + 1
+        first = not segments and deleted is None
         none = self.spark.createDataFrame([], "source string")
         deleted = none if deleted is None else deleted.select(F.col("source").cast("string").alias("source")).filter("source IS NOT NULL").distinct()
         held = self.live("sources", segments).drop("seg")
         chunks = self.spark.createDataFrame([], self.schemas["chunks"]).drop("seg") if given is None else given.select("chunk_id", F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text")).filter("source IS NOT NULL")
-        fresh = self.digests(chunks.join(deleted, "source", "left_anti"))
+        fresh = self.digests(chunks).join(deleted, "source", "left_anti")  # small rows, not texts
         changed = materialize(fresh.join(held, ["source", "n", "d1", "d2"], "left_anti"))
         removed = materialize(held.select("source").join(changed.select("source").unionByName(deleted), "source", "left_semi"))
         if not changed.limit(1).count() and not removed.limit(1).count():
             return False
         segment = f"{number:06d}-{uuid.uuid4().hex}"
         seg = F.lit(number)
-        added = materialize(chunks.join(changed, "source", "left_semi").withColumn("seg", seg))
-        posted, _ = bm25.postings(bm25.forward_index(added, tokenizer=self.tokenizer, keep=("source",)), ("source",))
-        self._write(segment, "chunks", added)
+        fresh_chunks = chunks if first else chunks.join(changed, "source", "left_semi")  # at first all are new: no shuffle of texts
+        self._write(segment, "chunks", fresh_chunks.withColumn("seg", seg))
+        added = self.table("chunks", [segment])
         self._write(segment, "sources", changed.withColumn("seg", seg))
         self._write(segment, "removed", removed.withColumn("seg", seg))
-        self._write(segment, "postings", posted.withColumn("seg", seg).withColumn("bucket", bucket(F.col("source"))))
-        written = self.table("postings", [segment])
-        touched = [r["b"] for r in removed.select(bucket(F.col("source")).alias("b")).distinct().collect()]  # at most BUCKETS
-        lost = self.live("postings", segments).filter(F.col("bucket").isin(touched)).join(removed, "source", "left_semi")
-        change = written.select("term", "tf", F.lit(1).alias("by")).unionByName(lost.select("term", "tf", F.lit(-1).alias("by")))
-        self._write(segment, "frequencies", change.groupBy("term").agg(F.sum("by").cast("long").alias("df")).filter("df <> 0"))
-        docs = added.select(F.lit(1).alias("by")).unionByName(self.live("chunks", segments).join(removed, "source", "left_semi").select(F.lit(-1).alias("by")))
-        n_docs, n_tokens = docs.agg(F.coalesce(F.sum("by"), F.lit(0)).alias("n_docs")), change.agg(F.coalesce(F.sum(F.col("tf") * F.col("by")), F.lit(0)).alias("n_tokens"))
+        self._write(segment, "postings", self._counted(added).withColumn("seg", seg).withColumn("bucket", bucket(F.col("source"))))
+        terms = self.table("postings", [segment]).select("terms", F.lit(1).alias("by"))
+        docs = added.select(F.lit(1).alias("by"))
+        if segments:
+            touched = [r["b"] for r in removed.select(bucket(F.col("source")).alias("b")).distinct().collect()]  # at most BUCKETS
+            lost = self.live("postings", segments).filter(F.col("bucket").isin(touched)).join(removed, "source", "left_semi")
+            terms = terms.unionByName(lost.select("terms", F.lit(-1).alias("by")))
+            docs = docs.unionByName(self.live("chunks", segments).join(removed, "source", "left_semi").select(F.lit(-1).alias("by")))
+        each = terms.select(F.explode("terms").alias("x"), "by").groupBy(F.col("x.term").alias("term"))
+        change = materialize(each.agg(F.sum("by").cast("long").alias("df"), F.sum(F.col("x.tf") * F.col("by")).alias("n")))
+        self._write(segment, "frequencies", change.filter("df <> 0"))
+        n_docs, n_tokens = docs.agg(F.coalesce(F.sum("by"), F.lit(0)).alias("n_docs")), change.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
         self._write(segment, "totals", n_docs.join(F.broadcast(n_tokens), how="cross"))
         self._publish(number, [*segments, segment])
         return True
 
+    def _counted(self, chunks: DataFrame) -> DataFrame:
+        """(chunk_id, dl, terms, source) of chunks; rows of one source that share an id and a length are brought together."""
+        rows = bm25.counted_rows(chunks, tokenizer=self.tokenizer, keep=("source",))
+        if bm25.distinct_ids(chunks):
+            return rows
+        posted, _ = bm25.postings(materialize(rows), ("source",))
+        return posted.groupBy("chunk_id", "dl", "source").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
     def merge(self) -> None:
         """What is left, as one segment without tombstones; readers of the older ones are not disturbed."""
         last, segments = self.manifest()

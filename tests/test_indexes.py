@@ -142,6 +142,21 @@ def test_segments_are_like_a_rebuild(spark, tmp_path):
     assert_like_rebuilt(spark, index, held)
 
 
+def test_segments_keep_a_row_a_chunk_and_shuffle_no_postings(spark, tmp_path):
+    index, held = SegmentedIndex(spark, str(tmp_path / "index")), {f"s{i}": t for i, t in enumerate(texts(6, 20))}
+    index.commit(as_chunks(spark, held))
+    index.commit(as_chunks(spark, {"s1": "w7 w7 w8", "s2": "w9"}))
+    got = index.index()
+    assert index.live("postings").count() == 40 and got.forward.count() == 40
+    # two sources that share an id, and one whose rows share one
+    index.commit(spark.createDataFrame([("s3::0", "t", "w7 w9"), ("u::0", "u", "w8 w8"), ("u::0", "u", "w8 w9")], "chunk_id string, source string, text string"))
+    got = index.index()
+    assert got.forward is None and sorted(map(tuple, got[0].filter("chunk_id = 'u::0'").collect())) == [("w8", "u::0", 3, 2), ("w9", "u::0", 1, 2)]
+    index.merge()
+    merged = index.index()
+    assert sorted(map(tuple, merged[0].collect())) == sorted(map(tuple, got[0].collect())) and merged[2].first() == got[2].first()
+
+
 def test_documents_are_chunked_into_a_growing_index(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "index"))
     docs = lambda **held: spark.createDataFrame(list(held.items()), "source string, text string")
