@@ -23,9 +23,8 @@ def hashing_encoder(texts: list[str], dim: int = DIM) -> np.ndarray:
     token = re.compile(rf"[{re.sub(r'.x.([0-9a-f]+).', lambda m: chr(int(m[1], 16)), WORD)}]+|\S")
     out = np.zeros((len(texts), dim), dtype=np.float64)
     for i, text in enumerate(texts):
-        for t in token.findall(text):
-            h = zlib.crc32(t.encode())
-            out[i, h % dim] += 1.0 if h >> 31 else -1.0
+        h = np.array([zlib.crc32(t.encode()) for t in token.findall(text)], dtype=np.int64)
+        out[i] = np.bincount(h % dim, weights=np.where(h >> 31, 1.0, -1.0), minlength=dim)
     return out
 
 

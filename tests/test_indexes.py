@@ -12,7 +12,7 @@ from corpusloom.operators.models import Loaded, Tokens
 from corpusloom.plans import ingest
 from corpusloom.sources.segments import SegmentedIndex
 from corpusloom.sources.tables import read_bucketed_cache, write_bucketed_cache
-from corpusloom.streaming.stateful import PROVIDER, ingest_with_state
+from corpusloom.streaming.stateful import PROVIDER, first_texts, ingest_with_state
 from pyspark.sql import functions as F
 
 WORDS = ["the", "of", *(f"w{i}" for i in range(60))]
@@ -207,6 +207,13 @@ def test_texts_are_encoded_once_whatever_the_batch(spark, tmp_path):
     assert run()[0] == 7 and len(run()[1]) == 4
 
 
+def test_keys_that_are_kept_for_good_need_no_python(spark, tmp_path):
+    spark.createDataFrame([("k", "t")], "text_key string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("text_key string, text string").parquet(str(tmp_path / "in"))
+    plan = lambda keep_ms: first_texts(stream, keep_ms)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate [text_key" in plan(None) and "Python" not in plan(None) and "TransformWithState" in plan(1000)
+
+
 # ---------------------------------------------------------------------------------------------------------- model slots
 
 
