@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from corpusloom.functions.text import SPACE, WHITE, is_blank, let, strip
 from corpusloom.operators import _pack
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHUNK_SIZE, OVERLAP = 950, 100
+#: Chapters of giant documents that a task packs at a time.
+PARTS = 64
 
 # Patterns, as in the packing helper.
 SENTENCE = r"[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+\z"
@@ -113,18 +120,25 @@ def chunk_giants(documents: DataFrame, source_col: str = "source", text_col: str
     their numbers, of which a document has one a chapter. Sources are distinct.
     """
 
-    def run(parts: pd.Series) -> pd.Series:
-        def one(blocks) -> list[tuple]:
-            found = [(b["kind"], b["text"]) for b in blocks]
-            if found and found[0][0] == "plain":
-                return [(found[0][1], None, None)]
-            return [(c.text, c.chapter, c.section) for c in _pack.chunks_of(found, chunk_size, overlap)]
-
-        return parts.map(one)
-
-    pack = F.pandas_udf(run, "array<struct<text string, chapter string, section string>>")
     rows = documents.select(F.col(source_col).alias("source"), F.posexplode(chapter_parts(F.col(text_col), chunk_size)).alias("part", "blocks"))
-    packed = materialize(rows.repartition("source", "part").select("source", "part", pack("blocks").alias("c")).withColumn("n", F.size("c")))
+    made = f"source {dict(rows.dtypes)['source']}, part int, c array<struct<text string, chapter string, section string>>, n int"
+    schema = to_arrow_schema(StructType.fromDDL(made))
+
+    def one(blocks: list[dict]) -> list[dict]:
+        found = [(b["kind"], b["text"]) for b in blocks]
+        if found and found[0][0] == "plain":
+            return [{"text": found[0][1], "chapter": None, "section": None}]
+        return [vars(c) for c in _pack.chunks_of(found, chunk_size, overlap)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARTS):  # so many chapters are Python's strings at a time, however many a batch has
+                some = batch.slice(at, PARTS)
+                chunks = [one(blocks) for blocks in some["blocks"].to_pylist()]
+                columns = [some["source"], some["part"], pa.array(chunks, type=schema.field("c").type), pa.array([len(c) for c in chunks], type=pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    packed = materialize(rows.repartition("source", "part").mapInArrow(run, made))
     before = F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     bases = packed.select("source", "part", F.coalesce(before, F.lit(0)).alias("base"))
     each = packed.select("source", "part", F.posexplode("c").alias("at", "c")).join(bases, ["source", "part"])

@@ -110,6 +110,14 @@ def test_chapters_of_one_book_are_dealt_over_tasks(spark):
     assert [r.text for r in chunking.chunk_giants(df, chunk_size=500, overlap=80).orderBy("idx").collect()] == want
 
 
+def test_chapters_are_packed_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "PARTS", 3)
+    held = {f"{name} {i}": t for name, t in giant_rows().items() for i in range(4)}
+    df = spark.createDataFrame(list(held.items()), "source string, text string").coalesce(1)
+    rows = lambda out: sorted(map(tuple, out.select("chunk_id", "source", "idx", "text", "chapter", "section").collect()))
+    assert rows(chunking.chunk_giants(df, chunk_size=60, overlap=20)) == rows(chunking.chunk_documents(df, chunk_size=60, overlap=20))
+
+
 def brute_words(run, counts, longest):
     total = sum(counts.values())
     weight = lambda n: round(1_000_000 * (math.log(n) - math.log(total)))
