@@ -36,7 +36,7 @@ def counted(words: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))  # array_sort would call a comparing lambda for every pair
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))
 
 
 def counted_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
