@@ -9,11 +9,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from corpusloom.functions.text import let, tokens
-from corpusloom.sources.tables import materialize
+from corpusloom.operators import _count
+from corpusloom.sources.tables import exploded, materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Questions scored at a time, and chunks that a task scores against them at a time.
@@ -28,6 +30,12 @@ class Index(tuple):
 
     forward: DataFrame | None = None
 
+    def tables(self) -> dict[str, DataFrame]:
+        """What ``publish_index`` writes of it: postings a row a chunk where it has them so."""
+        posted, terms, stats = self
+        held = {"postings": posted} if self.forward is None else {"forward": self.forward}
+        return held | {"term_stats": terms, "corpus_stats": stats}
+
 
 def counted(words: Column) -> Column:
     """Array of (term, tf) of an array of tokens, in order of terms: they are sorted, and a term's run is its count."""
@@ -42,15 +50,31 @@ def counted(words: Column) -> Column:
 def counted_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, dl, terms: array of (term, tf), and the columns of ``keep``), one row a chunk.
 
-    Tokens are counted inside their chunk's row, so nothing is shuffled.
+    Tokens are counted inside their chunk's row, so nothing is shuffled; the default tokenizer's by ``_count``.
     """
+    if tokenizer is tokens:
+        return _counted_texts(chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.col(text_col).cast("string").alias("__t"))).drop("dfs")
     split = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokenizer(F.col(text_col)).alias("__t"))
     return split.select("chunk_id", *keep, F.greatest(F.size("__t"), F.lit(0)).cast("long").alias("dl"), counted(F.col("__t")).alias("terms"))
 
 
-def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``counted_rows``, written once."""
-    return materialize(counted_rows(chunks, id_col, text_col, tokenizer, keep))
+def _counted_texts(texts: DataFrame) -> DataFrame:
+    """``texts``, whose last column is the text, with dl, terms and dfs in its place.
+
+    dfs holds (term, df) of a stretch of rows in the first of them, so that what is summed up over all rows is a stretch's
+    terms, not a row's.
+    """
+    made = StructType([*texts.schema.fields[:-1], *StructType.fromDDL("dl long, terms array<struct<term:string,tf:long>>, dfs array<struct<term:string,df:long>>").fields])
+    schema = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in _count.slices(batch["__t"]):
+                some = batch.slice(at, n)
+                columns = [*some.columns[:-1], *_count.counted(some["__t"])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, made)
 
 
 def distinct_ids(forward: DataFrame) -> bool:
@@ -69,11 +93,6 @@ def postings(forward: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame,
     return materialize(each.groupBy("term", "chunk_id", "dl", *keep).agg(F.sum("tf").alias("tf")).select(*each.columns)), False
 
 
-def exploded(forward: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(term, chunk_id, tf, dl, and the columns of ``keep``) of a forward index."""
-    return forward.select("chunk_id", "dl", *keep, F.explode("terms").alias("x")).select("x.term", "chunk_id", "x.tf", "dl", *keep)
-
-
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row (n_docs, avgdl) of chunks' lengths (dl)."""
     n = F.count("*")
@@ -82,7 +101,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def term_weights(counted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
     """(term, df, idf) of ``counted`` (term, df): negative idf is set to EPSILON times the mean idf of the whole vocabulary before that."""
-    counted = counted.join(F.broadcast(stats.select("n_docs")), how="cross")
+    counted = materialize(counted).join(F.broadcast(stats.select("n_docs")), how="cross")  # read twice: for the mean, and for each term
     raw = counted.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw"))
@@ -93,15 +112,21 @@ def term_stats(posted: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame
     return term_weights(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs, stats)
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer: Tokenizer = tokens) -> Index:
     """(postings, term_stats, corpus_stats): texts are tokenized a single time, what is made of them is written once.
 
     The statistics are single rows and broadcast as such.
     """
-    forward = forward_index(chunks, id_col, text_col, tokenizer)
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).cast("string").alias("__t"))
+    counts = materialize(_counted_texts(texts) if tokenizer is tokens else counted_rows(texts, "chunk_id", "__t", tokenizer))
+    forward = counts.select("chunk_id", "dl", "terms")
     posted, distinct = postings(forward)
     stats = materialize(corpus_stats(forward.select("dl")))
-    index = Index((posted, materialize(term_stats(posted, F.col("n_docs"), stats)), stats))
+    if distinct and "dfs" in counts.columns:
+        terms = term_weights(counts.select(F.explode("dfs").alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df")), F.col("n_docs"), stats)
+    else:
+        terms = term_stats(posted, F.col("n_docs"), stats)
+    index = Index((posted, materialize(terms), stats))
     index.forward = forward if distinct else None
     return index
 

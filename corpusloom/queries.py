@@ -73,7 +73,7 @@ def rules(spark: SparkSession) -> DataFrame:
 def cut_chunks(spark: SparkSession, sf_dir: str, size: int = CUT) -> DataFrame:
     """Chunks of ``size`` characters: (chunk_id, source, idx, text, chapter, section), a document being a source."""
     docs = read(spark, sf_dir, "documents").filter("text <> ''")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda i: F.substring("text", i * size + 1, F.lit(size)))
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))  # goes through a text once; a substring seeks its start
     source = F.concat_ws("/", "source", "doc_id")
     rows = docs.select(source.alias("source"), F.posexplode(pieces).alias("idx", "text"))
     none = F.lit(None).cast("string")
@@ -785,11 +785,11 @@ def testset_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CHUNKS + "SELECT chunk_id, text, (SELECT count(*) FROM chunks) AS n_chunks FROM chunks WHERE idx = 0 AND CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 100 = 0")
 def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index published twice, first of some chunks, then of all; chunks of the last version fetched by id."""
-    root, chunks = scratch_folder(spark, "index"), cut_chunks(spark, sf_dir)
+    root, chunks = scratch_folder(spark, "index"), materialize(cut_chunks(spark, sf_dir))
     for part in (chunks.filter("idx = 0"), chunks):
-        posted, terms, stats = bm25.build_index(part)
+        index = bm25.build_index(part)
         vectors_ = part.select("chunk_id", F.array(F.length("text").cast("float")).alias("embedding"))
-        tables.publish_index({"chunks": part, "embeddings": vectors_, "postings": posted, "term_stats": terms, "corpus_stats": stats}, root)
+        tables.publish_index({"chunks": part, "embeddings": vectors_, **index.tables()}, root)
     index = tables.read_index(spark, root)
     ids = read(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.concat("source", F.lit("/"), "doc_id", F.lit("::0")).alias("chunk_id"))
     asked = ids.unionByName(spark.createDataFrame([("nowhere::0",)], "chunk_id string"))

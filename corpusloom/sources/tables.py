@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_TABLES = ("chunks", "embeddings", "postings", "term_stats", "corpus_stats")
-POINTER = "version string, published long"
+POINTER = "version string, published long, by_chunk boolean"
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -34,23 +34,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exploded(forward: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, chunk_id, tf, dl, and the columns of ``keep``) of a forward index."""
+    return forward.select("chunk_id", "dl", *keep, F.explode("terms").alias("x")).select("x.term", "chunk_id", "x.tf", "dl", *keep)
+
+
 def publish_index(tables: dict[str, DataFrame], root: str) -> str:
     """Writes every table under a new version, then adds a pointer to it; older versions and pointers stay as they are.
 
-    An empty corpus publishes empty tables. Returns the version.
+    An empty corpus publishes empty tables. In place of ``postings`` may stand ``forward``, the same a row a chunk, which is
+    written so and read as postings. Returns the version.
     """
-    version = uuid.uuid4().hex
+    version, by_chunk = uuid.uuid4().hex, "forward" in tables
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, time.time_ns())], POINTER).coalesce(1).write.mode("append").json(f"{root}/current")
+    spark.createDataFrame([(version, time.time_ns(), by_chunk)], POINTER).coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
 def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the version published last."""
-    version = spark.read.schema(POINTER).json(f"{root}/current").orderBy(F.desc("published"), F.desc("version")).first()["version"]
-    return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in INDEX_TABLES}
+    last = spark.read.schema(POINTER).json(f"{root}/current").orderBy(F.desc("published"), F.desc("version")).first()
+    table = lambda name: spark.read.parquet(f"{root}/{last['version']}/{name}")
+    return {name: exploded(table("forward")) if name == "postings" and last["by_chunk"] else table(name) for name in INDEX_TABLES}
 
 
 def count_chunks(index: dict[str, DataFrame]) -> int:
@@ -58,8 +65,11 @@ def count_chunks(index: dict[str, DataFrame]) -> int:
 
 
 def fetch_chunks(index: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """The chunks whose chunk_id is among ``ids`` (chunk_id); unknown ids give no row."""
-    return index["chunks"].join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    """The chunks whose chunk_id is among ``ids`` (chunk_id); unknown ids give no row.
+
+    The ids are written first: by their size Spark sends few of them to the chunks instead of shuffling all texts.
+    """
+    return index["chunks"].join(materialize(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
 
 
 def write_cache(cache: DataFrame, path: str, partition: str = "model") -> None:

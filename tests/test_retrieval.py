@@ -2,9 +2,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from compare import TABLES, assert_same
 from corpusloom import queries
-from corpusloom.operators import augment, bm25, chunk_quality, embedding, evaluate, prompt, retrieve, vectors
+from corpusloom.functions.text import tokens
+from corpusloom.operators import _count, augment, bm25, chunk_quality, embedding, evaluate, prompt, retrieve, vectors
+from corpusloom.sources.tables import materialize
 from pyspark.sql import functions as F
 
 CORPUS = {"a": "x y z x", "b": "x q", "c": "x y", "d": "w w w"}
@@ -214,6 +217,22 @@ def test_literal_pairs_are_those_of_brute_force(spark):
     assert evaluate.literal_pairs(asked.limit(0), texts).count() == 0
 
 
+def test_default_tokens_are_counted_without_a_pattern_as_by_the_pattern(spark, monkeypatch):
+    monkeypatch.setattr(_count, "BYTES", 999)
+    every = [chr(c) for c in (*range(0x3100), *range(0xFF00, 0x10100))]
+    texts = [lead + between.join(every[i : i + 4000]) for i in range(0, len(every), 4000) for lead, between in (("a", ""), ("", "b"))]
+    rows = list(enumerate([*texts, None, "", " ", "no no  yes", "é\u024f\u0250 中中"]))
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").unionByName(spark.sql("SELECT -1L AS chunk_id, CAST(X'61FF62C361E4B8' AS STRING) AS text"))
+    chunks = materialize(chunks)
+    fast, plain = bm25.counted_rows(chunks), bm25.counted_rows(chunks, tokenizer=lambda t: tokens(t))
+    assert "regexp_extract_all" not in fast._jdf.queryExecution().toString() and fast.columns == plain.columns
+    assert {r.chunk_id: r for r in fast.collect()} == {r.chunk_id: r for r in plain.collect()}
+    for a, b in zip(bm25.build_index(chunks), bm25.build_index(chunks, tokenizer=lambda t: tokens(t)), strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    stretches = list(_count.slices(pa.array(["x" * 600, None, "y" * 399, "z", "w" * 5000, "v"]), 999))
+    assert stretches == [(0, 3), (3, 1), (4, 1), (5, 1)]
+
+
 def test_blocks_of_questions_do_not_change_hits(spark):
     chunks = spark.createDataFrame([(f"c{i:02}", " ".join(f"t{(i * k) % 11}" for k in range(1, 9))) for i in range(40)], "chunk_id string, text string")
     asked = spark.createDataFrame([(f"q{i}", f"t{i} t{i + 1} t{i} unseen") for i in range(9)] + [("none", "zzz")], "query_id string, question string")

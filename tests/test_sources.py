@@ -1,4 +1,5 @@
 import numpy as np
+from corpusloom.operators import bm25
 from corpusloom.plans import ingest
 from corpusloom.sources import files, tables
 from corpusloom.streaming.ingest import ingest_batch, ingest_stream
@@ -38,6 +39,20 @@ def test_publish_moves_the_pointer_after_all_tables(spark, tmp_path):
     assert tables.read_index(spark, root)["chunks"].count() == 0 and index["chunks"].count() == 2
 
 
+def test_index_published_by_chunk_is_read_as_postings(spark, tmp_path):
+    root, chunks = tmp_path / "index", spark.createDataFrame([("a", "x y x"), ("b", "x"), ("c", None)], "chunk_id string, text string")
+    index = bm25.build_index(chunks)
+    for held in (index.tables(), {"postings": index[0], "term_stats": index[1], "corpus_stats": index[2]}):
+        version = tables.publish_index({"chunks": chunks, "embeddings": chunks.select("chunk_id"), **held}, str(root))
+        assert (root / version / "forward").exists() == ("forward" in held) != (root / version / "postings").exists()
+        postings = tables.read_index(spark, str(root))["postings"]
+        assert postings.columns == index[0].columns
+        assert sorted(tuple(r) for r in postings.collect()) == [("x", "a", 2, 3), ("x", "b", 1, 1), ("y", "a", 1, 3)]
+    twice = bm25.build_index(chunks.unionByName(chunks))
+    assert set(twice.tables()) == {"postings", "term_stats", "corpus_stats"}
+    assert {r.term: r.df for r in twice[1].collect()} == {"x": 2, "y": 1}
+
+
 def test_cache_tables(spark, tmp_path):
     path, schema = str(tmp_path / "c"), "model string, text_key string, embedding array<float>"
     assert tables.read_cache(spark, path, schema).count() == 0
