@@ -1,4 +1,4 @@
-"""The default tokenizer's tokens counted for a batch of texts at once, by their bytes."""
+"""The default tokenizer's tokens counted, and runs of words hashed, for a batch of texts at once, by their bytes."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from corpusloom.functions.text import SPACE, WORD
 BYTES = 2 << 20
 #: Kinds of characters: white space, those that make up a token together, those that are one each.
 WHITE, JOINED, SINGLE = 0, 1, 2
+#: An odd base, its inverse modulo 2 ** 64, and an odd number that mixes.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def _kinds() -> np.ndarray:
@@ -104,3 +107,34 @@ def counted(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), terms, mask=pa.array(per_text == 0))
     have = pa.StructArray.from_arrays([words.dictionary.take(pa.array(order)), pa.array(np.bincount(number, minlength=len(order)))], ["term", "df"])
     return pa.array(per_text), lists, pa.ListArray.from_arrays(pa.array(np.append(0, np.full(n, len(order))).astype(np.int32)), have)
+
+
+def run_hashes(texts: pa.Array, width: int) -> pa.Array:
+    """Hashes of every ``width`` words in a row of each text, words being what stands between white space.
+
+    A word's hash is a sum of its bytes times powers of BASE, taken from sums over all bytes; equal words have equal ones.
+    """
+    data, ends = laid_out(texts)
+    kept = np.zeros(len(data) + 1, bool)
+    kept[:-1] = kinds(data) != WHITE
+    apart = np.ones(len(data) + 1, bool)
+    apart[1:] = ~kept[:-1]
+    apart[ends] = True
+    starts = np.flatnonzero(kept & apart)
+    stops = np.flatnonzero(kept[:-1] & apart[1:] | kept[:-1] & ~kept[1:]) + 1
+    powers = np.full(len(data) + 1, BASE, np.uint64)
+    powers[0] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + 1) * np.cumprod(powers)[:-1], out=sums[1:])
+    powers[1:] = INVERSE
+    words = (sums[stops] - sums[starts]) * np.cumprod(powers)[starts]
+    words = (words ^ words >> 32) * np.uint64(MIX)
+    words ^= words >> 29
+    per_text = np.diff(np.searchsorted(starts, ends))
+    runs = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for i in range(width):
+        runs = runs * np.uint64(BASE) + words[i : i + len(runs)]
+    last = np.repeat(np.cumsum(per_text), per_text)[: len(runs)]  # where the words of a run's text end
+    runs = runs[np.arange(len(runs)) + width <= last]
+    sizes = np.maximum(per_text - width + 1, 0)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(runs.view(np.int64)))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from corpusloom.functions.text import SPACE, let, strip
-from corpusloom.operators import embedding, retrieve, vectors
+from corpusloom.operators import _count, embedding, retrieve, vectors
 from corpusloom.operators.augment import strip_think
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MIN_CHARS, PASSAGE_CHARS, LEAST_QUESTION = 200, 1200, 4
 #: Words in a row that stand for a passage.
@@ -52,6 +55,21 @@ def make_testset(chunks: DataFrame, n: int, seed: int, generate: Callable[[pd.Se
     return found.orderBy("sample_key", "chunk_id").limit(n).select(F.col("chunk_id").alias("query_id"), "qa.question", "qa.answer", F.col("chunk_id").alias("gold_id"), F.col("source").alias("gold_source"))
 
 
+def run_hashes(texts: DataFrame) -> DataFrame:
+    """(id, a) of ``texts`` (id, text): the hash of every ANCHOR words in a row."""
+    made = StructType([texts.schema.fields[0], *StructType.fromDDL("a array<long>").fields])
+    schema = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in _count.slices(batch.column(1)):
+                some = batch.slice(at, n)
+                columns = some.column(0), _count.run_hashes(some.column(1), ANCHOR)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, made).select(texts.columns[0], F.explode("a").alias("a"))
+
+
 def literal_pairs(passages: DataFrame, documents: DataFrame, passage_id: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(passage_id, doc_id) of documents that have a passage's text literally.
 
@@ -62,27 +80,26 @@ def literal_pairs(passages: DataFrame, documents: DataFrame, passage_id: str = "
     def words(t: Column) -> Column:
         return F.split(t, rf"[{SPACE}]+")
 
-    def anchor(w: Column) -> Column:
-        longest = F.array_max(F.transform(F.slice(w, F.lit(2), F.size(w) - 2), lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-        return F.when(F.size(w) >= ANCHOR + 2, F.xxhash64(F.slice(w, 2, ANCHOR))).when(F.size(w) > 2, F.xxhash64(longest))
+    def longest(w: Column) -> Column:
+        return F.array_max(F.transform(F.slice(w, F.lit(2), F.size(w) - 2), lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
 
-    asked = passages.select(F.col(passage_id).alias("__p"), F.col(text).alias("__said"), let(words(F.col(text)), lambda w: F.struct(anchor(w).alias("a"), F.size(w).alias("n"))).alias("__w"))
+    long, short = F.col("n") >= ANCHOR + 2, (F.col("n") > 2) & (F.col("n") < ANCHOR + 2)
+    asked = passages.select(F.col(passage_id).alias("__p"), F.col(text).alias("__said"), let(words(F.col(text)), lambda w: F.struct(F.when(F.size(w) >= ANCHOR + 2, F.array_join(F.slice(w, 2, ANCHOR), " ")).when(F.size(w) > 2, longest(w)).alias("a"), F.size(w).alias("n"))).alias("__w"))
     asked = materialize(asked.filter(F.col("__said") != "").select("__p", "__said", "__w.a", "__w.n"))
     docs = documents.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"))
 
-    def matched(some: DataFrame, hashes: Callable[[Column], Column]) -> DataFrame:
-        each = docs.select("__d", F.explode(let(words(F.col("__t")), hashes)).alias("a"))
-        pairs = each.join(some.select("__p", "a"), "a").select("__d", "__p").distinct()
-        full = docs.join(pairs, "__d").join(some.select("__p", "__said"), "__p")
+    def matched(hashed: DataFrame, each: DataFrame) -> DataFrame:
+        pairs = materialize(each.join(hashed, "a").select("__d", "__p").distinct())  # of known size: few need no shuffle of texts
+        full = docs.join(pairs, "__d").join(asked.select("__p", "__said"), "__p")
         return full.filter(F.col("__t").contains(F.col("__said"))).select("__p", "__d")
 
-    counts = asked.agg(F.count_if(F.col("n") >= ANCHOR + 2).alias("long"), F.count_if((F.col("n") > 2) & (F.col("n") < ANCHOR + 2)).alias("short"), F.count_if(F.col("n") <= 2).alias("tiny")).first()
+    counts = asked.agg(F.count_if(long).alias("long"), F.count_if(short).alias("short"), F.count_if(F.col("n") <= 2).alias("tiny")).first()
     out = asked.limit(0).join(docs.limit(0), how="cross").select("__p", "__d")
     if counts["long"]:
-        runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(ANCHOR))))
-        out = out.unionByName(matched(asked.filter(F.col("n") >= ANCHOR + 2), runs))
+        out = out.unionByName(matched(materialize(run_hashes(asked.filter(long).select("__p", "a"))), run_hashes(docs)))
     if counts["short"]:
-        out = out.unionByName(matched(asked.filter((F.col("n") > 2) & (F.col("n") < ANCHOR + 2)), lambda w: F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))))
+        each = docs.select("__d", F.explode(let(words(F.col("__t")), lambda w: F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))))).alias("a"))
+        out = out.unionByName(matched(asked.filter(short).select("__p", F.xxhash64("a").alias("a")), each))
     if counts["tiny"]:
         out = out.unionByName(docs.join(asked.filter("n <= 2"), F.col("__t").contains(F.col("__said"))).select("__p", "__d"))
     return out.select(F.col("__p").alias(passage_id), F.col("__d").alias(doc_id))

@@ -476,7 +476,8 @@ HITS = SCORES + """, hits AS (SELECT b.query_id, b.rank, d.source, d.text FROM b
 
 def top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    return bm25_hits(spark, sf_dir).filter("rank <= 4").join(doc_chunks(spark, sf_dir), "chunk_id").withColumns({"chapter": none, "section": none})
+    few = materialize(bm25_hits(spark, sf_dir).filter("rank <= 4"))  # of known size, so that texts need no shuffle
+    return few.join(doc_chunks(spark, sf_dir), "chunk_id").withColumns({"chapter": none, "section": none})
 
 
 @query(HITS + """SELECT q.item_id AS query_id, '请根据' || chr(10) || coalesce((SELECT string_agg('[来源:' || source || '] ' || text, chr(10) || chr(10) ORDER BY rank) FROM hits h WHERE h.query_id = q.item_id), '(无)') || chr(10) || q.text AS prompt,

@@ -217,6 +217,21 @@ def test_literal_pairs_are_those_of_brute_force(spark):
     assert evaluate.literal_pairs(asked.limit(0), texts).count() == 0
 
 
+def test_runs_of_words_have_one_hash_wherever_they_stand():
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", "é", "中", "ab", "ba", ".", "xxxxx"]) + rng.choice([" ", "\n", "　", " \t"]) for _ in range(rng.randrange(14))) for _ in range(600)]
+    texts += [" " + t.rstrip() for t in texts] + [None, "", " "]
+    words = [re.findall(r"[^ \n　\t]+", t or "") for t in texts]
+    runs = [[tuple(w[i : i + 3]) for i in range(len(w) - 2)] for w in words]
+    got = _count.run_hashes(pa.array([None, *texts], pa.string()).slice(1), 3).to_pylist()
+    assert [len(g) for g in got] == [len(r) for r in runs]
+    pairs = {(x, h) for r, g in zip(runs, got, strict=True) for x, h in zip(r, g, strict=True)}
+    assert len(pairs) == len({x for x, _ in pairs}) == len({h for _, h in pairs}) > 300
+
+
 def test_default_tokens_are_counted_without_a_pattern_as_by_the_pattern(spark, monkeypatch):
     monkeypatch.setattr(_count, "BYTES", 999)
     every = [chr(c) for c in (*range(0x3100), *range(0xFF00, 0x10100))]
