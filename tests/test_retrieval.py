@@ -243,7 +243,8 @@ def test_default_tokens_are_counted_without_a_pattern_as_by_the_pattern(spark, m
     assert "regexp_extract_all" not in fast._jdf.queryExecution().toString() and fast.columns == plain.columns
     assert {r.chunk_id: r for r in fast.collect()} == {r.chunk_id: r for r in plain.collect()}
     for a, b in zip(bm25.build_index(chunks), bm25.build_index(chunks, tokenizer=lambda t: tokens(t)), strict=True):
-        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        found, wanted = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()) for df in (a, b))
+        assert found == wanted  # sums of floats depend on their order
     stretches = list(_count.slices(pa.array(["x" * 600, None, "y" * 399, "z", "w" * 5000, "v"]), 999))
     assert stretches == [(0, 3), (3, 1), (4, 1), (5, 1)]
 
