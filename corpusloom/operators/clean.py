@@ -61,8 +61,11 @@ def is_header(line: Column, patterns: PagePatterns = PATTERNS) -> Column:
     return let(strip(line), lambda s: (s != "") & (F.length(s) <= patterns.header_chars) & s.rlike(either))
 
 
-def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS) -> Column:
-    """The first line that is not blank goes if it is a header, then the last one if it is a page number."""
+def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS, page_no: Column | None = None) -> Column:
+    """The first line that is not blank goes if it is a header, then the last one if it is a page number.
+
+    Where the page's own number is known, that is a page number of however many digits.
+    """
 
     def without(xs: Column, at: Column) -> Column:
         return F.concat(F.slice(xs, F.lit(1), at), F.slice(xs, at + 2, F.size(xs)))
@@ -74,9 +77,13 @@ def strip_page_edges(lines: Column, patterns: PagePatterns = PATTERNS) -> Column
         first = F.array_position(full(xs), F.lit(True)).cast("int") - 1
         return let(first, lambda k: F.when((k >= 0) & F.coalesce(is_header(F.get(xs, k), patterns), F.lit(False)), without(xs, k)).otherwise(xs))
 
+    def is_number(line: Column) -> Column:
+        short = line.rlike(patterns.number_only)
+        return short if page_no is None else short | (line == page_no.cast("string"))
+
     def bottom(xs: Column) -> Column:
         last = F.size(xs) - F.array_position(F.reverse(full(xs)), F.lit(True)).cast("int")
-        return let(last, lambda k: F.when((k < F.size(xs)) & strip(F.get(xs, k)).rlike(patterns.number_only), without(xs, k)).otherwise(xs))
+        return let(last, lambda k: F.when((k < F.size(xs)) & is_number(strip(F.get(xs, k))), without(xs, k)).otherwise(xs))
 
     return let(let(lines, top), bottom)
 
@@ -127,7 +134,7 @@ def clean_pages(documents: DataFrame, rules: DataFrame | None = None, patterns:
     def page(p: Column) -> Column:
         inside = F.coalesce(p["page_no"] >= F.col("body_start"), F.lit(True)) & F.coalesce(p["page_no"] < F.col("index_start"), F.lit(True))
         return let(
-            strip_page_edges(p["lines"], patterns),
+            strip_page_edges(p["lines"], patterns, p["page_no"]),
             lambda edged: F.struct(
                 p["page_no"].alias("page_no"),
                 inside.alias("in_range"),

@@ -1,4 +1,10 @@
+from pathlib import Path
+
+import pandas as pd
+import pytest
+from compare import assert_same
 from corpusloom.functions import text as T
+from corpusloom.index_queries import ORACLES, QUERIES
 from corpusloom.operators import augment, clean
 from pyspark.sql import functions as F
 
@@ -7,6 +13,17 @@ def one(spark, value, expression, kind="string"):
     return spark.createDataFrame([(value,)], f"t {kind}").select(expression(F.col("t")).alias("r")).first().r
 
 
+def long_books(sf, folder):
+    """The given tables with other documents: a short text and two of more than a thousand lines, one of them under a page rule."""
+    texts = [(0, "src1", 3), (1, "src1", 1015), (2, "src2", 1003)]
+    rows = [(i, "\n".join(f"line {n} of book {i}" for n in range(k)), "en", source) for i, source, k in texts]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(folder / "documents.parquet")
+    for table in Path(sf).iterdir():
+        if table.name != "documents.parquet":
+            (folder / table.name).symlink_to(table)
+    return str(folder)
+
+
 def test_strip_and_lines_are_unicode_aware(spark):
     assert one(spark, "　 a b \n\x1c", T.strip) == "a b"
     assert one(spark, "a\r\nb\x0bc d\n", T.split_lines) == ["a", "b", "c", "d"]
@@ -27,6 +44,18 @@ def test_page_edges(spark):
         assert one(spark, list(lines), clean.strip_page_edges, "array<string>") == kept
 
 
+def test_a_page_loses_its_own_number_however_long(spark):
+    text = "".join(f"===== 第 {n} 页 =====\n{n}第一章\nbody {n}\n\n{last}\n" for n, last in ((999, 999), (1000, 1000), (1001, 1234), (20000, "20000 ")))
+    got = clean.clean_pages(spark.createDataFrame([("s", text)], "source string, text string")).first().pages
+    assert [(p.page_no, p.changed, p.body) for p in got] == [(999, True, "body 999"), (1000, True, "body 1000"), (1001, True, "body 1001\n\n1234"), (20000, True, "body 20000")]
+
+
+@pytest.mark.parametrize("name", ["clean_pages", "clean_text", "cleaning_stats"])
+def test_books_of_more_than_a_thousand_pages_are_those_of_the_sql(spark, sf, tmp_path, name):
+    folder = long_books(sf, tmp_path)
+    assert_same(QUERIES[name](spark, folder), ORACLES[name], folder)
+
+
 def test_running_headers_anywhere(spark):
     assert one(spark, ["12第三章贫血的检验", "见第三章。", "a"], clean.drop_running_headers, "array<string>") == ["见第三章。", "a"]
 
