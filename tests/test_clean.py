@@ -50,7 +50,7 @@ def test_a_page_loses_its_own_number_however_long(spark):
     assert [(p.page_no, p.changed, p.body) for p in got] == [(999, True, "body 999"), (1000, True, "body 1000"), (1001, True, "body 1001\n\n1234"), (20000, True, "body 20000")]
 
 
-@pytest.mark.parametrize("name", ["clean_pages", "clean_text", "cleaning_stats"])
+@pytest.mark.parametrize("name", ["clean_pages", "clean_text", "cleaning_stats", "heading_context"])
 def test_books_of_more_than_a_thousand_pages_are_those_of_the_sql(spark, sf, tmp_path, name):
     folder = long_books(sf, tmp_path)
     assert_same(QUERIES[name](spark, folder), ORACLES[name], folder)
