@@ -15,6 +15,8 @@ SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line ends of Unicode text.
 LINE_END = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+#: Those of them with something else than a line feed.
+OTHER_LINE_END = r"[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: Letters and digits that make up one token together.
 WORD = r"0-9A-Za-z\x{c0}-\x{24f}"
 #: Decimal digits, superscripts, subscripts and circled digits.
@@ -32,8 +34,8 @@ def is_blank(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines at every Unicode line end; a closing line end starts no further line."""
-    lines = F.split(text, LINE_END)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    lines = F.when(text.rlike(OTHER_LINE_END), F.split(text, LINE_END)).otherwise(F.split(text, "\n"))  # a plain character needs no pattern
+    return let(lines, lambda ls: F.when(F.element_at(ls, -1) == "", F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls))
 
 
 def unix_newlines(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,14 +78,11 @@ def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def counted(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(number of tokens, array of (term, tf) in order of terms, null where there are none) of each text.
-
-    Third, in the first text's row, how many of all these texts have each term: (term, df).
+def tokens_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the tokens of all texts, how many each text has).
 
     White space is taken out of the bytes, so that tokens lie side by side and are an Arrow array by their starts.
     """
-    n = len(texts)
     data, ends = laid_out(texts)
     kind = kinds(data)
     kept, joined = kind != WHITE, kind == JOINED
@@ -94,7 +92,28 @@ def counted(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     starts = np.flatnonzero(kept & ~goes_on[:-1] & ((data & 0xC0) != 0x80))
     places = np.append(0, np.cumsum(kept, dtype=np.int32)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(places[starts], places[-1])), pa.py_buffer(data[kept])).dictionary_encode()
-    per_text = np.diff(np.searchsorted(starts, ends))
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
+def hashed(texts: pa.Array, dim: int) -> np.ndarray:
+    """Signed feature hashing: of each text's tokens, how many more of a place (the hash modulo ``dim``) count up than down."""
+    out = np.empty((len(texts), dim), np.int32)
+    for at, n in slices(texts):
+        words, per_text = tokens_of(texts.slice(at, n))
+        h = np.fromiter(map(zlib.crc32, words.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(words.dictionary))
+        number = words.indices.to_numpy()
+        places = np.repeat(np.arange(n) * dim, per_text) + (h % dim)[number]
+        out[at : at + n] = np.bincount(places, weights=np.where(h >> 31, 1.0, -1.0)[number], minlength=n * dim).reshape(n, dim)
+    return out
+
+
+def counted(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(number of tokens, array of (term, tf) in order of terms, null where there are none) of each text.
+
+    Third, in the first text's row, how many of all these texts have each term: (term, df).
+    """
+    n = len(texts)
+    words, per_text = tokens_of(texts)
     order = pc.sort_indices(words.dictionary).to_numpy()
     size = max(1, len(order))
     number = np.empty(len(order), np.int64)

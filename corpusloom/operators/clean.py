@@ -171,16 +171,18 @@ def cleaning_stats(cleaned: DataFrame, keys: list[str]) -> DataFrame:
 
 def table_to_markdown(rows: Column) -> Column:
     """Array of arrays of cells to a Markdown table: cells stripped, empty rows dropped, short rows padded; '' if empty."""
-    full = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")))), lambda r: F.exists(r, lambda c: c != ""))
+    full = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))), lambda r: F.exists(r, lambda c: c != ""))
 
     def line(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
     def made(rs: Column) -> Column:
-        width = F.array_max(F.transform(rs, lambda r: F.size(r)))
-        padded = F.transform(rs, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-        rule = F.array(line(F.array_repeat(F.lit("---"), width)))
-        return F.when(F.size(rs) == 0, "").otherwise(let(padded, lambda p: F.array_join(F.concat(F.slice(p, F.lit(1), F.lit(1)), rule, F.slice(p, F.lit(2), F.size(p))), "\n")))
+        def joined(width: Column) -> Column:
+            padded = F.transform(rs, lambda r: line(F.when(F.size(r) == width, r).otherwise(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))))
+            rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+            return let(padded, lambda p: F.array_join(F.concat(F.slice(p, F.lit(1), F.lit(1)), rule, F.slice(p, F.lit(2), F.size(p))), "\n"))
+
+        return F.when(F.size(rs) == 0, "").otherwise(let(F.array_max(F.transform(rs, lambda r: F.size(r))), joined))
 
     return let(full, made)
 

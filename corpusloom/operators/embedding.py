@@ -6,25 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from corpusloom.functions.text import WORD, text_key
+import pyarrow as pa
+from corpusloom.functions.text import text_key
+from corpusloom.operators import _count
 from corpusloom.sources.tables import materialize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
+#: Texts that are one Arrow array at a time.
+TEXTS = 1024
 Encoder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_encoder(texts: list[str], dim: int = DIM) -> np.ndarray:
     """Default model: signed feature hashing of the default tokenizer's tokens, deterministic on every machine."""
-    import re
-    import zlib
-
-    token = re.compile(rf"[{re.sub(r'.x.([0-9a-f]+).', lambda m: chr(int(m[1], 16)), WORD)}]+|\S")
-    out = np.zeros((len(texts), dim), dtype=np.float64)
-    for i, text in enumerate(texts):
-        h = np.array([zlib.crc32(t.encode()) for t in token.findall(text)], dtype=np.int64)
-        out[i] = np.bincount(h % dim, weights=np.where(h >> 31, 1.0, -1.0), minlength=dim)
+    out = np.empty((len(texts), dim), dtype=np.float64)
+    for at in range(0, len(texts), TEXTS):
+        out[at : at + TEXTS] = _count.hashed(pa.array(texts[at : at + TEXTS], pa.string()), dim)
     return out
 
 

@@ -137,8 +137,17 @@ def full_ranks(scores: DataFrame, testset: DataFrame, keys: list[str]) -> DataFr
 def variant_ranks(testset: DataFrame, chunks: DataFrame, variants: dict[str, Column], encoder: embedding.Encoder = embedding.hashing_encoder) -> DataFrame:
     """(query_id, rank, variant): the gold chunk's rank over all of ``chunks`` (chunk_id, text), each text encoded by every variant.
 
-    ``testset`` has query_id, question and gold_id; ``variants`` gives a column of the text to encode by name.
+    ``testset`` has query_id, question and gold_id; ``variants`` gives a column of the text to encode by name. The default
+    encoder's vectors are of whole numbers, and ranked as those.
     """
+    if encoder is embedding.hashing_encoder:
+        held, out = chunks.filter(F.col("text").isNotNull()), None
+        asked = materialize(testset.select("query_id", "question", F.col("gold_id").alias("chunk_id")))  # of known size: texts are not shuffled for it
+        gold = materialize(held.select("chunk_id", "text").join(asked, "chunk_id"))
+        for name, text in variants.items():
+            ranks = vectors.counted_gold_ranks(gold.select("query_id", "question", text.alias("gold")), held.select(text.alias("text"))).withColumn("variant", F.lit(name))
+            out = ranks if out is None else out.unionByName(ranks)
+        return out
     asked = materialize(testset.select("query_id", "gold_id", embedding.encode_query(F.col("question"), encoder=encoder).alias("embedding")))
     out = None
     for name, text in variants.items():

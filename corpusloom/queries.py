@@ -158,9 +158,9 @@ LINE_CELLS = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_lines
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, rows): an order's lines as rows of cells (an order has few lines)."""
-    cells = F.array(*[F.col(c).cast("string") for c in LINE_CELLS])
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*LINE_CELLS, cells.alias("cells")).alias("line"))
-    return lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["cells"]).alias("rows"))
+    cells = lambda x: F.array(*[x[c].cast("string") for c in LINE_CELLS])
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_CELLS))).alias("lines"))
+    return lines.select("l_orderkey", F.transform("lines", cells).alias("rows"))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from compare import TABLES, assert_same
 from corpusloom import queries
@@ -193,6 +194,62 @@ def test_variants_are_encoded_anew_and_ranked_over_all_chunks(spark):
     assert len(set(seen)) == 3 and got["nothing of gold"] > 1
 
 
+def test_default_encoder_hashes_the_tokens_of_the_pattern(monkeypatch):
+    import random
+    import re
+    import zlib
+
+    from corpusloom.functions.text import WORD
+
+    monkeypatch.setattr(_count, "BYTES", 999)
+    monkeypatch.setattr(embedding, "TEXTS", 100)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1é表、 \n\u3000\x1f|:-\U0001f600\u0300") for _ in range(rng.randrange(60))) for _ in range(500)] + ["", " ", "x" * 3000]
+    token = re.compile(rf"[{re.sub(r'.x.([0-9a-f]+).', lambda m: chr(int(m[1], 16)), WORD)}]+|\S")
+    for dim in (64, 16):
+        expected = np.zeros((len(texts), dim))
+        for i, text in enumerate(texts):
+            for t in token.findall(text):
+                h = zlib.crc32(t.encode())
+                expected[i, h % dim] += 1 if h >> 31 else -1
+        assert (embedding.hashing_encoder(texts, dim) == expected).all()
+    assert embedding.hashing_encoder([]).shape == (0, 64)
+
+
+def test_vectors_of_whole_numbers_are_ranked_as_by_floats(monkeypatch):
+    rng = np.random.default_rng(3)
+    unit = lambda counts: vectors.unit(pd.Series(list(embedding.normalized(counts.astype(float)))))
+    for i, (most, few, products, rows_at) in enumerate([(1, 64, 1 << 20, 4096), (3, 0, 5000, 64), (60, 64, 5000, 64), (3000, 1, 1 << 20, 4096), (40_000, 64, 100, 4096)]):
+        for name, value in (("FEW", few), ("PRODUCTS", products), ("ROWS", rows_at)):
+            monkeypatch.setattr(vectors, name, value)
+        rows = rng.integers(-most, most + 1, (2000, 64)).astype(np.int32)
+        rows[::7] = 0
+        rows[1::5, 8:] = 0  # many ties, which floats settle
+        asked = np.zeros((150, 64), np.int32)
+        for q in asked:
+            q[rng.choice(64, rng.integers(0, 8), replace=False)] = rng.integers(-2, 3)
+        asked[:40], asked[120:] = rows[:40], asked[50:80]
+        u, a = unit(rows), unit(asked)
+        least = np.round((a * u[rng.integers(0, 2000, 150)]).sum(axis=1), 9)
+        held = vectors._Outranked(asked, least)
+        got = held.higher(rows[:700]) + held.higher(rows[700:])
+        assert (got == [np.count_nonzero(np.round((u * q).sum(axis=1), 9) > x) for q, x in zip(a, least, strict=True)]).all(), i
+
+
+def test_default_encoder_is_ranked_without_writing_vectors(spark, sf, monkeypatch):
+    variants = {"original": F.col("text"), "none": F.lit(None).cast("string")}
+    told = materialize(queries.order_tables(spark, sf).select(F.col("l_orderkey").alias("chunk_id"), "text"))
+    testset = told.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 90).alias("question"), F.col("chunk_id").alias("gold_id"))
+    testset = testset.unionByName(spark.createDataFrame([(-1, None, 20), (-2, "", 40), (-3, "x", -9)], testset.schema))
+    by_floats = evaluate.variant_ranks(testset, told, variants, lambda texts: embedding.hashing_encoder(texts)).collect()
+    monkeypatch.setattr(vectors, "gold_ranks", None)
+    assert sorted(evaluate.variant_ranks(testset, told, variants).collect()) == sorted(by_floats)
+    gold = told.join(testset, F.col("gold_id") == F.col("chunk_id")).select("query_id", "question", F.col("text").alias("gold"))
+    in_blocks = vectors.counted_gold_ranks(gold, told.select("text"), block=10).collect()
+    assert {(r.query_id, r["rank"]) for r in in_blocks} == {(r.query_id, r["rank"]) for r in by_floats if r.variant == "original"} and len(in_blocks) > 10
+    assert vectors.counted_gold_ranks(gold.limit(0), told.select("text")).count() == 0
+
+
 def test_encoders_compared_by_stage_on_literal_gold(spark, sf):
     rows = {(r.model, r.stage): r for r in queries.compare_encoders_by_stage(spark, sf).collect()}
     n = queries.gold(spark, sf).count()
