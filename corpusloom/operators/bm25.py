@@ -117,8 +117,8 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 
     The statistics are single rows and broadcast as such.
     """
-    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).cast("string").alias("__t"))
-    counts = materialize(_counted_texts(texts) if tokenizer is tokens else counted_rows(texts, "chunk_id", "__t", tokenizer))
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("__t"))  # other tokenizers may take other types
+    counts = materialize(_counted_texts(texts.withColumn("__t", F.col("__t").cast("string"))) if tokenizer is tokens else counted_rows(texts, "chunk_id", "__t", tokenizer))
     forward = counts.select("chunk_id", "dl", "terms")
     posted, distinct = postings(forward)
     stats = materialize(corpus_stats(forward.select("dl")))
