@@ -21,7 +21,7 @@ ROWS, HELD, TILE = 4096, 1 << 25, 128
 #: Far more than a product of doubles is off by, far less than a rounded digit.
 SLACK = 1e-12
 #: Rows of whole numbers that a task holds at a time, and products that it works out at a time.
-COUNTED, PRODUCTS = 1 << 17, 1 << 20
+COUNTED, PRODUCTS = 1 << 18, 1 << 18
 #: More than the cosine of two float vectors is off from that of the whole numbers they were made of.
 NEAR = 5e-7
 #: Pairs of a question that are multiplied together with those of other questions.
@@ -221,21 +221,22 @@ class _Outranked:
         """How many rows of ``counts`` are nearer, by question."""
         out = np.zeros(len(self.least), np.int64)
         n, most = len(counts), int((np.abs(self.asked).T.astype(np.float64) @ np.abs([counts.min(axis=0), counts.max(axis=0)]).max(axis=0)).max())
-        kind = next(t for t in (np.int16, np.int32, np.int64) if most < np.iinfo(t).max)
         squares = np.einsum("ij,ij->i", counts, counts, dtype=np.int64)
+        most = max(most, int(1.01 * self.lengths.max() * np.sqrt(squares.max())) + 1)  # limits are no greater than lengths multiplied
+        kind = next(t for t in (np.int16, np.int32, np.int64) if most < np.iinfo(t).max)
         order = np.argsort(squares, kind="stable")
         rows, squares = np.ascontiguousarray(counts[order].T, dtype=kind), squares[order]
         of_row = np.where(squares == 0, 1, np.sqrt(squares)), np.concatenate([_stretch(counts[order[at : at + ROWS]]) for at in range(0, n, ROWS)])
         squares, starts = np.unique(squares, return_index=True)
         starts, roots = np.append(starts, n), np.sqrt(squares)
         products, above = self._products(rows), np.empty(n, bool)
-        tile, close = max(1, PRODUCTS // len(roots)), []
+        tile, close, held = max(1, PRODUCTS // len(roots)), [], 0
         for first in range(0, len(self.members), tile):
             some = self.members[first : first + tile]
             of = np.searchsorted(self.ends, np.arange(first, first + len(some)), side="right") - 1
             low, high = (((self.least[some] + x) * self.lengths[of])[:, None] * roots for x in (-NEAR, NEAR))
             np.floor(high, out=high)
-            near, limits = high >= low, np.clip(high, np.iinfo(kind).min, np.iinfo(kind).max).astype(kind)
+            near, limits = high >= low, high.astype(kind)
             changes = np.ones(high.shape, bool)
             np.not_equal(limits[:, 1:], limits[:, :-1], out=changes[:, 1:])
             for i, m in enumerate(some):
@@ -253,33 +254,34 @@ class _Outranked:
                     sizes = starts[groups + 1] - starts[groups]
                     found = np.arange(sizes.sum()) + (starts[groups + 1] - sizes.cumsum()).repeat(sizes)
                     run = product[found]
-                    close.append((m, of[i], found[(run <= high[i, groups].repeat(sizes)) & (run >= low[i, groups].repeat(sizes))]))
-            close = self._compare(out, rows, of_row, close, first + tile >= len(self.members))
+                    found = found[(run <= high[i, groups].repeat(sizes)) & (run >= low[i, groups].repeat(sizes))]
+                    if len(found) > FEW:
+                        out[m] += self._nearer(m, of[i], found, rows, of_row)
+                    elif len(found):
+                        close.append((m, of[i], found))
+                        held += len(found)
+                        if held >= ROWS:
+                            self._settle(out, close, rows, of_row)
+                            close, held = [], 0
+        self._settle(out, close, rows, of_row)
         return out
 
-    def _compare(self, out: np.ndarray, rows: np.ndarray, of_row: tuple[np.ndarray, np.ndarray], close: list[tuple], last: bool) -> list[tuple]:
-        """Multiplies the pairs of ``close`` as floats, many at a time; a question's many alone, by its places only."""
-        few = []
-        for m, q, found in close:
-            if len(found) <= FEW:
-                few.append((m, q, found))
-                continue
-            places = self.asked[:, q].nonzero()[0]
-            for at in range(0, len(found), ROWS):
-                some = found[at : at + ROWS]
-                floats = (rows[places[:, None], some] / of_row[0][some]).astype(np.float32) / of_row[1][some]
-                out[m] += np.count_nonzero(_scores(self.units[places, q][:, None], floats) > self.least[m])
-        sizes = [len(found) for _, _, found in few]
-        if not last and sum(sizes) < ROWS:
-            return few
-        if sum(sizes):
-            m, q = (np.repeat([c[i] for c in few], sizes) for i in (0, 1))
-            found = np.concatenate([c[2] for c in few])
-            for at in range(0, len(found), ROWS):
-                some, part = found[at : at + ROWS], slice(at, at + ROWS)
-                floats = (rows[:, some] / of_row[0][some]).astype(np.float32) / of_row[1][some]
-                np.add.at(out, m[part], _scores(self.units[:, q[part]], floats) > self.least[m[part]])
-        return []
+    def _nearer(self, m: int, q: int, found: np.ndarray, rows: np.ndarray, of_row: tuple[np.ndarray, np.ndarray]) -> int:
+        """How many of a question's many pairs are nearer as floats, by its places only."""
+        places, n = self.asked[:, q].nonzero()[0], 0
+        for at in range(0, len(found), ROWS):
+            some = found[at : at + ROWS]
+            floats = (rows[places[:, None], some] / of_row[0][some]).astype(np.float32) / of_row[1][some]
+            n += np.count_nonzero(_scores(self.units[places, q][:, None], floats) > self.least[m])
+        return n
+
+    def _settle(self, out: np.ndarray, close: list[tuple[int, int, np.ndarray]], rows: np.ndarray, of_row: tuple[np.ndarray, np.ndarray]) -> None:
+        """Multiplies the few pairs of many questions as floats."""
+        if close:
+            sizes = [len(c[2]) for c in close]
+            m, q, found = np.repeat([c[0] for c in close], sizes), np.repeat([c[1] for c in close], sizes), np.concatenate([c[2] for c in close])
+            floats = (rows[:, found] / of_row[0][found]).astype(np.float32) / of_row[1][found]
+            np.add.at(out, m, _scores(self.units[:, q], floats) > self.least[m])
 
 
 def counted_gold_ranks(testset: DataFrame, texts: DataFrame, dim: int = embeddings.DIM, block: int | None = None) -> DataFrame:
